@@ -39,9 +39,9 @@ def rates(docs: DataFrame, weights: dict[str, float], default: float, source_col
     given = F.create_map(*[F.lit(x) for kv in weights.items() for x in (kv[0], float(kv[1]))]) if weights else None
     weight = F.coalesce(given[F.coalesce("mix_source", F.lit(""))] if given is not None else F.lit(None).cast("double"), F.lit(float(default)))
     size = cut(size.withColumn("weight", F.when(F.col("chars") > 0, weight).otherwise(F.lit(0.0))))
-    sums = size.agg(F.sum("weight").alias("all_weight"), F.sum("chars").alias("all_chars"))
-    rate = F.when(F.col("weight") > 0, F.col("weight") / F.col("all_weight") * F.col("all_chars") / F.col("chars")).otherwise(F.lit(0.0))
-    out = size.crossJoin(F.broadcast(sums)).select("mix_source", rate.alias("rate"))  # one row of sums
+    all_weight, all_chars = size.agg(F.sum("weight"), F.sum("chars")).first()
+    rate = F.when(F.col("weight") > 0, F.col("weight") / F.lit(all_weight) * F.lit(all_chars).cast("double") / F.col("chars")).otherwise(F.lit(0.0))
+    out = size.select("mix_source", rate.alias("rate"))
     return cut(out.withColumn("cdf", F.when(F.col("rate") > 0, poisson_cdf(F.col("rate"))).otherwise(F.array(F.lit(1.0)))))
 
 

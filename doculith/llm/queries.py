@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from doculith.llm import mixing, pii, url_filter
+from doculith.llm import decontaminate, lang_id, mixing, pii, toxicity, url_filter, warc
 from doculith.llm.common import table
 
 RULES = [
@@ -21,10 +21,32 @@ RULES = [
 WEIGHTS = {"src0": 2.0, "src1": 0.5, "src2": 3.0, "src3": 0.0}
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held = lang_id.held_out("doc_id", 4, 2)
+    found = lang_id.predict(docs, lang_id.fit(docs, ~held))
+    return found.select("doc_id", held.alias("held_out"), "lang_pred", "score", "accepted", "cross_entropy")
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), RULES)
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"), warc.scratch(spark))
+
+
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held = lang_id.held_out("doc_id", 3, 1)
+    found = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels"), ~held))
+    return found.select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(table(spark, sf_dir, "documents"))
 
@@ -35,7 +57,11 @@ def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": op1_language_id,
     "op3_url_filter": op3_url_filter,
+    "op5_warc": op5_warc,
+    "op6_decontaminate": op6_decontaminate,
+    "op7_toxicity": op7_toxicity,
     "op8_pii": op8_pii,
     "op9_mix_sources": op9_mix_sources,
 }
