@@ -82,9 +82,13 @@ def hashed(key: Column) -> tuple[Column, Column]:
     return F.xxhash64(key).bitwiseAND(F.lit(2**40 - 1)), F.xxhash64(key, F.lit(1)).bitwiseAND(F.lit(2**40 - 1))
 
 
-def filter_of(keys: DataFrame, n: int, rate: float) -> Filter:
-    """A filter over the column key: bits are merged by word in the cluster, and only words reach the driver."""
+def filter_of(keys: DataFrame, n: int, rate: float, level: int) -> Filter:
+    """A filter over the column key: bits are merged by word in the cluster, and only words reach the driver.
+
+    Each level has a modulus of its own, so keys that collide on one level part on another.
+    """
     bits, hashes = shape_of(n, rate)
+    bits = (bits | 1) + 2 * level
     h1, h2 = hashed(F.col("key"))
     spots = F.transform(F.sequence(F.lit(0), F.lit(hashes - 1)), lambda i: (h1 + i.cast("long") * h2) % bits)
     rows = keys.select(F.explode(spots).alias("at")).groupBy((F.col("at") / 64).cast("long").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("mask")).collect()
@@ -114,7 +118,7 @@ def cascade(listed: DataFrame, universe: DataFrame) -> list[Filter]:
     levels: list[Filter] = []
     inside, outside, rate = listed, universe.join(F.broadcast(listed), "key", "left_anti"), min(0.5, FALSE_POSITIVES / max(1, size), 0.01)
     while n:
-        levels.append(filter_of(inside, n, rate))
+        levels.append(filter_of(inside, n, rate, len(levels)))
         wrong = cut(passing(outside, levels[-1]))
         inside, outside, n, rate = wrong, inside, wrong.count(), 0.5 if len(levels) > 1 else 0.25
     return levels
