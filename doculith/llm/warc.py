@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from doculith.llm.common import shared_folder
+from doculith.llm.common import cut, shared_folder
 
 CRLF = "\r\n"
 #: Records per archive file, so that a reader holds a few megabytes of one file.
@@ -23,14 +23,10 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
 def base32_sha1(payload: Column) -> Column:
-    """The bare upper-case base32 SHA-1: each 5 hex digits are 4 letters."""
+    """The bare upper-case base32 SHA-1: each 10 hex digits are 8 digits to the base of 32, renamed."""
     hexed = F.sha1(payload)
-
-    def letter(i: Column) -> Column:
-        twenty = F.conv(F.substring(hexed, (i / 4).cast("int") * 5 + 1, F.lit(5)), 16, 10).cast("int")
-        return F.substring(F.lit(BASE32), F.floor(twenty / F.pow(F.lit(32), 3 - i % 4)).cast("int") % 32 + 1, F.lit(1))
-
-    return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(31)), letter), "")
+    eights = [F.lpad(F.conv(F.substring(hexed, i, 10), 16, 32), 8, "0") for i in (1, 11, 21, 31)]
+    return F.translate(F.concat(*eights), "0123456789ABCDEFGHIJKLMNOPQRSTUV", BASE32)
 
 
 def record_id(kind: str, *parts: Column) -> Column:
@@ -49,7 +45,7 @@ def _record(kind: Column, uri: Column, rid: Column, date: str, content_type: str
 def roles(pages: DataFrame, id_col: str, html_col: str, least_bytes: int) -> DataFrame:
     """(rid, digest, refers_to): of the pages with one payload of at least `least_bytes`, the largest id is the response."""
     payload = F.coalesce(F.col(html_col), F.lit("")).cast("binary")
-    each = pages.select(F.col(id_col).alias("rid"), base32_sha1(payload).alias("digest"), F.octet_length(payload).alias("bytes")).distinct()
+    each = cut(pages.select(F.col(id_col).alias("rid"), base32_sha1(payload).alias("digest"), F.octet_length(payload).alias("bytes")).distinct())
     first = each.where(F.col("bytes") >= least_bytes).groupBy("digest").agg(F.max("rid").alias("first"))
     joined = each.join(first, "digest", "left")
     return joined.select("rid", "digest", F.when(F.col("first") != F.col("rid"), F.col("first")).alias("refers_to"))
@@ -177,5 +173,6 @@ def round_trip(pages: DataFrame, folder: str, least_bytes: int = 0) -> DataFrame
     write(pages, folder, least_bytes=least_bytes)
     captures = transactions(read(spark, folder, payloads=False)).where(F.col("response").isNotNull())
     rows = captures.select("capture_id", F.col("metadata.page_id").alias("page_id"), F.col("response.payload_bytes").alias("payload_bytes"), F.col("response.digest").alias("payload_digest"), F.col("response.type").alias("record_type"), F.col("response.refers_to").alias("target"), F.col("response.uri").alias("uri"))
+    rows = cut(rows)  # the archives are read once, and a payload that many pages share is split in the join
     firsts = rows.where(F.col("record_type") == "response").select(F.col("capture_id").alias("target"), F.col("page_id").alias("refers_to"))
     return rows.join(firsts, "target", "left").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "uri")
