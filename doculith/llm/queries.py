@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from doculith.llm import decontaminate, jaccard_join, lang_id, mixing, pii, toxicity, url_filter, warc
+from doculith.llm import decontaminate, jaccard_join, lang_id, mixing, nn_descent, pii, toxicity, url_filter, warc
 from doculith.llm.common import table
 
 RULES = [
@@ -60,6 +60,10 @@ def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "source", "text", F.col("mix_copies").cast("long").alias("n_copies"), F.col("mix_copy").cast("long").alias("copy_no"), F.col("mix_key").alias("shuffle_key"))
 
 
+def op10_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nn_descent.near_duplicates(table(spark, sf_dir, "embeddings"), 0.93)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op3_url_filter": op3_url_filter,
@@ -69,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_toxicity": op7_toxicity,
     "op8_pii": op8_pii,
     "op9_mix_sources": op9_mix_sources,
+    "op10_near_vectors": op10_near_vectors,
 }
 
 SQL: dict[str, str] = {
