@@ -493,3 +493,11 @@ def _verified(docs: DataFrame, clusters: DataFrame, shingle: int, percent: int,
     if divided:
         return components(edges, "doc", "root").select(F.col("node").alias("doc"), F.col("component").alias("root"))
     return edges
+
+
+def keep_first(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows, all columns, but for those whose component has a smaller id. Rows without an id or a set stay."""
+    found = join(docs, shingle, percent, id_col, text_col)
+    gone = cut(found.where(F.col("component_id") != F.col(id_col)).select(F.col(id_col).alias("llm_gone")).distinct())
+    small = gone.count() <= BROADCAST_ROWS
+    return docs.join(F.broadcast(gone) if small else gone, docs[id_col] == F.col("llm_gone"), "left_anti")

@@ -18,7 +18,7 @@ RULES = [
     url_filter.Rule("block", "net", "/fr/"),
 ]
 #: Target weights of sources; every other source weighs 1.
-WEIGHTS = {"src0": 2.0, "src1": 0.5, "src2": 3.0, "src3": 0.0}
+WEIGHTS = {"src0": 2.0, "src1": 0.5, "src2": 3.0, "src3": 0.25}
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,7 +97,7 @@ SELECT page_id, coalesce(host, '') AS host, coalesce(path, '') AS path, rule,
     "op9_mix_sources": r"""
 WITH size AS (SELECT source, sum(coalesce(length(text), 0))::BIGINT AS chars FROM documents GROUP BY source),
 weighed AS (SELECT *, CASE WHEN chars = 0 THEN 0.0::DOUBLE WHEN source = 'src0' THEN 2.0::DOUBLE WHEN source = 'src1' THEN 0.5::DOUBLE
-  WHEN source = 'src2' THEN 3.0::DOUBLE WHEN source = 'src3' THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS weight FROM size),
+  WHEN source = 'src2' THEN 3.0::DOUBLE WHEN source = 'src3' THEN 0.25::DOUBLE ELSE 1.0::DOUBLE END AS weight FROM size),
 rated AS (SELECT source, CASE WHEN weight > 0 THEN weight / (SELECT sum(weight) FROM weighed) * (SELECT sum(chars) FROM weighed)::DOUBLE / chars::DOUBLE ELSE 0.0::DOUBLE END AS rate FROM weighed),
 steps AS (SELECT source, rate, unnest(range(0, ceil(rate + 12 * sqrt(rate) + 30)::BIGINT + 1)) AS k FROM rated WHERE rate > 0),
 terms AS (SELECT source, k, exp(-rate + sum(CASE WHEN k = 0 THEN 0.0::DOUBLE ELSE ln(rate / k) END) OVER (PARTITION BY source ORDER BY k)) AS p FROM steps),
