@@ -31,7 +31,7 @@ def poisson_cdf(rate: Column) -> Column:
 
 
 def rates(docs: DataFrame, weights: dict[str, float], default: float, source_col: str, text_col: str, total: Column | None = None) -> DataFrame:
-    """(mix_source, rate, cdf): the mean repetitions that bring each source to its share of all characters.
+    """(mix_source, mix_rate, mix_cdf): the mean repetitions that bring each source to its share of all characters.
 
     A source that `weights` lacks, null included, weighs `default`. A source of weight 0 or without a character has rate 0.
     """
@@ -41,8 +41,8 @@ def rates(docs: DataFrame, weights: dict[str, float], default: float, source_col
     size = cut(size.withColumn("weight", F.when(F.col("chars") > 0, weight).otherwise(F.lit(0.0))))
     all_weight, all_chars = size.agg(F.sum("weight"), F.sum("chars")).first()
     rate = F.when(F.col("weight") > 0, F.col("weight") / F.lit(all_weight) * F.lit(all_chars).cast("double") / F.col("chars")).otherwise(F.lit(0.0))
-    out = size.select("mix_source", rate.alias("rate"))
-    return cut(out.withColumn("cdf", F.when(F.col("rate") > 0, poisson_cdf(F.col("rate"))).otherwise(F.array(F.lit(1.0)))))
+    out = size.select("mix_source", rate.alias("mix_rate"))
+    return cut(out.withColumn("mix_cdf", F.when(F.col("mix_rate") > 0, poisson_cdf(F.col("mix_rate"))).otherwise(F.array(F.lit(1.0)))))
 
 
 def mix(docs: DataFrame, weights: dict[str, float], default: float = 1.0, seed: int = 17, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
@@ -56,6 +56,6 @@ def mix(docs: DataFrame, weights: dict[str, float], default: float = 1.0, seed:
     by = F.broadcast(by) if by.count() <= BROADCAST_SOURCES else by
     u = uniform(seed, F.col(id_col))
     joined = docs.join(by, docs[source_col].eqNullSafe(by["mix_source"]), "inner").withColumn("mix_u", u)
-    counted = joined.withColumn("mix_copies", F.size(F.filter("cdf", lambda c: c < F.col("mix_u")))).where("mix_copies > 0")
+    counted = joined.withColumn("mix_copies", F.size(F.filter("mix_cdf", lambda c: c < F.col("mix_u")))).where("mix_copies > 0")
     copies = counted.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies")))).withColumn("mix_key", F.md5(F.concat_ws("|", F.lit(f"{seed}"), F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.col("mix_copy").cast("string")).cast("binary")))
-    return copies.drop("mix_source", "rate", "cdf", "mix_u").repartition("mix_key").sortWithinPartitions("mix_key")
+    return copies.drop("mix_source", "mix_rate", "mix_cdf", "mix_u").repartition("mix_key").sortWithinPartitions("mix_key")
