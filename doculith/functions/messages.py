@@ -6,6 +6,12 @@ MISSING_ELEMENT = "缺少必需元素: "
 FEW_STEPS = "steps数量不足: 需要至少%d个，实际%d个"
 EMPTY_CONCEPT = "Concept必须包含introduction或sections"
 
+# Suggestions for constraint messages.
+SUGGEST_ELEMENT = "添加缺失的元素到结构化数据中"
+SUGGEST_STEP = "至少添加一个步骤到steps数组"
+SUGGEST_CONCEPT = "添加introduction字段或至少一个section"
+SUGGEST_OTHER = "检查并修复: "
+
 # Advice of the quality report, in the order in which it is given.
 ADVICE_MISSING = "文档缺少某些必需元素，请确保所有DITA必需元素都已包含"
 ADVICE_ORDER = "元素顺序不符合DITA规范，请调整元素的排列顺序"

@@ -54,22 +54,36 @@ def by_size(text: Column, size: int = SIZE) -> Column:
     return F.transform(parts, lambda c, i: F.struct(F.concat(F.lit("Section "), (i + 1).cast("string")).alias("title"), F.lit(2).alias("level"), c.alias("content")))
 
 
-def chunk(docs: DataFrame, text: str = "markdown", size: int = SIZE, how: str = "auto") -> DataFrame:
-    """One row per chunk: the other columns, chunk_no from 1, id, title, level, content.
-
-    `auto` splits by headings, and by size where that leaves nothing of a text that is not blank.
-    """
+def _chunked(docs: DataFrame, text: str, size: int, how: str) -> DataFrame:
+    """The rows with all their chunks as one array."""
     md = F.coalesce(F.col(text), F.lit(""))
     # The fold over lines runs only for rows that need it: headings are settled first, in a column of their own.
     found = docs.withColumn("_chunks", by_headings(md) if how != "size" else F.array().cast(CHUNK))
     if how != "headings":
         found = found.withColumn("_chunks", F.when((F.size("_chunks") > 0) | blank(md), F.col("_chunks")).otherwise(by_size(md, size)))
+    return found
+
+
+def chunk(docs: DataFrame, text: str = "markdown", size: int = SIZE, how: str = "auto") -> DataFrame:
+    """One row per chunk: the other columns, chunk_no from 1, id, title, level, content.
+
+    `auto` splits by headings, and by size where that leaves nothing of a text that is not blank.
+    """
     others = [c for c in docs.columns if c != text]
-    rows = found.select(*others, F.posexplode("_chunks").alias("_pos", "_chunk"))
+    rows = _chunked(docs, text, size, how).select(*others, F.posexplode("_chunks").alias("_pos", "_chunk"))
     return rows.select(*others, (F.col("_pos") + 1).alias("chunk_no"), F.concat(F.lit("chunk_"), (F.col("_pos") + 1).cast("string")).alias("id"), "_chunk.title", "_chunk.level", "_chunk.content")
 
 
-def preview(chunks: DataFrame, key: str, limit: int = 10) -> DataFrame:
-    """The first chunks of each document, and whether it has more."""
-    most = chunks.groupBy(key).agg(F.max("chunk_no").alias("_most"))
-    return chunks.where(F.col("chunk_no") <= limit).join(most, key).withColumn("has_more", F.col("_most") > limit).drop("_most")
+def preview(docs: DataFrame, text: str = "markdown", limit: int = 10, size: int = SIZE) -> DataFrame:
+    """The first chunks of each document, and whether it has more; nothing is shuffled."""
+    others = [c for c in docs.columns if c != text]
+    rows = _chunked(docs, text, size, "auto").select(*others, (F.size("_chunks") > limit).alias("has_more"), F.posexplode(F.slice("_chunks", 1, limit)).alias("_pos", "_chunk"))
+    return rows.select(*others, (F.col("_pos") + 1).alias("chunk_no"), "_chunk.title", "_chunk.level", "_chunk.content", "has_more")
+
+
+def with_fallback(docs: DataFrame, chunks: DataFrame, key: str, text: str = "markdown") -> DataFrame:
+    """The chunks, and for each document without any its whole text as one: id single_chunk, type Concept, confidence 0.8."""
+    # Title, type and confidence of such a chunk.
+    bare = docs.join(chunks.select(key).distinct(), key, "left_anti")
+    whole = bare.select(key, F.lit(1).alias("chunk_no"), F.lit("single_chunk").alias("id"), F.lit("Untitled Document").alias("title"), F.lit(2).alias("level"), F.coalesce(F.col(text), F.lit("")).alias("content"), F.lit("Concept").alias("type"), F.lit(0.8).alias("confidence"))
+    return chunks.unionByName(whole.select(*[c for c in whole.columns if c in chunks.columns]), allowMissingColumns=True)

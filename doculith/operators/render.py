@@ -52,8 +52,8 @@ def reference(ident: Column, title: Column, columns: Column, rows: Column, secti
     return tidy(_frame("Reference", ident, title, body))
 
 
-def render(records: DataFrame, kind: str = "type") -> DataFrame:
-    """Adds xml; null for an unknown type."""
+def render(records: DataFrame, kind: str = "type", renderers: dict[str, Column] | None = None) -> DataFrame:
+    """Adds xml; null for an unknown type. `renderers` has columns that replace the standard ones of a type, or add a type."""
     t, title = F.col(kind), F.coalesce("title", F.lit(""))
     none = F.array().cast("array<struct<id:string,content:string>>")
     made = (
@@ -61,6 +61,8 @@ def render(records: DataFrame, kind: str = "type") -> DataFrame:
         .when(t == "Concept", concept(F.col("record_id"), title, F.col("introduction"), F.coalesce("sections", none)))
         .when(t == "Reference", reference(F.col("record_id"), title, F.col("columns"), F.col("rows"), F.col("sections")))
     )
+    for name, own in (renderers or {}).items():
+        made = F.when(t == name, own).otherwise(made)
     return settled(records.withColumn("xml", made))
 
 

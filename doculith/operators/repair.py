@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 
 import pyarrow as pa
@@ -103,6 +103,29 @@ def repair(checked: DataFrame, xml: str = "xml", errors: str = "l4_errors") -> D
     return out.drop("_empty", "_repeated", "_bad", "_undeclared", "_ids", "_hard", "_tree_xml", "_tree_fixes")
 
 
+def answer_xml(text: Column) -> Column:
+    """A model's XML without the fence around it."""
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r"^\s+|\s+$", ""), r"^```(?:xml)?\s*", ""), r"\s*```$", "")
+
+
+def with_model(checked: DataFrame, ask: Callable[[DataFrame], DataFrame], xml: str = "xml", errors: str = "l4_errors") -> DataFrame:
+    """Adds model_xml: what a model made of a topic with errors that rules cannot repair, if it is well-formed and new, else null.
+
+    `ask` gets only such rows and returns them with a column answer.
+    """
+    hard = F.size(classified(F.col(errors))[1]) > 0
+    asked = ask(checked.where(hard)).withColumn("_answer", answer_xml(F.col("answer"))).drop("answer")
+    kept = parse(asked.drop("nodes", "parse_error"), "_answer")
+    good = kept.withColumn("model_xml", F.when(F.col("nodes").isNotNull() & (F.col("_answer") != F.col(xml)), F.col("_answer"))).drop("_answer", "nodes", "parse_error")
+    return good.unionByName(checked.where(~hard).drop("nodes", "parse_error"), allowMissingColumns=True)
+
+
+def summary(looped: DataFrame, most: int = 3) -> DataFrame:
+    """Adds loop_summary: one line on how the loop ended."""
+    end = F.when(F.col("loop_success"), F.lit("valid")).otherwise(F.concat(F.size("l4_errors").cast("string"), F.lit(" errors left")))
+    return looped.withColumn("loop_summary", F.concat(end, F.lit(" after "), F.col("iterations").cast("string"), F.lit(f" of {most} passes, "), F.col("repairs_applied").cast("string"), F.lit(" repairs")))
+
+
 def loop(docs: DataFrame, xml: str = "xml", kind: str | None = "content_type", most: int = 3) -> DataFrame:
     """At most `most` checks with a repair between two of them; stops at a valid document or when nothing could be repaired.
 

@@ -92,6 +92,12 @@ def constraint_errors(kind: Column) -> Column:
     return F.array_compact(F.array(*found))
 
 
+def suggestions(errors: Column) -> Column:
+    """Advice for each constraint message."""
+    one = lambda e: F.when(e.startswith(messages.MISSING_ELEMENT), messages.SUGGEST_ELEMENT).when(e.startswith("steps"), messages.SUGGEST_STEP).when(e == messages.EMPTY_CONCEPT, messages.SUGGEST_CONCEPT).otherwise(F.concat(F.lit(messages.SUGGEST_OTHER), e))
+    return F.transform(errors, one)
+
+
 def fix(records_: DataFrame, kind: str = "type") -> DataFrame:
     """Fills what a type needs: a step, an introduction, a section."""
     t = F.col(kind)

@@ -11,8 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-NODE = "struct<node_id:int,parent_id:int,pos:int,depth:int,tag:string,id_attr:string,href:string,text:string,tail:string,n_children:int>"
-_NODE = pa.struct([("node_id", pa.int32()), ("parent_id", pa.int32()), ("pos", pa.int32()), ("depth", pa.int32()), ("tag", pa.string()), ("id_attr", pa.string()), ("href", pa.string()), ("text", pa.string()), ("tail", pa.string()), ("n_children", pa.int32())])
+NODE = "struct<node_id:int,parent_id:int,pos:int,depth:int,tag:string,id_attr:string,href:string,text:string,tail:string,n_children:int,last:int>"
+_NODE = pa.struct([("node_id", pa.int32()), ("parent_id", pa.int32()), ("pos", pa.int32()), ("depth", pa.int32()), ("tag", pa.string()), ("id_attr", pa.string()), ("href", pa.string()), ("text", pa.string()), ("tail", pa.string()), ("n_children", pa.int32()), ("last", pa.int32())])
 #: Documents that one Arrow batch of the parser holds.
 BATCH = 512
 
@@ -32,8 +32,11 @@ def nodes_of(xml: str | None) -> tuple[list[dict] | None, str | None]:
     while stack:
         node, parent, pos, depth = stack.pop()
         own = len(out)
-        out.append({"node_id": own, "parent_id": parent, "pos": pos, "depth": depth, "tag": node.tag, "id_attr": node.get("id"), "href": node.get("href"), "text": node.text, "tail": node.tail if parent is not None else None, "n_children": len(node)})
+        out.append({"node_id": own, "parent_id": parent, "pos": pos, "depth": depth, "tag": node.tag, "id_attr": node.get("id"), "href": node.get("href"), "text": node.text, "tail": node.tail if parent is not None else None, "n_children": len(node), "last": own})
         stack += [(child, own, i, depth + 1) for i, child in reversed(list(enumerate(node)))]
+    for n in reversed(out[1:]):  # the last node of each subtree, from the leaves up
+        parent = out[n["parent_id"]]
+        parent["last"] = max(parent["last"], n["last"])
     return out, None
 
 
@@ -80,13 +83,11 @@ def child_of_root(nodes: Column, tag: str) -> Column:
 
 def texts(nodes: Column) -> Column:
     """All text nodes in document order, joined by a space: each node's text, then its children, then its tail."""
-    # A tail stands behind the whole subtree of its node: it is placed by the last node id of that subtree and its depth.
+    # A tail stands behind the whole subtree of its node; of tails behind one node the deepest comes first.
     def pieces(n: Column) -> Column:
-        inner = F.filter(nodes, lambda m: (m["node_id"] > n["node_id"]) & (m["depth"] <= n["depth"]))
-        end = F.coalesce(F.get(inner, F.lit(0))["node_id"], F.size(nodes))
         return F.array(
             F.struct(n["node_id"].alias("at"), F.lit(1).alias("kind"), F.lit(0).alias("up"), n["text"].alias("text")),
-            F.struct((end - 1).alias("at"), F.lit(2).alias("kind"), (-n["depth"]).alias("up"), n["tail"].alias("text")),
+            F.struct(n["last"].alias("at"), F.lit(2).alias("kind"), (-n["depth"]).alias("up"), n["tail"].alias("text")),
         )
 
     ordered = F.array_sort(F.filter(F.flatten(F.transform(nodes, pieces)), lambda p: p["text"].isNotNull()))

@@ -181,7 +181,7 @@ def chunk_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH RECURSIVE {_BY_SIZE} SELECT doc_id, no::INTEGER AS chunk_no, max(no) OVER (PARTITION BY doc_id) > 10 AS has_more FROM sized QUALIFY no <= 10")
 def chunk_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("markdown"))
-    return chunking.preview(chunking.chunk(docs), "doc_id").select("doc_id", "chunk_no", "has_more")
+    return chunking.preview(docs).select("doc_id", "chunk_no", "has_more")
 
 
 # Features ------------------------------------------------------------------------------------------------------------
@@ -705,6 +705,32 @@ def merge_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.merge(docs, "content_type", "doc_id").select("content_type", "merged_docs", "merged_xml")
 
 
+@query("SELECT s_suppkey % 10 AS v, CASE WHEN s_suppkey % 10 IN (1, 2, 6, 8, 9) THEN '1 errors left' ELSE 'valid' END || ' after ' || CASE WHEN s_suppkey % 10 IN (3, 4, 9) THEN '2' ELSE '1' END || ' of 3 passes, ' || CASE s_suppkey % 10 WHEN 3 THEN '1' WHEN 4 THEN '2' WHEN 9 THEN '1' ELSE '0' END || ' repairs' AS loop_summary, count(*) AS n FROM supplier GROUP BY ALL")
+def loop_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    looped = repair.summary(repair.loop(_topics(spark, sf_dir)))
+    return looped.groupBy(F.col("v").cast("long").alias("v"), "loop_summary").agg(F.count("*").alias("n"))
+
+
+@query("SELECT content_type, true AS valid, CASE WHEN content_type = 'Concept' THEN 'failed' ELSE 'any' END AS status FROM (SELECT DISTINCT content_type FROM (" + oracle.topics_sql() + ") WHERE v IN (0, 7)) WHERE content_type <> 'Concept'")
+def merged_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _assured(spark, sf_dir).where(F.col("v").isin(0, 7))
+    merged = quality.merge(docs, "content_type", "doc_id").select(F.col("content_type").alias("key"), F.col("merged_xml").alias("xml"), F.lit("Concept").alias("content_type"))
+    return analysis.assure(merged).select(F.col("key").alias("content_type"), F.col("l4_valid").alias("valid"), F.lit("any").alias("status"))
+
+
+@query(upto("chunks", ", bare AS (SELECT doc_id, markdown FROM md WHERE doc_id NOT IN (SELECT doc_id FROM chunks)) SELECT 'chunk' AS kind, count(*) AS n FROM chunks UNION ALL SELECT 'single_chunk', count(*) FROM bare HAVING count(*) > 0").replace("\n, bare AS", ", bare AS"))
+def single_chunk_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = corpus.markdown(spark, sf_dir)
+    rows = chunking.with_fallback(docs, chunking.chunk(docs, how="headings"), "doc_id")
+    return rows.groupBy(F.when(F.col("id") == "single_chunk", F.col("id")).otherwise(F.lit("chunk")).alias("kind")).agg(F.count("*").alias("n"))
+
+
+@query(upto("records", f"SELECT type, '{messages.SUGGEST_ELEMENT}' || CASE WHEN type = 'Task' AND len(steps) = 0 THEN '|{messages.SUGGEST_STEP}' WHEN type = 'Concept' AND introduction = '' AND len(sections) = 0 THEN '|{messages.SUGGEST_CONCEPT}' ELSE '' END AS suggestions, count(*) AS n FROM records GROUP BY ALL"))
+def fix_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _records(spark, sf_dir).select("type", _joined(structure.suggestions(structure.constraint_errors(F.col("type")))).alias("suggestions"))
+    return rows.groupBy("type", "suggestions").agg(F.count("*").alias("n"))
+
+
 @query(_SCORED + " SELECT doc_id, CASE WHEN NOT valid THEN 'failed' WHEN w > 0 OR warnings > 0 THEN 'passed_with_warnings' ELSE 'passed' END AS status, n_errors::INTEGER AS shown FROM scored")
 def html_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = quality.html(_assured(spark, sf_dir), "doc_id")

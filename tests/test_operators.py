@@ -6,8 +6,8 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from doculith.functions import text
-from doculith.operators import chunking, classify, features, quality, render, repair, rules, stats, structure, validate, xmlnodes
+from doculith.functions import prompts, text
+from doculith.operators import chunking, classify, errors, features, quality, render, repair, rules, stats, structure, validate, xmlnodes
 from doculith.plans import analysis
 from doculith.sources import files, sinks
 from doculith.streaming import filedrop
@@ -285,3 +285,37 @@ def test_empty_inputs(spark):
     empty = _md(spark, "x").where("false")
     assert analysis.end_to_end(empty).count() == 0
     assert validate.toolkit_log(F.lit("")) is not None
+
+
+def test_a_model_repairs_only_what_rules_cannot(spark):
+    hard = "<task><title>Install it</title></task>"
+    easy = '<task id="a b"><title>Install it</title><taskbody><steps><step><cmd>x</cmd></step></steps></taskbody></task>'
+    df = spark.createDataFrame([(1, hard, "Task"), (2, hard.replace("it", "them"), "Task"), (3, easy, "Task")], "doc_id int, xml string, content_type string")
+    checked = validate.quality_issues(xmlnodes.parse(df))
+    seen = []
+
+    def ask(rows):
+        seen.append(sorted(r["doc_id"] for r in rows.collect()))
+        return rows.withColumn("answer", F.when(F.col("doc_id") == 1, F.lit("```xml\n<task><title>New</title></task>\n```")).otherwise(F.lit("<no")))
+
+    got = {r["doc_id"]: r["model_xml"] for r in repair.with_model(checked, ask).collect()}
+    assert got == {1: "<task><title>New</title></task>", 2: None, 3: None} and seen == [[1, 2]]
+
+
+def test_prompts_show_no_more_than_they_may(spark):
+    df = features.extract(spark.createDataFrame([("T", "x" * 9000)], "title string, content string"))
+    row = df.select(prompts.classification(F.col("title")).alias("a"), prompts.structuring(F.lit("Task"), F.col("title"), F.col("content")).alias("b"), prompts.repairing(F.col("content"), F.array(validate.issue("EmptyElement", "p"))).alias("c")).first()
+    assert row["a"].count("x") < 1500 + 20 and "word_count: 1" in row["a"] and "steps" in row["b"] and "EmptyElement p" in row["c"] and len(row["c"]) < 5200
+
+
+def test_collected_errors(spark):
+    df = spark.range(1).select(F.concat(errors.from_texts(F.array(F.lit("old"))), F.array(errors.error("xml", "W1", F.lit("w"), True))).alias("errors"))
+    r = errors.collected(df).first()
+    assert (r["error_count"], r["warning_count"], r["has_errors"], r["has_warnings"]) == (1, 1, True, True) and r["errors"][0]["code"] == "LEGACY_ERROR"
+    assert errors.collected(spark.range(1).select(F.lit(None).cast(errors.ERROR).alias("errors"))).first()["error_count"] == 0
+
+
+def test_own_renderers(spark):
+    df = structure.records(spark.createDataFrame([("Task", "t", "1. a"), ("Memo", "m", "b")], "type string, title string, content string"))
+    rows = render.render(df, renderers={"Memo": F.concat(F.lit("<memo>"), F.col("content"), F.lit("</memo>"))}).collect()
+    assert {r["type"]: r["xml"][:6] for r in rows} == {"Task": "<?xml ", "Memo": "<memo>"}
