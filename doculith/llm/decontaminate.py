@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from doculith.llm.common import grams, sliced, symbols
+from doculith.llm.common import grams, lean, sliced, symbols
 
 Q = 12
 SEGMENT, STRIDE = 64, 32
@@ -184,7 +184,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
                 kinds = [len(set(s.tolist())) for s in np.split(segment, first[1:])]
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row[first])), pa.array(item[first]), pa.array(kinds, pa.int64()), pa.array(np.minimum.reduceat(start, first)), pa.array(np.maximum.reduceat(end, first)), pa.array(np.minimum.reduceat(edits, first))], names=["id", "item_id", "n_segments", "start", "end", "edits"])
 
-        part = docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, {MATCH}")
+        part = docs.select(id_col, text_col).mapInArrow(lean(run), f"id {kind}, {MATCH}")
         out = part if out is None else out.unionByName(part)
     if out is None:
         out = docs.sparkSession.createDataFrame([], f"id {kind}, {MATCH}")
@@ -203,5 +203,5 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
                 keep[search(held.value, b.column(at).to_pylist())[0]] = False
                 yield b.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(lean(run), docs.schema)
     return docs

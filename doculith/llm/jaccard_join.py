@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from doculith.llm.common import SLICE_BYTES, components, cut, slices, utf8
+from doculith.llm.common import SLICE_BYTES, components, cut, lean, slices, utf8
 
 #: Tokens are 49-bit hashes, so that a row of a slice, a level and a token fill one sortable integer.
 TOKEN_BITS, LEVEL_BITS = 49, 4
@@ -27,6 +27,8 @@ SKETCH_BITS, SEGMENT = 22, 4096
 SMALL_SET, SMALL_SKETCH, LARGE_SKETCH = 4096, 1024, 8192
 #: Index lists up to this length give their pairs at once; longer ones are split into blocks and compared by sketch.
 SHORT_LIST, BLOCK = 48, 4096
+#: Tokens of a block of a cluster at most, but for a single larger set.
+BLOCK_TOKENS = 3_000_000
 #: A table of cluster members is broadcast up to this many rows; beyond, documents are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -119,14 +121,15 @@ def levels(docs: DataFrame, text_col: str, size: int) -> np.ndarray:
         held, n = [], 0
 
         def flush():
-            np.add(total, np.bincount(np.concatenate(held), minlength=len(total)), out=total, casting="unsafe")
+            bucket, times = np.unique(np.concatenate(held), return_counts=True)
+            total[bucket] += times.astype(np.int32)
 
         for b in batches:
             for _, _, offsets, data in _sliced(b, 0):
                 _, token = shingle_sets(offsets, data, size)
-                held.append((token >> np.uint64(TOKEN_BITS - SKETCH_BITS)).astype(np.int64))
+                held.append((token >> np.uint64(TOKEN_BITS - SKETCH_BITS)).astype(np.int32))
                 n += len(token)
-                if n > 1 << 21:
+                if n > 1 << 20:
                     flush()
                     held, n = [], 0
         if held:
@@ -146,7 +149,7 @@ def levels(docs: DataFrame, text_col: str, size: int) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([v.astype(np.int32).tobytes() for v in sums.values()], pa.binary())], names=["segment", "counts"])
 
     shape = "segment bigint, counts binary"
-    found = docs.select(text_col).mapInArrow(count, shape).repartition("segment").mapInArrow(add, shape).toArrow()  # 2 ** SKETCH_BITS integers
+    found = docs.select(text_col).mapInArrow(lean(count), shape).repartition("segment").mapInArrow(lean(add), shape).toArrow()  # 2 ** SKETCH_BITS integers
     total = np.zeros((1 << SKETCH_BITS) // SEGMENT * SEGMENT, np.int64).reshape(-1, SEGMENT)
     for s, x in zip(found.column(0).to_pylist(), found.column(1).to_pylist(), strict=True):
         total[s] = np.frombuffer(x, np.int32)
@@ -192,7 +195,7 @@ def described(docs: DataFrame, level: np.ndarray, size: int, percent: int, id_co
     held = docs.sparkSession.sparkContext.broadcast(level)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        level = held.value.astype(np.uint64)
+        level = held.value
         for b in batches:
             for start, stop, offsets, data in _sliced(b, 1):
                 rows = stop - start
@@ -205,7 +208,7 @@ def described(docs: DataFrame, level: np.ndarray, size: int, percent: int, id_co
                 if len(row):
                     h1[full] = np.add.reduceat(mixed, first[full])
                     h2[full] = np.add.reduceat(_mix(mixed ^ _ODD), first[full])
-                rank = level[(token >> np.uint64(TOKEN_BITS - SKETCH_BITS)).astype(np.int64)]
+                rank = level[(token >> np.uint64(TOKEN_BITS - SKETCH_BITS)).astype(np.int64)].astype(np.uint64)
                 key = np.sort((row.astype(np.uint64) << np.uint64(TOKEN_BITS + LEVEL_BITS)) | (rank << np.uint64(TOKEN_BITS)) | token)
                 place = np.arange(len(key)) - np.repeat(first, n)
                 length = np.where(full, probe_length(n, percent), 0)
@@ -217,7 +220,7 @@ def described(docs: DataFrame, level: np.ndarray, size: int, percent: int, id_co
                     names=["doc", "n", "h1", "h2", "prefix", "sketch"],
                 )
 
-    return docs.select(id_col, text_col).mapInArrow(run, "doc bigint, n bigint, h1 bigint, h2 bigint, prefix array<bigint>, sketch binary")
+    return docs.select(id_col, text_col).mapInArrow(lean(run), "doc bigint, n bigint, h1 bigint, h2 bigint, prefix array<bigint>, sketch binary")
 
 
 def may_link(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
@@ -297,7 +300,7 @@ def candidates(reps: DataFrame, percent: int) -> DataFrame:
         if len(held[0]):
             yield from pairs(*held)
 
-    return dealt.mapInArrow(run, "token bigint, x bigint, y bigint, n bigint, pos int")
+    return dealt.mapInArrow(lean(run), "token bigint, x bigint, y bigint, n bigint, pos int")
 
 
 def groups(n: np.ndarray, distance: Callable[[int, np.ndarray], np.ndarray], percent: int) -> np.ndarray:
@@ -357,13 +360,14 @@ def runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def blocked(members: DataFrame, key: str, doc: str) -> DataFrame:
-    """The rows with (key, bi, bj): a key with more than BLOCK rows is dealt into blocks, and each pair of blocks becomes a task of its own."""
-    sizes = members.groupBy(key).agg(F.count("*").alias("members"))
-    joined = members.join(sizes, key).withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
+def blocked(members: DataFrame, key: str, doc: str, tokens: str | None = None) -> DataFrame:
+    """The rows with (key, bi, bj): a key with more than BLOCK rows, or BLOCK_TOKENS tokens, is dealt into blocks, and each pair of blocks becomes a task of its own."""
+    most = F.count("*") / BLOCK if tokens is None else F.greatest(F.count("*") / BLOCK, F.sum(tokens) / BLOCK_TOKENS)
+    sizes = members.groupBy(key).agg(F.ceil(most).cast("int").alias("blocks"))
+    joined = members.join(sizes, key)
     own = F.pmod(F.xxhash64(doc), F.col("blocks")).cast("int")
     pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: F.struct(F.least(i, F.col("own")).alias("bi"), F.greatest(i, F.col("own")).alias("bj")))
-    return joined.withColumn("own", own).withColumn("pair", F.explode(pair)).select("*", "pair.bi", "pair.bj").drop("members", "blocks", "own", "pair")
+    return joined.withColumn("own", own).withColumn("pair", F.explode(pair)).select("*", "pair.bi", "pair.bj").drop("blocks", "own", "pair")
 
 
 def fold(sketches: list[bytes], bits: int) -> np.ndarray:
@@ -390,7 +394,7 @@ def long_list_edges(entries: DataFrame, sketches: DataFrame, percent: int) -> Da
             if len(other):
                 yield pa.RecordBatch.from_arrays([pa.array(doc[other]), pa.array(doc[root[other]])], names=["x", "y"])
 
-    return dealt.mapInArrow(run, "x bigint, y bigint")
+    return dealt.mapInArrow(lean(run), "x bigint, y bigint")
 
 
 def unrefuted(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
@@ -411,7 +415,7 @@ def unrefuted(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
                         keep[which] = (100 + percent) * np.bitwise_count(sx ^ sy).sum(1).astype(np.int64) <= (100 - percent) * (nx + ny)[which]
                 yield part.select(["x", "y"]).filter(pa.array(keep))
 
-    return pairs.join(left, "x").join(right, "y").select("x", "y", "nx", "sx", "ny", "sy").mapInArrow(run, "x bigint, y bigint")
+    return pairs.join(left, "x").join(right, "y").select("x", "y", "nx", "sx", "ny", "sy").mapInArrow(lean(run), "x bigint, y bigint")
 
 
 def cluster_links(clustered: DataFrame, percent: int) -> DataFrame:
@@ -424,17 +428,19 @@ def cluster_links(clustered: DataFrame, percent: int) -> DataFrame:
             doc = t.column("doc").to_numpy()
             tokens = t.column("tokens").combine_chunks()
             flat, n = np.asarray(tokens.flatten()), np.diff(np.asarray(tokens.offsets)).astype(np.int64)
-            name, ident = np.unique(flat, return_inverse=True)
-            owner = np.repeat(np.arange(len(n)), n)
+            name = np.unique(flat)
+            ident = np.empty(len(flat), np.int32)
+            for k in range(0, len(flat), 1 << 20):
+                ident[k : k + (1 << 20)] = np.searchsorted(name, flat[k : k + (1 << 20)])
             start = np.cumsum(n) - n
             mark = np.zeros(len(name), bool)
 
-            def distance(i, js, n=n, ident=ident, owner=owner, start=start, mark=mark):
+            def distance(i, js, n=n, ident=ident, start=start, mark=mark):
                 mark[ident[start[i] : start[i] + n[i]]] = True
                 if len(js) * 4 < len(n):
                     shared = np.array([mark[ident[start[j] : start[j] + n[j]]].sum() for j in js], np.int64)
                 else:
-                    shared = np.bincount(owner[mark[ident]], minlength=len(n))[js]
+                    shared = np.add.reduceat(mark[ident], start, dtype=np.int64)[js]
                 mark[ident[start[i] : start[i] + n[i]]] = False
                 return n[i] + n[js] - 2 * shared
 
@@ -447,7 +453,7 @@ def cluster_links(clustered: DataFrame, percent: int) -> DataFrame:
         if docs:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(docs)), pa.array(np.concatenate(roots))], names=["doc", "root"])
 
-    return dealt.mapInArrow(run, "doc bigint, root bigint")
+    return dealt.mapInArrow(lean(run), "doc bigint, root bigint")
 
 
 def join(docs: DataFrame, shingle: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -463,7 +469,7 @@ def join(docs: DataFrame, shingle: int = 3, percent: int = 90, id_col: str = "do
     sketches = classes.select("doc", "n", "sketch")
     pairs = unrefuted(found.where("y is not null").select("x", "y").distinct(), sketches, percent)
     long = long_list_edges(found.where("y is null"), sketches.select("doc", "sketch"), percent)
-    clusters = cut(components(pairs.union(long), "x", "y").select(F.col("node").alias("doc"), F.col("component").alias("cluster")))
+    clusters = cut(components(pairs.union(long), "x", "y").select(F.col("node").alias("doc"), F.col("component").alias("cluster")).join(classes.select("doc", "n"), "doc"))
     roots = _verified(docs, clusters, shingle, percent, id_col, text_col)
     named = classes.select("h1", "h2", F.col("doc").alias("rep")).join(roots, F.col("rep") == F.col("doc"), "left").select("h1", "h2", F.coalesce("root", "rep").alias("component"))
     out = per.select("doc", "n", "h1", "h2").join(named, ["h1", "h2"], "left")
@@ -472,7 +478,7 @@ def join(docs: DataFrame, shingle: int = 3, percent: int = 90, id_col: str = "do
 
 def _verified(docs: DataFrame, clusters: DataFrame, shingle: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     """(doc, root) of the clusters' members, root being the smallest id of the exact component."""
-    split = cut(blocked(clusters, "cluster", "doc").groupBy("doc", "cluster").agg(F.collect_set(F.struct("bi", "bj")).alias("pairs")))
+    split = cut(blocked(clusters, "cluster", "doc", "n").groupBy("doc", "cluster").agg(F.collect_set(F.struct("bi", "bj")).alias("pairs")))
     small = split.count() <= BROADCAST_ROWS
     wanted = F.broadcast(split) if small else split
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).join(wanted, "doc").select("doc", "text", "cluster", "pairs")
@@ -486,7 +492,7 @@ def _verified(docs: DataFrame, clusters: DataFrame, shingle: int, percent: int,
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), part.column(3), pa.ListArray.from_arrays(pa.array(cuts), pa.array(token.astype(np.int64)))], names=["doc", "cluster", "pairs", "tokens"])
 
     pair = "array<struct<bi:int,bj:int>>"
-    sets = texts.mapInArrow(run, f"doc bigint, cluster bigint, pairs {pair}, tokens array<bigint>")
+    sets = texts.mapInArrow(lean(run), f"doc bigint, cluster bigint, pairs {pair}, tokens array<bigint>")
     sets = sets.select("doc", "cluster", "tokens", F.explode("pairs").alias("pair")).select("doc", "cluster", "tokens", "pair.bi", "pair.bj")
     edges = cut(cluster_links(sets, percent))
     divided = split.where(F.size("pairs") > 1).limit(1).count() > 0

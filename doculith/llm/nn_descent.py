@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from doculith.llm.common import components, cut
+from doculith.llm.common import components, cut, lean
 from doculith.llm.jaccard_join import runs
 
 #: Neighbours kept for a node, tables of hyperplanes at the start, rows of a first block, and of a block of a component.
@@ -85,7 +85,7 @@ def _nodes(rows: DataFrame, width: str) -> DataFrame:
             cuts = pa.array(np.arange(len(b) + 1, dtype=np.int32) * TABLES)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(raw, pa.binary()), pa.ListArray.from_arrays(cuts, pa.array(codes.ravel()))], names=["id", "g", "w", "vec", "codes"])
 
-    return rows.select("id", "g", "w", "x").mapInArrow(run, "id bigint, g bigint, w bigint, vec binary, codes array<bigint>")
+    return rows.select("id", "g", "w", "x").mapInArrow(lean(run), "id bigint, g bigint, w bigint, vec binary, codes array<bigint>")
 
 
 _FOUND = "kind int, a bigint, b bigint, sim double"
@@ -129,7 +129,7 @@ def _compared(dealt: DataFrame, keys: int, threshold: float, width: str, propose
         if size:
             yield flush()
 
-    return dealt.mapInArrow(run, _FOUND)
+    return dealt.mapInArrow(lean(run), _FOUND)
 
 
 def _started(nodes: DataFrame, threshold: float, width: str) -> DataFrame:
@@ -191,7 +191,7 @@ def _counted(nodes: DataFrame, reached: DataFrame, threshold: float, width: str)
             yield pa.RecordBatch.from_arrays([pa.array(ident), pa.array(total.astype(np.int64))], names=["id", "links"])
 
     dealt = rows.repartition("component", "bi", "bj").sortWithinPartitions("component", "bi", "bj", "id")
-    return dealt.mapInArrow(run, "id bigint, links bigint").groupBy("id").agg(F.sum("links").alias("links"))
+    return dealt.mapInArrow(lean(run), "id bigint, links bigint").groupBy("id").agg(F.sum("links").alias("links"))
 
 
 def audit(nodes: DataFrame, counted: DataFrame, threshold: float, width: str, sample: int = AUDIT) -> float:
@@ -219,7 +219,7 @@ def audit(nodes: DataFrame, counted: DataFrame, threshold: float, width: str, sa
                     total[asked[g]] += link @ w[which]
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(total)], names=["id", "links"])
 
-    true = nodes.select("id", "g", "w", "vec").mapInArrow(run, "id bigint, links bigint").groupBy("id").agg(F.sum("links").alias("true"))
+    true = nodes.select("id", "g", "w", "vec").mapInArrow(lean(run), "id bigint, links bigint").groupBy("id").agg(F.sum("links").alias("true"))
     both = true.join(counted, "id", "left").agg(F.sum("true"), F.sum(F.least("true", F.coalesce("links", F.lit(0))))).first()
     return 1.0 if not both[0] else both[1] / both[0]
 

@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from doculith.llm.common import sliced
+from doculith.llm.common import lean, sliced
 
 #: Kinds in the order in which spans with one start are listed; the base kinds come first.
 KINDS = ("email", "ip", "card", "phone", "iban", "ssn")
@@ -129,7 +129,7 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
             found = [[dict(zip(("start", "end", "kind", "score"), s, strict=True)) for s in find(t or "")] for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, _SPAN)], names=["id", "spans"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, spans {SPAN}").withColumnRenamed("id", id_col)
+    return docs.select(id_col, text_col).mapInArrow(lean(run), f"id {kind}, spans {SPAN}").withColumnRenamed("id", id_col)
 
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -141,7 +141,7 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
             texts = [t if t is None else redacted(t, find(t)) for t in b.column(at).to_pylist()]
             yield b.set_column(at, b.schema.field(at), pa.array(texts, b.schema.field(at).type))
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)
 
 
 def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -156,4 +156,4 @@ def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
             base = [hashlib.sha256(line(r, BASE).encode()).hexdigest() for r in rows]
             yield pa.RecordBatch.from_arrays([b.column(0), *counts, pa.array(base, pa.string()), pa.array([line(r, KINDS) for r in rows], pa.string())], names=[id_col, *(f"n_{k}" for k in BASE), "base_sha256", "spans"])
 
-    return detect(docs, id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, " + ", ".join(f"n_{k} bigint" for k in BASE) + ", base_sha256 string, spans string")
+    return detect(docs, id_col, text_col).mapInArrow(lean(run), f"`{id_col}` {kind}, " + ", ".join(f"n_{k} bigint" for k in BASE) + ", base_sha256 string, spans string")

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from doculith.llm.common import cut, slices, utf8
+from doculith.llm.common import cut, lean, slices, utf8
 
 #: Bytes of an anchor's core; every window of the wanted length holds a core that its content alone chooses.
 CORE = 50
@@ -124,7 +124,7 @@ def suffixes(docs: DataFrame, window: int) -> DataFrame:
                 small = lambda x, begin=begin: pa.array((x - begin).astype(np.int32))
                 yield pa.RecordBatch.from_arrays([signed(lead), signed(core), signed(segment), pa.array(doc[start:stop][row]), small(anchor), small(first), small(last)], names=["lead", "core", "segment", "doc", "anchor", "first", "last"])
 
-    return docs.mapInArrow(run, SUFFIX)
+    return docs.mapInArrow(lean(run), SUFFIX)
 
 
 def multikey_order(tokens: list[np.ndarray]) -> np.ndarray:
@@ -179,7 +179,7 @@ def judged(ranged: DataFrame) -> DataFrame:
             k = at[i : i + (1 << 16)]
             yield pa.RecordBatch.from_arrays([pa.array(doc[k]), pa.array(core[k]), pa.array(anchor[k]), pa.array(first[k]), pa.array(last[k]), pa.array(state[i : i + (1 << 16)])], names=["doc", "core", "anchor", "first", "last", "state"])
 
-    return ranged.mapInArrow(run, "doc bigint, core bigint, anchor int, first int, last int, state int")
+    return ranged.mapInArrow(lean(run), "doc bigint, core bigint, anchor int, first int, last int, state int")
 
 
 def with_texts(docs: DataFrame, entries: DataFrame, how: str) -> DataFrame:
@@ -258,7 +258,7 @@ def compared(parts: DataFrame, window: int) -> DataFrame:
         if held:
             yield from decide(pa.Table.from_batches(held))
 
-    return dealt.mapInArrow(run, _SPAN)
+    return dealt.mapInArrow(lean(run), _SPAN)
 
 
 def compared_by_window(parts: DataFrame, window: int) -> DataFrame:
@@ -271,7 +271,7 @@ def compared_by_window(parts: DataFrame, window: int) -> DataFrame:
                 row, start, key = _windows(t, window)
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(t.column("doc").to_numpy()[row]), pa.array(start.astype(np.int32)), pa.array(t.column("state").to_numpy()[row])], names=["key", "doc", "start", "state"])
 
-    rows = parts.select("core", "doc", "anchor", "first", "state", "bytes").mapInArrow(explode, "key bigint, doc bigint, start int, state int")
+    rows = parts.select("core", "doc", "anchor", "first", "state", "bytes").mapInArrow(lean(explode), "key bigint, doc bigint, start int, state int")
     often = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     return rows.where(F.col("state") == OPEN).join(often, "key").select("doc", "start", (F.col("start") + window).alias("end"))
 
@@ -336,7 +336,7 @@ def deduplicate(docs: DataFrame, window: int = 200, id_col: str = "doc_id", text
                     out = []
 
     joined = with_texts(rows, entries, "left").select("doc", "text", "entries")
-    return joined.mapInArrow(run, "id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary").withColumnRenamed("id", id_col)
+    return joined.mapInArrow(lean(run), "id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary").withColumnRenamed("id", id_col)
 
 
 def _merged_by_doc(spans: DataFrame) -> DataFrame:
@@ -349,7 +349,7 @@ def _merged_by_doc(spans: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lists, kind)], names=["doc", "entries"])
 
     grouped = spans.distinct().groupBy("doc").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    return grouped.mapInArrow(run, "doc bigint, entries array<struct<start:int,end:int>>")
+    return grouped.mapInArrow(lean(run), "doc bigint, entries array<struct<start:int,end:int>>")
 
 
 def digest(docs: DataFrame, window: int = 200, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

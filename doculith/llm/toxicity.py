@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from doculith.llm.common import grams, sliced, symbols
+from doculith.llm.common import grams, lean, sliced, symbols
 
 #: Sizes of the n-grams, of letters and word boundaries, and the bits of their hash.
 ORDERS = (4, 5)
@@ -78,7 +78,7 @@ def fit(docs: DataFrame, labels: DataFrame, training=None, id_col: str = "doc_id
             part = at[i : i + (1 << 16)]
             yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(seen[0, part].astype(np.int64)), pa.array(seen[1, part].astype(np.int64))], names=["f", "c0", "c1"])
 
-    counts = sample.mapInArrow(count, "f bigint, c0 bigint, c1 bigint").groupBy("f").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"))
+    counts = sample.mapInArrow(lean(count), "f bigint, c0 bigint, c1 bigint").groupBy("f").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"))
     # A row for each feature that enough documents have and that leans to a class; at most 2 ** HASH_BITS of them.
     table = counts.where((F.col("c0") + F.col("c1") >= MIN_DOCS) | (F.col("f") == size))
     total = table.where(F.col("f") == size).first()
@@ -86,8 +86,8 @@ def fit(docs: DataFrame, labels: DataFrame, training=None, id_col: str = "doc_id
     if not n0 or not n1:
         return empty
     a, b = (F.col("c1") + 0.5) / (n1 + 1.0), (F.col("c0") + 0.5) / (n0 + 1.0)
-    lean = (a - b) * (a - b) / (a + b)
-    best = table.where(F.col("f") < size).select("f", F.log(a / b).alias("ratio"), lean.alias("lean")).where("abs(ratio) > 0.7").orderBy(F.desc("lean"), "f").limit(FEATURES).toPandas()
+    gap = (a - b) * (a - b) / (a + b)
+    best = table.where(F.col("f") < size).select("f", F.log(a / b).alias("ratio"), gap.alias("gap")).where("abs(ratio) > 0.7").orderBy(F.desc("gap"), "f").limit(FEATURES).toPandas()
     ratio = np.zeros(size, np.float32)
     ratio[best["f"].to_numpy(np.int64)] = best["ratio"].to_numpy(np.float32)
     wanted = ratio != 0
@@ -98,7 +98,7 @@ def fit(docs: DataFrame, labels: DataFrame, training=None, id_col: str = "doc_id
             cuts = np.searchsorted(row, np.arange(len(b) + 1)).astype(np.int32)
             yield pa.RecordBatch.from_arrays([b.column(1).cast(pa.int32()), pa.ListArray.from_arrays(cuts, feature.astype(np.int32))], names=["y", "f"])
 
-    got = sample.mapInArrow(gather, "y int, f array<int>").orderBy(F.hash("f"), "y").toArrow()  # 2 * SAMPLE rows
+    got = sample.mapInArrow(lean(gather), "y int, f array<int>").orderBy(F.hash("f"), "y").toArrow()  # 2 * SAMPLE rows
     lists = got.column("f").combine_chunks()
     y = np.asarray(got.column("y").combine_chunks()).astype(np.float64)
     feature = np.asarray(lists.flatten())
@@ -152,7 +152,7 @@ def _scored(docs: DataFrame, model: Model, columns: list[str], text_col: str, na
 
     from pyspark.sql.types import DoubleType, StructField, StructType
 
-    return df.mapInArrow(run, StructType([*schema, StructField(name, DoubleType())]))
+    return df.mapInArrow(lean(run), StructType([*schema, StructField(name, DoubleType())]))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7) -> DataFrame:

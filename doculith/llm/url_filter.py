@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from doculith.llm.common import cut
+from doculith.llm.common import cut, lean
 
 #: Listed rules are held by the driver; more than this many are refused.
 MAX_RULES = 5_000_000
@@ -107,7 +107,7 @@ def passing(keys: DataFrame, level: Filter) -> DataFrame:
             yield b.select(["key"]).filter(pa.array(level.holds(h1, h2)))
 
     h1, h2 = hashed(F.col("key"))
-    return keys.select("key", h1.alias("h1"), h2.alias("h2")).mapInArrow(run, "key string")
+    return keys.select("key", h1.alias("h1"), h2.alias("h2")).mapInArrow(lean(run), "key string")
 
 
 def cascade(listed: DataFrame, universe: DataFrame) -> list[Filter]:
@@ -174,4 +174,4 @@ def judge(pages: DataFrame, rules: list[Rule], default: str = "allow", id_col: s
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(rule, pa.string()), pa.array(verdict, pa.string())], names=["id", "host", "path", "rule", "verdict"])
 
     asked = rows.withColumns({"h1": F.transform("keys", lambda k: hashed(k)[0]), "h2": F.transform("keys", lambda k: hashed(k)[1])})
-    return asked.mapInArrow(run, f"id {kind}, host string, path string, rule string, verdict string").withColumnRenamed("id", id_col)
+    return asked.mapInArrow(lean(run), f"id {kind}, host string, path string, rule string, verdict string").withColumnRenamed("id", id_col)

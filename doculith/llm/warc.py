@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from doculith.llm.common import cut, shared_folder
+from doculith.llm.common import cut, lean, shared_folder
 
 CRLF = "\r\n"
 #: Records per archive file, so that a reader holds a few megabytes of one file.
@@ -143,7 +143,7 @@ def read(spark: SparkSession, folder: str, payloads: bool = True) -> DataFrame:
                     yield pa.RecordBatch.from_pylist(rows, _RECORD)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder)
-    return files.select("content").mapInArrow(run, RECORD)
+    return files.select("content").mapInArrow(lean(run), RECORD)
 
 
 def transactions(records: DataFrame) -> DataFrame:

@@ -145,6 +145,7 @@ def test_links_against_brute_force(spark, monkeypatch, size, percent, short, blo
     """The later cases send nearly all lists and clusters through their blocks, and documents through a shuffle."""
     monkeypatch.setattr(jaccard_join, "SHORT_LIST", short)
     monkeypatch.setattr(jaccard_join, "BLOCK", block)
+    monkeypatch.setattr(jaccard_join, "BLOCK_TOKENS", 600 if broadcast else 3_000_000)
     monkeypatch.setattr(jaccard_join, "BROADCAST_ROWS", broadcast)
     texts = _near_copies(np.random.default_rng(size))
     docs = spark.createDataFrame([(i, t, 1, "k") for i, t in texts], "doc_id bigint, text string, n int, token string").repartition(4)
