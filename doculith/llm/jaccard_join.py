@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from doculith.llm.common import SLICE_BYTES, components, cut, lean, slices, utf8
+from doculith.llm.common import SLICE_BYTES, components, cut, lean, slices, small_batches, utf8
 
 #: Tokens are 49-bit hashes, so that a row of a slice, a level and a token fill one sortable integer.
 TOKEN_BITS, LEVEL_BITS = 49, 4
@@ -28,7 +28,7 @@ SMALL_SET, SMALL_SKETCH, LARGE_SKETCH = 4096, 1024, 8192
 #: Index lists up to this length give their pairs at once; longer ones are split into blocks and compared by sketch.
 SHORT_LIST, BLOCK = 48, 4096
 #: Tokens of a block of a cluster at most, but for a single larger set.
-BLOCK_TOKENS = 3_000_000
+BLOCK_TOKENS = 2_000_000
 #: A table of cluster members is broadcast up to this many rows; beyond, documents are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -352,12 +352,13 @@ def runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
         for s, e in zip(starts, starts[1:], strict=False):
             key = tuple(c[s] for c in cols)
             if key != last and held:
-                yield pa.Table.from_batches(held)
-                held = []
+                whole, held = [pa.Table.from_batches(held)], []
+                yield whole.pop()  # what is handed on is held no longer
             held.append(b.slice(s, e - s))
             last = key
     if held:
-        yield pa.Table.from_batches(held)
+        whole, held = [pa.Table.from_batches(held)], []
+        yield whole.pop()
 
 
 def blocked(members: DataFrame, key: str, doc: str, tokens: str | None = None) -> DataFrame:
@@ -425,13 +426,15 @@ def cluster_links(clustered: DataFrame, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         docs, roots = [], []
         for t in runs(batches, 3):
-            doc = t.column("doc").to_numpy()
+            doc = t.column("doc").to_numpy().copy()
             tokens = t.column("tokens").combine_chunks()
+            del t
             flat, n = np.asarray(tokens.flatten()), np.diff(np.asarray(tokens.offsets)).astype(np.int64)
             name = np.unique(flat)
             ident = np.empty(len(flat), np.int32)
             for k in range(0, len(flat), 1 << 20):
                 ident[k : k + (1 << 20)] = np.searchsorted(name, flat[k : k + (1 << 20)])
+            del flat, tokens
             start = np.cumsum(n) - n
             mark = np.zeros(len(name), bool)
 
@@ -463,14 +466,15 @@ def join(docs: DataFrame, shingle: int = 3, percent: int = 90, id_col: str = "do
     link. Rows with one id are sets of their own that share the id. Other columns are not read.
     """
     docs = docs.where(F.col(id_col).isNotNull())
-    per = cut(described(docs, levels(docs, text_col, shingle), shingle, percent, id_col, text_col))
-    classes = cut(per.where("n > 0").groupBy("h1", "h2").agg(F.min(F.struct("doc", "n", "prefix", "sketch")).alias("r")).select("h1", "h2", "r.*"))
-    found = cut(candidates(classes, percent))
-    sketches = classes.select("doc", "n", "sketch")
-    pairs = unrefuted(found.where("y is not null").select("x", "y").distinct(), sketches, percent)
-    long = long_list_edges(found.where("y is null"), sketches.select("doc", "sketch"), percent)
-    clusters = cut(components(pairs.union(long), "x", "y").select(F.col("node").alias("doc"), F.col("component").alias("cluster")).join(classes.select("doc", "n"), "doc"))
-    roots = _verified(docs, clusters, shingle, percent, id_col, text_col)
+    with small_batches(docs.sparkSession):
+        per = cut(described(docs, levels(docs, text_col, shingle), shingle, percent, id_col, text_col))
+        classes = cut(per.where("n > 0").groupBy("h1", "h2").agg(F.min(F.struct("doc", "n", "prefix", "sketch")).alias("r")).select("h1", "h2", "r.*"))
+        found = cut(candidates(classes, percent))
+        sketches = classes.select("doc", "n", "sketch")
+        pairs = unrefuted(found.where("y is not null").select("x", "y").distinct(), sketches, percent)
+        long = long_list_edges(found.where("y is null"), sketches.select("doc", "sketch"), percent)
+        clusters = cut(components(pairs.union(long), "x", "y").select(F.col("node").alias("doc"), F.col("component").alias("cluster")).join(classes.select("doc", "n"), "doc"))
+        roots = _verified(docs, clusters, shingle, percent, id_col, text_col)
     named = classes.select("h1", "h2", F.col("doc").alias("rep")).join(roots, F.col("rep") == F.col("doc"), "left").select("h1", "h2", F.coalesce("root", "rep").alias("component"))
     out = per.select("doc", "n", "h1", "h2").join(named, ["h1", "h2"], "left")
     return out.select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc")).alias("component_id"))

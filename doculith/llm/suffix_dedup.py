@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from doculith.llm.common import cut, lean, slices, utf8
+from doculith.llm.common import cut, lean, slices, small_batches, utf8
 
 #: Bytes of an anchor's core; every window of the wanted length holds a core that its content alone chooses.
 CORE = 50
@@ -312,8 +312,8 @@ def deduplicate(docs: DataFrame, window: int = 200, id_col: str = "doc_id", text
     if window < CORE:
         raise ValueError(f"a window has at least {CORE} bytes")
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    spans = repeated_spans(rows, window)
-    entries = cut(_merged_by_doc(spans))
+    with small_batches(docs.sparkSession):
+        entries = cut(_merged_by_doc(repeated_spans(rows, window)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
