@@ -3,29 +3,35 @@
 Equal vectors form one node. Random hyperplanes deal the nodes of a label into blocks, which give the first
 neighbour lists; each round compares what meets in a node's neighbourhood, forward and backward. A list full of
 links is saturated and cannot hold all: it is enlarged to the whole component that links reach, inside of which
-every pair is compared, block by block. Recall is audited against brute force on a bounded sample, and more
-rounds follow while it is low.
+every pair is compared, block by block. A label has as many tables of hyperplanes as a pair right at the threshold
+needs to share a side with the wanted probability. Recall is audited against brute force on a sample after every
+batch of rounds; while it is low, new tables follow, twice as many each time.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from doculith.llm.common import components, cut, lean
 from doculith.llm.jaccard_join import runs
 
-#: Neighbours kept for a node, tables of hyperplanes at the start, rows of a first block, and of a block of a component.
+#: Neighbours kept for a node, least tables of hyperplanes of a label of several blocks, rows of a first block, and of a block of a component.
 NEIGHBOURS, TABLES, START_BLOCK, BLOCK = 8, 4, 512, 1024
 #: Improvements that one neighbourhood proposes to each of its members.
 PROPOSED = 4
-ROUNDS, MORE_ROUNDS = 2, 4
+#: Rounds after the first tables, and after each further batch of tables.
+ROUNDS, MORE_ROUNDS = 2, 1
 #: Nodes compared with all others for the audit, and the recall that ends the rounds.
 AUDIT, WANTED = 400, 0.97
+#: Tables of a label in all, after which a recall that is still low is an error.
+MOST_TABLES = 256
 CODE_BITS = 30
 #: Sizes of labels are broadcast up to this many labels; beyond, they are joined by a shuffle.
 BROADCAST_LABELS = 10_000
@@ -64,28 +70,36 @@ def first_linked(link: np.ndarray) -> np.ndarray:
 
 
 def _nodes(rows: DataFrame, width: str) -> DataFrame:
-    """(id, g, w, vec, codes) for each class of equal vectors of a label."""
+    """(id, g, w, vec) for each class of equal vectors of a label."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        planes: dict[int, np.ndarray] = {}
         for b in batches:
             lists = b.column(3)
             size = np.diff(np.asarray(lists.offsets))
             flat = np.asarray(lists.flatten()).astype(width)
             start = np.cumsum(size) - size
-            codes = np.zeros((len(b), TABLES), np.int64)
-            for dim in np.unique(size).tolist():
-                which = np.flatnonzero(size == dim)
-                if dim not in planes:
-                    planes[dim] = np.random.default_rng(dim + 1).standard_normal((dim, TABLES * CODE_BITS))
-                x = flat[(start[which][:, None] + np.arange(dim)).ravel()].reshape(-1, dim).astype(np.float64)
-                sign = (x @ planes[dim] > 0).reshape(len(which), TABLES, CODE_BITS)
-                codes[which] = (sign << np.arange(CODE_BITS - 1, -1, -1)).sum(2)
             raw = [flat[s : s + k].tobytes() for s, k in zip(start, size, strict=True)]
-            cuts = pa.array(np.arange(len(b) + 1, dtype=np.int32) * TABLES)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(raw, pa.binary()), pa.ListArray.from_arrays(cuts, pa.array(codes.ravel()))], names=["id", "g", "w", "vec", "codes"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(raw, pa.binary())], names=["id", "g", "w", "vec"])
 
-    return rows.select("id", "g", "w", "x").mapInArrow(lean(run), "id bigint, g bigint, w bigint, vec binary, codes array<bigint>")
+    return rows.select("id", "g", "w", "x").mapInArrow(lean(run), "id bigint, g bigint, w bigint, vec binary")
+
+
+def _labels(nodes: DataFrame, threshold: float) -> DataFrame:
+    """(g, size, bits, tables) of each label: the hyperplanes of a table, and the tables that a pair at the threshold needs.
+
+    Such a pair lies on one side of a random hyperplane with probability 1 - angle / pi, and on one side of all `bits`
+    of a table with the power of that. A label of one block needs one table, which compares all of its pairs.
+    """
+    same = 1 - math.acos(max(-1.0, min(1.0, threshold))) / math.pi
+    sizes = nodes.groupBy("g").agg(F.count("*").alias("size"))
+    sizes = sizes.withColumn("bits", F.least(F.lit(CODE_BITS), F.greatest(F.lit(0), F.ceil(F.log2(F.col("size") / START_BLOCK)) + 1)).cast("int"))
+    miss = 1 - F.pow(F.lit(same), F.col("bits"))
+    needed = F.when(miss <= 0, F.lit(TABLES)).otherwise(F.least(F.lit(float(MOST_TABLES)), F.ceil(math.log(1 - WANTED) / F.log(miss)).cast("double")))
+    return cut(sizes.withColumn("tables", F.when(F.col("bits") == 0, 1).otherwise(F.greatest(F.lit(float(TABLES)), needed)).cast("int")))
+
+
+def _small(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= BROADCAST_LABELS else df
 
 
 _FOUND = "kind int, a bigint, b bigint, sim double"
@@ -132,17 +146,48 @@ def _compared(dealt: DataFrame, keys: int, threshold: float, width: str, propose
     return dealt.mapInArrow(lean(run), _FOUND)
 
 
-def _started(nodes: DataFrame, threshold: float, width: str) -> DataFrame:
-    """The first lists: nodes that share a side of enough hyperplanes are compared in blocks of about START_BLOCK."""
-    sizes = nodes.groupBy("g").agg(F.count("*").alias("size"))
-    sizes = cut(sizes.select("g", F.greatest(F.lit(0), F.ceil(F.log2(F.col("size") / START_BLOCK)) + 1).cast("int").alias("bits")))
-    sizes = F.broadcast(sizes) if sizes.count() <= BROADCAST_LABELS else sizes
-    rows = nodes.join(sizes, "g").select("g", "bits", "id", "vec", F.posexplode("codes").alias("t", "code"))
-    rows = rows.withColumn("bucket", F.expr(f"shiftright(code, {CODE_BITS} - least(bits, {CODE_BITS}))"))
-    # A bucket of any size is dealt into blocks, each table in its own way.
-    full = rows.groupBy("g", "t", "bucket").agg(F.count("*").alias("members"))
-    rows = rows.join(full, ["g", "t", "bucket"]).withColumn("sub", F.pmod(F.xxhash64("id", "t"), F.ceil(F.col("members") / (2 * START_BLOCK))).cast("int"))
-    rows = rows.withColumn("key", F.xxhash64("g", "t", "bucket", "sub")).select("g", "key", "id", "vec")
+def _coded(nodes: DataFrame, labels: DataFrame, width: str, batch: int) -> DataFrame:
+    """(g, bits, id, vec, codes): the sides of the hyperplanes of a batch of tables. Each batch after the first has as many as all before."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        planes: dict[tuple[int, int], np.ndarray] = {}
+        for b in batches:
+            count = np.asarray(b.column(2)).astype(np.int64)
+            first, last = (count << (batch - 1), np.minimum(count << batch, MOST_TABLES)) if batch else (count * 0, count)
+            size = np.maximum(0, last - first)
+            codes = np.zeros((len(b), int(size.max(initial=0))), np.int64)
+            length = np.asarray(pc.binary_length(b.column(4)))
+            for dim in np.unique(length).tolist():
+                which = np.flatnonzero(length == dim)
+                x = unit(b.column(4).take(pa.array(which)), width)
+                for t in np.unique(np.concatenate([np.arange(f, f + n) for f, n in set(zip(first[which].tolist(), size[which].tolist(), strict=True))])).tolist():
+                    if (dim, t) not in planes:
+                        planes[dim, t] = np.random.default_rng((dim + 1, t)).standard_normal((x.shape[1], CODE_BITS))
+                    at = np.flatnonzero((first[which] <= t) & (t < first[which] + size[which]))
+                    sign = x[at] @ planes[dim, t] > 0
+                    codes[which[at], t - first[which[at]]] = (sign << np.arange(CODE_BITS - 1, -1, -1)).sum(1)
+            cuts = pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32))
+            own = codes[np.arange(codes.shape[1])[None, :] < size[:, None]]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), b.column(4), pa.ListArray.from_arrays(cuts, pa.array(own))], names=["g", "bits", "id", "vec", "codes"])
+
+    rows = nodes.join(_small(labels), "g").select("g", "bits", "tables", "id", "vec")
+    return cut(rows.mapInArrow(lean(run), "g bigint, bits int, id bigint, vec binary, codes array<bigint>"))
+
+
+def _started(nodes: DataFrame, labels: DataFrame, threshold: float, width: str, batch: int = 0) -> DataFrame:
+    """Lists from a batch of tables: nodes that share a side of enough hyperplanes are compared in blocks of about START_BLOCK."""
+    rows = _coded(nodes, labels, width, batch).select("g", "bits", "id", "vec", F.posexplode("codes").alias("t", "code"))
+    side = F.expr(f"shiftright(code, {CODE_BITS} - depth)")
+    # A bucket that is too large is split by more hyperplanes; what stays too large is dealt into blocks, each table in its own way.
+    rows = rows.withColumn("depth", F.col("bits")).withColumn("bucket", side)
+    full = cut(rows.groupBy("g", "t", "bucket").agg(F.count("*").alias("members")).where(F.col("members") > 2 * START_BLOCK))
+    more = F.coalesce(F.ceil(F.log2(F.col("members") / START_BLOCK)), F.lit(0))
+    rows = rows.join(_small(full), ["g", "t", "bucket"], "left").withColumn("depth", F.least(F.lit(CODE_BITS), F.col("bits") + more).cast("int"))
+    rows = rows.drop("members").withColumn("bucket", side)
+    full = cut(rows.groupBy("g", "t", "depth", "bucket").agg(F.count("*").alias("members")).where(F.col("members") > 2 * START_BLOCK))
+    parts = F.ceil(F.coalesce("members", F.lit(1)) / (2 * START_BLOCK))
+    rows = rows.join(_small(full), ["g", "t", "depth", "bucket"], "left").withColumn("sub", F.pmod(F.xxhash64("id", "t", F.lit(batch)), parts).cast("int"))
+    rows = rows.withColumn("key", F.xxhash64("g", "t", "depth", "bucket", "sub")).select("g", "key", "id", "vec")
     return _compared(rows.repartition("g", "key").sortWithinPartitions("g", "key", "id"), 2, threshold, width, NEIGHBOURS, False)
 
 
@@ -237,10 +282,12 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, id_col: str = "
     keyed = base.where(ok).withColumn("g", F.xxhash64("label", F.size("x"))).withColumn("h1", F.xxhash64("x")).withColumn("h2", F.xxhash64("x", F.lit(7)))
     classes = cut(keyed.groupBy("g", "h1", "h2").agg(F.min("id").alias("id"), F.count("*").alias("w"), F.first("x").alias("x")))
     nodes = cut(_nodes(classes, width))
-    found = cut(_started(nodes, threshold, width))
+    labels = _labels(nodes, threshold)
+    least = labels.where("bits > 0").agg(F.min("tables")).first()[0] or MOST_TABLES
+    found = cut(_started(nodes, labels, threshold, width))
     links = found.where("kind = 1").select("a", "b")
     graph = cut(_best(found.where("kind = 0").select("a", "b", "sim")))
-    rounds = ROUNDS
+    rounds, batch = ROUNDS, 0
     while True:
         for _ in range(rounds):
             found = cut(_round(nodes, graph, threshold, width))
@@ -248,9 +295,16 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, id_col: str = "
             graph = cut(_best(graph.select("a", "b", "sim").union(found.where("kind = 0").select("a", "b", "sim"))))
         reached = components(links, "a", "b")
         counted = cut(_counted(nodes, reached, threshold, width))
-        if rounds == MORE_ROUNDS or audit(nodes, counted, threshold, width) >= WANTED:
+        recall = audit(nodes, counted, threshold, width)
+        if recall >= WANTED:
             break
-        rounds = MORE_ROUNDS
+        # A label that has had all of its tables gets no more; while others have not, they go on.
+        if least << batch >= MOST_TABLES:
+            raise RuntimeError(f"near_duplicates: recall {recall:.3f} after {MOST_TABLES} tables of hyperplanes, {WANTED} wanted")
+        rounds, batch = MORE_ROUNDS, batch + 1
+        found = cut(_started(nodes, labels, threshold, width, batch))
+        links = links.union(found.where("kind = 1").select("a", "b"))
+        graph = cut(_best(graph.select("a", "b", "sim").union(found.where("kind = 0").select("a", "b", "sim"))))
     per = classes.select("g", "h1", "h2", F.col("id").alias("rep"), "w")
     per = per.join(counted.withColumnRenamed("id", "rep"), "rep", "left").join(reached.withColumnRenamed("node", "rep"), "rep", "left")
     per = per.select("g", "h1", "h2", (F.coalesce("links", F.lit(0)) + F.col("w") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))

@@ -218,6 +218,24 @@ def test_vectors_against_brute_force(spark, monkeypatch):
     assert nn_descent.near_duplicates(frame.where("false")).count() == 0
 
 
+def _planted(seed, rows, pairs, dense=0):
+    """Unit vectors of one label; the first `pairs` of them have a partner right above 0.93, and `dense` more lie close together."""
+    rng = np.random.default_rng(seed)
+    unit = lambda v: v / np.linalg.norm(v, axis=1, keepdims=True)
+    x, c = unit(rng.standard_normal((rows, 64))), rng.uniform(0.932, 0.95, pairs)[:, None]
+    other = rng.standard_normal((pairs, 64))
+    other = unit(other - (other * x[:pairs]).sum(1, keepdims=True) * x[:pairs])
+    tight = unit(rng.standard_normal((1, 64))) + rng.standard_normal((dense, 64)) * 0.01
+    return np.concatenate([x, c * x[:pairs] + np.sqrt(1 - c * c) * other, tight])
+
+
+def test_separate_pairs_of_a_large_label_are_found(spark, monkeypatch):
+    monkeypatch.setattr(nn_descent, "START_BLOCK", 40)
+    frame = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(_planted(3, 4000, 300))], "vec_id bigint, embedding array<float>, label int")
+    got = {r["vec_id"]: r["n_links"] for r in nn_descent.near_duplicates(frame, 0.93).collect()}
+    assert sum(got[i] > 0 for i in range(300)) >= 0.96 * 300
+
+
 def test_pipeline_stages_against_plain_readings(spark, sf):
     import corpus_pipeline as p
     from doculith.llm import pii
