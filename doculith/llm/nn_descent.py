@@ -28,8 +28,12 @@ NEIGHBOURS, TABLES, START_BLOCK, BLOCK = 8, 4, 512, 1024
 PROPOSED = 4
 #: Rounds after the first tables, and after each further batch of tables.
 ROUNDS, MORE_ROUNDS = 2, 1
-#: Nodes compared with all others for the audit, and the recall that ends the rounds.
+#: Nodes of a label compared with all others for the audit, and the recall that ends the rounds.
 AUDIT, WANTED = 400, 0.97
+#: The audit's sample of a label grows by a factor until it holds so many nodes of few links, or so many nodes.
+AUDIT_GROWTH, LINKED, AUDIT_MOST = 8, 100, 25_600
+#: Rows of a block that the audit's sample is compared with; at least as many as the sample has.
+AUDIT_BLOCK = 4096
 #: Tables of a label in all, after which a recall that is still low is an error.
 MOST_TABLES = 256
 CODE_BITS = 30
@@ -211,7 +215,7 @@ def _round(nodes: DataFrame, graph: DataFrame, threshold: float, width: str) ->
 
 
 def _counted(nodes: DataFrame, reached: DataFrame, threshold: float, width: str) -> DataFrame:
-    """(id, links): for the nodes of each component the rows linked, every pair compared once, in pairs of blocks."""
+    """(id, links, near): for the nodes of each component the rows and the nodes linked, every pair compared once, in pairs of blocks."""
     sizes = reached.groupBy("component").agg(F.count("*").alias("members"))
     rows = reached.join(sizes, "component").withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
     rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
@@ -227,46 +231,78 @@ def _counted(nodes: DataFrame, reached: DataFrame, threshold: float, width: str)
             if bi == bj:
                 link = x @ x.T >= threshold
                 np.fill_diagonal(link, False)
-                total = link @ w
+                total, near = link @ w, link.sum(1)
             else:
                 one, two = np.flatnonzero(own == bi), np.flatnonzero(own == bj)
                 link = x[one] @ x[two].T >= threshold
-                total = np.zeros(len(w), np.int64)
+                total, near = np.zeros(len(w), np.int64), np.zeros(len(w), np.int64)
                 total[one], total[two] = link @ w[two], link.T @ w[one]
-            yield pa.RecordBatch.from_arrays([pa.array(ident), pa.array(total.astype(np.int64))], names=["id", "links"])
+                near[one], near[two] = link.sum(1), link.sum(0)
+            yield pa.RecordBatch.from_arrays([pa.array(ident), pa.array(total.astype(np.int64)), pa.array(near.astype(np.int64))], names=["id", "links", "near"])
 
     dealt = rows.repartition("component", "bi", "bj").sortWithinPartitions("component", "bi", "bj", "id")
-    return dealt.mapInArrow(lean(run), "id bigint, links bigint").groupBy("id").agg(F.sum("links").alias("links"))
+    return dealt.mapInArrow(lean(run), "id bigint, links bigint, near bigint").groupBy("id").agg(F.sum("links").alias("links"), F.sum("near").alias("near"))
 
 
-def audit(nodes: DataFrame, counted: DataFrame, threshold: float, width: str, sample: int = AUDIT) -> float:
-    """The share of the links of about `sample` nodes, as brute force over all nodes finds them, that were found."""
-    n = nodes.count()
-    part = F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1 << 30)) < int(min(1.0, sample / max(1, n)) * (1 << 30))
-    asked = nodes.where(part).select("id", "g", "vec").toArrow().combine_chunks()
-    if not asked.num_rows:
-        return 1.0
-    held = nodes.sparkSession.sparkContext.broadcast([asked.column(i).to_pylist() for i in range(3)])  # about `sample` vectors
+def _asked(nodes: DataFrame, labels: DataFrame, threshold: float, width: str) -> DataFrame:
+    """(g, id, real): the nodes that brute force finds linked to each sampled node; `labels` has g, low and high, the part of the hashes to sample."""
+    hashed = F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    block = F.greatest(F.lit(float(AUDIT_BLOCK)), (F.col("high") - F.col("low")) * F.col("size"))
+    rows = nodes.join(_small(labels), "g").withColumn("blocks", F.ceil(F.col("size") / block).cast("int")).withColumn("hashed", hashed)
+    own = rows.select("g", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("sub"), F.lit(False).alias("asked"), "id", "vec")
+    part = rows.where((F.col("hashed") >= F.col("low")) & (F.col("hashed") < F.col("high")))
+    part = part.select("g", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("sub"), F.lit(True).alias("asked"), "id", "vec")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, gs, vecs = held.value
-        asked = {g: [i for i, x in enumerate(gs) if x == g] for g in set(gs)}
-        ready = {g: unit(pa.array([vecs[i] for i in at], pa.binary()), width) for g, at in asked.items()}
-        total = np.zeros(len(ids), np.int64)
-        for b in batches:
-            own, w = np.asarray(b.column(1)), np.asarray(b.column(2))
-            for g in np.unique(own).tolist():
-                if g in asked:
-                    which = np.flatnonzero(own == g)
-                    x = unit(b.column(3).take(pa.array(which)), width)
-                    link = ready[g] @ x.T >= threshold
-                    link[np.array([ids[i] for i in asked[g]])[:, None] == np.asarray(b.column(0))[which][None, :]] = False
-                    total[asked[g]] += link @ w[which]
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(total)], names=["id", "links"])
+        for t in runs(batches, 2):
+            asked, ident, vec = np.asarray(t.column(2)), t.column(3).to_numpy(), t.column(4).combine_chunks()
+            one, two = np.flatnonzero(asked), np.flatnonzero(~asked)
+            if not len(one) or not len(two):
+                continue
+            x = unit(vec.take(pa.array(two)), width)
+            near = np.zeros(len(one), np.int64)
+            for i in range(0, len(one), 512):
+                at = one[i : i + 512]
+                link = unit(vec.take(pa.array(at)), width) @ x.T >= threshold
+                link[ident[at][:, None] == ident[two][None, :]] = False
+                near[i : i + 512] = link.sum(1)
+            yield pa.RecordBatch.from_arrays([t.column(0).take(pa.array(one)).combine_chunks(), pa.array(ident[one]), pa.array(near)], names=["g", "id", "real"])
+
+    dealt = own.union(part).repartition("g", "sub").sortWithinPartitions("g", "sub")
+    return dealt.mapInArrow(lean(run), "g bigint, id bigint, real bigint").groupBy("g", "id").agg(F.sum("real").alias("real")).where("real > 0")
+
 
-    true = nodes.select("id", "g", "w", "vec").mapInArrow(lean(run), "id bigint, links bigint").groupBy("id").agg(F.sum("links").alias("true"))
-    both = true.join(counted, "id", "left").agg(F.sum("true"), F.sum(F.least("true", F.coalesce("links", F.lit(0))))).first()
-    return 1.0 if not both[0] else both[1] / both[0]
+def sampled(nodes: DataFrame, labels: DataFrame, threshold: float, width: str) -> DataFrame:
+    """(g, id, real): linked nodes of each label of several blocks, with the nodes that brute force finds linked to them.
+
+    About AUDIT nodes of a label are asked, and more while under LINKED of them have links to at most NEIGHBOURS
+    nodes, up to the whole label or AUDIT_MOST nodes.
+    """
+    left = labels.where("bits > 0").select("g", "size", F.lit(0.0).alias("low"), F.least(F.lit(1.0), AUDIT / F.col("size")).alias("high"))
+    most, found = AUDIT, None
+    while True:
+        part = cut(_asked(nodes, left, threshold, width))
+        found = part if found is None else found.union(part)
+        most *= AUDIT_GROWTH
+        if most > AUDIT_MOST:
+            return found
+        held = found.where(F.col("real") <= NEIGHBOURS).groupBy("g").agg(F.count("*").alias("linked"))
+        left = left.join(held, "g", "left").where((F.coalesce("linked", F.lit(0)) < LINKED) & (F.col("high") < 1))
+        left = cut(left.select("g", "size", F.col("high").alias("low"), F.least(F.lit(1.0), most / F.col("size")).alias("high")))
+        if left.isEmpty():
+            return found
+
+
+def audit(asked: DataFrame, counted: DataFrame) -> float:
+    """The least recall of a label's nodes of few links, or of its nodes of many, as the mean share of a node's linked nodes that was found.
+
+    Groups of under LINKED nodes are taken together over the labels. Without any linked node it is 1.
+    """
+    share = F.least(F.lit(1.0), F.coalesce("near", F.lit(0)) / F.col("real"))
+    rows = asked.join(counted.select("id", "near"), "id", "left").groupBy("g", (F.col("real") > NEIGHBOURS).alias("many")).agg(F.count("*").alias("n"), F.sum(share).alias("found"))
+    rows = rows.groupBy("many", F.when(F.col("n") >= LINKED, F.col("g")).alias("g")).agg((F.sum("found") / F.sum("n")).alias("recall"))
+    least = rows.agg(F.min("recall")).first()[0]
+    return 1.0 if least is None else least
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
@@ -287,6 +323,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, id_col: str = "
     found = cut(_started(nodes, labels, threshold, width))
     links = found.where("kind = 1").select("a", "b")
     graph = cut(_best(found.where("kind = 0").select("a", "b", "sim")))
+    asked = sampled(nodes, labels, threshold, width)
     rounds, batch = ROUNDS, 0
     while True:
         for _ in range(rounds):
@@ -295,7 +332,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, id_col: str = "
             graph = cut(_best(graph.select("a", "b", "sim").union(found.where("kind = 0").select("a", "b", "sim"))))
         reached = components(links, "a", "b")
         counted = cut(_counted(nodes, reached, threshold, width))
-        recall = audit(nodes, counted, threshold, width)
+        recall = audit(asked, counted)
         if recall >= WANTED:
             break
         # A label that has had all of its tables gets no more; while others have not, they go on.
@@ -306,7 +343,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, id_col: str = "
         links = links.union(found.where("kind = 1").select("a", "b"))
         graph = cut(_best(graph.select("a", "b", "sim").union(found.where("kind = 0").select("a", "b", "sim"))))
     per = classes.select("g", "h1", "h2", F.col("id").alias("rep"), "w")
-    per = per.join(counted.withColumnRenamed("id", "rep"), "rep", "left").join(reached.withColumnRenamed("node", "rep"), "rep", "left")
+    per = per.join(counted.select(F.col("id").alias("rep"), "links"), "rep", "left").join(reached.withColumnRenamed("node", "rep"), "rep", "left")
     per = per.select("g", "h1", "h2", (F.coalesce("links", F.lit(0)) + F.col("w") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
     linked = keyed.select("id", "g", "h1", "h2").join(per, ["g", "h1", "h2"]).select("id", "n_links", "component_id")
     alone = base.where(~ok).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))

@@ -236,6 +236,17 @@ def test_separate_pairs_of_a_large_label_are_found(spark, monkeypatch):
     assert sum(got[i] > 0 for i in range(300)) >= 0.96 * 300
 
 
+def test_audit_sees_missing_pairs_beside_a_dense_group(spark):
+    x = _planted(5, 1500, 40, 300)
+    nodes = spark.createDataFrame([(i, 1, 1, v.tobytes()) for i, v in enumerate(x)], "id bigint, g bigint, w bigint, vec binary")
+    asked = nn_descent.sampled(nodes, nn_descent._labels(nodes, 0.93), 0.93, "float64")
+    dense = spark.createDataFrame([(i, 299, 299) for i in range(1540, 1840)], "id bigint, links bigint, near bigint")
+    pairs = spark.createDataFrame([(i, 1, 1) for i in [*range(40), *range(1500, 1540)]], "id bigint, links bigint, near bigint")
+    # All 80 nodes of pairs are asked: their label is asked as a whole while it shows under LINKED of them.
+    assert asked.where("real = 1").count() == 80
+    assert nn_descent.audit(asked, dense) == 0.0 and nn_descent.audit(asked, dense.union(pairs)) == 1.0
+
+
 def test_pipeline_stages_against_plain_readings(spark, sf):
     import corpus_pipeline as p
     from doculith.llm import pii
