@@ -18,8 +18,6 @@ from pyspark.sql import functions as F
 from doculith.llm.common import SYMBOL_BITS, fold, grams, lean, sliced, symbols
 
 ORDER = 5
-#: At most about this many n-grams of the highest order are kept for each language: rarer ones go first, by a count limit for each language.
-MAX_NGRAMS = 300_000
 #: About so many training texts calibrate the score and the rejection limits.
 CALIBRATION = 3_000
 #: The share of training texts of a language that may lie above its rejection limit.
@@ -166,25 +164,10 @@ def fit(docs: DataFrame, training: Column | None = None, id_col: str = "doc_id",
     """Models from every text with a language for which `training` holds; counts cover all of them."""
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (F.lit(True) if training is None else training))
     rows = known.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    counts = rows.mapInArrow(lean(count), "lang string, g bigint, n bigint").groupBy("lang", "g").agg(F.sum("n").alias("n")).persist()
-    try:
-        # How many n-grams of a language have each count up to 1,000 gives the least count that keeps MAX_NGRAMS.
-        spread = counts.groupBy("lang", F.least("n", F.lit(1000)).alias("n")).agg(F.count("*").alias("kinds")).collect()
-        langs = sorted({r["lang"] for r in spread})
-        if not langs:  # nothing to learn from: every text is of an unknown language
-            return Model([])
-        least = {}
-        for lang in langs:
-            kept, least[lang] = 0, 1
-            for n, kinds in sorted(((r["n"], r["kinds"]) for r in spread if r["lang"] == lang), reverse=True):
-                kept += kinds
-                if kept > MAX_NGRAMS:
-                    least[lang] = n + 1
-                    break
-        keep = F.coalesce(*[F.when((F.col("lang") == lang) & (F.col("n") >= n), True) for lang, n in least.items()])
-        got = counts.where(keep).toArrow()  # MAX_NGRAMS a language
-    finally:
-        counts.unpersist()
+    counts = rows.mapInArrow(lean(count), "lang string, g bigint, n bigint").groupBy("lang", "g").agg(F.sum("n").alias("n"))
+    got = counts.toArrow()  # every distinct n-gram of each language: their number grows with the texts
+    if not got.num_rows:  # nothing to learn from: every text is of an unknown language
+        return Model([])
     lang, key, n = (got.column(i).combine_chunks() for i in range(3))
     names, key, n = np.asarray(lang.dictionary_encode().indices), np.asarray(key), np.asarray(n)
     values = lang.dictionary_encode().dictionary.to_pylist()
@@ -236,7 +219,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     says that the cross-entropy is within its limit. Only id and text are read; repeated rows each give a row.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    held = docs.sparkSession.sparkContext.broadcast(model)  # ORDER * MAX_NGRAMS * languages at most
+    held = docs.sparkSession.sparkContext.broadcast(model)  # all n-grams that the texts hold
 
     def run(batches):
         m = held.value

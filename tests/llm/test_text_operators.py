@@ -48,6 +48,15 @@ def test_language_model_is_a_distribution(docs):
     assert (unseen > -1e-5).all() and (unseen < 0.5).all()
 
 
+def test_every_ngram_of_a_large_language_counts(spark):
+    rng = np.random.default_rng(8)
+    texts = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 4000)) for _ in range(100)]
+    model = lang_id.fit(spark.createDataFrame([(i, t, "xx") for i, t in enumerate(texts)], "doc_id bigint, text string, lang string"))
+    stream, row, _ = lang_id.symbols(texts, lang_id.ORDER - 1)
+    known = np.unique(lang_id.grams(stream, row, lang_id.ORDER)[0])
+    assert len(known) > 350_000 and (model.keys[-1] == known).all()
+
+
 def test_language_without_training(spark, docs):
     model = lang_id.fit(docs.where("false"))
     assert {r["lang_pred"] for r in lang_id.predict(docs, model).collect()} == {"und"}
