@@ -231,7 +231,7 @@ def _planted(seed, rows, pairs, dense=0):
 
 def test_separate_pairs_of_a_large_label_are_found(spark, monkeypatch):
     monkeypatch.setattr(nn_descent, "START_BLOCK", 40)
-    frame = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(_planted(3, 4000, 300))], "vec_id bigint, embedding array<float>, label int")
+    frame = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(_planted(3, 8000, 300, 500))], "vec_id bigint, embedding array<float>, label int")
     got = {r["vec_id"]: r["n_links"] for r in nn_descent.near_duplicates(frame, 0.93).collect()}
     assert sum(got[i] > 0 for i in range(300)) >= 0.96 * 300
 
