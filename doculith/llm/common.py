@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import tempfile
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -80,32 +81,32 @@ def sliced(batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE_BYTE
             yield batch.slice(start, stop - start)
 
 
-_LETTER: list[np.ndarray] = []
+_LETTER: dict[bool, np.ndarray] = {}
 
 
-def letters() -> np.ndarray:
-    """For each code point whether it is a letter; made once in a worker."""
-    if not _LETTER:
-        _LETTER.append(np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000))
-    return _LETTER[0]
+def letters(digits: bool = False) -> np.ndarray:
+    """For each code point whether it is a letter (or a decimal digit, if `digits`); made once in a worker."""
+    if digits not in _LETTER:
+        _LETTER[digits] = np.fromiter((chr(c).isalpha() or digits and chr(c).isdecimal() for c in range(0x110000)), bool, 0x110000)
+    return _LETTER[digits]
 
 
 #: Bits of a symbol: code points under 2048 keep their value, the others share the upper half by a hash.
 SYMBOL_BITS = 12
 
 
-def symbols(texts: list[str | None], pad: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def symbols(texts: list[str | None], pad: int, digits: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Lower-cased texts as one stream of 12-bit letter symbols, each run of other characters as one 0.
 
-    Before each text stand `pad` zeros and after it one, so that windows never cross documents.
-    Returns the stream, the row of each symbol, and the number of letters of each row.
+    Before each text stand `pad` zeros and after it one, so that windows never cross documents. Digits are symbols
+    too if `digits`. Returns the stream, the row of each symbol, and the number of letters of each row.
     """
     gap = "\0" * pad
     low = [(t or "").lower() for t in texts]
     size = np.fromiter((len(t) for t in low), np.int64, len(low)) + pad + 1
     code = np.frombuffer("".join(gap + t + "\0" for t in low).encode("utf-32-le", "surrogatepass"), np.uint32)
     row = np.repeat(np.arange(len(low), dtype=np.int32), size)
-    letter = letters()[code]
+    letter = letters(digits)[code]
     count = np.bincount(row[letter], minlength=len(low))
     value = np.where(code < 2048, code, 2048 + ((code * np.uint32(2654435761)) >> np.uint32(21))).astype(np.uint16)
     value[~letter] = 0
@@ -126,18 +127,37 @@ def grams(stream: np.ndarray, row: np.ndarray, order: int) -> tuple[np.ndarray,
     return key[own], row[order - 1 :][own]
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which the driver and all executors reach; unset, a temporary one in local mode alone."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir is not set: it names the folder that the driver and all executors share")
+    return f"{tempfile.gettempdir()}/doculith-checkpoints"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The rows, written to the cluster's checkpoint folder and read again, so that a lost executor costs no long recomputation."""
     spark = df.sparkSession
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/doculith-checkpoints")
+        context.setCheckpointDir(shared_folder(spark))
     return df.checkpoint()
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A folder that the driver and all executors reach."""
-    return spark.conf.get("spark.checkpoint.dir", None) or "/tmp/doculith-checkpoints"
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder of intermediates through Spark's own file system."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def fresh(name: str, *taken: list[str]) -> str:
+    """`name`, with as many underscores behind it as no column of `taken` has; names are compared as Spark does."""
+    used = {c.lower() for columns in taken for c in columns}
+    while name.lower() in used:
+        name += "_"
+    return name
 
 
 def components(edges: DataFrame, left: str, right: str) -> DataFrame:

@@ -159,9 +159,9 @@ def test_leaks_are_found_as_alignment_says(spark):
         if i == 303:
             want.add((303, 0))
             continue
-        stream = symbols([t], 1)[0].tolist()
-        for s in range(len(index.item)):
-            if len(stream) >= decontaminate.Q and _edits(index.text[s][: index.size[s]].tolist(), stream) <= index.budget[s]:
+        stream = symbols([t], 1, digits=True)[0].tolist()
+        for s, pattern in enumerate(index.pattern(np.arange(len(index.item)))):
+            if len(stream) >= decontaminate.Q and _edits(pattern[: index.size[s]].tolist(), stream) <= index.budget[s]:
                 want.add((i, int(index.item[s])))
     assert {(r["doc_id"], r["item_id"]) for r in got} == want
     assert {(i, i) for i in range(6)} <= want and {(10 + i, i) for i in range(6)} <= want
@@ -171,6 +171,29 @@ def test_leaks_are_found_as_alignment_says(spark):
     assert decontaminate.matches(frame, bench.where("false")).count() == 0 and decontaminate.matches(frame.where("false"), bench).count() == 0
 
 
+def test_neighbours_do_not_complete_a_passage(spark):
+    """Rows that together hold an item, in every order and partitioning: none of them is reported, or goes."""
+    item = "the quick brown fox jumps over a lazy dog and then it runs away home again"
+    bench = spark.createDataFrame([(1, item), (2, item + " 12 plus 30 makes 42 " * 8)], "item_id bigint, text string")
+    rows = [(i, t) for i in range(0, 40, 4) for i, t in ((i, "zz the quick brown fox jumps over a lazy"), (i + 1, "dog and then it runs away home again yy"), (i + 2, ""), (i + 3, None))]
+    for texts in (rows, rows[::-1]):
+        frame = spark.createDataFrame(texts, "doc_id bigint, text string").coalesce(1)
+        assert decontaminate.matches(frame, bench).count() == 0
+        assert decontaminate.drop_contaminated(frame, bench).count() == len(rows)
+
+
+def test_verbatim_passages_at_every_offset(spark):
+    """A passage of SEGMENT + STRIDE - 1 symbols is found wherever it begins; digits are symbols, and other numbers are no leak."""
+    rng = np.random.default_rng(12)
+    item = " ".join(str(x) for x in rng.integers(100, 10**6, 60))
+    size = decontaminate.SEGMENT + decontaminate.STRIDE - 1
+    rows = [(i, "begin. " + item[i : i + size] + " .end") for i in range(0, len(item) - size)]
+    rows += [(1000 + i, " ".join(str(x) for x in rng.integers(100, 10**6, 60))) for i in range(20)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    got = {r["doc_id"] for r in decontaminate.matches(frame, spark.createDataFrame([(1, item)], "item_id bigint, text string")).collect()}
+    assert got == set(range(len(item) - size))
+
+
 def test_items_in_blocks_give_the_same(spark, monkeypatch):
     rng = np.random.default_rng(6)
     words = lambda n: " ".join("".join(rng.choice(list("abcdefgh"), 5)) for _ in range(n))
