@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from doculith.llm.common import cut
+from doculith.llm.common import cut, fresh
 
-#: A table of source rates is broadcast up to this many sources; with more, Spark joins it by key and splits a hot source.
-BROADCAST_SOURCES = 10_000
+#: A table of source rates is broadcast up to this many sources and entries; with more, Spark joins it by key and splits a hot source.
+BROADCAST_SOURCES, BROADCAST_ENTRIES = 10_000, 2_000_000
+#: Tables of probabilities start at 0, or from this number on where Stirling's series has a double's precision.
+STIRLING = 100
+#: Copies of a document that one row lists at once.
+PART = 4096
 
 
 def uniform(seed: int, *parts: Column) -> Column:
@@ -17,45 +23,67 @@ def uniform(seed: int, *parts: Column) -> Column:
     return (F.conv(F.substring(F.md5(text.cast("binary")), 1, 12), 16, 10).cast("double") + F.lit(0.5)) / F.lit(float(2**48))
 
 
-def poisson_cdf(rate: Column) -> Column:
-    """P(X <= k) for k = 0, 1, ... up to where the double no longer grows; terms are summed from logarithms, so no rate underflows."""
-    last = F.ceil(rate + 12 * F.sqrt(rate) + 30).cast("int")
-    start = F.struct((-rate).alias("log"), F.exp(-rate).alias("sum"), F.array(F.exp(-rate)).alias("cdf"))
-
-    def step(acc: Column, k: Column) -> Column:
-        log = acc["log"] + F.log(rate / k)
-        total = acc["sum"] + F.exp(log)
-        return F.struct(log.alias("log"), total.alias("sum"), F.concat(acc["cdf"], F.array(total)).alias("cdf"))
-
-    return F.aggregate(F.sequence(F.lit(1), last), start, step)["cdf"]
+def poisson_cdfs(rated: DataFrame, key: str, rate: str, first: str, cdf: str) -> DataFrame:
+    """(key, first, cdf) for each row with a positive rate: P(X <= k) for k = first, first + 1, ...
 
-
-def rates(docs: DataFrame, weights: dict[str, float], default: float, source_col: str, text_col: str, total: Column | None = None) -> DataFrame:
-    """(mix_source, mix_rate, mix_cdf): the mean repetitions that bring each source to its share of all characters.
-
-    A source that `weights` lacks, null included, weighs `default`. A source of weight 0 or without a character has rate 0.
+    k covers the rate by 12 standard deviations and 30 on both sides, so a table grows with the root of its rate; what
+    lies outside has a probability under 1e-30. Terms are summed from logarithms, and no rate underflows.
+    """
+    r = F.col(rate)
+    low = F.floor(r - 12 * F.sqrt(r) - 30)
+    low = F.when(low >= STIRLING, low).otherwise(F.lit(0)).cast("long")
+    last = F.ceil(r + 12 * F.sqrt(r) + 30).cast("long")
+    # log P(X = low): 0! is 1, and the factorial of a larger number is Stirling's series, exact to a double's precision.
+    x = F.col("low").cast("double")
+    factorial = (x + 0.5) * F.log(x) - x + 0.5 * math.log(2 * math.pi) + 1 / (12 * x) - 1 / (360 * x * x * x) + 1 / (1260 * x * x * x * x * x)
+    begun = F.when(F.col("low") == 0, -r).otherwise(x * F.log(r) - r - factorial)
+    rows = rated.where(r > 0).select(key, rate, low.alias("low"), last.alias("last")).withColumn("log", begun)
+    rows = rows.select(key, rate, "low", "log", F.explode(F.sequence("low", "last")).alias("k"))
+    up_to = Window.partitionBy(key).orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+    term = F.exp(F.col("log") + F.sum(F.when(F.col("k") == F.col("low"), F.lit(0.0)).otherwise(F.log(F.col(rate) / F.col("k")))).over(up_to))
+    rows = rows.withColumn("p", term).withColumn("c", F.sum("p").over(up_to))
+    pairs = F.sort_array(F.collect_list(F.struct("k", "c")))
+    return rows.groupBy(key).agg(F.min("low").alias(first), F.transform(pairs, lambda e: e["c"]).alias(cdf))
+
+
+def rates(docs: DataFrame, weights: dict[str, float], default: float, source_col: str, text_col: str) -> DataFrame:
+    """(source, rate, first, cdf) for each source that has any copies: the mean repetitions that bring it to its share of all characters.
+
+    A source that `weights` lacks, null included, weighs `default`. A source of weight 0 or without a character has no row.
     """
-    size = docs.groupBy(F.col(source_col).alias("mix_source")).agg(F.sum(F.coalesce(F.length(text_col), F.lit(0)).cast("long")).alias("chars"))
+    size = docs.groupBy(F.col(source_col).alias("source")).agg(F.sum(F.coalesce(F.length(text_col), F.lit(0)).cast("long")).alias("chars"))
     given = F.create_map(*[F.lit(x) for kv in weights.items() for x in (kv[0], float(kv[1]))]) if weights else None
-    weight = F.coalesce(given[F.coalesce("mix_source", F.lit(""))] if given is not None else F.lit(None).cast("double"), F.lit(float(default)))
+    weight = F.coalesce(given[F.coalesce("source", F.lit(""))] if given is not None else F.lit(None).cast("double"), F.lit(float(default)))
     size = cut(size.withColumn("weight", F.when(F.col("chars") > 0, weight).otherwise(F.lit(0.0))))
     all_weight, all_chars = size.agg(F.sum("weight"), F.sum("chars")).first()
     rate = F.when(F.col("weight") > 0, F.col("weight") / F.lit(all_weight) * F.lit(all_chars).cast("double") / F.col("chars")).otherwise(F.lit(0.0))
-    out = size.select("mix_source", rate.alias("mix_rate"))
-    return cut(out.withColumn("mix_cdf", F.when(F.col("mix_rate") > 0, poisson_cdf(F.col("mix_rate"))).otherwise(F.array(F.lit(1.0)))))
+    out = cut(size.select("source", rate.alias("rate")).where("rate > 0"))
+    tables = poisson_cdfs(out, "source", "rate", "first", "cdf")
+    return cut(out.join(tables.withColumnRenamed("source", "named"), F.col("source").eqNullSafe(F.col("named"))).select("source", "rate", "first", "cdf"))
 
 
 def mix(docs: DataFrame, weights: dict[str, float], default: float = 1.0, seed: int = 17, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
     """Each document as often as a hash-seeded Poisson variable says, dealt and sorted by a hash of document and copy.
 
     The mean is the repetition rate that brings the document's source to its target weight, the whole keeping
-    about its characters. Adds mix_copies, mix_copy (1 to mix_copies) and mix_key, the place in the global order.
-    Empty and null texts are documents as any other; rows with one id get one count; an empty table stays empty.
+    about its characters. Adds mix_copies, mix_copy (1 to mix_copies) and mix_key, the place in the global order; a
+    column of docs that has such a name stays, and the added one gets an underscore behind it.
+    Empty and null texts are documents as any other; rows with one id, or without one, get one count; an empty table
+    stays empty.
     """
+    copies, copy, key = (fresh(name, docs.columns) for name in ("mix_copies", "mix_copy", "mix_key"))
     by = rates(docs, weights, default, source_col, text_col)
-    by = F.broadcast(by) if by.count() <= BROADCAST_SOURCES else by
-    u = uniform(seed, F.col(id_col))
-    joined = docs.join(by, docs[source_col].eqNullSafe(by["mix_source"]), "inner").withColumn("mix_u", u)
-    counted = joined.withColumn("mix_copies", F.size(F.filter("mix_cdf", lambda c: c < F.col("mix_u")))).where("mix_copies > 0")
-    copies = counted.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies")))).withColumn("mix_key", F.md5(F.concat_ws("|", F.lit(f"{seed}"), F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.col("mix_copy").cast("string")).cast("binary")))
-    return copies.drop("mix_source", "mix_rate", "mix_cdf", "mix_u").repartition("mix_key").sortWithinPartitions("mix_key")
+    size = by.agg(F.count("*"), F.sum(F.size("cdf"))).first()
+    work = {name: fresh(f"llm_{name}", docs.columns) for name in ("source", "first", "cdf", "u", "part")}
+    by = by.select(*[F.col(name).alias(work[name]) for name in ("source", "first", "cdf")])
+    by = F.broadcast(by) if size[0] <= BROADCAST_SOURCES and (size[1] or 0) <= BROADCAST_ENTRIES else by
+    joined = docs.join(by, docs[source_col].eqNullSafe(by[work["source"]]), "inner").withColumn(work["u"], uniform(seed, F.col(id_col)))
+    below = F.size(F.filter(work["cdf"], lambda c: c < F.col(work["u"]))).cast("long")
+    # No entry below the drawn number means `first` itself, which is 0 unless P(X < first) is negligible.
+    counted = joined.withColumn(copies, F.col(work["first"]) + below).where(F.col(copies) > 0)
+    # Copies are listed in parts, so that no row holds a long list of them.
+    parts = counted.withColumn(work["part"], F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(copies) - 1) / PART))))
+    start = F.col(work["part"]) * PART
+    listed = parts.withColumn(copy, F.explode(F.sequence(start + 1, F.least(start + PART, F.col(copies)))))
+    named = F.concat_ws("|", F.lit(f"{seed}"), F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.col(copy).cast("string"))
+    return listed.withColumn(key, F.md5(named.cast("binary"))).select(*docs.columns, copies, copy, key).repartition(key).sortWithinPartitions(key)

@@ -61,7 +61,7 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"), WEIGHTS)
-    return mixed.select("doc_id", "source", "text", F.col("mix_copies").cast("long").alias("n_copies"), F.col("mix_copy").cast("long").alias("copy_no"), F.col("mix_key").alias("shuffle_key"))
+    return mixed.select("doc_id", "source", "text", F.col("mix_copies").alias("n_copies"), F.col("mix_copy").alias("copy_no"), F.col("mix_key").alias("shuffle_key"))
 
 
 def op10_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,11 +99,13 @@ WITH size AS (SELECT source, sum(coalesce(length(text), 0))::BIGINT AS chars FRO
 weighed AS (SELECT *, CASE WHEN chars = 0 THEN 0.0::DOUBLE WHEN source = 'src0' THEN 2.0::DOUBLE WHEN source = 'src1' THEN 0.5::DOUBLE
   WHEN source = 'src2' THEN 3.0::DOUBLE WHEN source = 'src3' THEN 0.25::DOUBLE ELSE 1.0::DOUBLE END AS weight FROM size),
 rated AS (SELECT source, CASE WHEN weight > 0 THEN weight / (SELECT sum(weight) FROM weighed) * (SELECT sum(chars) FROM weighed)::DOUBLE / chars::DOUBLE ELSE 0.0::DOUBLE END AS rate FROM weighed),
-steps AS (SELECT source, rate, unnest(range(0, ceil(rate + 12 * sqrt(rate) + 30)::BIGINT + 1)) AS k FROM rated WHERE rate > 0),
-terms AS (SELECT source, k, exp(-rate + sum(CASE WHEN k = 0 THEN 0.0::DOUBLE ELSE ln(rate / k) END) OVER (PARTITION BY source ORDER BY k)) AS p FROM steps),
-cdf AS (SELECT source, k, sum(p) OVER (PARTITION BY source ORDER BY k) AS c FROM terms),
+spans AS (SELECT source, rate, CASE WHEN floor(rate - 12 * sqrt(rate) - 30) >= 100 THEN floor(rate - 12 * sqrt(rate) - 30)::BIGINT ELSE 0::BIGINT END AS low,
+  ceil(rate + 12 * sqrt(rate) + 30)::BIGINT AS last FROM rated WHERE rate > 0),
+steps AS (SELECT source, rate, low, CASE WHEN low = 0 THEN -rate ELSE low * ln(rate) - rate - lgamma(low + 1) END AS begun, unnest(range(low, last + 1)) AS k FROM spans),
+terms AS (SELECT source, k, low, exp(begun + sum(CASE WHEN k = low THEN 0.0::DOUBLE ELSE ln(rate / k) END) OVER (PARTITION BY source ORDER BY k)) AS p FROM steps),
+cdf AS (SELECT source, k, low, sum(p) OVER (PARTITION BY source ORDER BY k) AS c FROM terms),
 drawn AS (SELECT doc_id, source, text, (('0x' || substr(md5('17|' || coalesce(doc_id::VARCHAR, 'null')), 1, 12))::BIGINT::DOUBLE + 0.5) / 281474976710656.0::DOUBLE AS u FROM documents),
-counted AS (SELECT d.doc_id, d.source, d.text, (SELECT count(*) FROM cdf WHERE cdf.source IS NOT DISTINCT FROM d.source AND cdf.c < d.u)::BIGINT AS n_copies FROM drawn d),
+counted AS (SELECT d.doc_id, d.source, d.text, (SELECT coalesce(min(low), 0) + count(*) FILTER (WHERE cdf.c < d.u) FROM cdf WHERE cdf.source IS NOT DISTINCT FROM d.source)::BIGINT AS n_copies FROM drawn d),
 copies AS (SELECT *, unnest(range(1, n_copies + 1)) AS copy_no FROM counted WHERE n_copies > 0)
 SELECT doc_id, source, text, n_copies, copy_no::BIGINT AS copy_no,
   md5('17|' || coalesce(doc_id::VARCHAR, 'null') || '|' || copy_no::VARCHAR) AS shuffle_key FROM copies""",

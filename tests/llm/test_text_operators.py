@@ -269,7 +269,7 @@ def test_personal_data_over_odd_rows(spark):
 
 
 def test_mixing_meets_its_weights(spark, docs):
-    many = spark.range(6000).selectExpr("id AS doc_id", "repeat('x', 10 + cast(id % 50 as int)) AS text", "CASE WHEN id % 3 = 0 THEN 'hot' WHEN id % 3 = 1 THEN 's1' ELSE NULL END AS source", "1 AS rate", "2 AS cdf")
+    many = spark.range(6000).selectExpr("id AS doc_id", "repeat('x', 10 + cast(id % 50 as int)) AS text", "CASE WHEN id % 3 = 0 THEN 'hot' WHEN id % 3 = 1 THEN 's1' ELSE NULL END AS source", "1 AS rate", "2 AS cdf", "3 AS first")
     mixed = mixing.mix(many, {"hot": 1.0, "s1": 3.0}, 0.5)
     assert mixed.columns == [*many.columns, "mix_copies", "mix_copy", "mix_key"]
     chars = {r["source"]: r["n"] for r in mixed.groupBy("source").agg(F.sum(F.length("text")).alias("n")).collect()}
@@ -284,5 +284,28 @@ def test_mixing_meets_its_weights(spark, docs):
 
 
 def test_poisson_is_inverted_also_for_large_rates(spark):
-    rate = spark.range(1).select(mixing.poisson_cdf(F.lit(900.0)).alias("c"), mixing.poisson_cdf(F.lit(0.5)).alias("d")).first()
-    assert abs(rate["c"][-1] - 1) < 1e-9 and abs(rate["d"][0] - np.exp(-0.5)) < 1e-12 and abs(rate["d"][1] - 1.5 * np.exp(-0.5)) < 1e-12
+    rated = spark.createDataFrame([("a", 0.5), ("b", 900.0), ("c", 4.0e8), (None, 250.0), ("z", 0.0)], "source string, rate double")
+    got = {r["source"]: r for r in mixing.poisson_cdfs(rated, "source", "rate", "first", "cdf").collect()}
+    assert set(got) == {"a", "b", "c", None} and got["a"]["first"] == 0
+    assert abs(got["a"]["cdf"][0] - np.exp(-0.5)) < 1e-12 and abs(got["a"]["cdf"][1] - 1.5 * np.exp(-0.5)) < 1e-12
+    for name, rate in (("b", 900.0), ("c", 4.0e8), (None, 250.0)):
+        cdf, first = np.array(got[name]["cdf"]), got[name]["first"]
+        p = np.diff(np.append(0.0, cdf))
+        k = first + np.arange(len(p))
+        assert abs(cdf[-1] - 1) < 1e-6 and abs((p * k).sum() / rate - 1) < 1e-6 and abs((p * (k - rate) ** 2).sum() / rate - 1) < 1e-3
+        assert len(cdf) < 24 * rate**0.5 + 170 and (first > 0) == (name in "bc" if name else False)
+
+
+def test_a_tiny_source_beside_a_large_one(spark):
+    """One character has a rate of many thousands: its copies come in parts, and its table of probabilities stays small."""
+    docs = spark.range(200).selectExpr("id AS doc_id", "CASE WHEN id = 0 THEN 'x' ELSE repeat('y', 1000) END AS text", "CASE WHEN id = 0 THEN 'tiny' ELSE 'large' END AS source")
+    mixed = mixing.mix(docs, {}, 1.0)
+    n = mixed.where("doc_id = 0").agg(F.count("*").alias("n"), F.min("mix_copies").alias("copies"), F.countDistinct("mix_copy").alias("different"), F.max("mix_copy").alias("last")).first()
+    assert abs(n["n"] - 99_500) < 2_000 and n["n"] == n["copies"] == n["different"] == n["last"]
+
+
+def test_mixing_keeps_columns_of_the_same_name(spark):
+    docs = spark.createDataFrame([(i, "ab", "s", 5.5, 7, 8, "k", "x", 1) for i in range(60)], "doc_id bigint, text string, source string, mix_rate double, mix_copies int, MIX_COPY int, mix_key string, llm_u string, llm_source int")
+    mixed = mixing.mix(docs, {}, 1.0)
+    assert mixed.columns == [*docs.columns, "mix_copies_", "mix_copy_", "mix_key_"]
+    assert {tuple(r)[3:9] for r in mixed.collect()} == {(5.5, 7, 8, "k", "x", 1)}
