@@ -127,6 +127,30 @@ def grams(stream: np.ndarray, row: np.ndarray, order: int) -> tuple[np.ndarray,
     return key[own], row[order - 1 :][own]
 
 
+def runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """The rows of each run of equal first `keys` columns, over batches."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for b in batches:
+        if not len(b):
+            continue
+        cols = [np.asarray(b.column(i)) for i in range(keys)]
+        change = np.zeros(len(b), bool)
+        for c in cols:
+            change[1:] |= c[1:] != c[:-1]
+        starts = [0, *np.flatnonzero(change).tolist(), len(b)]
+        for s, e in zip(starts, starts[1:], strict=False):
+            key = tuple(c[s] for c in cols)
+            if key != last and held:
+                whole, held = [pa.Table.from_batches(held)], []
+                yield whole.pop()  # what is handed on is held no longer
+            held.append(b.slice(s, e - s))
+            last = key
+    if held:
+        whole, held = [pa.Table.from_batches(held)], []
+        yield whole.pop()
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir, which the driver and all executors reach; unset, a temporary one in local mode alone."""
     folder = spark.conf.get("spark.checkpoint.dir", None)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from doculith.llm.common import SLICE_BYTES, components, cut, lean, slices, small_batches, utf8
+from doculith.llm.common import SLICE_BYTES, components, cut, lean, runs, slices, small_batches, utf8
 
 #: Tokens are 49-bit hashes, so that a row of a slice, a level and a token fill one sortable integer.
 TOKEN_BITS, LEVEL_BITS = 49, 4
@@ -337,30 +337,6 @@ def groups(n: np.ndarray, distance: Callable[[int, np.ndarray], np.ndarray], per
     return root
 
 
-def runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
-    """The rows of each run of equal first `keys` columns, over batches."""
-    held: list[pa.RecordBatch] = []
-    last = None
-    for b in batches:
-        if not len(b):
-            continue
-        cols = [np.asarray(b.column(i)) for i in range(keys)]
-        change = np.zeros(len(b), bool)
-        for c in cols:
-            change[1:] |= c[1:] != c[:-1]
-        starts = [0, *np.flatnonzero(change).tolist(), len(b)]
-        for s, e in zip(starts, starts[1:], strict=False):
-            key = tuple(c[s] for c in cols)
-            if key != last and held:
-                whole, held = [pa.Table.from_batches(held)], []
-                yield whole.pop()  # what is handed on is held no longer
-            held.append(b.slice(s, e - s))
-            last = key
-    if held:
-        whole, held = [pa.Table.from_batches(held)], []
-        yield whole.pop()
-
-
 def blocked(members: DataFrame, key: str, doc: str, tokens: str | None = None) -> DataFrame:
     """The rows with (key, bi, bj): a key with more than BLOCK rows, or BLOCK_TOKENS tokens, is dealt into blocks, and each pair of blocks becomes a task of its own."""
     most = F.count("*") / BLOCK if tokens is None else F.greatest(F.count("*") / BLOCK, F.sum(tokens) / BLOCK_TOKENS)

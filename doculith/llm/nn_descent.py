@@ -19,8 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from doculith.llm.common import components, cut, lean
-from doculith.llm.jaccard_join import runs
+from doculith.llm.common import components, cut, lean, runs
 
 #: Neighbours kept for a node, least tables of hyperplanes of a label of several blocks, rows of a first block, and of a block of a component.
 NEIGHBOURS, TABLES, START_BLOCK, BLOCK = 8, 4, 512, 1024

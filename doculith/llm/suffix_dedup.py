@@ -2,8 +2,8 @@
 
 Of all suffixes only those at anchors are sorted. An anchor is a start that the content of a window chooses, so
 equal windows choose equal suffixes. Sampled splitters range-partition the suffixes by their leading token, the
-token of the whole core and the token of the whole segment (all bytes of the windows that choose the anchor);
-each bucket is sorted by multikey quicksort. A core that occurs once in the corpus leaves its windows unique, a
+token of the whole core and the token of the whole segment (all bytes of the windows that choose the anchor),
+into buckets of a bounded size; each bucket is sorted by multikey quicksort. A core that occurs once in the corpus leaves its windows unique, a
 segment that occurs again makes them all repeated. Segments whose core alone occurs again are compared window
 by window; so are the suffixes at a bucket's ends, which may go on in the next bucket.
 """
@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from doculith.llm.common import cut, lean, slices, small_batches, utf8
+from doculith.llm.common import cut, lean, runs, slices, small_batches, utf8
 
 #: Bytes of an anchor's core; every window of the wanted length holds a core that its content alone chooses.
 CORE = 50
@@ -25,6 +25,11 @@ CORE = 50
 BROADCAST_ENTRIES = 1_500_000
 #: A core with more segments to compare sends its windows one by one, so that no task gets them all.
 HOT_CORE = 20_000
+#: Least and most suffixes of a bucket, about, and how many of them are sampled for its splitter. Buckets grow with the
+#: root of the suffixes, so that neither they nor the splitters outgrow a machine.
+BUCKET, MOST_BUCKET, SAMPLED = 25_000, 1_000_000, 8
+#: Ranges up to this size are sorted at once.
+SMALL_SORT = 4096
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _POWERS: list[tuple[np.ndarray, np.ndarray]] = []
 
@@ -98,16 +103,22 @@ def anchors(offsets: np.ndarray, data: np.ndarray, window: int) -> tuple[np.ndar
     return row[first], chosen[first], start[first], start[last], hashes
 
 
-SUFFIX = "lead bigint, core bigint, segment bigint, doc bigint, anchor int, first int, last int"
+#: A text is named by its id and a hash of its content, so that texts that share an id, or have none, are judged apart.
+KEY = ["doc", "tag"]
+SUFFIX = "bucket int, lead bigint, core bigint, segment bigint, doc bigint, tag bigint, anchor int, first int, last int"
+_NAMES = ["bucket", "lead", "core", "segment", "doc", "tag", "anchor", "first", "last"]
+#: The tokens by which suffixes are ordered; a suffix of very many copies is told apart by its text and place.
+ORDER = ["lead", "core", "segment", "doc", "anchor"]
 
 
-def suffixes(docs: DataFrame, window: int) -> DataFrame:
-    """The suffixes at anchors of rows (doc, text): their tokens, and positions in the text's bytes."""
+def suffixes(docs: DataFrame, window: int, splitters: list[np.ndarray] | None = None) -> DataFrame:
+    """The suffixes at anchors of rows (doc, tag, text): their tokens, positions in the text's bytes, and the bucket between `splitters`."""
+    held = docs.sparkSession.sparkContext.broadcast(splitters)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            offsets, data = utf8(b.column(1))
-            doc = np.asarray(b.column(0))
+            offsets, data = utf8(b.column(2))
+            doc, tag = (np.asarray(b.column(i)) for i in (0, 1))
             for start, stop in slices(offsets):
                 own = offsets[start : stop + 1] - offsets[start]
                 part = data[offsets[start] : offsets[stop]]
@@ -117,32 +128,85 @@ def suffixes(docs: DataFrame, window: int) -> DataFrame:
                 lead = np.zeros(len(row), np.uint64)
                 for i in range(8):
                     lead = (lead << np.uint64(8)) | part[anchor + i].astype(np.uint64)
-                core = hashes.of(anchor, anchor + CORE)
-                segment = hashes.of(first, last + window) ^ _mix((anchor - first).astype(np.uint64))
-                signed = lambda x: pa.array((x ^ np.uint64(1 << 63)).view(np.int64))  # noqa: E731  keeps the order of unsigned numbers
+                signed = lambda x: (x ^ np.uint64(1 << 63)).view(np.int64)  # noqa: E731  keeps the order of unsigned numbers
+                lead, core = signed(lead), signed(hashes.of(anchor, anchor + CORE))
+                segment = signed(hashes.of(first, last + window) ^ _mix((anchor - first).astype(np.uint64)))
                 begin = own[row]
-                small = lambda x, begin=begin: pa.array((x - begin).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([signed(lead), signed(core), signed(segment), pa.array(doc[start:stop][row]), small(anchor), small(first), small(last)], names=["lead", "core", "segment", "doc", "anchor", "first", "last"])
-
-    return docs.mapInArrow(lean(run), SUFFIX)
+                anchor, first, last = ((x - begin).astype(np.int32) for x in (anchor, first, last))
+                tokens = [lead, core, segment, doc[start:stop][row], anchor]
+                bucket = located(held.value, tokens) if held.value is not None else np.zeros(len(row), np.int32)
+                arrays = [bucket, *tokens[:4], tag[start:stop][row], anchor, first, last]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], names=_NAMES)
+
+    return docs.select(*KEY, "text").mapInArrow(lean(run), SUFFIX)
+
+
+def located(splitters: list[np.ndarray], tokens: list[np.ndarray]) -> np.ndarray:
+    """The number of splitters that are at most each suffix, by its tokens in order; splitters are sorted."""
+    low = np.searchsorted(splitters[0], tokens[0], "left")
+    high = np.searchsorted(splitters[0], tokens[0], "right")
+    open_ = np.flatnonzero(high > low)  # suffixes whose first token is that of a splitter: the other tokens decide
+    low[open_] = _within(splitters, tokens, open_, low[open_], high[open_])
+    return low.astype(np.int32)
+
+
+def _within(splitters: list[np.ndarray], tokens: list[np.ndarray], rows: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Binary search among splitters[low:high], for all rows at once."""
+    while (going := low < high).any():
+        middle = np.minimum((low + high) // 2, len(splitters[0]) - 1)
+        less, same = np.zeros(len(rows), bool), np.ones(len(rows), bool)
+        for splitter, token in zip(splitters, tokens, strict=True):
+            s, t = splitter[middle], token[rows]
+            less |= same & (t < s)
+            same &= t == s
+        high = np.where(going & less, middle, high)
+        low = np.where(going & ~less, middle + 1, low)
+    return low
+
+
+def sampled_splitters(docs: DataFrame, window: int) -> list[np.ndarray]:
+    """Splitters for buckets of about BUCKET suffixes, from the suffixes of texts that a hash chooses; they only deal out work.
+
+    The sample is as large as the number of buckets asks, whatever the number of texts.
+    """
+    size = docs.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
+    expected = 2 * (size[1] or 0) / (window - CORE + 2)  # a window of w starts chooses two anchors in w + 1 starts
+    buckets = max(1, round(expected / min(MOST_BUCKET, max(BUCKET, 4 * expected**0.5))))
+    if buckets == 1:
+        return [np.zeros(0, np.int64)] * len(ORDER)
+    share = min(1.0, SAMPLED * buckets / expected)
+    # The root of the share of the texts, and of their suffixes, so that a long text does not speak for all.
+    root = F.lit(round(share**0.5 * (1 << 30)))
+    texts = docs.where(F.pmod(F.xxhash64(*KEY, F.lit(3)), F.lit(1 << 30)) < root)
+    few = suffixes(texts, window).where(F.pmod(F.xxhash64(*ORDER, F.lit(4)), F.lit(1 << 30)) < root).select(*ORDER).toArrow()
+    columns = [few.column(i).to_numpy() for i in range(len(ORDER))]
+    order = multikey_order(columns)
+    at = order[np.linspace(0, len(order), buckets + 1)[1:-1].astype(np.int64)] if len(order) else order
+    return [c[at] for c in columns]
 
 
 def multikey_order(tokens: list[np.ndarray]) -> np.ndarray:
-    """The order of rows by their tokens: each further token sorts only the runs that are equal so far."""
-    order = np.argsort(tokens[0], kind="stable")
-    tied = np.zeros(len(order), bool)
-    run = np.zeros(len(order), np.int64)
-    for depth, token in enumerate(tokens):
-        if depth:
-            at = np.flatnonzero(tied)
-            if not len(at):
-                break
-            rows = order[at]
-            order[at] = rows[np.lexsort((token[rows], run[at]))]
-        value = token[order]
-        same = np.append(False, (value[1:] == value[:-1]) & (run[1:] == run[:-1]))
-        run = np.cumsum(~same)
-        tied = same | np.append(same[1:], False)
+    """The order of rows by their tokens, by multikey quicksort.
+
+    A range of rows that agree up to some token is parted by a pivot of that token into smaller, equal and larger
+    ones; only the equal ones go on to the next token. Small ranges are sorted at once.
+    """
+    order = np.arange(len(tokens[0]))
+    open_ = [(0, len(order), 0)]
+    while open_:
+        low, high, depth = open_.pop()
+        if high - low < 2 or depth == len(tokens):
+            continue
+        rows = order[low:high]
+        if high - low <= SMALL_SORT:
+            order[low:high] = rows[np.lexsort([t[rows] for t in tokens[depth:][::-1]])]
+            continue
+        value = tokens[depth][rows]
+        pivot = np.sort(value[:: max(1, len(value) // 15)])[7 if len(value) >= 15 else 0]
+        less, more = value < pivot, value > pivot
+        a, c = int(less.sum()), int(more.sum())
+        order[low:high] = np.concatenate([rows[less], rows[~less & ~more], rows[more]])
+        open_ += [(low, low + a, depth), (low + a, high - c, depth + 1), (high - c, high, depth)]
     return order
 
 
@@ -151,17 +215,16 @@ FULL, OPEN, WITNESS = 1, 2, 3
 
 
 def judged(ranged: DataFrame) -> DataFrame:
-    """(doc, core, anchor, first, last, state) of the suffixes of each bucket that may hold a repeated window."""
+    """(doc, tag, core, anchor, first, last, state) of the suffixes of each bucket that may hold a repeated window; one bucket is held at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if len(b)]
-        if not held:
-            return
-        t = pa.Table.from_batches(held).combine_chunks()
-        lead, core, segment, doc, anchor, first, last = (t.column(i).to_numpy() for i in range(7))
+        for t in runs(batches, 1):
+            yield from judge(t.combine_chunks())
+
+    def judge(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        lead, core, segment, doc, tag, anchor, first, last = (t.column(i).to_numpy() for i in range(1, 9))
         order = multikey_order([lead, core, segment])
-        lead, core, segment, doc, anchor, first, last = (x[order] for x in (lead, core, segment, doc, anchor, first, last))
-        n = len(order)
+        lead, core, segment, doc, tag, anchor, first, last = (x[order] for x in (lead, core, segment, doc, tag, anchor, first, last))
         as_core = np.append(False, (core[1:] == core[:-1]) & (lead[1:] == lead[:-1]))
         as_segment = as_core & np.append(False, segment[1:] == segment[:-1])
         repeated = as_core | np.append(as_core[1:], False)
@@ -177,27 +240,27 @@ def judged(ranged: DataFrame) -> DataFrame:
         state = np.concatenate([np.full(len(p), k, np.int32) for p, k in parts])
         for i in range(0, len(at), 1 << 16):
             k = at[i : i + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(doc[k]), pa.array(core[k]), pa.array(anchor[k]), pa.array(first[k]), pa.array(last[k]), pa.array(state[i : i + (1 << 16)])], names=["doc", "core", "anchor", "first", "last", "state"])
+            yield pa.RecordBatch.from_arrays([pa.array(doc[k]), pa.array(tag[k]), pa.array(core[k]), pa.array(anchor[k]), pa.array(first[k]), pa.array(last[k]), pa.array(state[i : i + (1 << 16)])], names=["doc", "tag", "core", "anchor", "first", "last", "state"])
 
-    return ranged.mapInArrow(lean(run), "doc bigint, core bigint, anchor int, first int, last int, state int")
+    return ranged.mapInArrow(lean(run), "doc bigint, tag bigint, core bigint, anchor int, first int, last int, state int")
 
 
 def with_texts(docs: DataFrame, entries: DataFrame, how: str) -> DataFrame:
-    """The documents (doc, text) with their array `entries`; broadcast while it is small, else shuffled."""
+    """The documents (doc, tag, text, ...) with their array `entries`; broadcast while it is small, else shuffled."""
     size = entries.agg(F.sum(F.size("entries"))).first()[0] or 0
-    return docs.join(F.broadcast(entries) if size <= BROADCAST_ENTRIES else entries, "doc", how)
+    return docs.join(F.broadcast(entries) if size <= BROADCAST_ENTRIES else entries, KEY, how)
 
 
 def segments(docs: DataFrame, undecided: DataFrame, window: int) -> DataFrame:
-    """(core, doc, anchor, first, state, hot, bytes): the bytes of the segments to compare."""
+    """(core, doc, tag, anchor, first, state, hot, bytes): the bytes of the segments to compare."""
     entry = F.struct("core", "anchor", "first", "last", "state", "hot")
-    entries = cut(undecided.groupBy("doc").agg(F.collect_list(entry).alias("entries")))
-    rows = with_texts(docs, entries, "inner").select("doc", F.encode("text", "utf-8").alias("raw"), F.explode("entries").alias("e")).select("doc", "raw", "e.*")
-    return rows.select("core", "doc", "anchor", "first", "state", "hot", F.expr(f"substring(raw, first + 1, last - first + {window})").alias("bytes"))
+    entries = cut(undecided.groupBy(*KEY).agg(F.collect_list(entry).alias("entries")))
+    rows = with_texts(docs, entries, "inner").select(*KEY, F.encode("text", "utf-8").alias("raw"), F.explode("entries").alias("e")).select(*KEY, "raw", "e.*")
+    return rows.select("core", *KEY, "anchor", "first", "state", "hot", F.expr(f"substring(raw, first + 1, last - first + {window})").alias("bytes"))
 
 
 def _windows(t: pa.Table, window: int) -> tuple[np.ndarray, ...]:
-    """Of rows (core, doc, anchor, first, state, bytes): the row, the start in the text and a key of each window."""
+    """Of rows (core, doc, tag, anchor, first, state, bytes): the row, the start in the text and a key of each window."""
     raw = t.column("bytes").combine_chunks()
     offsets, data = raw.buffers()[1:3]
     at = np.frombuffer(offsets, np.int32)[raw.offset : raw.offset + len(raw) + 1].astype(np.int64)
@@ -213,19 +276,20 @@ def _windows(t: pa.Table, window: int) -> tuple[np.ndarray, ...]:
     return row, start, _mix(hashes.of(begin, begin + window) + core * _BASE + offset)
 
 
-_SPAN = "doc bigint, start int, end int"
+_SPAN = "doc bigint, tag bigint, start int, end int"
 
 
-def _spans(doc: np.ndarray, row: np.ndarray, start: np.ndarray, window: int) -> pa.RecordBatch:
+def _spans(t: pa.Table, row: np.ndarray, start: np.ndarray, window: int) -> pa.RecordBatch:
     """The spans of successive repeated windows of each row."""
     head = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (start[1:] != start[:-1] + 1)))
     tail = np.append(head[1:], len(row)) - 1
-    return pa.RecordBatch.from_arrays([pa.array(doc[row[head]]), pa.array(start[head].astype(np.int32)), pa.array((start[tail] + window).astype(np.int32))], names=["doc", "start", "end"])
+    doc, tag = (t.column(name).to_numpy()[row[head]] for name in KEY)
+    return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(tag), pa.array(start[head].astype(np.int32)), pa.array((start[tail] + window).astype(np.int32))], names=[*KEY, "start", "end"])
 
 
 def compared(parts: DataFrame, window: int) -> DataFrame:
-    """(doc, start, end): repeated windows of OPEN segments, each core in one task, a few thousand segments at a time."""
-    dealt = parts.select("core", "doc", "anchor", "first", "state", "bytes").repartition("core").sortWithinPartitions("core")
+    """(doc, tag, start, end): repeated windows of OPEN segments, each core in one task, a few thousand segments at a time."""
+    dealt = parts.select("core", *KEY, "anchor", "first", "state", "bytes").repartition("core").sortWithinPartitions("core")
 
     def decide(t: pa.Table) -> Iterator[pa.RecordBatch]:
         row, start, key = _windows(t, window)
@@ -238,7 +302,7 @@ def compared(parts: DataFrame, window: int) -> DataFrame:
         again[order] = same | np.append(same[1:], False)
         again &= (t.column("state").to_numpy() == OPEN)[row]
         if again.any():
-            yield _spans(t.column("doc").to_numpy(), row[again], start[again], window)
+            yield _spans(t, row[again], start[again], window)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -269,20 +333,18 @@ def compared_by_window(parts: DataFrame, window: int) -> DataFrame:
             for i in range(0, len(b), 2048):
                 t = pa.Table.from_batches([b.slice(i, 2048)])
                 row, start, key = _windows(t, window)
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(t.column("doc").to_numpy()[row]), pa.array(start.astype(np.int32)), pa.array(t.column("state").to_numpy()[row])], names=["key", "doc", "start", "state"])
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *(pa.array(t.column(name).to_numpy()[row]) for name in KEY), pa.array(start.astype(np.int32)), pa.array(t.column("state").to_numpy()[row])], names=["key", *KEY, "start", "state"])
 
-    rows = parts.select("core", "doc", "anchor", "first", "state", "bytes").mapInArrow(lean(explode), "key bigint, doc bigint, start int, state int")
+    rows = parts.select("core", *KEY, "anchor", "first", "state", "bytes").mapInArrow(lean(explode), "key bigint, doc bigint, tag bigint, start int, state int")
     often = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    return rows.where(F.col("state") == OPEN).join(often, "key").select("doc", "start", (F.col("start") + window).alias("end"))
+    return rows.where(F.col("state") == OPEN).join(often, "key").select(*KEY, "start", (F.col("start") + window).alias("end"))
 
 
 def repeated_spans(docs: DataFrame, window: int) -> DataFrame:
-    """(doc, start, end) in bytes: spans, overlapping or not, that cover what repeated windows cover."""
-    found = suffixes(docs, window)
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # Equal suffixes differ in doc and anchor, so a suffix of very many copies is split as well.
-    state = cut(judged(found.repartitionByRange(parts, "lead", "core", "segment", "doc", "anchor")))
-    full = state.where(F.col("state") == FULL).select("doc", F.col("first").alias("start"), (F.col("last") + window).alias("end"))
+    """(doc, tag, start, end) in bytes: spans, overlapping or not, that cover what repeated windows cover."""
+    found = suffixes(docs, window, sampled_splitters(docs, window))
+    state = cut(judged(found.repartition("bucket").sortWithinPartitions("bucket")))
+    full = state.where(F.col("state") == FULL).select(*KEY, F.col("first").alias("start"), (F.col("last") + window).alias("end"))
     undecided = state.where(F.col("state") != FULL)
     hot = cut(undecided.groupBy("core").agg(F.count("*").alias("n")).where(F.col("n") > HOT_CORE).select("core", F.lit(True).alias("hot")))
     if hot.limit(1).count() == 0:
@@ -304,14 +366,18 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def deduplicate(docs: DataFrame, window: int = 200, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_bytes, n_removed, n_spans, kept) for each row whose id is not null; kept is what is left of the UTF-8 bytes, as binary.
+    """(id, n_bytes, n_removed, n_spans, kept) for each row; kept is what is left of the UTF-8 bytes, as binary.
 
-    A byte goes if a string of `window` bytes covers it that starts anywhere else too. A null text is empty;
-    rows that share an id are copies of one text. Other columns are not read.
+    A byte goes if a string of `window` bytes covers it that starts anywhere else too, in any row. A null text is
+    empty. Rows that share an id, or have none, are texts of their own; equal rows repeat each other. Other columns
+    are not read, and an empty table gives no row.
     """
     if window < CORE:
         raise ValueError(f"a window has at least {CORE} bytes")
-    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    # A row without an id is named by two hashes of its text.
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(id_col).cast("long"), F.xxhash64(text, F.lit(7))).alias("doc"), F.xxhash64(text).alias("tag"), text.alias("text"))
+    kind = rows.schema["id"].dataType.simpleString()
     with small_batches(docs.sparkSession):
         entries = cut(_merged_by_doc(repeated_spans(rows, window)))
 
@@ -335,21 +401,21 @@ def deduplicate(docs: DataFrame, window: int = 200, id_col: str = "doc_id", text
                     yield pa.RecordBatch.from_arrays([b.column(0).slice(first, len(out)), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(number, pa.int64()), pa.array(left, pa.binary())], names=["id", "n_bytes", "n_removed", "n_spans", "kept"])
                     out = []
 
-    joined = with_texts(rows, entries, "left").select("doc", "text", "entries")
-    return joined.mapInArrow(lean(run), "id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary").withColumnRenamed("id", id_col)
+    joined = with_texts(rows, entries, "left").select("id", "text", "entries")
+    return joined.mapInArrow(lean(run), f"id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary").withColumnRenamed("id", id_col)
 
 
 def _merged_by_doc(spans: DataFrame) -> DataFrame:
-    """(doc, entries): the maximal removed runs of each document with any, as sorted structs (start, end)."""
+    """(doc, tag, entries): the maximal removed runs of each document with any, as sorted structs (start, end)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            lists = [[{"start": s, "end": e} for s, e in merged([(x["start"], x["end"]) for x in r])] for r in b.column(1).to_pylist()]
+            lists = [[{"start": s, "end": e} for s, e in merged([(x["start"], x["end"]) for x in r])] for r in b.column(2).to_pylist()]
             kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lists, kind)], names=["doc", "entries"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(lists, kind)], names=[*KEY, "entries"])
 
-    grouped = spans.distinct().groupBy("doc").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    return grouped.mapInArrow(lean(run), "doc bigint, entries array<struct<start:int,end:int>>")
+    grouped = spans.distinct().groupBy(*KEY).agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    return grouped.mapInArrow(lean(run), "doc bigint, tag bigint, entries array<struct<start:int,end:int>>")
 
 
 def digest(docs: DataFrame, window: int = 200, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

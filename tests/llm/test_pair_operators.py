@@ -76,7 +76,9 @@ def test_repeated_strings_against_brute_force(spark, monkeypatch, hot, entries):
     assert got == _removed(texts, 100)
 
 
-def test_equal_suffixes_over_many_buckets(spark):
+def test_equal_suffixes_over_many_buckets(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "BUCKET", 20)
+    monkeypatch.setattr(suffix_dedup, "MOST_BUCKET", 20)
     texts = [(i, "the same text in every row of the table, again and again. " * 4 + ("" if i % 2 else f"{i:0100d}")) for i in range(300)]
     docs = spark.createDataFrame(texts, "doc_id bigint, text string").repartition(6)
     before = spark.conf.get("spark.sql.shuffle.partitions")
@@ -89,12 +91,29 @@ def test_equal_suffixes_over_many_buckets(spark):
 
 
 def test_dedup_of_rows_with_one_id_and_of_none(spark):
-    docs = spark.createDataFrame([(1, "q" * 30 + "w" * 90), (1, "q" * 30 + "w" * 90), (None, "q" * 300)], "doc_id bigint, text string")
-    assert [tuple(r)[:4] for r in suffix_dedup.digest(docs, 100).collect()] == [(1, 120, 120, 1)] * 2
+    """Each row is judged by its own text: equal rows repeat each other, others of that id only what they share."""
+    rng = np.random.default_rng(13)
+    make = lambda n: "".join(rng.choice(list("abcdefgh "), n))
+    shared = make(250)
+    rows = [(1, make(50) + shared), (1, make(40)), (2, shared), (3, make(300)), (3, make(120)), (None, make(130)), (None, shared + make(10)), (4, "q" * 30 + "w" * 90), (4, "q" * 30 + "w" * 90), (None, None), (None, None), (5, "")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    want = _removed(list(enumerate(t for _, t in rows)), 100)
+    assert Counter(map(tuple, suffix_dedup.digest(docs, 100).collect())) == Counter((i, *want[k]) for k, (i, _) in enumerate(rows))
     assert suffix_dedup.digest(docs.where("false"), 100).count() == 0
 
 
-def test_multikey_order():
+def test_splitters_part_suffixes_as_the_order_does():
+    rng = np.random.default_rng(14)
+    tokens = [rng.integers(0, 3, 400) for _ in range(5)]
+    splitters = [rng.integers(0, 3, 9) for _ in range(5)]
+    by = sorted(zip(*splitters, strict=True))
+    splitters = [np.array(c) for c in zip(*by, strict=True)]
+    assert suffix_dedup.located(splitters, tokens).tolist() == [sum(s <= t for s in by) for t in zip(*tokens, strict=True)]
+
+
+@pytest.mark.parametrize("small", [1, 50, 4096])
+def test_multikey_order(monkeypatch, small):
+    monkeypatch.setattr(suffix_dedup, "SMALL_SORT", small)
     rng = np.random.default_rng(3)
     tokens = [rng.integers(0, 4, 500) for _ in range(4)]
     assert (multi := suffix_dedup.multikey_order(tokens)).tolist() and [tuple(t[i] for t in tokens) for i in multi] == sorted(zip(*tokens, strict=True))
