@@ -1,4 +1,4 @@
-"""Exact URL rules from a cascade of Bloom filters, without a join.
+"""Exact URL rules from a cascade of Bloom filters: neither the filters' making nor a url's verdict joins anything.
 
 Odd levels hold listed keys, even levels the keys of the corpus that the level before let through wrongly.
 The keys that can be asked are all known beforehand, so the cascade ends in no error at all.
@@ -16,8 +16,6 @@ from pyspark.sql import functions as F
 
 from doculith.llm.common import cut, lean
 
-#: Listed rules are held by the driver; more than this many are refused.
-MAX_RULES = 5_000_000
 #: The first level is made so fine that about this many keys of the corpus pass it wrongly at most, however large the corpus.
 FALSE_POSITIVES = 100_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -111,16 +109,21 @@ def passing(keys: DataFrame, level: Filter) -> DataFrame:
 
 
 def cascade(listed: DataFrame, universe: DataFrame) -> list[Filter]:
-    """Levels that decide for every key of the universe whether it is listed."""
+    """Levels that decide for every key of the universe whether it is listed.
+
+    What passes the first level is few: the listed keys and some others. These are told apart by an aggregation.
+    """
     n, size = listed.count(), universe.count()
     if n == 0:
         return []
-    levels: list[Filter] = []
-    inside, outside, rate = listed, universe.join(F.broadcast(listed), "key", "left_anti"), min(0.5, FALSE_POSITIVES / max(1, size), 0.01)
-    while n:
-        levels.append(filter_of(inside, n, rate, len(levels)))
-        wrong = cut(passing(outside, levels[-1]))
-        inside, outside, n, rate = wrong, inside, wrong.count(), 0.5 if len(levels) > 1 else 0.25
+    rate = min(0.5, FALSE_POSITIVES / max(1, size), 0.01)
+    levels = [filter_of(listed, n, rate, 0)]
+    marked = passing(universe, levels[0]).withColumn("own", F.lit(0)).union(listed.select("key", F.lit(1).alias("own")))
+    outside = cut(marked.groupBy("key").agg(F.max("own").alias("own")).where("own = 0").select("key"))
+    inside, outside = outside, listed
+    while n := inside.count():
+        levels.append(filter_of(inside, n, 0.5 if len(levels) > 1 else 0.25, len(levels)))
+        inside, outside = cut(passing(outside, levels[-1])), inside
     return levels
 
 
@@ -141,37 +144,35 @@ def judge(pages: DataFrame, rules: list[Rule], default: str = "allow", id_col: s
 
     Host and path of a null url or one without :// are empty, and no rule fits an empty host. The longest rule
     wins, of equally long ones the first in code point order, and block if one key has both actions. Without a
-    rule the verdict is `default`. Only the url is read; repeated rows each give a row.
+    rule the verdict is `default`. Only the url is read; repeated rows each give a row, an empty table none.
     """
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"{len(rules)} rules; at most {MAX_RULES} are supported")
     shapes = sorted({r.shape for r in rules})
     kind = pages.schema[id_col].dataType.simpleString()
     host, path = host_of(F.col(url_col)), path_of(F.col(url_col))
     rows = pages.select(F.col(id_col).alias("id"), host.alias("host"), path.alias("path")).withColumn("keys", keys_of(F.col("host"), F.col("path"), shapes))
     universe = cut(rows.select(F.explode("keys").alias("key")).distinct())
     spark = pages.sparkSession
-    built = {}
-    for action in sorted({r.action for r in rules}, key=lambda a: a != "block"):
-        listed = spark.createDataFrame(sorted({(r.key,) for r in rules if r.action == action}), "key string")
-        built[action] = cascade(listed, universe)
+    actions = sorted({r.action for r in rules}, key=lambda a: a != "block")
+    built = [cascade(spark.createDataFrame(sorted({(r.key,) for r in rules if r.action == a}), "key string"), universe) for a in actions]
+    held = spark.sparkContext.broadcast(built)  # the filters' bits
 
     def run(batches):
+        names = pa.array([*actions, default], pa.string())
         for b in batches:
             keys, h1, h2 = (b.column(i) for i in (3, 4, 5))
             flat = keys.flatten()
             a, c = (np.asarray(x.flatten()) for x in (h1, h2))
             row = np.repeat(np.arange(len(b)), np.diff(np.asarray(keys.offsets)))
-            rule, verdict = np.full(len(b), None, object), np.full(len(b), default, object)
-            taken = np.zeros(len(b), bool)
-            hit = {action: listed_in(levels, a, c) for action, levels in built.items()}
-            any_hit = np.flatnonzero(np.logical_or.reduce([*hit.values(), np.zeros(len(a), bool)]))
-            for i in any_hit:
-                r = row[i]
-                if not taken[r]:
-                    taken[r] = True
-                    rule[r], verdict[r] = flat[int(i)].as_py(), next(k for k, v in hit.items() if v[i])
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(rule, pa.string()), pa.array(verdict, pa.string())], names=["id", "host", "path", "rule", "verdict"])
+            action = np.full(len(a), len(actions))
+            for i in reversed(range(len(actions))):
+                action[listed_in(held.value[i], a, c)] = i
+            hit = np.flatnonzero(action < len(actions))
+            _, first = np.unique(row[hit], return_index=True)  # keys stand in order, the longest first
+            chosen, taken = np.full(len(b), -1), hit[first]
+            chosen[row[taken]] = taken
+            rule = flat.take(pa.array(chosen, mask=chosen < 0))
+            verdict = names.take(pa.array(np.where(chosen < 0, len(actions), action[chosen] if len(action) else 0)))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), rule.cast(pa.string()), verdict], names=["id", "host", "path", "rule", "verdict"])
 
     asked = rows.withColumns({"h1": F.transform("keys", lambda k: hashed(k)[0]), "h2": F.transform("keys", lambda k: hashed(k)[1])})
     return asked.mapInArrow(lean(run), f"id {kind}, host string, path string, rule string, verdict string").withColumnRenamed("id", id_col)
