@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from doculith.llm.common import lean, sliced
 
@@ -27,17 +27,18 @@ _OTHER = re.compile(r"[^0-9]")
 
 #: Words that make a kind likelier when they stand within WINDOW characters before or after a span.
 CONTEXT = {
-    "email": ("mail", "contact", "write", "courriel", "correo"),
+    "email": ("mail", "email", "contact", "write", "courriel", "correo"),
     "ip": ("ip", "address", "server", "host", "login"),
     "card": ("card", "visa", "credit", "payment", "karte", "carte", "tarjeta"),
-    "phone": ("phone", "tel", "call", "mobile", "fax", "telefon"),
+    "phone": ("phone", "telephone", "tel", "call", "mobile", "fax", "telefon"),
     "iban": ("iban", "bank", "account", "konto", "compte", "cuenta"),
     "ssn": ("ssn", "social", "security"),
 }
 #: Score of a confirmed span before context, what a context word adds, and the least score that is kept.
 START = {"email": 0.8, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.8, "ssn": 0.4}
 LIFT, LEAST, WINDOW = 0.2, 0.5, 40
-
+#: Context words stand alone: "ip" does not count in "ship".
+_CONTEXT = {kind: re.compile(r"(?<![^\W_])(?:" + "|".join(words) + r")s?(?![^\W_])") for kind, words in CONTEXT.items()}
 
 def luhn(digits: str) -> bool:
     total = 0
@@ -97,7 +98,7 @@ def find(text: str) -> list[tuple[int, int, str, float]]:
     found = []
     for start, end, kind in proposals(text):
         near = text[max(0, start - WINDOW) : start].lower() + " " + text[end : end + WINDOW].lower()
-        score = min(1.0, START[kind] + LIFT * any(w in near for w in CONTEXT[kind]))
+        score = min(1.0, START[kind] + LIFT * bool(_CONTEXT[kind].search(near)))
         if kind in BASE or score >= LEAST:
             found.append((start, end, kind, score))
     found.sort(key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
@@ -133,7 +134,7 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """All columns, with every span of the text replaced by its kind in brackets; null texts stay null."""
+    """All columns, with every span of the text replaced by its kind in brackets; null texts stay null, empty ones empty, repeated rows alike."""
     schema, at = docs.schema, docs.columns.index(text_col)
 
     def run(batches):
@@ -145,15 +146,8 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """What `detect` finds, as counts and one line of spans for each row."""
-    kind = docs.schema[id_col].dataType.simpleString()
-
-    def run(batches):
-        for b in batches:
-            rows = b.column(1).to_pylist()
-            line = lambda spans, kinds: ",".join(f"{s['kind']}:{s['start']}:{s['end']}" for s in spans if s["kind"] in kinds)
-            counts = [pa.array([sum(s["kind"] == k for s in r) for r in rows], pa.int64()) for k in BASE]
-            base = [hashlib.sha256(line(r, BASE).encode()).hexdigest() for r in rows]
-            yield pa.RecordBatch.from_arrays([b.column(0), *counts, pa.array(base, pa.string()), pa.array([line(r, KINDS) for r in rows], pa.string())], names=[id_col, *(f"n_{k}" for k in BASE), "base_sha256", "spans"])
-
-    return detect(docs, id_col, text_col).mapInArrow(lean(run), f"`{id_col}` {kind}, " + ", ".join(f"n_{k} bigint" for k in BASE) + ", base_sha256 string, spans string")
+    """What `detect` finds, as counts and one line of spans for each row, by expressions over its spans."""
+    line = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    of = lambda *kinds: F.filter("spans", lambda s: s["kind"].isin(*kinds))
+    counts = [F.size(of(k)).cast("long").alias(f"n_{k}") for k in BASE]
+    return detect(docs, id_col, text_col).select(id_col, *counts, F.sha2(line(of(*BASE)).cast("binary"), 256).alias("base_sha256"), line(F.col("spans")).alias("spans"))
