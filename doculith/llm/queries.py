@@ -41,7 +41,7 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.round_trip(table(spark, sf_dir, "pages"), warc.scratch(spark))
+    return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
