@@ -14,17 +14,17 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from doculith.llm.common import SLICE_BYTES, components, cut, lean, runs, slices, small_batches, utf8
+from doculith.llm.common import SLICE_BYTES, components, cut, fresh, lean, runs, slices, small_batches, utf8
 
-#: Tokens are 49-bit hashes, so that a row of a slice, a level and a token fill one sortable integer.
-TOKEN_BITS, LEVEL_BITS = 49, 4
-SLICE_ROWS = 2048
+#: Tokens are 64-bit hashes. A row of a slice, a level and the upper bits of a token fill one sortable integer.
+ROW_BITS, LEVEL_BITS = 11, 4
+SLICE_ROWS = 1 << ROW_BITS
 SKETCH_BITS, SEGMENT = 22, 4096
-#: Bits of a parity sketch, for sets up to SMALL_SET shingles and for larger ones.
-SMALL_SET, SMALL_SKETCH, LARGE_SKETCH = 4096, 1024, 8192
+#: Least bits of a parity sketch; a larger set has the least power of four times as many that is at least its size.
+SKETCH = 1024
 #: Index lists up to this length give their pairs at once; longer ones are split into blocks and compared by sketch.
 SHORT_LIST, BLOCK = 48, 4096
 #: Tokens of a block of a cluster at most, but for a single larger set.
@@ -79,7 +79,7 @@ def words(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def shingle_sets(offsets: np.ndarray, data: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct (row, token) pairs of a slice, sorted; a text with fewer words has its whole sequence as one token."""
+    """The distinct (row, token) pairs of a slice of up to SLICE_ROWS rows, sorted; a text with fewer words has its whole sequence as one token."""
     rows = len(offsets) - 1
     h, row = words(offsets, data)
     n = len(h) - size + 1
@@ -97,9 +97,24 @@ def shingle_sets(offsets: np.ndarray, data: np.ndarray, size: int) -> tuple[np.n
         for x in h[first[r] : first[r] + count[r]]:
             value = np.uint64((int(value) * int(_ODD) + int(x)) & 0xFFFFFFFFFFFFFFFF)
         token, own = np.append(token, _mix(np.array([value], np.uint64))), np.append(own, r)
-    key = (own.astype(np.uint64) << np.uint64(TOKEN_BITS)) | (token >> np.uint64(64 - TOKEN_BITS))
-    key = np.unique(key)
-    return (key >> np.uint64(TOKEN_BITS)).astype(np.int64), key & np.uint64((1 << TOKEN_BITS) - 1)
+    order = _order(token, own, np.zeros(0, np.uint64))
+    token, own = token[order], own[order].astype(np.int64)
+    new = np.ones(len(token), bool)
+    new[1:] = (token[1:] != token[:-1]) | (own[1:] != own[:-1])
+    return own[new], token[new]
+
+
+def _order(token: np.ndarray, row: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """The order by row, rank (if any) and token. One sort by the upper bits of all; where these tie for different tokens, by every bit."""
+    bits = LEVEL_BITS if len(rank) else 0
+    key = (row.astype(np.uint64) << np.uint64(64 - ROW_BITS)) | (token >> np.uint64(ROW_BITS + bits))
+    if bits:
+        key |= rank << np.uint64(64 - ROW_BITS - LEVEL_BITS)
+    order = np.argsort(key)
+    key, value = key[order], token[order]
+    if ((key[1:] == key[:-1]) & (value[1:] != value[:-1])).any():
+        return np.lexsort((token, rank, row) if bits else (token, row))
+    return order
 
 
 def _sliced(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -127,7 +142,7 @@ def levels(docs: DataFrame, text_col: str, size: int) -> np.ndarray:
         for b in batches:
             for _, _, offsets, data in _sliced(b, 0):
                 _, token = shingle_sets(offsets, data, size)
-                held.append((token >> np.uint64(TOKEN_BITS - SKETCH_BITS)).astype(np.int32))
+                held.append((token >> np.uint64(64 - SKETCH_BITS)).astype(np.int32))
                 n += len(token)
                 if n > 1 << 20:
                     flush()
@@ -172,14 +187,20 @@ def index_length(n, percent: int):
     return n - _ceil_div(2 * percent * n, 100 + percent) + 1
 
 
+def sketch_bits(n: np.ndarray) -> np.ndarray:
+    """Bits of the sketches of sets of n tokens. Unrelated sets of that size differ in about half of them, far more than linked ones may."""
+    bits = np.full(len(n), SKETCH, np.int64)
+    while (short := bits < n).any():
+        bits[short] *= 4
+    return bits
+
+
 def parity(row: np.ndarray, token: np.ndarray, n: np.ndarray) -> list[bytes]:
     """Each row's sketch: a bit is the parity of the tokens that hash to it, so sketches differ in at most as many bits as sets in tokens."""
     out: list[bytes] = [b""] * len(n)
-    for large in (False, True):
-        bits = LARGE_SKETCH if large else SMALL_SKETCH
-        which = np.flatnonzero((n > SMALL_SET) == large)
-        if not len(which):
-            continue
+    size = sketch_bits(n)
+    for bits in np.unique(size).tolist():
+        which = np.flatnonzero(size == bits)
         at = np.full(len(n), -1)
         at[which] = np.arange(len(which))
         mine = at[row] >= 0
@@ -190,14 +211,14 @@ def parity(row: np.ndarray, token: np.ndarray, n: np.ndarray) -> list[bytes]:
     return out
 
 
-def described(docs: DataFrame, level: np.ndarray, size: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """(doc, n, h1, h2, prefix, sketch) for each row."""
+def described(docs: DataFrame, level: np.ndarray, size: int, percent: int) -> DataFrame:
+    """(doc, tag, n, h1, h2, prefix, sketch) for each row (doc, tag, text)."""
     held = docs.sparkSession.sparkContext.broadcast(level)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level = held.value
         for b in batches:
-            for start, stop, offsets, data in _sliced(b, 1):
+            for start, stop, offsets, data in _sliced(b, 2):
                 rows = stop - start
                 row, token = shingle_sets(offsets, data, size)
                 n = np.bincount(row, minlength=rows)
@@ -208,24 +229,17 @@ def described(docs: DataFrame, level: np.ndarray, size: int, percent: int, id_co
                 if len(row):
                     h1[full] = np.add.reduceat(mixed, first[full])
                     h2[full] = np.add.reduceat(_mix(mixed ^ _ODD), first[full])
-                rank = level[(token >> np.uint64(TOKEN_BITS - SKETCH_BITS)).astype(np.int64)].astype(np.uint64)
-                key = np.sort((row.astype(np.uint64) << np.uint64(TOKEN_BITS + LEVEL_BITS)) | (rank << np.uint64(TOKEN_BITS)) | token)
-                place = np.arange(len(key)) - np.repeat(first, n)
+                rank = level[(token >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)].astype(np.uint64)
+                ranked = token[_order(token, row, rank)]
+                place = np.arange(len(ranked)) - np.repeat(first, n)
                 length = np.where(full, probe_length(n, percent), 0)
-                keep = place < np.repeat(length, n)
-                prefix = (key[keep] & np.uint64((1 << TOKEN_BITS) - 1)).astype(np.int64)
+                prefix = ranked[place < np.repeat(length, n)].view(np.int64)
                 cuts = np.append(0, np.cumsum(length)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(start, rows).cast(pa.int64()), pa.array(n.astype(np.int64)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.ListArray.from_arrays(pa.array(cuts), pa.array(prefix)), pa.array(parity(row, token, n), pa.binary())],
-                    names=["doc", "n", "h1", "h2", "prefix", "sketch"],
-                )
-
-    return docs.select(id_col, text_col).mapInArrow(lean(run), "doc bigint, n bigint, h1 bigint, h2 bigint, prefix array<bigint>, sketch binary")
-
+                named = [b.column(i).slice(start, rows) for i in (0, 1)]
+                found = [pa.array(n.astype(np.int64)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.ListArray.from_arrays(pa.array(cuts), pa.array(prefix)), pa.array(parity(row, token, n), pa.binary())]
+                yield pa.RecordBatch.from_arrays([*named, *found], names=["doc", "tag", "n", "h1", "h2", "prefix", "sketch"])
 
-def may_link(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
-    small, large = np.minimum(n, m), np.maximum(n, m)
-    return 100 * small >= percent * large
+    return docs.select("doc", "tag", "text").mapInArrow(lean(run), "doc bigint, tag bigint, n bigint, h1 bigint, h2 bigint, prefix array<bigint>, sketch binary")
 
 
 def needed(n, m, percent: int):
@@ -259,8 +273,8 @@ def list_pairs(token: np.ndarray, doc: np.ndarray, n: np.ndarray, pos: np.ndarra
 
 
 def candidates(reps: DataFrame, percent: int) -> DataFrame:
-    """(token, x, y, n, pos): pairs x < y with a null token from short lists, and entries with a null y of long ones."""
-    rows = reps.select("doc", "n", F.posexplode("prefix").alias("pos", "token")).select("token", "n", F.col("pos").cast("int").alias("pos"), "doc")
+    """(token, x, y, n, pos) of the classes (node, n, prefix): pairs x < y with a null token from short lists, and entries with a null y of long ones."""
+    rows = reps.select("node", "n", F.posexplode("prefix").alias("pos", "token")).select("token", "n", F.col("pos").cast("int").alias("pos"), "node")
     dealt = rows.repartition("token").sortWithinPartitions("token", "n", "pos")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -358,51 +372,62 @@ def fold(sketches: list[bytes], bits: int) -> np.ndarray:
 
 
 def long_list_edges(entries: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
-    """(x, y): for the entries of long lists, links to the first of the groups that sketches leave connected."""
-    rows = blocked(entries.select("token", F.col("x").alias("doc"), "n"), "token", "doc").join(sketches, "doc")
-    dealt = rows.select("token", "bi", "bj", "doc", "n", "sketch").repartition("token", "bi", "bj").sortWithinPartitions("token", "bi", "bj", "n", "doc")
+    """(x, y): for the entries of long lists, links to the first of the groups that sketches leave connected.
+
+    Sets with sketches of one length form groups of their own. A link between two lengths needs sizes on both sides of
+    their border: those sets are grouped once more, by the shorter sketches.
+    """
+    rows = blocked(entries.select("token", F.col("x").alias("node"), "n"), "token", "node", "n").join(sketches, "node")
+    dealt = rows.select("token", "bi", "bj", "node", "n", "sketch").repartition("token", "bi", "bj").sortWithinPartitions("token", "bi", "bj", "n", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in runs(batches, 3):
-            doc, n = t.column("doc").to_numpy(), t.column("n").to_numpy()
-            bits = fold(t.column("sketch").to_pylist(), SMALL_SKETCH)
-            root = groups(n, lambda i, js, bits=bits: np.bitwise_count(bits[js] ^ bits[i]).sum(1), percent)
-            other = np.flatnonzero(root != np.arange(len(root)))
-            if len(other):
-                yield pa.RecordBatch.from_arrays([pa.array(doc[other]), pa.array(doc[root[other]])], names=["x", "y"])
+            node, n, sketch = t.column("node").to_numpy(), t.column("n").to_numpy(), t.column("sketch").to_pylist()
+            size = sketch_bits(n)
+            for bits in np.unique(size).tolist():
+                border = (100 * n >= percent * bits) & (percent * n <= 100 * bits)
+                for which in (size == bits, border if (border & (size > bits)).any() else np.zeros(len(n), bool)):
+                    at = np.flatnonzero(which)
+                    if len(at) < 2:
+                        continue
+                    words = fold([sketch[i] for i in at], bits)
+                    root = groups(n[at], lambda i, js, words=words: np.bitwise_count(words[js] ^ words[i]).sum(1), percent)
+                    other = np.flatnonzero(root != np.arange(len(root)))
+                    if len(other):
+                        yield pa.RecordBatch.from_arrays([pa.array(node[at[other]]), pa.array(node[at[root[other]]])], names=["x", "y"])
 
     return dealt.mapInArrow(lean(run), "x bigint, y bigint")
 
 
 def unrefuted(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     """The pairs whose sketches leave a link possible."""
-    left = sketches.select(F.col("doc").alias("x"), F.col("n").alias("nx"), F.col("sketch").alias("sx"))
-    right = sketches.select(F.col("doc").alias("y"), F.col("n").alias("ny"), F.col("sketch").alias("sy"))
+    left = sketches.select(F.col("node").alias("x"), F.col("n").alias("nx"), F.col("sketch").alias("sx"))
+    right = sketches.select(F.col("node").alias("y"), F.col("n").alias("ny"), F.col("sketch").alias("sy"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(0, len(b), 8192):
                 part = b.slice(i, 8192)
                 nx, ny = np.asarray(part.column(2)), np.asarray(part.column(4))
-                large = (nx > SMALL_SET) & (ny > SMALL_SET)
+                size = sketch_bits(np.minimum(nx, ny))
                 keep = np.zeros(len(part), bool)
-                for bits, which in ((SMALL_SKETCH, np.flatnonzero(~large)), (LARGE_SKETCH, np.flatnonzero(large))):
-                    if len(which):
-                        sx, sy = (fold(part.column(c).take(pa.array(which)).to_pylist(), bits) for c in (3, 5))
-                        keep[which] = (100 + percent) * np.bitwise_count(sx ^ sy).sum(1).astype(np.int64) <= (100 - percent) * (nx + ny)[which]
+                for bits in np.unique(size).tolist():
+                    which = np.flatnonzero(size == bits)
+                    sx, sy = (fold(part.column(c).take(pa.array(which)).to_pylist(), bits) for c in (3, 5))
+                    keep[which] = (100 + percent) * np.bitwise_count(sx ^ sy).sum(1).astype(np.int64) <= (100 - percent) * (nx + ny)[which]
                 yield part.select(["x", "y"]).filter(pa.array(keep))
 
     return pairs.join(left, "x").join(right, "y").select("x", "y", "nx", "sx", "ny", "sy").mapInArrow(lean(run), "x bigint, y bigint")
 
 
 def cluster_links(clustered: DataFrame, percent: int) -> DataFrame:
-    """(doc, root): exact groups inside clusters, from rows (cluster, bi, bj, doc, tokens)."""
-    dealt = clustered.select("cluster", "bi", "bj", "doc", "tokens").repartition("cluster", "bi", "bj").sortWithinPartitions("cluster", "bi", "bj", "doc")
+    """(node, root): exact groups inside clusters, from rows (cluster, bi, bj, node, tokens)."""
+    dealt = clustered.select("cluster", "bi", "bj", "node", "tokens").repartition("cluster", "bi", "bj").sortWithinPartitions("cluster", "bi", "bj", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        docs, roots = [], []
+        nodes, roots = [], []
         for t in runs(batches, 3):
-            doc = t.column("doc").to_numpy().copy()
+            node = t.column("node").to_numpy().copy()
             tokens = t.column("tokens").combine_chunks()
             del t
             flat, n = np.asarray(tokens.flatten()), np.diff(np.asarray(tokens.offsets)).astype(np.int64)
@@ -424,44 +449,75 @@ def cluster_links(clustered: DataFrame, percent: int) -> DataFrame:
                 return n[i] + n[js] - 2 * shared
 
             root = groups(n, distance, percent)
-            docs.append(doc)
-            roots.append(doc[root])
-            if len(docs) >= 2000:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(docs)), pa.array(np.concatenate(roots))], names=["doc", "root"])
-                docs, roots = [], []
-        if docs:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(docs)), pa.array(np.concatenate(roots))], names=["doc", "root"])
+            nodes.append(node)
+            roots.append(node[root])
+            if len(nodes) >= 2000:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(nodes)), pa.array(np.concatenate(roots))], names=["node", "root"])
+                nodes, roots = [], []
+        if nodes:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(nodes)), pa.array(np.concatenate(roots))], names=["node", "root"])
 
-    return dealt.mapInArrow(lean(run), "doc bigint, root bigint")
+    return dealt.mapInArrow(lean(run), "node bigint, root bigint")
 
 
-def join(docs: DataFrame, shingle: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_shingles, component_id) for each row whose id is not null: the size of its set, and the smallest id that links reach.
+def _components(docs: DataFrame, shingle: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """For rows (doc, tag, text): each row's (doc, tag, n, h1, h2), and each class's (h1, h2, least, keep).
 
-    Sets link when 100 * intersection >= percent * union. A null, empty or blank text has an empty set and no
-    link. Rows with one id are sets of their own that share the id. Other columns are not read.
+    Rows with equal sets are a class, named by `node`, the first of its two hashes. `least` is the smallest id of the
+    class's component, `keep` the (doc, tag) of its first row: the smallest id, null behind all, and then tag.
     """
-    docs = docs.where(F.col(id_col).isNotNull())
     with small_batches(docs.sparkSession):
-        per = cut(described(docs, levels(docs, text_col, shingle), shingle, percent, id_col, text_col))
-        classes = cut(per.where("n > 0").groupBy("h1", "h2").agg(F.min(F.struct("doc", "n", "prefix", "sketch")).alias("r")).select("h1", "h2", "r.*"))
+        per = cut(described(docs, levels(docs, "text", shingle), shingle, percent))
+        first = F.struct(F.col("doc").isNull().alias("none"), "doc", "tag")
+        classes = per.where("n > 0").groupBy("h1", "h2").agg(F.min_by(F.struct("n", "prefix", "sketch"), first).alias("r"), F.min("doc").alias("least"), F.min(first).alias("keep"))
+        classes = cut(classes.select(F.col("h1").alias("node"), "h2", "r.*", "least", "keep"))
         found = cut(candidates(classes, percent))
-        sketches = classes.select("doc", "n", "sketch")
+        sketches = classes.select("node", "n", "sketch")
         pairs = unrefuted(found.where("y is not null").select("x", "y").distinct(), sketches, percent)
-        long = long_list_edges(found.where("y is null"), sketches.select("doc", "sketch"), percent)
-        clusters = cut(components(pairs.union(long), "x", "y").select(F.col("node").alias("doc"), F.col("component").alias("cluster")).join(classes.select("doc", "n"), "doc"))
-        roots = _verified(docs, clusters, shingle, percent, id_col, text_col)
-    named = classes.select("h1", "h2", F.col("doc").alias("rep")).join(roots, F.col("rep") == F.col("doc"), "left").select("h1", "h2", F.coalesce("root", "rep").alias("component"))
-    out = per.select("doc", "n", "h1", "h2").join(named, ["h1", "h2"], "left")
-    return out.select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc")).alias("component_id"))
+        long = long_list_edges(found.where("y is null"), sketches.select("node", "sketch"), percent)
+        near = components(pairs.union(long), "x", "y").select("node", F.col("component").alias("cluster"))
+        clusters = cut(near.join(classes.select("node", "n", "keep"), "node"))
+        roots = _verified(docs, per, clusters, shingle, percent)
+    linked = cut(classes.select("node", "h2", "least", "keep").join(roots, "node"))
+    whole = linked.groupBy("root").agg(F.min("least").alias("least"), F.min("keep").alias("keep"))
+    named = linked.select("node", "h2", "root").join(whole, "root").select(F.col("node").alias("h1"), "h2", "least", "keep")
+    alone = classes.select(F.col("node").alias("h1"), "h2", "least", "keep").join(named.select("h1", "h2"), ["h1", "h2"], "left_anti")
+    return per.select("doc", "tag", "n", "h1", "h2"), named.unionByName(alone)
+
 
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc, tag, text): a row's id and a hash of its text, so that rows with one id, or none, stay apart."""
+    return docs.select(F.col(id_col).cast("long").alias("doc"), _tag(F.col(text_col)).alias("tag"), F.col(text_col).alias("text"))
 
-def _verified(docs: DataFrame, clusters: DataFrame, shingle: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """(doc, root) of the clusters' members, root being the smallest id of the exact component."""
-    split = cut(blocked(clusters, "cluster", "doc", "n").groupBy("doc", "cluster").agg(F.collect_set(F.struct("bi", "bj")).alias("pairs")))
-    small = split.count() <= BROADCAST_ROWS
-    wanted = F.broadcast(split) if small else split
-    texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).join(wanted, "doc").select("doc", "text", "cluster", "pairs")
+
+def _tag(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def join(docs: DataFrame, shingle: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, n_shingles, component_id) for each row: the size of its set, and the smallest id that links reach.
+
+    Sets link when 100 * intersection >= percent * union. A null, empty or blank text has an empty set and no
+    link. Rows with one id are sets of their own that share the id. Rows without an id link as all others do; a
+    component of such rows alone has a null component_id. Repeated rows each give a row, an empty table none. Other
+    columns are not read.
+    """
+    per, named = _components(_keyed(docs, id_col, text_col), shingle, percent)
+    out = per.join(named.select("h1", "h2", "least"), ["h1", "h2"], "left")
+    return out.select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc")).alias("component_id"))
+
+
+def _verified(docs: DataFrame, per: DataFrame, clusters: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """(node, root) of the clusters' members, root being the least node of the exact component."""
+    split = blocked(clusters.select("node", "cluster", "n"), "cluster", "node", "n").groupBy("node", "cluster").agg(F.collect_set(F.struct("bi", "bj")).alias("pairs"))
+    split = cut(split.join(clusters.select("node", "keep.doc", "keep.tag"), "node"))
+    small = split.agg(F.sum(F.size("pairs"))).first()[0] or 0
+    wanted = F.broadcast(split) if small <= BROADCAST_ROWS else split
+    same = F.col("doc").eqNullSafe(F.col("d")) & (F.col("tag") == F.col("t"))
+    texts = docs.join(wanted.withColumnsRenamed({"doc": "d", "tag": "t"}), same).select("node", "text", "cluster", "pairs")
+    often = per.join(wanted.select(F.col("doc").alias("d"), F.col("tag").alias("t"), "node"), same).groupBy("node").agg(F.count("*").alias("rows")).where("rows > 1")
+    if not often.isEmpty():  # rows that are equal in id and text give their set once
+        texts = texts.groupBy("node").agg(*[F.first(c).alias(c) for c in ("text", "cluster", "pairs")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -469,21 +525,35 @@ def _verified(docs: DataFrame, clusters: DataFrame, shingle: int, percent: int,
                 row, token = shingle_sets(offsets, data, shingle)
                 cuts = np.searchsorted(row, np.arange(stop - start + 1)).astype(np.int32)
                 part = b.slice(start, stop - start)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), part.column(3), pa.ListArray.from_arrays(pa.array(cuts), pa.array(token.astype(np.int64)))], names=["doc", "cluster", "pairs", "tokens"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), part.column(3), pa.ListArray.from_arrays(pa.array(cuts), pa.array(token.view(np.int64)))], names=["node", "cluster", "pairs", "tokens"])
 
     pair = "array<struct<bi:int,bj:int>>"
-    sets = texts.mapInArrow(lean(run), f"doc bigint, cluster bigint, pairs {pair}, tokens array<bigint>")
-    sets = sets.select("doc", "cluster", "tokens", F.explode("pairs").alias("pair")).select("doc", "cluster", "tokens", "pair.bi", "pair.bj")
+    sets = texts.mapInArrow(lean(run), f"node bigint, cluster bigint, pairs {pair}, tokens array<bigint>")
+    sets = sets.select("node", "cluster", "tokens", F.explode("pairs").alias("pair")).select("node", "cluster", "tokens", "pair.bi", "pair.bj")
     edges = cut(cluster_links(sets, percent))
-    divided = split.where(F.size("pairs") > 1).limit(1).count() > 0
+    divided = not split.where(F.size("pairs") > 1).isEmpty()
     if divided:
-        return components(edges, "doc", "root").select(F.col("node").alias("doc"), F.col("component").alias("root"))
+        return components(edges, "node", "root").select("node", F.col("component").alias("root"))
     return edges
 
 
 def keep_first(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows, all columns, but for those whose component has a smaller id. Rows without an id or a set stay."""
-    found = join(docs, shingle, percent, id_col, text_col)
-    gone = cut(found.where(F.col("component_id") != F.col(id_col)).select(F.col(id_col).alias("llm_gone")).distinct())
-    small = gone.count() <= BROADCAST_ROWS
-    return docs.join(F.broadcast(gone) if small else gone, docs[id_col] == F.col("llm_gone"), "left_anti")
+    """The rows, all columns, but for those of a component that has an earlier row: one with a smaller id, no id being the last.
+
+    Each row goes by its own text, whatever other rows share its id. Of rows that are equal in id and text one stays,
+    whichever it is. Rows without a set (null, empty and blank texts) all stay; an empty table stays empty.
+    """
+    per, named = _components(_keyed(docs, id_col, text_col), shingle, percent)
+    names = {name: fresh(f"llm_{name}", docs.columns) for name in ("doc", "tag", "row")}
+    per = per.where("n > 0").join(named.select("h1", "h2", "keep"), ["h1", "h2"])
+    first = F.col("doc").eqNullSafe(F.col("keep.doc")) & (F.col("tag") == F.col("keep.tag"))
+    judged = cut(per.select("doc", "tag", first.alias("first")).groupBy("doc", "tag").agg(F.max("first").alias("first"), F.count("*").alias("rows")).where("not first or rows > 1"))
+    found = judged.select(F.col("doc").alias(names["doc"]), F.col("tag").alias(names["tag"]), F.struct("first", "rows").alias(names["row"]))
+    found = F.broadcast(found) if judged.count() <= BROADCAST_ROWS else found
+    same = docs[id_col].cast("long").eqNullSafe(F.col(names["doc"])) & (_tag(docs[text_col]) == F.col(names["tag"]))
+    joined = docs.join(found, same, "left").where(F.coalesce(F.col(names["row"])["first"], F.lit(True)))
+    once = joined.where(F.col(names["row"]).isNull()).select(*docs.columns)
+    if judged.where("first").isEmpty():
+        return once
+    again = joined.where(F.col(names["row"]).isNotNull()).dropDuplicates([names["doc"], names["tag"]])
+    return once.unionByName(again.select(*docs.columns))

@@ -189,10 +189,54 @@ def test_large_sets_use_the_large_sketch(spark):
     assert {r["doc_id"]: tuple(r)[1:] for r in jaccard_join.join(docs, 3, 90).collect()} == _joined(texts, 3, 90)
 
 
+def test_sketches_refute_long_unrelated_sets():
+    """Sets with one common shingle of any size and no others: sketches leave none of their pairs, at 80 and 90 percent."""
+    rng = np.random.default_rng(16)
+    for size in (30, 1000, 2400, 8000, 20_000, 70_000):
+        token = [np.append(rng.integers(0, 2**63, size - 1), 5).astype(np.uint64) for _ in range(2)]
+        n = np.array([size, size])
+        one, two = jaccard_join.parity(np.repeat([0, 1], size), np.concatenate(token), n)
+        apart = np.bitwise_count(np.frombuffer(one, np.uint8) ^ np.frombuffer(two, np.uint8)).sum(dtype=np.int64)
+        assert 180 * apart > 20 * 2 * size and len(one) * 8 <= max(1024, 4 * size)
+
+
+def test_long_texts_with_a_common_line(spark, monkeypatch):
+    """Long texts of several lengths that share a line meet in one long list and link only where they are copies."""
+    monkeypatch.setattr(jaccard_join, "SHORT_LIST", 4)
+    rng = np.random.default_rng(17)
+    texts = []
+    for i, n in enumerate((900, 960, 1000, 1060, 1100, 2400, 3000, 4000, 4090, 4150, 4600)):
+        base = [f"v{k}" for k in rng.integers(0, 10**6, n)]
+        texts += [(10 * i, "a line in all " + " ".join(base)), (10 * i + 1, "a line in all " + " ".join(base[: n - n // 25]))]
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string").repartition(3)
+    assert {r["doc_id"]: tuple(r)[1:] for r in jaccard_join.join(docs, 3, 90).collect()} == _joined(texts, 3, 90)
+
+
+def test_ties_of_the_upper_bits_are_told_apart():
+    token = np.array([(5 << 20) | 1, (5 << 20) | 2, (5 << 20) | 1, 7], np.uint64)
+    row, rank = np.array([0, 0, 0, 1]), np.array([2, 2, 2, 1], np.uint64)
+    assert token[jaccard_join._order(token, row, np.zeros(0, np.uint64))].tolist() == [token[0], token[0], token[1], 7]
+    assert token[jaccard_join._order(token, row, rank)].tolist() == [token[0], token[0], token[1], 7]
+
+
 def test_join_of_an_empty_table_and_repeated_rows(spark):
-    docs = spark.createDataFrame([(2, "a b c d"), (1, "a b c d"), (2, "a b c d"), (None, "a b c d")], "doc_id bigint, text string")
-    assert sorted(map(tuple, jaccard_join.join(docs).collect())) == [(1, 2, 1), (2, 2, 1), (2, 2, 1)]
-    assert jaccard_join.join(docs.where("false")).count() == 0
+    docs = spark.createDataFrame([(2, "a b c d"), (1, "a b c d"), (2, "a b c d"), (None, "a b c d"), (None, "z y x"), (None, None)], "doc_id bigint, text string")
+    assert sorted(map(tuple, jaccard_join.join(docs).collect()), key=str) == sorted([(1, 2, 1), (2, 2, 1), (2, 2, 1), (None, 2, 1), (None, 1, None), (None, 0, None)], key=str)
+    assert jaccard_join.join(docs.where("false")).count() == 0 and jaccard_join.keep_first(docs.where("false")).count() == 0
+
+
+def test_rows_that_share_an_id_or_have_none(spark):
+    """Every row is judged by its own text; of a group of near copies one row stays, and no unrelated one goes."""
+    base = " ".join(f"w{k}" for k in range(60))
+    near, other, third = base + " end", " ".join(f"u{k}" for k in range(40)), " ".join(f"t{k}" for k in range(30))
+    rows = [(7, base, "a"), (7, other, "b"), (9, near, "c"), (7, base, "d"), (None, near, "e"), (None, third, "f"), (None, third, "g"), (None, None, "h"), (7, "", "i"), (None, "one", "j"), (3, other + " more", "k")]
+    docs = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id bigint, text string, w string, llm_doc int, LLM_TAG int").repartition(3)
+    kept = jaccard_join.keep_first(docs, 5, 80)
+    got = {r["w"] for r in kept.collect()}
+    assert kept.columns == docs.columns and len(got) == kept.count()
+    assert got - {"a", "d", "f", "g"} == {"h", "i", "j", "k"} and len(got & {"a", "d"}) == len(got & {"f", "g"}) == 1
+    found = Counter((r["doc_id"], r["component_id"]) for r in jaccard_join.join(docs, 5, 80).collect())
+    assert found == Counter([(7, 7), (7, 7), (None, 7), (9, 7), (7, 3), (3, 3), (7, 7), (None, None), (None, None), (None, None), (None, None)])
 
 
 def _vector_truth(rows, threshold):
