@@ -1,4 +1,5 @@
-"""A training corpus from `documents`: toxic texts go, near copies and benchmark leaks go, personal data is masked, sources are mixed.
+"""A training corpus from `documents`: toxic texts go, near copies and benchmark leaks go, personal data is masked,
+sources are mixed.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; `run` writes it as Parquet into the cluster's shared
 folder and hands what it reads back to the next stage. All but the last return the columns of `documents`.
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from doculith.llm import decontaminate, jaccard_join, mixing, pii, toxicity
-from doculith.llm.common import shared_folder, table
+from doculith.llm.common import remove_folder, shared_folder, table
 from doculith.llm.queries import WEIGHTS
 
 #: Near copies share at least this many of a hundred shingles of so many words.
@@ -27,11 +28,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the row of the smallest id; of rows with one id one stays. Rows without an id or a word stay."""
-    repeated = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count() > 0
-    if repeated:
-        named = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
-        docs = named.unionByName(docs.where("doc_id is null"))
+    """Of each group of near copies the row of the smallest id, each row judged by its own text. Rows without a word stay."""
     return jaccard_join.keep_first(docs, SHINGLE, PERCENT)
 
 
@@ -42,7 +39,8 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All rows; each span of personal data is replaced by its kind, and n_chars follows the text."""
-    return pii.redact(docs).withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+    size = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return pii.redact(docs).withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(size))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,10 +61,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows that STAGES make of `documents`."""
+    """The rows that STAGES make of `documents`. A stage's rows are deleted when the next has been written; the last stay."""
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for number, (name, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.mode("overwrite").parquet(f"{folder}/{number}-{name}")
         docs = spark.read.parquet(f"{folder}/{number}-{name}")
+        if number:
+            remove_folder(spark, f"{folder}/{number - 1}-{STAGES[number - 1][0]}")
     return docs
