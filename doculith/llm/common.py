@@ -81,6 +81,14 @@ def sliced(batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE_BYTE
             yield batch.slice(start, stop - start)
 
 
+def unique(values: np.ndarray) -> np.ndarray:
+    """The distinct values, sorted; sorting numbers is several times as fast as np.unique, which hashes them."""
+    values = np.sort(values)
+    keep = np.ones(len(values), bool)
+    np.not_equal(values[1:], values[:-1], out=keep[1:])
+    return values[keep]
+
+
 _LETTER: dict[bool, np.ndarray] = {}
 
 

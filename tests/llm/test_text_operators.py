@@ -261,6 +261,53 @@ def test_toxic_words_of_held_out_texts(spark):
     assert {r["predicted"] for r in toxicity.score(docs, nothing).collect()} == {0}
 
 
+def _plain_features(text):
+    """The 4- and 5-grams of lower-cased letters, every other run being a gap, with a gap at both ends."""
+    t = " " + re.sub(r"[^a-zäöüßéèêàùîû]+", " ", (text or "").lower())
+    t += "" if t.endswith(" ") and len(t) > 1 else " "
+    return {t[i : i + n] for n in toxicity.ORDERS for i in range(len(t) - n + 1)}
+
+
+def test_every_ngram_counts_with_its_ratio(spark):
+    """The model's features are all n-grams of the labelled texts, and its fit starts from their log-count ratios."""
+    rng = np.random.default_rng(21)
+    rows = [(i, _text(rng, ["en", "de", "fr"][i % 3], int(rng.integers(1, 30))), "a", "b", "c") for i in range(150)]
+    labels = [(i, int(i % 4 == 0), "x") for i in range(150)]
+    rows += [(150, "the same id has both labels", "", "", ""), (150, "the same id has both labels", "", "", "")]
+    labels += [(150, 0, ""), (150, 1, ""), (151, 1, ""), (5, None, ""), (None, 1, "")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, tox_y string, llm_toxicity_score string, LLM_TOXICITY_SCORE_ string").repartition(3)
+    known = spark.createDataFrame(labels, "doc_id bigint, toxic int, id string")
+    model = toxicity.fit(docs, known)
+    truth = {i: y for i, y, _ in labels[:150] if y is not None} | {150: 1}
+    counts = [Counter(), Counter()]
+    for i, t, *_ in rows:
+        counts[truth[i]].update(_plain_features(t))
+    n0, n1 = (sum(truth[i] == k for i, *_ in rows) for k in (0, 1))
+    names = set(counts[0]) | set(counts[1])
+    assert len(model.key) == len(names)
+    add = toxicity.SMOOTH / (n0 + n1)
+    want = sorted(np.log((counts[1][f] + add * n1) / n1) - np.log((counts[0][f] + add * n0) / n0) for f in names)
+    row, key = toxicity.ngrams([t for _, t, *_ in rows])
+    at = np.searchsorted(model.key, key)
+    row, at = toxicity.distinct(row, at, len(model.key))
+    y = np.array([truth[i] for i, *_ in rows])
+    c0, c1 = (np.bincount(at[y[row] == k], minlength=len(model.key)) for k in (0, 1))
+    assert np.allclose(sorted(toxicity.log_count_ratio(c0, c1, n0, n1)), want, atol=1e-5)
+    scores = toxicity.scorer(model)([t for _, t, *_ in rows])
+    plain = [1 / (1 + np.exp(-(model.weight[at[row == i]].sum(dtype=np.float64) + model.bias))) for i in range(len(rows))]
+    assert np.allclose(scores, plain, atol=1e-5)
+    kept = toxicity.keep_clean(docs, model, threshold=1.1)
+    assert kept.columns == docs.columns and sorted(map(tuple, kept.collect())) == sorted(rows)
+
+
+def test_places_of_keys():
+    rng = np.random.default_rng(22)
+    key = np.unique(rng.integers(0, 2**61, 5000))
+    places = toxicity.Places(key)
+    assert (places.of(key[::-1]) == np.arange(len(key))[::-1]).all() and (places.of(key + 1)[~np.isin(key + 1, key)] == -1).all()
+    assert toxicity.Places(key[:0]).of(key[:3]).tolist() == [-1, -1, -1]
+
+
 def _base_spans(t):
     out = [("email", m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
     out += [("ip", m.start(), m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(x) <= 255 for x in m[0].split("."))]
