@@ -21,13 +21,18 @@ def lean(run: Callable) -> Callable:
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from run(batches)
-        pa.default_memory_pool().release_unused()
-        with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
-            ctypes.CDLL(None).malloc_trim(0)
+        give_back()
 
     return whole
 
 
+def give_back() -> None:
+    """Returns memory that this process no longer uses to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 @contextlib.contextmanager
 def small_batches(spark: SparkSession, size: str = "8m") -> Iterator[None]:
     """Within, Arrow batches hold at most `size` bytes: long texts and sets come in few rows, and buffers grow by doubling."""
@@ -192,26 +197,50 @@ def fresh(name: str, *taken: list[str]) -> str:
     return name
 
 
+def _stars(pairs: DataFrame, large: bool) -> DataFrame:
+    """One star step over rows (u, v): each u sends its neighbours, sorted behind it, to the least of them.
+
+    The large step takes both directions, counts u itself and moves the neighbours above u; the small one has v < u and
+    moves u and all others. Neighbours come in order, so the least is the first, and no neighbourhood is held.
+    """
+    rows = pairs.union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else pairs
+    dealt = rows.repartition("u").sortWithinPartitions("u", "v")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last_u = last_v = last_m = None
+        for b in batches:
+            if not len(b):
+                continue
+            u, v = (np.asarray(b.column(i)) for i in (0, 1))
+            start = np.append(True, u[1:] != u[:-1])
+            again = np.append(False, (v[1:] == v[:-1]) & ~start[1:])
+            first = np.flatnonzero(start)
+            m = np.minimum(u[first], v[first]) if large else v[first].copy()
+            if last_u is not None and u[0] == last_u:
+                m[0], again[0] = last_m, v[0] == last_v
+            last_u, last_v, last_m = u[-1], v[-1], m[-1]
+            m = m[np.cumsum(start) - 1]
+            out = v if large else np.where(v == m, u, v)
+            keep = ~again & (out != m) & ((v > u) if large else True)
+            yield pa.RecordBatch.from_arrays([pa.array(out[keep]), pa.array(m[keep])], names=["u", "v"])
+
+    return dealt.mapInArrow(run, "u bigint, v bigint")
+
+
 def components(edges: DataFrame, left: str, right: str) -> DataFrame:
     """(node, component): the smallest node that links reach, for each node of an edge.
 
-    Alternates large-star and small-star steps until no edge changes; each round is two aggregations by
-    key, nothing is collected, and the rounds grow with the logarithm of the longest path.
+    Alternates large-star and small-star steps until no edge changes. Nothing is collected, no neighbourhood is held,
+    and the rounds grow with the logarithm of the longest path.
     """
     pairs = edges.select(F.col(left).cast("long").alias("u"), F.col(right).cast("long").alias("v"))
     pairs = cut(pairs.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     seen = None
     while True:
-        both = pairs.union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-        pairs = cut(small.where("u <> v").distinct())
+        pairs = cut(_stars(_stars(pairs, True), False).distinct())
         now = pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == seen:
             break
         seen = now
-    rooted = pairs.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
-    roots = pairs.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
-    return rooted.unionByName(roots).groupBy("node").agg(F.min("component").alias("component"))
+    rooted = pairs.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    return rooted.union(pairs.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

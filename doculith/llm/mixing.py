@@ -24,7 +24,7 @@ def uniform(seed: int, *parts: Column) -> Column:
 
 
 def poisson_cdfs(rated: DataFrame, key: str, rate: str, first: str, cdf: str) -> DataFrame:
-    """(key, first, cdf) for each row with a positive rate: P(X <= k) for k = first, first + 1, ...
+    """(key, rate, first, cdf) for each row with a positive rate: P(X <= k) for k = first, first + 1, ...
 
     k covers the rate by 12 standard deviations and 30 on both sides, so a table grows with the root of its rate; what
     lies outside has a probability under 1e-30. Terms are summed from logarithms, and no rate underflows.
@@ -39,11 +39,11 @@ def poisson_cdfs(rated: DataFrame, key: str, rate: str, first: str, cdf: str) ->
     begun = F.when(F.col("low") == 0, -r).otherwise(x * F.log(r) - r - factorial)
     rows = rated.where(r > 0).select(key, rate, low.alias("low"), last.alias("last")).withColumn("log", begun)
     rows = rows.select(key, rate, "low", "log", F.explode(F.sequence("low", "last")).alias("k"))
-    up_to = Window.partitionBy(key).orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+    up_to = Window.partitionBy(key, rate).orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
     term = F.exp(F.col("log") + F.sum(F.when(F.col("k") == F.col("low"), F.lit(0.0)).otherwise(F.log(F.col(rate) / F.col("k")))).over(up_to))
     rows = rows.withColumn("p", term).withColumn("c", F.sum("p").over(up_to))
     pairs = F.sort_array(F.collect_list(F.struct("k", "c")))
-    return rows.groupBy(key).agg(F.min("low").alias(first), F.transform(pairs, lambda e: e["c"]).alias(cdf))
+    return rows.groupBy(key, rate).agg(F.min("low").alias(first), F.transform(pairs, lambda e: e["c"]).alias(cdf))
 
 
 def rates(docs: DataFrame, weights: dict[str, float], default: float, source_col: str, text_col: str) -> DataFrame:
@@ -57,9 +57,7 @@ def rates(docs: DataFrame, weights: dict[str, float], default: float, source_col
     size = cut(size.withColumn("weight", F.when(F.col("chars") > 0, weight).otherwise(F.lit(0.0))))
     all_weight, all_chars = size.agg(F.sum("weight"), F.sum("chars")).first()
     rate = F.when(F.col("weight") > 0, F.col("weight") / F.lit(all_weight) * F.lit(all_chars).cast("double") / F.col("chars")).otherwise(F.lit(0.0))
-    out = cut(size.select("source", rate.alias("rate")).where("rate > 0"))
-    tables = poisson_cdfs(out, "source", "rate", "first", "cdf")
-    return cut(out.join(tables.withColumnRenamed("source", "named"), F.col("source").eqNullSafe(F.col("named"))).select("source", "rate", "first", "cdf"))
+    return cut(poisson_cdfs(size.select("source", rate.alias("rate")), "source", "rate", "first", "cdf"))
 
 
 def mix(docs: DataFrame, weights: dict[str, float], default: float = 1.0, seed: int = 17, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:

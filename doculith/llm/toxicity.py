@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from doculith.llm.common import SYMBOL_BITS, cut, fresh, grams, lean, sliced, small_batches, symbols, unique
+from doculith.llm.common import SYMBOL_BITS, cut, fresh, give_back, grams, lean, sliced, small_batches, symbols, unique
 
 #: Sizes of the n-grams, of letters and word boundaries.
 ORDERS = (4, 5)
@@ -153,6 +153,8 @@ def fit(docs: DataFrame, labels: DataFrame, training=None, id_col: str = "doc_id
     coefficient, bias = logistic(np.asarray(lists.flatten()), np.asarray(lists.offsets), ratio, y)
     # The classes were sampled at their own rates; the bias returns to the share that they have.
     bias += np.log(sizes[1] / sizes[0]) - np.log(n1 / n0)
+    del rows, lists
+    give_back()
     return Model(key, coefficient * ratio, float(bias))
 
 
