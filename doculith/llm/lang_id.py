@@ -15,13 +15,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from doculith.llm.common import SYMBOL_BITS, fold, grams, lean, sliced, symbols
+from doculith.llm.common import SYMBOL_BITS, cut, fold, give_back, grams, lean, sliced, symbols
 
 ORDER = 5
-#: About so many training texts calibrate the score and the rejection limits.
-CALIBRATION = 3_000
-#: The share of training texts of a language that may lie above its rejection limit.
-REJECTED = 0.001
+#: One training text of so many is kept out of the counts, by a hash of its content; all of these calibrate score and limits.
+CALIBRATION = 16
+#: The share of a language's calibration texts that may lie above its rejection limit, and the limit's margin.
+REJECTED, MARGIN = 0.001, 1.05
+#: Slopes of the score to choose from.
+SLOPES = (1, 2, 3, 5, 8, 12, 20, 30)
 UNKNOWN = "und"
 MASK = (1 << SYMBOL_BITS) - 1
 
@@ -161,53 +163,64 @@ def entropies(model: Model, texts: list[str | None]) -> tuple[np.ndarray, np.nda
 
 
 def fit(docs: DataFrame, training: Column | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Models from every text with a language for which `training` holds; counts cover all of them."""
+    """Models from every text with a language for which `training` holds; each either counts or calibrates.
+
+    A language all of whose texts calibrate is learned from them as well. Only text and language are read, besides
+    what `training` reads.
+    """
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (F.lit(True) if training is None else training))
     rows = known.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    counts = rows.mapInArrow(lean(count), "lang string, g bigint, n bigint").groupBy("lang", "g").agg(F.sum("n").alias("n"))
-    got = counts.toArrow()  # every distinct n-gram of each language: their number grows with the texts
-    if not got.num_rows:  # nothing to learn from: every text is of an unknown language
+    apart = F.pmod(F.xxhash64("text", F.lit(9)), F.lit(CALIBRATION)) == 0
+    found = rows.groupBy("lang").agg(F.max(~apart).alias("counted")).collect()  # a row for each language
+    if not found:  # nothing to learn from: every text is of an unknown language
+        return Model([])
+    few = [r["lang"] for r in found if not r["counted"]]
+    counted = rows.where(~apart | F.col("lang").isin(few)) if few else rows.where(~apart)
+    counts = counted.mapInArrow(lean(count), "lang string, g bigint, n bigint").groupBy("lang", "g").agg(F.sum("n").alias("n"))
+    grams_of, counts = {}, cut(counts)
+    for name in sorted(r["lang"] for r in found):  # one language after another: every distinct n-gram, whose number grows with the texts
+        got = counts.where(F.col("lang") == name).select("g", "n").toArrow()
+        key, n = (got.column(i).to_numpy() for i in range(2))
+        by = np.argsort(key)
+        if len(key):
+            grams_of[name] = (key[by], n[by])
+    if not grams_of:
         return Model([])
-    lang, key, n = (got.column(i).combine_chunks() for i in range(3))
-    names, key, n = np.asarray(lang.dictionary_encode().indices), np.asarray(key), np.asarray(n)
-    values = lang.dictionary_encode().dictionary.to_pylist()
-    grams_of = {}
-    for i, name in enumerate(values):
-        k, c = key[names == i], n[names == i]
-        by = np.argsort(k)
-        grams_of[name] = (k[by], c[by])
     model = _estimate(sorted(grams_of), grams_of)
-    return _calibrated(model, known, id_col, text_col, lang_col)
+    del grams_of
+    give_back()
+    return _calibrated(model, rows.where(apart))
 
 
-def _calibrated(model: Model, known: DataFrame, id_col: str, text_col: str, lang_col: str) -> Model:
-    """Fits the slope of the score and each language's rejection limit on a hashed sample of about CALIBRATION training texts."""
-    size = known.count()
-    part = F.pmod(F.xxhash64(F.col(id_col), F.lit(9)), F.lit(1 << 20)) < int(min(1.0, CALIBRATION / max(1, size)) * (1 << 20))
-    held = known.sparkSession.sparkContext.broadcast(model)
+def _calibrated(model: Model, rows: DataFrame) -> Model:
+    """Fits the slope of the score and each language's rejection limit on texts that did not count, by aggregation in Spark."""
+    model.limits = np.full(len(model.langs), np.inf)
+    held = rows.sparkSession.sparkContext.broadcast(model)
+    slopes = np.array(SLOPES, np.float64)
 
     def run(batches):
         for b in sliced(batches, "text"):
-            found, letters = entropies(held.value, b.column(0).to_pylist())
-            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(found.tolist(), pa.list_(pa.float64())), pa.array(letters.astype(np.int64))], names=["lang", "h", "letters"])
-
-    rows = known.where(part).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).mapInArrow(lean(run), "lang string, h array<double>, letters bigint").where("letters > 0").collect()
-    model.limits = np.full(len(model.langs), np.inf)
-    if not rows:
-        return model
-    h = np.array([r["h"] for r in rows])
-    truth = np.array([model.langs.index(r["lang"]) if r["lang"] in model.langs else -1 for r in rows])
-    best = [(-np.inf, model.slope)]
-    for slope in (1, 2, 3, 5, 8, 12, 20, 30):
-        z = -slope * (h - h.min(1, keepdims=True))
-        p = np.exp(z) / np.exp(z).sum(1, keepdims=True)
-        got = p[np.arange(len(p)), np.maximum(truth, 0)][truth >= 0]
-        best.append((np.log(np.maximum(got, 1e-9)).mean(), slope))
-    model.slope = float(max(best)[1])
-    for i in range(len(model.langs)):
-        own = h[(truth == i) & (h.argmin(1) == i), i]
-        if len(own) >= 20:
-            model.limits[i] = np.quantile(own, 1 - REJECTED) * 1.05
+            h, letters = entropies(held.value, b.column(0).to_pylist())
+            place = {name: i for i, name in enumerate(held.value.langs)}
+            truth = np.array([place.get(x, -1) for x in b.column(1).to_pylist()], np.int64)
+            ok = np.flatnonzero((letters > 0) & (truth >= 0))
+            gap = h[ok] - h[ok].min(1, keepdims=True)
+            own = gap[np.arange(len(ok)), truth[ok]]
+            # log of the share that the right language has, by slope
+            said = [-s * own - np.log(np.exp(-s * gap).sum(1)) for s in slopes]
+            best = h[ok].argmin(1) == truth[ok]
+            right = pa.array(np.where(best, h[ok, truth[ok]], np.nan), mask=~best)
+            yield pa.RecordBatch.from_arrays([pa.array(truth[ok]), right, *map(pa.array, said)], names=["lang", "h", *(f"s{i}" for i in range(len(slopes)))])
+
+    kinds = "lang bigint, h double, " + ", ".join(f"s{i} double" for i in range(len(slopes)))
+    sums = [F.sum(f"s{i}").alias(f"s{i}") for i in range(len(slopes))]
+    found = rows.mapInArrow(lean(run), kinds).groupBy("lang").agg(F.count("h").alias("n"), F.percentile_approx("h", 1 - REJECTED, 10_000).alias("limit"), *sums).collect()
+    if found:
+        model.slope = float(slopes[np.argmax([sum(r[f"s{i}"] for r in found) for i in range(len(slopes))])])
+    limits = {r["lang"]: r["limit"] * MARGIN for r in found if r["n"]}
+    if limits:  # a language without any such text has the highest limit of the others
+        model.limits[:] = max(limits.values())
+        model.limits[list(limits)] = list(limits.values())
     return model
 
 
