@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -34,6 +36,14 @@ SENTENCE = r"[^.!?\n]+[.!?]*"
 ENTITY = r"[\p{L}\p{N}_',;:)]\s+\p{Lu}[\p{L}\p{N}_']*(?:\s+\p{Lu}[\p{L}\p{N}_']*)*"
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """`then` of the value, which is computed once, however often and however deep inside of element functions it is used.
+
+    An expression used within a function of elements is otherwise computed again for each of them.
+    """
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
 def inflected(verbs: list[str]) -> list[str]:
     """Each verb with its regular -s, -ed and -ing forms."""
     out: list[str] = []

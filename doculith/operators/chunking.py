@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from doculith.functions.text import blank, strip
+from doculith.functions.text import blank, let, strip
 
 HEADING = r"^#{2,3}\s+.+$"
 CHUNK = "array<struct<title:string,level:int,content:string>>"
@@ -17,20 +17,23 @@ def by_headings(md: Column) -> Column:
 
     What stands before the first such heading is left out; other headings belong to the body. Fences are not seen.
     """
-    lines = F.split(md, "\n")
-    heads = F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: F.get(lines, i).rlike(HEADING))
-
-    def section(head: Column, k: Column) -> Column:
-        line = F.get(lines, head)
-        stop = F.coalesce(F.get(heads, k + 1), F.size(lines))
-        body = F.slice(lines, head + 2, stop - head - 1)
-        return F.struct(
-            strip(F.regexp_extract(line, r"^#{2,3}\s+(.+)$", 1)).alias("title"),
-            F.length(F.regexp_extract(line, r"^(#{2,3})\s", 1)).alias("level"),
-            F.when(F.size(body) > 0, F.concat(F.array_join(body, "\n"), F.lit("\n"))).otherwise(F.lit("")).alias("content"),
-        )
-
-    return F.filter(F.transform(heads, section), lambda c: ~blank(c["content"]))
+
+    def sections(lines: Column, heads: Column) -> Column:
+        def section(head: Column, k: Column) -> Column:
+            line = F.get(lines, head)
+            stop = F.coalesce(F.get(heads, k + 1), F.size(lines))
+            body = F.array_join(F.slice(lines, head + 2, stop - head - 1), "\n")
+            return F.struct(
+                strip(F.regexp_extract(line, r"^#{2,3}\s+(.+)$", 1)).alias("title"),
+                F.length(F.regexp_extract(line, r"^(#{2,3})\s", 1)).alias("level"),
+                F.when(stop - head > 1, F.concat(body, F.lit("\n"))).otherwise(F.lit("")).alias("content"),
+            )
+
+        return F.filter(F.transform(heads, section), lambda c: ~blank(c["content"]))
+
+    # Lines are split once and headings found once: the work grows with the length of a document.
+    heads = lambda lines: F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: F.get(lines, i).rlike(HEADING))
+    return let(F.split(md, "\n"), lambda lines: let(heads(lines), lambda found: sections(lines, found)))
 
 
 def by_size(text: Column, size: int = SIZE) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from doculith.functions import messages
-from doculith.functions.text import blank, slug, strip
+from doculith.functions.text import blank, let, slug, strip
 from doculith.operators.classify import settled
 
 SECTION = "array<struct<id:string,content:string>>"
@@ -16,10 +16,9 @@ SEPARATOR = r"^\s*\|[\s\-:]+\|"
 
 def steps(content: Column) -> Column:
     """The commands of numbered lines; only if there are none, those of lines with - or *. All other text is left out."""
-    lines = F.split(content, "\n")
-    taken = lambda p: F.transform(F.filter(lines, lambda x: x.rlike(p)), lambda x: strip(F.regexp_extract(x, p, 1)))
-    numbered = taken(NUMBERED)
-    return F.when(F.size(numbered) > 0, numbered).otherwise(taken(BULLET))
+    taken = lambda lines, p: F.transform(F.filter(lines, lambda x: x.rlike(p)), lambda x: strip(F.regexp_extract(x, p, 1)))
+    either = lambda lines: let(taken(lines, NUMBERED), lambda n: F.when(F.size(n) > 0, n).otherwise(taken(lines, BULLET)))
+    return let(F.split(content, "\n"), either)
 
 
 def paragraphs(content: Column) -> Column:
@@ -29,18 +28,25 @@ def paragraphs(content: Column) -> Column:
 
 def cells(line: Column) -> Column:
     """The trimmed texts between the first and the last bar."""
-    parts = F.split(line, r"\|")
-    return F.when(F.size(parts) > 2, F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 2, F.lit(0))), strip)).otherwise(F.array().cast("array<string>"))
+    none = F.array().cast("array<string>")
+    inner = lambda parts: F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 2, F.lit(0))), strip)
+    return let(F.split(line, r"\|"), lambda parts: F.when(F.size(parts) > 2, inner(parts)).otherwise(none))
 
 
 def table(content: Column) -> Column:
     """(columns, rows) of the first table: the line before its separator, and the lines up to one that is blank or has no bar. Null without a table."""
-    lines = F.split(content, "\n")
-    at = F.get(F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: (i > 0) & F.get(lines, i).rlike(SEPARATOR)), F.lit(0))
-    after = F.slice(lines, at + 2, F.size(lines))
-    stop = F.get(F.filter(F.sequence(F.lit(0), F.size(after)), lambda i: (i == F.size(after)) | blank(F.coalesce(F.get(after, i), F.lit(""))) | ~F.coalesce(F.get(after, i), F.lit("")).contains("|")), F.lit(0))
-    rows = F.filter(F.transform(F.slice(after, 1, stop), cells), lambda r: F.size(r) > 0)
-    return F.when(at.isNotNull(), F.struct(cells(F.get(lines, at - 1)).alias("columns"), rows.alias("rows")))
+
+    def found(lines: Column, at: Column) -> Column:
+        rows = let(F.slice(lines, at + 2, F.size(lines)), body)
+        return F.when(at.isNotNull(), F.struct(cells(F.get(lines, at - 1)).alias("columns"), rows.alias("rows")))
+
+    def body(after: Column) -> Column:
+        ends = lambda i: (i == F.size(after)) | blank(F.coalesce(F.get(after, i), F.lit(""))) | ~F.coalesce(F.get(after, i), F.lit("")).contains("|")
+        stop = F.get(F.filter(F.sequence(F.lit(0), F.size(after)), ends), F.lit(0))
+        return F.filter(F.transform(F.slice(after, 1, stop), cells), lambda r: F.size(r) > 0)
+
+    separator = lambda lines: F.get(F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: (i > 0) & F.get(lines, i).rlike(SEPARATOR)), F.lit(0))
+    return let(F.split(content, "\n"), lambda lines: let(separator(lines), lambda at: found(lines, at)))
 
 
 def root_id(title: Column) -> Column:

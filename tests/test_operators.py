@@ -319,3 +319,23 @@ def test_own_renderers(spark):
     df = structure.records(spark.createDataFrame([("Task", "t", "1. a"), ("Memo", "m", "b")], "type string, title string, content string"))
     rows = render.render(df, renderers={"Memo": F.concat(F.lit("<memo>"), F.col("content"), F.lit("</memo>"))}).collect()
     assert {r["type"]: r["xml"][:6] for r in rows} == {"Task": "<?xml ", "Memo": "<memo>"}
+
+
+def test_work_of_a_document_grows_with_its_lines(spark):
+    """Chunks, steps and tables of documents of 10,000 and of 40,000 lines: split once, so four times the lines are no sixteen times the work."""
+    import time
+
+    from doculith.operators import chunking, structure
+
+    seconds = {}
+    for n in (1000, 10_000, 40_000):  # the first compiles
+        lines = [f"## Head {i}" if i % 20 == 0 else f"{i}. step" if i % 3 else f"| {i} | x |" for i in range(n)]
+        docs = spark.createDataFrame([(1, "\n".join([*lines, "|---|---|", *lines]))], "doc_id bigint, markdown string").cache()
+        assert docs.count() == 1
+        began = time.time()
+        chunks = chunking.chunk(docs, how="headings")
+        assert chunks.agg(F.count("*"), F.max("chunk_no")).first() == (n // 10, n // 10)
+        found = docs.select(F.size(structure.steps(F.col("markdown"))).alias("s"), F.size(structure.table(F.col("markdown"))["columns"]).alias("c")).first()
+        assert found["s"] == 2 * sum(x.endswith("step") for x in lines)
+        seconds[n] = time.time() - began
+    assert seconds[40_000] < 10 * max(seconds[10_000], 0.5)
