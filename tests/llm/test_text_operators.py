@@ -180,6 +180,32 @@ def test_archives_of_random_bytes_come_back(spark, tmp_path):
     assert Counter(map(tuple, got)) == _roles(rows)
 
 
+def test_records_of_one_piece_are_parted():
+    """Pieces in which a seam was missed, at every place of three records."""
+    make = lambda i, block: f"WARC/1.1\r\nWARC-Record-ID: {i}\r\nContent-Length: {len(block)}\r\n\r\n{block}\r\n\r\n".encode()
+    blocks = ["\r\n", "", "\r\n\r\nWARC/", "end\r\n\r"]
+    whole = b"".join(make(i, x) for i, x in enumerate(blocks))
+    cuts = whole.split(warc.SEAM)
+    for missed in range(1 << (len(cuts) - 1)):
+        pieces = [cuts[0]]
+        for i, c in enumerate(cuts[1:]):
+            if missed >> i & 1:
+                pieces[-1] += warc.SEAM + c
+            else:
+                pieces.append(c)
+        records = warc.Assembler()
+        found = [x for piece in pieces for x in records.add("f", piece)] + list(records.end())
+        assert [(h["warc-record-id"][0], b.decode()) for h, b in found] == [(str(i), x) for i, x in enumerate(blocks)]
+
+
+def test_payloads_that_end_like_a_seam(spark):
+    """Many records over many buffers of the reader: none is lost."""
+    rows = [(i, "h", str(i) + "\r\n" * (i % 4) + "\r" * (i % 3 == 1)) for i in range(20_000)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string").coalesce(2)
+    got = warc.round_trip(pages).select("page_id", "payload_bytes").collect()
+    assert sorted(map(tuple, got)) == [(i, len(h)) for i, _, h in rows]
+
+
 def test_malformed_archives_are_read(spark, tmp_path):
     body = "WARC/1.0\r\nWARC-Type: {}\r\nWARC-Record-ID: {}\r\nContent-Length: {}\r\n\r\n{}\r\n\r\n"
     text = body.format("response", "a", "x7", "HTTP\r\n\r\nab") + body.format("metadata", "b", 11, "page-id: 1x") + body.format("revisit", "c", 25, "Content-Length: none\r\n\r\n.") + "WARC/1.0\r\nWARC-Type: metadata\r\n" + "\r\n\r\n" + body.format("response", "e", 500, "cut off")
