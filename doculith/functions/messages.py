@@ -5,6 +5,13 @@ UNKNOWN_TYPE = "不支持的内容类型: "
 MISSING_ELEMENT = "缺少必需元素: "
 FEW_STEPS = "steps数量不足: 需要至少%d个，实际%d个"
 EMPTY_CONCEPT = "Concept必须包含introduction或sections"
+MISSING_FIELD = "缺少必需字段"
+STEP_FORMAT = "第%d个step格式错误: 必须是字典"
+STEP_CMD = "第%d个step缺少必需字段: cmd"
+SECTION_ID = "ID重复: "
+EMPTY_REFERENCE = "Reference必须包含properties、table或sections中的至少一项"
+TABLE_FORMAT = "table必须是字典格式"
+TABLE_FIELDS = "table必须包含columns和rows字段"
 
 # Suggestions for constraint messages.
 SUGGEST_ELEMENT = "添加缺失的元素到结构化数据中"

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from doculith.functions import messages, text
-from doculith.operators import chunking, classify, features, quality, render, repair, rules, stats, structure, validate, xmlnodes
+from doculith.operators import chunking, classify, features, modelrecords, quality, render, repair, rules, stats, structure, validate, xmlnodes
 from doculith.plans import analysis, corpus, oracle
 from doculith.plans.oracle import escape, fused, slug, upto
 from doculith.sources import files
@@ -413,6 +413,25 @@ def structure_fix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("type").agg(F.count("*").alias("n"), filled, info)
 
 
+def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One answer of a model for each order: a step for each line, without a command where the line is open."""
+    line = F.struct("l_linenumber", "l_linestatus", F.when(F.col("l_linestatus") != "O", F.col("l_returnflag")).alias("cmd"))
+    rows = _table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(line)).alias("lines"))
+    steps = F.transform("lines", lambda x: F.struct(x["cmd"].alias("cmd"), x["l_linenumber"].cast("string").alias("info")))
+    return rows.select("l_orderkey", F.lit("Task").alias("type"), F.to_json(F.struct(F.lit("task").alias("title"), steps.alias("steps"))).alias("answer"))
+
+
+@query(
+    f"""WITH n AS (SELECT l_orderkey, l_linestatus, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_linestatus) AS i FROM lineitem)
+SELECT l_orderkey, concat_ws('|', '{messages.MISSING_ELEMENT}taskbody', string_agg(replace('{messages.STEP_CMD}', '%d', i::VARCHAR), '|' ORDER BY i) FILTER (l_linestatus = 'O')) AS errors,
+  count(*)::INTEGER AS steps, count(*) FILTER (l_linestatus = 'O')::INTEGER AS filled FROM n GROUP BY l_orderkey"""
+)
+def model_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = modelrecords.fix(modelrecords.parse(_answers(spark, sf_dir)))
+    filled = F.size(F.filter("model_steps", lambda s: s["cmd"] == "Perform action")).alias("filled")
+    return rows.select("l_orderkey", _joined(F.col("model_errors")).alias("errors"), F.size("model_steps").alias("steps"), filled)
+
+
 # Topics ----------------------------------------------------------------------------------------------------------------
 
 

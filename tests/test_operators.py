@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from doculith.functions import prompts, text
-from doculith.operators import chunking, classify, errors, features, quality, render, repair, rules, stats, structure, validate, xmlnodes
+from doculith.operators import chunking, classify, errors, features, modelrecords, quality, render, repair, rules, stats, structure, validate, xmlnodes
 from doculith.plans import analysis
 from doculith.sources import files, sinks
 from doculith.streaming import filedrop
@@ -339,3 +339,32 @@ def test_work_of_a_document_grows_with_its_lines(spark):
         assert found["s"] == 2 * sum(x.endswith("step") for x in lines)
         seconds[n] = time.time() - began
     assert seconds[40_000] < 10 * max(seconds[10_000], 0.5)
+
+
+def test_records_of_a_model(spark):
+    """Messages and fixes of answers, worked out by hand; an answer that is no object lacks everything."""
+    body = {"Task": "缺少必需元素: taskbody", "Concept": "缺少必需元素: conbody", "Reference": "缺少必需元素: refbody"}
+    bare = "Reference必须包含properties、table或sections中的至少一项"
+    cases = [
+        ("Task", '{"taskbody": 1, "steps": [{"cmd": "a"}]}', []),
+        ("Task", '{"taskbody_id": "x", "steps": []}', ["steps数量不足: 需要至少1个，实际0个"]),
+        ("Task", '{"steps": [{"cmd": "a"}, "b", {"info": "c"}]}', [body["Task"], "第2个step格式错误: 必须是字典", "第3个step缺少必需字段: cmd"]),
+        ("Task", None, [body["Task"], "steps数量不足: 需要至少1个，实际0个"]),
+        ("Task", "not json", [body["Task"], "steps数量不足: 需要至少1个，实际0个"]),
+        ("Concept", '{"conbody": {}, "introduction": "i", "sections": [{"id": "a"}, {"id": "b"}, {"id": "a"}, {"content": "x"}]}', ["ID重复: a"]),
+        ("Concept", '{"introduction": "", "sections": []}', [body["Concept"], "Concept必须包含introduction或sections"]),
+        ("Reference", '{"reference_id": "r", "title": "t", "shortdesc": "s"}', [body["Reference"], bare]),
+        ("Reference", '{"reference_id": "r", "title": "t", "note": "s"}', [body["Reference"]]),
+        ("Reference", "{}", [body["Reference"], bare]),
+        ("Reference", '{"refbody": 1, "table": [1]}', ["table必须是字典格式"]),
+        ("Reference", '{"refbody": 1, "table": {"columns": ["a"]}}', ["table必须包含columns和rows字段"]),
+        ("Reference", '{"refbody": 1, "table": {"columns": ["a"], "rows": [["1"]]}}', []),
+        ("Memo", "{}", ["不支持的内容类型: Memo"]),
+    ]
+    df = spark.createDataFrame([(i, *c[:2]) for i, c in enumerate(cases)], "i int, type string, answer string")
+    got = {r["i"]: r for r in modelrecords.fix(modelrecords.parse(df)).collect()}
+    assert [got[i]["model_errors"] for i in range(len(cases))] == [c[2] for c in cases]
+    assert [s["cmd"] for s in got[2]["model_steps"]] == ["a", "Perform action", "Perform action"]
+    assert [s["cmd"] for s in got[1]["model_steps"]] == [None] and [s["cmd"] for s in got[3]["model_steps"]] == ["Complete the task"]
+    assert got[6]["model_introduction"] == "This is a concept description." and got[7]["model_sections"][0]["content"] == "Reference information"
+    assert got[12]["model_table"]["rows"] == [["1"]] and got[12]["model_sections"] == []
