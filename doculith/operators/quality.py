@@ -11,6 +11,8 @@ from doculith.operators.render import DECLARATION
 # Weights of the scores and of severities.
 WEIGHTS = {"dita_compliance": 0.4, "structure_quality": 0.3, "content_completeness": 0.3}
 SEVERITY = {"rule_errors": 0.2, "rule_warnings": 0.1, "rule_infos": 0.05}
+#: The files that a checked topic can be written as.
+FORMATS = ("json", "html", "dita")
 
 
 def scores(checked: DataFrame) -> DataFrame:
@@ -126,3 +128,27 @@ def html(scored: DataFrame, *keys: str) -> DataFrame:
     advice = F.array_join(F.transform("recommendations", item), "")
     rules = F.concat(F.lit("<p>rules passed "), F.col("passed_rules").cast("string"), F.lit(", failed "), F.col("failed_rules").cast("string"), F.lit("</p>"))
     return scored.select(*keys, F.concat(F.lit("<!DOCTYPE html><html><head><meta charset=\"utf-8\"></head><body><h1>"), F.col("overall_status"), F.lit("</h1>"), cards, F.lit("<ul>"), errors, F.lit("</ul>"), rules, F.lit("<ol>"), advice, F.lit("</ol></body></html>")).alias("html"))
+
+
+def outputs(scored: DataFrame, key: str, formats: tuple[str, ...] = FORMATS, embed: bool = True, xml: str = "final_xml") -> DataFrame:
+    """(name, content): the files of each topic in the formats asked for; `embed` puts the topic into its JSON report.
+
+    A topic without XML has an empty .dita file. For a batch, pass its successful topics alone.
+    """
+    unknown = set(formats) - set(FORMATS)
+    if unknown:
+        raise ValueError(f"unknown formats: {sorted(unknown)}")
+    doc = F.col(key).cast("string")
+    files = []
+    if "json" in formats:
+        body = report(scored, F.col(key).alias("document_id"), *([F.col(xml).alias("final_dita_xml")] if embed else []))
+        whole = F.to_json(F.struct(*[F.col(f"`{c}`") for c in body.columns]))
+        files.append(body.select(F.concat(F.col("document_id").cast("string"), F.lit("_report.json")).alias("name"), whole.alias("content")))
+    if "html" in formats:
+        files.append(html(scored, F.concat(doc, F.lit("_report.html")).alias("name")).withColumnRenamed("html", "content"))
+    if "dita" in formats:
+        files.append(scored.select(F.concat(doc, F.lit(".dita")).alias("name"), F.coalesce(F.col(xml), F.lit("")).alias("content")))
+    out = files[0] if files else scored.select(doc.alias("name"), F.lit("").alias("content")).limit(0)
+    for more in files[1:]:
+        out = out.unionByName(more)
+    return out

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from doculith.operators.xmlnodes import child_of_root, children, depth, root, tagged, texts
@@ -44,6 +46,21 @@ class Style:
     replacements: dict[str, str] = field(default_factory=lambda: {"click on": "click", "in order to": "to", "utilize": "use"})
 
 
+def style(config: dict[str, Any]) -> Style:
+    """The style guide of a configuration; what it does not name keeps its default, but terms are only those it names."""
+    guide, terms = config.get("style_guide") or {}, config.get("terminology") or {}
+    # The names of the settings.
+    names = {"title_max_length": "title_max", "shortdesc_max_length": "shortdesc_max", "max_steps": "max_steps", "max_nesting_depth": "max_depth"}
+    return Style(**{own: int(guide[name]) for name, own in names.items() if name in guide}, replacements=dict(terms.get("replacements") or {}))
+
+
+def load_style(spark: SparkSession, path: str | None = None) -> Style:
+    """The style guide of a JSON file, of one document by its nature; the default without a path."""
+    if path is None:
+        return Style()
+    return style(json.loads(spark.read.text(path, wholetext=True).first()[0]))
+
+
 def title_length(s: Style) -> Rule:
     def check(n: Column) -> Column:
         size = F.length(child_of_root(n, "title")["text"])
@@ -121,7 +138,7 @@ class Registry:
 
     def __init__(self, style: Style | None = None, known_images: list[str] | None = None):
         s = style or Style()
-        self.rules = [title_length(s), nesting_depth(s), shortdesc_length(s), step_count(s), terminology(s), code_block_format()]
+        self.rules = [title_length(s), nesting_depth(s), shortdesc_length(s), step_count(s), *([terminology(s)] if s.replacements else []), code_block_format()]
         if known_images is not None:
             self.rules.append(image_references(known_images))
 

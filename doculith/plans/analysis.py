@@ -2,11 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from doculith.operators import chunking, classify, features, quality, render, repair, structure
-from doculith.operators.rules import Registry
+from doculith.operators.rules import Registry, load_style
+
+
+@dataclass(frozen=True)
+class Options:
+    """Settings of a run: characters of a chunk, a style configuration, files of a topic."""
+
+    chunk_size: int = chunking.SIZE
+    rules: str | None = None
+    formats: tuple[str, ...] = quality.FORMATS
+
+    @classmethod
+    def of(cls, spark: SparkSession) -> Options:
+        """The session's doculith.chunkSize, doculith.rules and doculith.formats (separated by commas), or the defaults."""
+        size, path, formats = (spark.conf.get(f"doculith.{k}", None) for k in ("chunkSize", "rules", "formats"))
+        chosen = tuple(f.strip() for f in formats.split(",") if f.strip()) if formats is not None else cls.formats
+        wrong = [m for m, bad in (("chunkSize must be positive", size is not None and int(size) < 1), (f"unknown formats in {formats}", not set(chosen) <= set(quality.FORMATS))) if bad]
+        if wrong:
+            raise ValueError("; ".join(wrong))
+        return cls(cls.chunk_size if size is None else int(size), path, chosen)
 
 
 def analyse(docs: DataFrame, text: str = "markdown", backend: classify.Backend | None = None, size: int = chunking.SIZE) -> DataFrame:
@@ -27,7 +48,8 @@ def assure(topics: DataFrame, xml: str = "xml", kind: str | None = "content_type
     return quality.recommendations(quality.status(quality.scores(rules.summary(rules.run(looped)))))
 
 
-def end_to_end(docs: DataFrame, text: str = "markdown") -> DataFrame:
+def end_to_end(docs: DataFrame, text: str = "markdown", options: Options | None = None) -> DataFrame:
     """From documents to scored topics in one lazy plan; no file lies between the stages."""
-    topics = convert(analyse(docs, text)).withColumn("content_type", F.col("type"))
-    return assure(topics.where(F.col("xml").isNotNull()))
+    o = options or Options()
+    topics = convert(analyse(docs, text, size=o.chunk_size)).withColumn("content_type", F.col("type"))
+    return assure(topics.where(F.col("xml").isNotNull()), registry=Registry(load_style(docs.sparkSession, o.rules)))

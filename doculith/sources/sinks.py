@@ -1,4 +1,4 @@
-"""Sinks: one file per document where that is asked for, else partitioned tables of lines."""
+"""Sinks: tables and lines; files by name where they are asked for."""
 
 from __future__ import annotations
 
@@ -8,16 +8,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from doculith.operators import quality
 from doculith.operators.render import conversion_report
 
 
 def write_topics(topics: DataFrame, path: str, key: str, file: str = "file_name", xml: str = "xml") -> None:
-    """Topics as text, a folder per document and file; rows without a topic are left out."""
-    topics.where(F.col(xml).isNotNull()).select(F.col(key).cast("string").alias("doc"), F.col(file).alias("file"), F.col(xml).alias("value")).write.mode("overwrite").option("lineSep", "\n").partitionBy("doc", "file").text(path)
+    """Topics as a Parquet table (doc, file, xml); rows without a topic are left out."""
+    topics.where(F.col(xml).isNotNull()).select(F.col(key).cast("string").alias("doc"), F.col(file).alias("file"), F.col(xml).alias("xml")).write.mode("overwrite").parquet(path)
 
 
 def write_markdown(docs: DataFrame, path: str, key: str, text: str = "markdown") -> None:
-    docs.select(F.col(key).cast("string").alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("value")).write.mode("overwrite").partitionBy("doc").text(path)
+    """Texts as a Parquet table (doc, markdown); a null text is empty."""
+    docs.select(F.col(key).cast("string").alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("markdown")).write.mode("overwrite").parquet(path)
 
 
 def write_json(rows: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -29,18 +31,36 @@ def write_conversion_report(converted: DataFrame, path: str) -> None:
     write_json(conversion_report(converted), path)
 
 
-def export_files(rows: DataFrame, name: str, content: str, store) -> int:
-    """Calls store(name, bytes) once for each row, on the executors; returns how many calls succeeded. `store` must reach a shared place."""
+def export_files(rows: DataFrame, name: str, content: str, store, log: str | None = None) -> int:
+    """Calls store(name, content) for each row, on the executors; returns how many calls succeeded.
+
+    `store` must reach a shared place and overwrite, as a lost task runs again. With `log`, (name, error) of each
+    row is written there as JSON lines, and the count is taken from it.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            done = 0
+            errors: list[str | None] = []
             for n, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 try:
                     store(n, c)
-                    done += 1
-                except OSError:
-                    pass
-            yield pa.RecordBatch.from_arrays([pa.array([done], pa.int64())], names=["done"])
+                    errors.append(None)
+                except OSError as e:
+                    errors.append(str(e))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(errors, pa.string())], names=["name", "error"])
+
+    done = rows.select(F.col(name).cast("string").alias("name"), F.col(content).alias("content")).mapInArrow(run, "name string, error string")
+    if log is not None:
+        done.write.mode("overwrite").json(log)
+        done = rows.sparkSession.read.schema("name string, error string").json(log)
+    return done.agg(F.count(F.when(F.col("error").isNull(), 1))).first()[0]
+
+
+def write_results(scored: DataFrame, key: str, store, formats: tuple[str, ...] = quality.FORMATS, embed: bool = True, log: str | None = None) -> int:
+    """The files of checked topics in the formats asked for, by `store`; returns how many were stored."""
+    return export_files(quality.outputs(scored, key, formats, embed), "name", "content", store, log)
+
 
-    return rows.select(name, content).mapInArrow(run, "done bigint").agg(F.coalesce(F.sum("done"), F.lit(0))).first()[0]
+def write_batch(scored: DataFrame, key: str, store, formats: tuple[str, ...] = quality.FORMATS, log: str | None = None) -> int:
+    """As write_results, for the successful topics of a batch alone."""
+    return write_results(scored.where("qa_success"), key, store, formats, log=log)

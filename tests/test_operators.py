@@ -241,8 +241,9 @@ def test_routes_of_odd_paths(spark):
 def test_sinks(spark, tmp_path):
     df = spark.createDataFrame([(1, "a.dita", "<a>é</a>"), (2, "b.dita", None)], "doc_id int, file_name string, xml string")
     sinks.write_topics(df, str(tmp_path / "t"), "doc_id")
-    back = spark.read.text(str(tmp_path / "t"), wholetext=True).collect()
-    assert [r["value"].strip() for r in back] == ["<a>é</a>"]
+    assert [tuple(r) for r in spark.read.parquet(str(tmp_path / "t")).collect()] == [("1", "a.dita", "<a>é</a>")]
+    sinks.write_markdown(df, str(tmp_path / "m"), "doc_id", "xml")
+    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "m")).collect())) == [("1", "<a>é</a>"), ("2", "")]
     sinks.write_conversion_report(df, str(tmp_path / "r"))
     assert {r["doc_id"]: r["xml_length"] for r in spark.read.json(str(tmp_path / "r")).collect()} == {1: 8, 2: 0}
     sinks.write_json(df, str(tmp_path / "j"))
@@ -368,3 +369,53 @@ def test_records_of_a_model(spark):
     assert [s["cmd"] for s in got[1]["model_steps"]] == [None] and [s["cmd"] for s in got[3]["model_steps"]] == ["Complete the task"]
     assert got[6]["model_introduction"] == "This is a concept description." and got[7]["model_sections"][0]["content"] == "Reference information"
     assert got[12]["model_table"]["rows"] == [["1"]] and got[12]["model_sections"] == []
+
+
+def test_files_of_results(spark, tmp_path):
+    """Formats, the embedded topic, batches of successful topics, and names of what could not be stored."""
+    import json
+
+    docs = _md(spark, SAMPLE)
+    scored = analysis.end_to_end(docs).withColumn("name_of", F.concat_ws("_", "doc_id", "chunk_no")).cache()
+    n, ok = scored.count(), scored.where("qa_success").count()
+    assert n > 1
+    folder = str(tmp_path)
+
+    def store(name, content):
+        if name.endswith(".html"):
+            raise OSError("full")
+        with open(f"{folder}/{name}", "w", encoding="utf-8") as f:
+            f.write(content)
+
+    assert sinks.write_results(scored, "name_of", store, log=str(tmp_path / "log")) == 2 * n
+    log = spark.read.json(str(tmp_path / "log")).collect()
+    assert len(log) == 3 * n and {r["error"] for r in log if r["name"].endswith("_report.html")} == {"full"}
+    for r in scored.select("name_of", "final_xml", "overall_status").collect():
+        report = json.loads((tmp_path / f"{r['name_of']}_report.json").read_text("utf-8"))
+        assert report["final_dita_xml"] == r["final_xml"] == (tmp_path / f"{r['name_of']}.dita").read_text("utf-8")
+        assert report["overall_status"] == r["overall_status"] and report["document_id"] == r["name_of"]
+    plain = quality.outputs(scored, "name_of", ("json",), embed=False).collect()
+    assert len(plain) == n and all("final_dita_xml" not in json.loads(r["content"]) for r in plain)
+    assert sinks.write_batch(scored, "name_of", store, ("dita",)) == ok
+    assert quality.outputs(scored, "name_of", ()).count() == 0
+    with pytest.raises(ValueError):
+        quality.outputs(scored, "name_of", ("pdf",))
+
+
+def test_style_and_options(spark, tmp_path):
+    (tmp_path / "r.json").write_text('{"style_guide": {"title_max_length": 7,\n "max_nesting_depth": 2}, "terminology": {"replacements": {"utilise": "use"}}}')
+    s = rules.load_style(spark, str(tmp_path / "r.json"))
+    assert (s.title_max, s.max_depth, s.max_steps, s.replacements) == (7, 2, 15, {"utilise": "use"})
+    assert rules.load_style(spark) == rules.Style()
+    assert "terminology_consistency" not in rules.Registry(rules.style({})).names() and "terminology_consistency" in rules.Registry().names()
+    assert analysis.Options.of(spark) == analysis.Options()
+    spark.conf.set("doculith.chunkSize", "500")
+    spark.conf.set("doculith.formats", "json, dita")
+    try:
+        assert analysis.Options.of(spark) == analysis.Options(500, None, ("json", "dita"))
+        spark.conf.set("doculith.formats", "pdf")
+        with pytest.raises(ValueError):
+            analysis.Options.of(spark)
+    finally:
+        spark.conf.unset("doculith.chunkSize")
+        spark.conf.unset("doculith.formats")
