@@ -1,4 +1,4 @@
-"""Records that a model answers as JSON: their constraints by type, and the fixes that fill what is missing.
+"""Records that a model answers as JSON: their constraints by type, the fixes that fill what is missing, and their topics.
 
 A record is one JSON object in a string column. A text that is null or no object counts as an object without keys.
 A key whose value is null is present, but its value counts as empty.
@@ -10,10 +10,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from doculith.functions import messages
-from doculith.functions.text import let
+from doculith.functions.text import escape_xml, let, slug
+from doculith.operators.render import frame, tidy
 
 STEP = "struct<cmd:string,info:string,example:string>"
-SECTION = "struct<id:string,title:string,content:string>"
+SECTION = "struct<id:string,title:string,content:string,example:string>"
+PROPERTY = "struct<name:string,value:string,description:string>"
 TABLE = "struct<columns:array<string>,rows:array<array<string>>>"
 BODIES = {"Task": "taskbody", "Concept": "conbody", "Reference": "refbody"}
 
@@ -112,7 +114,8 @@ def fix(parsed: DataFrame, raw: str = "answer", kind: str = "type") -> DataFrame
     none = F.size("model_sections") == 0
     # The texts that fill gaps.
     step = F.when(lacks, "Complete the task").alias("cmd"), F.lit(None).cast("string").alias("info"), F.lit(None).cast("string").alias("example")
-    section = F.lit(None).cast("string").alias("id"), F.lit(None).cast("string").alias("title"), F.lit("Reference information").alias("content")
+    none_of = lambda name: F.lit(None).cast("string").alias(name)
+    section = none_of("id"), none_of("title"), F.lit("Reference information").alias("content"), none_of("example")
     filled = F.transform("model_steps", lambda s: F.struct(F.coalesce(s["cmd"], F.lit("Perform action")).alias("cmd"), s["info"].alias("info"), s["example"].alias("example")))
     bare = none & _value(F.col(raw), "properties").isNull() & _value(F.col(raw), "table").isNull()
     return parsed.withColumns(
@@ -122,3 +125,102 @@ def fix(parsed: DataFrame, raw: str = "answer", kind: str = "type") -> DataFrame
             "model_sections": F.when((t == "Reference") & bare, F.array(F.struct(*section))).otherwise(F.col("model_sections")),
         }
     )
+
+
+def root_id(raw: Column, title: Column, key: str) -> Column:
+    """The record's own identifier; one that is absent, or is the slug of the chunk's title, is named anew after that slug."""
+    own, base = F.get_json_object(raw, f"$.{key}"), slug(title)
+    return F.when(own.isNull() | (own == base), F.concat(F.coalesce(slug(own), base), F.lit("_1"))).otherwise(own)
+
+
+def unique_ids(ids: Column, taken: Column) -> Column:
+    """The identifiers in order, each that is taken by then replaced by the first free form of its slug; null stays null."""
+
+    def free(used: Column, base: Column) -> Column:
+        form = lambda k: F.when(k == 0, base).otherwise(F.concat(base, F.lit("_"), k.cast("string")))
+        forms = F.transform(F.sequence(F.lit(0), F.size(used)), form)
+        return F.get(F.filter(forms, lambda x: ~F.coalesce(F.array_contains(used, x), F.lit(False))), F.lit(0))
+
+    def add(used: Column, x: Column) -> Column:
+        again = x.isNotNull() & F.coalesce(F.array_contains(used, x), F.lit(False))
+        return F.concat(used, F.array(F.when(again, free(used, slug(x))).otherwise(x)))
+
+    return F.slice(F.aggregate(ids, taken.cast("array<string>"), add), F.size(taken) + 1, F.size(ids))
+
+
+def _line(value: Column, before: str, after: str) -> Column:
+    """The escaped value between two texts; nothing where it is null or empty."""
+    return F.when(F.coalesce(value, F.lit("")) != "", F.concat(F.lit(before), escape_xml(value), F.lit(after))).otherwise(F.lit(""))
+
+
+def _whole(value: Column, before: str, after: str) -> Column:
+    return F.concat(F.lit(before), escape_xml(F.coalesce(value, F.lit(""))), F.lit(after))
+
+
+def _each(items: Column, one) -> Column:
+    return F.coalesce(F.array_join(F.transform(items, one), ""), F.lit(""))
+
+
+def _task_body(j: Column) -> Column:
+    many = F.concat(F.lit("      <ul>\n"), _each(_items(j, "prerequisites"), lambda x: _whole(x, "        <li>", "</li>\n")), F.lit("      </ul>\n"))
+    asked = _value(j, "prerequisites")
+    either = F.when(asked.startswith("["), many).otherwise(_line(asked, "      <p>", "</p>\n"))
+    before = F.when(asked.isNotNull(), F.concat(F.lit("    <prereq>\n"), either, F.lit("    </prereq>\n"))).otherwise(F.lit(""))
+    parts = lambda s: (_line(s["cmd"], "        <cmd>", "</cmd>\n"), _line(s["info"], "        <info>", "</info>\n"), _line(s["example"], "        <stepxmp>", "</stepxmp>\n"))
+    steps = _each(F.col("model_steps"), lambda s: F.concat(F.lit("      <step>\n"), *parts(s), F.lit("      </step>\n")))
+    context = _line(_value(j, "context"), "    <context>\n      <p>", "</p>\n    </context>\n")
+    result = _line(_value(j, "result"), "    <result>\n      <p>", "</p>\n    </result>\n")
+    example = _line(_value(j, "example"), "    <example>\n      <title>Example</title>\n      <p>", "</p>\n    </example>\n")
+    return F.concat(before, F.lit("\n"), context, F.lit("\n    <steps>\n"), steps, F.lit("    </steps>\n\n"), result, F.lit("\n"), example)
+
+
+def _sections(gap: bool) -> Column:
+    def one(s: Column) -> Column:
+        ident = _line(s["id"], ' id="', '"')
+        example = _line(s["example"], "      <example>\n        <p>", "</p>\n      </example>\n") if gap else F.lit("")
+        return F.concat(F.lit("    <section"), ident, F.lit(">\n"), _line(s["title"], "      <title>", "</title>\n"), _whole(s["content"], "      <p>", "</p>\n"), F.lit("\n" if gap else ""), example, F.lit("    </section>\n"))
+
+    return _each(F.col("model_sections"), one)
+
+
+def _concept_body(j: Column) -> Column:
+    definition = _line(_value(j, "definition"), "    <section>\n      <title>Definition</title>\n      <p>", "</p>\n    </section>\n")
+    note = _line(_value(j, "note"), '    <note type="note">', "</note>\n")
+    return F.concat(_line(F.col("model_introduction"), "    <p>", "</p>\n"), F.lit("\n"), definition, F.lit("\n"), _sections(True), F.lit("\n"), note)
+
+
+def _reference_body(j: Column) -> Column:
+    opening = _line(_value(j, "introduction"), "    <section>\n      <p>", "</p>\n    </section>\n")
+    # The heads of a table of properties.
+    heads = "".join(f"        <{tag}>{text}</{tag}>\n" for tag, text in (("proptypehd", "Property"), ("propvaluehd", "Value"), ("propdeschd", "Description")))
+    fields = (("name", "proptype"), ("value", "propvalue"), ("description", "propdesc"))
+    row = lambda p: F.concat(F.lit("      <property>\n"), *[_whole(p[f], f"        <{tag}>", f"</{tag}>\n") for f, tag in fields], F.lit("      </property>\n"))
+    listed = F.transform(_items(j, "properties"), lambda x: F.from_json(x, PROPERTY))
+    properties = F.when(F.size(listed) > 0, F.concat(F.lit(f"    <properties>\n      <prophead>\n{heads}      </prophead>\n"), _each(listed, row), F.lit("    </properties>\n"))).otherwise(F.lit(""))
+    cells = lambda r: F.concat(F.lit("            <row>\n"), _each(r, lambda c: _whole(c, "              <entry>", "</entry>\n")), F.lit("            </row>\n"))
+    t = F.col("model_table")
+    size = F.coalesce(F.size(t["columns"]), F.lit(0)).cast("string")
+    inside = F.concat(cells(t["columns"]), F.lit("          </thead>\n          <tbody>\n"), _each(t["rows"], cells))
+    shown = F.concat(F.lit('    <section>\n      <table>\n        <tgroup cols="'), size, F.lit('">\n          <thead>\n'), inside, F.lit("          </tbody>\n        </tgroup>\n      </table>\n    </section>\n"))
+    return F.concat(opening, F.lit("\n"), properties, F.lit("\n"), F.when(t.isNotNull(), shown).otherwise(F.lit("")), F.lit("\n"), _sections(False))
+
+
+def render(fixed: DataFrame, raw: str = "answer", kind: str = "type", title: str = "title") -> DataFrame:
+    """Adds model_id and model_xml, the topic with all that its type has a place for, and makes the ids of sections unique.
+
+    The record's own title goes before the chunk's; a null value counts as empty. An unknown type has a null topic.
+    """
+    j, t, name = F.col(raw), F.col(kind), F.coalesce(F.col(title), F.lit(""))
+    ident = F.lit(None).cast("string")
+    for one in BODIES:
+        ident = F.when(t == one, root_id(j, name, f"{one.lower()}_id")).otherwise(ident)
+    rows = fixed.withColumn("model_id", ident)
+    ids = unique_ids(F.transform("model_sections", lambda s: s["id"]), F.array(slug(name), F.col("model_id")))
+    named = F.zip_with("model_sections", ids, lambda s, i: s.withField("id", i))
+    rows = rows.withColumn("model_sections", F.when(F.col("model_sections").isNotNull(), named))
+    shown = F.coalesce(F.get_json_object(j, "$.title"), name)
+    short = F.concat(_line(_value(j, "short_description"), "  <shortdesc>", "</shortdesc>\n\n"))
+    xml = F.lit(None).cast("string")
+    for one, body in (("Task", _task_body(j)), ("Concept", _concept_body(j)), ("Reference", _reference_body(j))):
+        xml = F.when(t == one, tidy(frame(one, F.col("model_id"), shown, body, short))).otherwise(xml)
+    return rows.withColumn("model_xml", xml)

@@ -23,15 +23,16 @@ def _each(items: Column, one) -> Column:
     return F.array_join(F.transform(items, one), "")
 
 
-def _frame(kind: str, ident: Column, title: Column, body: Column) -> Column:
+def frame(kind: str, ident: Column, title: Column, body: Column, head_of: Column | None = None) -> Column:
+    """The topic around the lines of its body; `head_of` has lines between title and body."""
     root, inner, name = ROOTS[kind]
     head = f'{DECLARATION}<!DOCTYPE {root} PUBLIC "-//OASIS//DTD {name}//EN" "{root}.dtd">\n<{root} id="'
-    return F.concat(F.lit(head), escape_xml(ident), F.lit('">\n  <title>'), escape_xml(title), F.lit(f"</title>\n\n  <{inner}>\n"), body, F.lit(f"  </{inner}>\n</{root}>"))
+    return F.concat(F.lit(head), escape_xml(ident), F.lit('">\n  <title>'), escape_xml(title), F.lit("</title>\n\n"), F.lit("") if head_of is None else head_of, F.lit(f"  <{inner}>\n"), body, F.lit(f"  </{inner}>\n</{root}>"))
 
 
 def task(ident: Column, title: Column, steps: Column) -> Column:
     one = lambda s: F.concat(F.lit("      <step>\n"), F.when(s != "", F.concat(F.lit("        <cmd>"), escape_xml(s), F.lit("</cmd>\n"))).otherwise(F.lit("")), F.lit("      </step>\n"))
-    return tidy(_frame("Task", ident, title, F.concat(F.lit("\n    <steps>\n"), _each(steps, one), F.lit("    </steps>\n\n"))))
+    return tidy(frame("Task", ident, title, F.concat(F.lit("\n    <steps>\n"), _each(steps, one), F.lit("    </steps>\n\n"))))
 
 
 def _section(s: Column, gap: str) -> Column:
@@ -41,7 +42,7 @@ def _section(s: Column, gap: str) -> Column:
 
 def concept(ident: Column, title: Column, introduction: Column, sections: Column) -> Column:
     intro = F.when(introduction != "", F.concat(F.lit("    <p>"), escape_xml(introduction), F.lit("</p>\n"))).otherwise(F.lit(""))
-    return tidy(_frame("Concept", ident, title, F.concat(intro, F.lit("\n\n\n"), _each(sections, lambda s: _section(s, "\n")), F.lit("\n"))))
+    return tidy(frame("Concept", ident, title, F.concat(intro, F.lit("\n\n\n"), _each(sections, lambda s: _section(s, "\n")), F.lit("\n"))))
 
 
 def reference(ident: Column, title: Column, columns: Column, rows: Column, sections: Column) -> Column:
@@ -49,7 +50,7 @@ def reference(ident: Column, title: Column, columns: Column, rows: Column, secti
     row = lambda r: F.concat(F.lit("            <row>\n"), entries(r), F.lit("            </row>\n"))
     table = F.concat(F.lit('    <section>\n      <table>\n        <tgroup cols="'), F.size(columns).cast("string"), F.lit('">\n          <thead>\n'), row(columns), F.lit("          </thead>\n          <tbody>\n"), _each(rows, row), F.lit("          </tbody>\n        </tgroup>\n      </table>\n    </section>\n"))
     body = F.concat(F.lit("\n\n\n"), F.coalesce(table, F.lit("")), F.when(columns.isNotNull(), F.lit("\n")).otherwise(F.lit("")), F.coalesce(_each(sections, lambda s: _section(s, "")), F.lit("")))
-    return tidy(_frame("Reference", ident, title, body))
+    return tidy(frame("Reference", ident, title, body))
 
 
 def render(records: DataFrame, kind: str = "type", renderers: dict[str, Column] | None = None) -> DataFrame:

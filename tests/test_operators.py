@@ -419,3 +419,60 @@ def test_style_and_options(spark, tmp_path):
     finally:
         spark.conf.unset("doculith.chunkSize")
         spark.conf.unset("doculith.formats")
+
+
+def test_topics_of_a_model(spark):
+    """Whole topics, worked out by hand: every optional element, ids that clash, and nothing where nothing is."""
+    task = """{"short_description": "s & t", "prerequisites": ["p", "q"], "context": "c", "steps": [{"cmd": "a", "info": "i", "example": "e"}], "result": "r", "example": "x"}"""
+    concept = """{"concept_id": "own", "title": "T", "introduction": "i", "definition": "d", "note": "n", "sections": [{"id": "own", "title": "h", "content": "c", "example": "e"}, {"id": "own", "content": "<"}, {"content": "z"}]}"""
+    reference = """{"reference_id": "ref_it", "introduction": "i", "properties": [{"name": "n", "value": 1}], "table": {"columns": ["k"], "rows": [["v"]]}, "sections": [{"id": "ref_it", "content": "c"}]}"""
+    df = spark.createDataFrame([("Task", "Do It", task), ("Concept", "Do It", concept), ("Reference", "Ref it", reference), ("Memo", "m", "{}"), ("Task", None, None)], "type string, title string, answer string")
+    rows = modelrecords.render(modelrecords.fix(modelrecords.parse(df))).collect()
+    got = {(r["type"], r["title"]): r for r in rows}
+    t = got["Task", "Do It"]
+    assert t["model_id"] == "do_it_1"
+    assert t["model_xml"].split("\n", 2)[2] == """<task id="do_it_1">
+  <title>Do It</title>
+
+  <shortdesc>s &amp; t</shortdesc>
+
+  <taskbody>
+    <prereq>
+      <ul>
+        <li>p</li>
+        <li>q</li>
+      </ul>
+    </prereq>
+
+    <context>
+      <p>c</p>
+    </context>
+
+    <steps>
+      <step>
+        <cmd>a</cmd>
+        <info>i</info>
+        <stepxmp>e</stepxmp>
+      </step>
+    </steps>
+
+    <result>
+      <p>r</p>
+    </result>
+
+    <example>
+      <title>Example</title>
+      <p>x</p>
+    </example>
+  </taskbody>
+</task>"""
+    c = got["Concept", "Do It"]
+    assert c["model_id"] == "own" and [s["id"] for s in c["model_sections"]] == ["own_1", "own_2", None]
+    assert "<title>T</title>" in c["model_xml"] and "<title>Definition</title>\n      <p>d</p>" in c["model_xml"] and '<note type="note">n</note>' in c["model_xml"]
+    assert '    <section id="own_1">\n      <title>h</title>\n      <p>c</p>\n\n      <example>\n        <p>e</p>\n      </example>\n    </section>\n' in c["model_xml"]
+    r = got["Reference", "Ref it"]
+    assert r["model_id"] == "ref_it_1" and r["model_sections"][0]["id"] == "ref_it_2"
+    assert "<proptype>n</proptype>\n        <propvalue>1</propvalue>\n        <propdesc></propdesc>" in r["model_xml"] and '<tgroup cols="1">' in r["model_xml"]
+    assert got["Memo", "m"]["model_xml"] is None and "<cmd>Complete the task</cmd>" in got["Task", None]["model_xml"]
+    topics = spark.createDataFrame([(x["model_xml"],) for x in rows if x["model_xml"]], "xml string")
+    assert xmlnodes.parse(topics).where("nodes is null").count() == 0
