@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from doculith.functions import messages
+from doculith.operators import xmlnodes
 from doculith.operators.render import DECLARATION
 
 # Weights of the scores and of severities.
@@ -117,17 +118,34 @@ def merge(docs: DataFrame, key: str, order: str, xml: str = "final_xml", ok: str
     return parts.select(key, F.concat(F.lit(head), F.array_join(F.transform("parts", section), "\n    "), F.lit("\n  </conbody>\n</concept>")).alias("merged_xml"), F.size("parts").alias("merged_docs"))
 
 
-def html(scored: DataFrame, *keys: str) -> DataFrame:
-    """(keys, html): a page with status, score cards, the first five errors, rule counts and advice; every value is escaped."""
+def failed_rules(issues: Column) -> Column:
+    """(rule, severity, issue_count) of each rule that found something, in order of its first issue; severity is that of its first."""
+    one = lambda r: F.filter(issues, lambda i: i["rule"] == r)
+    return F.transform(F.array_distinct(F.transform(issues, lambda i: i["rule"])), lambda r: F.struct(r.alias("rule"), F.get(one(r), F.lit(0))["severity"].alias("severity"), F.size(one(r)).alias("issue_count")))
+
+
+def html(scored: DataFrame, *keys: str, xml: str = "final_xml") -> DataFrame:
+    """(keys, html): a page of status, scores, the first five errors, failed rules, sizes of the topic and advice; every value is escaped.
+
+    A topic without XML has sizes of 0; a topic without failed rules has no table of them.
+    """
     from doculith.functions.text import escape_xml
 
     pct = lambda c: F.format_string("%.0f%%", F.col(c) * 100)
     cards = F.concat(*[F.concat(F.lit(f'<div class="card"><b>{c}</b> '), pct(c), F.lit("</div>")) for c in (*WEIGHTS, "overall_quality")])
     item = lambda x: F.concat(F.lit("<li>"), escape_xml(x), F.lit("</li>"))
+    number = lambda name, c: F.concat(F.lit(f'<div class="stat"><b>{name}</b> '), F.coalesce(c, F.lit(0)).cast("string"), F.lit("</div>"))
     errors = F.array_join(F.transform(F.slice("l4_errors", 1, 5), lambda e: item(F.concat_ws(" ", e["type"], e["element"], e["id"]))), "")
-    advice = F.array_join(F.transform("recommendations", item), "")
-    rules = F.concat(F.lit("<p>rules passed "), F.col("passed_rules").cast("string"), F.lit(", failed "), F.col("failed_rules").cast("string"), F.lit("</p>"))
-    return scored.select(*keys, F.concat(F.lit("<!DOCTYPE html><html><head><meta charset=\"utf-8\"></head><body><h1>"), F.col("overall_status"), F.lit("</h1>"), cards, F.lit("<ul>"), errors, F.lit("</ul>"), rules, F.lit("<ol>"), advice, F.lit("</ol></body></html>")).alias("html"))
+    checks = F.concat(number("errors", F.size("l4_errors")), number("warnings", F.size("l4_warnings")), number("repairs", F.col("repairs_applied")))
+    counts = [number(n, F.col(c)) for n, c in (("passed rules", "passed_rules"), ("failed rules", "failed_rules"), ("issues", "total_issues"))]
+    row = lambda r: F.concat(F.lit("<tr><td>"), escape_xml(r["rule"]), F.lit("</td><td>"), escape_xml(r["severity"]), F.lit("</td><td>"), r["issue_count"].cast("string"), F.lit("</td></tr>"))
+    failed = F.array_join(F.transform(failed_rules(F.col("rule_issues")), row), "")
+    table = F.when(failed != "", F.concat(F.lit("<table><tr><th>rule</th><th>severity</th><th>issues</th></tr>"), failed, F.lit("</table>"))).otherwise(F.lit(""))
+    measured = xmlnodes.sizes(F.col("nodes"), F.col(xml))
+    sizes = F.concat(*[number(name, measured[name]) for name in ("xml_size", "element_count", "word_count", "line_count")])
+    head = F.concat(F.lit('<!DOCTYPE html><html><head><meta charset="utf-8"></head><body><h1>'), F.col("overall_status"), F.lit("</h1>"), cards)
+    page = F.concat(head, F.lit("<h2>Validation</h2>"), checks, F.lit("<ul>"), errors, F.lit("</ul><h2>Rules</h2>"), *counts, table, F.lit("<h2>Sizes</h2>"), sizes, F.lit("<h2>Advice</h2><ol>"), F.array_join(F.transform("recommendations", item), ""), F.lit("</ol></body></html>"))
+    return scored.select(*keys, page.alias("html"))
 
 
 def outputs(scored: DataFrame, key: str, formats: tuple[str, ...] = FORMATS, embed: bool = True, xml: str = "final_xml") -> DataFrame:
@@ -145,7 +163,7 @@ def outputs(scored: DataFrame, key: str, formats: tuple[str, ...] = FORMATS, emb
         whole = F.to_json(F.struct(*[F.col(f"`{c}`") for c in body.columns]))
         files.append(body.select(F.concat(F.col("document_id").cast("string"), F.lit("_report.json")).alias("name"), whole.alias("content")))
     if "html" in formats:
-        files.append(html(scored, F.concat(doc, F.lit("_report.html")).alias("name")).withColumnRenamed("html", "content"))
+        files.append(html(scored, F.concat(doc, F.lit("_report.html")).alias("name"), xml=xml).withColumnRenamed("html", "content"))
     if "dita" in formats:
         files.append(scored.select(F.concat(doc, F.lit(".dita")).alias("name"), F.coalesce(F.col(xml), F.lit("")).alias("content")))
     out = files[0] if files else scored.select(doc.alias("name"), F.lit("").alias("content")).limit(0)

@@ -94,19 +94,26 @@ def texts(nodes: Column) -> Column:
     return F.array_join(F.transform(ordered, lambda p: p["text"]), " ")
 
 
-def statistics(parsed: DataFrame, *keys: str, xml: str = "xml") -> DataFrame:
-    """Sizes and counts of each document; a document that does not parse has only its size and lines."""
-    n, x = F.col("nodes"), F.col(xml)
+def sizes(n: Column, x: Column) -> dict[str, Column]:
+    """Characters, line ends, elements, characters of text and words of a topic, from its nodes and its XML."""
     text = texts(n)
     words = F.size(F.filter(F.split(text, r"\s+"), lambda w: w != ""))
+    return {
+        "xml_size": F.length(x),
+        "line_count": F.length(x) - F.length(F.replace(x, F.lit("\n"), F.lit(""))),
+        "element_count": F.coalesce(F.when(n.isNotNull(), F.size(n)), F.lit(0)),
+        "text_content_length": F.coalesce(F.when(n.isNotNull(), F.length(text)), F.lit(0)),
+        "word_count": F.when(n.isNotNull(), words),
+    }
+
+
+def statistics(parsed: DataFrame, *keys: str, xml: str = "xml") -> DataFrame:
+    """Sizes and counts of each document; a document that does not parse has only its size and lines."""
+    n = F.col("nodes")
     below = lambda *t: F.when(n.isNotNull(), F.size(F.filter(n, lambda m: m["tag"].isin(*t) & (m["node_id"] > 0))))
     return parsed.select(
         *keys,
-        F.length(x).alias("xml_size"),
-        (F.length(x) - F.length(F.replace(x, F.lit("\n"), F.lit("")))).alias("line_count"),
-        F.coalesce(F.when(n.isNotNull(), F.size(n)), F.lit(0)).alias("element_count"),
-        F.coalesce(F.when(n.isNotNull(), F.length(text)), F.lit(0)).alias("text_content_length"),
-        F.when(n.isNotNull(), words).alias("word_count"),
+        *[c.alias(name) for name, c in sizes(n, F.col(xml)).items()],
         below("step").alias("steps"),
         below("section").alias("sections"),
         below("p").alias("paragraphs"),

@@ -397,6 +397,15 @@ def test_files_of_results(spark, tmp_path):
     plain = quality.outputs(scored, "name_of", ("json",), embed=False).collect()
     assert len(plain) == n and all("final_dita_xml" not in json.loads(r["content"]) for r in plain)
     assert sinks.write_batch(scored, "name_of", store, ("dita",)) == ok
+    issue = [("title_length", "warning", "title", "<long>"), ("step_count", "info", None, None), ("title_length", "warning", None, None)]
+    fields = "struct<rule:string,severity:string,element:string,detail:string>"
+    told = F.array(*[F.struct(*[F.lit(v).cast("string") for v in x]) for x in issue]).cast(f"array<{fields}>")
+    one = xmlnodes.parse(spark.createDataFrame([("<a>x y\n<c>z</c></a>",)], "final_xml string"), "final_xml").crossJoin(scored.limit(1).drop("final_xml", "nodes", "parse_error"))
+    one = one.withColumn("rule_issues", told)
+    page = quality.html(one, "name_of").first()["html"]
+    assert "<tr><td>title_length</td><td>warning</td><td>2</td></tr><tr><td>step_count</td><td>info</td><td>1</td></tr></table>" in page
+    assert all(f"<b>{n}</b> {v}<" in page for n, v in (("xml_size", 19), ("element_count", 2), ("line_count", 1), ("word_count", 3)))
+    assert "<table>" not in quality.html(one.withColumn("rule_issues", F.array().cast(f"array<{fields}>")), "name_of").first()["html"]
     assert quality.outputs(scored, "name_of", ()).count() == 0
     with pytest.raises(ValueError):
         quality.outputs(scored, "name_of", ("pdf",))
