@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from doculith.llm import decontaminate, jaccard_join, lang_id, mixing, nn_descent, pii, suffix_dedup, toxicity, url_filter, warc
+from doculith.llm import decontaminate, jaccard_join, lang_id, mixing, nn_descent, pii, snapshot_diff, suffix_dedup, toxicity, url_filter, warc
 from doculith.llm.common import table
 
 RULES = [
@@ -68,6 +68,13 @@ def op10_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nn_descent.near_duplicates(table(spark, sf_dir, "embeddings"), 0.93)
 
 
+def op12_snapshot_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    columns = ("text", "lang", "source")
+    found = snapshot_diff.difference(docs, snapshot_diff.later_snapshot(docs), "doc_id", columns, {"row_sha256": snapshot_diff.row_sha256(*columns)})
+    return found.withColumn("changed", F.array_join("changed", ","))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -79,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": op8_pii,
     "op9_mix_sources": op9_mix_sources,
     "op10_near_vectors": op10_near_vectors,
+    "op12_snapshot_diff": op12_snapshot_diff,
 }
 
 SQL: dict[str, str] = {
@@ -109,4 +117,19 @@ counted AS (SELECT d.doc_id, d.source, d.text, (SELECT coalesce(min(low), 0) + c
 copies AS (SELECT *, unnest(range(1, n_copies + 1)) AS copy_no FROM counted WHERE n_copies > 0)
 SELECT doc_id, source, text, n_copies, copy_no::BIGINT AS copy_no,
   md5('17|' || coalesce(doc_id::VARCHAR, 'null') || '|' || copy_no::VARCHAR) AS shuffle_key FROM copies""",
+    "op12_snapshot_diff": r"""
+WITH folded AS (SELECT doc_id, text, lang, source, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda ch: ascii(ch)::BIGINT)),
+  lambda crc, b: list_reduce(list_prepend(xor(crc, b), range(8)), lambda x, i: xor(x >> 1, 3988292384::BIGINT * (x & 1)))), 4294967295::BIGINT) % 10 AS k FROM documents),
+later AS (SELECT unnest(CASE WHEN k IN (3, 4) THEN [-1 - doc_id] WHEN k = 5 THEN [doc_id, -1 - doc_id] ELSE [doc_id] END) AS doc_id,
+  CASE WHEN k = 1 THEN coalesce(text, '') || '+' ELSE text END AS text, CASE WHEN k = 2 THEN source ELSE lang END AS lang,
+  CASE WHEN k = 2 THEN lang WHEN k = 4 THEN NULL ELSE source END AS source FROM folded WHERE k <> 0),
+digested AS (SELECT *, sha256(coalesce(text, '~') || chr(10) || coalesce(lang, '~') || chr(10) || coalesce(source, '~')) AS sha FROM later),
+met AS (SELECT a.doc_id AS a_id, a.text AS a_text, a.lang AS a_lang, a.source AS a_source, b.* FROM documents a FULL JOIN digested b ON a.doc_id = b.doc_id),
+gone AS (SELECT a_id, a_text, a_lang, a_source, row_number() OVER (PARTITION BY a_text, a_lang, a_source ORDER BY a_id) AS place FROM met WHERE doc_id IS NULL),
+come AS (SELECT doc_id, text, lang, source, sha, row_number() OVER (PARTITION BY text, lang, source ORDER BY doc_id DESC) AS place FROM met WHERE a_id IS NULL),
+paired AS (SELECT doc_id AS key, a_id AS old_key, sha AS row_sha256, concat_ws(',', CASE WHEN a_text IS DISTINCT FROM text THEN 'text' END, CASE WHEN a_lang IS DISTINCT FROM lang THEN 'lang' END,
+  CASE WHEN a_source IS DISTINCT FROM source THEN 'source' END) AS changed FROM met WHERE a_id IS NOT NULL AND doc_id IS NOT NULL)
+SELECT key, old_key, CASE WHEN changed = '' THEN 'same' ELSE 'update' END AS op, changed, row_sha256 FROM paired
+UNION ALL SELECT coalesce(c.doc_id, g.a_id), g.a_id, CASE WHEN g.a_id IS NULL THEN 'insert' WHEN c.doc_id IS NULL THEN 'delete' ELSE 'rekey' END, '', c.sha
+FROM gone g FULL JOIN come c ON g.place = c.place AND g.a_text IS NOT DISTINCT FROM c.text AND g.a_lang IS NOT DISTINCT FROM c.lang AND g.a_source IS NOT DISTINCT FROM c.source""",
 }
