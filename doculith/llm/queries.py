@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from doculith.llm import decontaminate, jaccard_join, lang_id, mixing, nn_descent, pii, snapshot_diff, suffix_dedup, toxicity, url_filter, warc
+from doculith.llm import decontaminate, jaccard_join, lang_id, lexical_search, mixing, nn_descent, pii, snapshot_diff, suffix_dedup, toxicity, url_filter, warc
 from doculith.llm.common import table
 
 RULES = [
@@ -75,6 +75,10 @@ def op12_snapshot_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("changed", F.array_join("changed", ","))
 
 
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 10)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -87,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_mix_sources": op9_mix_sources,
     "op10_near_vectors": op10_near_vectors,
     "op12_snapshot_diff": op12_snapshot_diff,
+    "op13_lexical_search": op13_lexical_search,
 }
 
 SQL: dict[str, str] = {
@@ -132,4 +137,15 @@ paired AS (SELECT doc_id AS key, a_id AS old_key, sha AS row_sha256, concat_ws('
 SELECT key, old_key, CASE WHEN changed = '' THEN 'same' ELSE 'update' END AS op, changed, row_sha256 FROM paired
 UNION ALL SELECT coalesce(c.doc_id, g.a_id), g.a_id, CASE WHEN g.a_id IS NULL THEN 'insert' WHEN c.doc_id IS NULL THEN 'delete' ELSE 'rekey' END, '', c.sha
 FROM gone g FULL JOIN come c ON g.place = c.place AND g.a_text IS NOT DISTINCT FROM c.text AND g.a_lang IS NOT DISTINCT FROM c.lang AND g.a_source IS NOT DISTINCT FROM c.source""",
+    "op13_lexical_search": r"""
+WITH listed AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
+asked AS (SELECT item_id, term, count(*) AS q FROM (SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark) GROUP BY ALL),
+sized AS (SELECT doc_id, count(*) AS n FROM listed GROUP BY doc_id),
+whole AS (SELECT count(*) AS docs, sum(n)::BIGINT AS len FROM sized),
+post AS (SELECT doc_id, term, count(*) AS tf FROM listed SEMI JOIN asked USING (term) GROUP BY ALL),
+weight AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM post, whole GROUP BY term, docs),
+scored AS (SELECT item_id, doc_id, sum(q * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // len))))::BIGINT AS score
+  FROM asked JOIN post USING (term) JOIN weight USING (term) JOIN sized USING (doc_id), whole GROUP BY item_id, doc_id),
+ranked AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score FROM scored WHERE score > 0)
+SELECT * FROM ranked WHERE rank <= 10""",
 }
