@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from doculith.llm import decontaminate, jaccard_join, lang_id, lexical_search, mixing, nn_descent, pii, snapshot_diff, suffix_dedup, toxicity, url_filter, warc
+from doculith.llm import decontaminate, jaccard_join, lang_id, lexical_search, mixing, nn_descent, pii, snapshot_diff, substring_dedup, suffix_dedup, toxicity, url_filter, warc
 from doculith.llm.common import table
 
 RULES = [
@@ -68,6 +68,10 @@ def op10_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nn_descent.near_duplicates(table(spark, sf_dir, "embeddings"), 0.93)
 
 
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.digest(table(spark, sf_dir, "documents"), 13)
+
+
 def op12_snapshot_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     columns = ("text", "lang", "source")
@@ -90,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": op8_pii,
     "op9_mix_sources": op9_mix_sources,
     "op10_near_vectors": op10_near_vectors,
+    "op11_substring_dedup": op11_substring_dedup,
     "op12_snapshot_diff": op12_snapshot_diff,
     "op13_lexical_search": op13_lexical_search,
 }
@@ -122,6 +127,15 @@ counted AS (SELECT d.doc_id, d.source, d.text, (SELECT coalesce(min(low), 0) + c
 copies AS (SELECT *, unnest(range(1, n_copies + 1)) AS copy_no FROM counted WHERE n_copies > 0)
 SELECT doc_id, source, text, n_copies, copy_no::BIGINT AS copy_no,
   md5('17|' || coalesce(doc_id::VARCHAR, 'null') || '|' || copy_no::VARCHAR) AS shuffle_key FROM copies""",
+    "op11_substring_dedup": r"""
+WITH split AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words FROM documents),
+starts AS (SELECT doc_id, words, unnest(range(1, len(words) - 11)) AS i FROM split),
+windows AS (SELECT doc_id, i, array_to_string(words[i:i + 12], ' ') AS w FROM starts),
+firsts AS (SELECT w, min(doc_id) AS low FROM windows GROUP BY w),
+lost AS (SELECT doc_id, list(DISTINCT p) AS places FROM (SELECT doc_id, unnest(range(i, i + 13)) AS p FROM windows JOIN firsts USING (w) WHERE low < doc_id) GROUP BY doc_id)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(len(places), 0)::BIGINT AS n_removed,
+  sha256(array_to_string(list_filter(words, lambda w, k: NOT coalesce(list_contains(places, k), false)), ' ')) AS kept_sha256
+FROM split LEFT JOIN lost USING (doc_id)""",
     "op12_snapshot_diff": r"""
 WITH folded AS (SELECT doc_id, text, lang, source, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda ch: ascii(ch)::BIGINT)),
   lambda crc, b: list_reduce(list_prepend(xor(crc, b), range(8)), lambda x, i: xor(x >> 1, 3988292384::BIGINT * (x & 1)))), 4294967295::BIGINT) % 10 AS k FROM documents),
