@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import re
+from collections.abc import Callable
 from xml.etree import ElementTree
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from doculith.functions.text import fixed_id, repaired_id
 from doculith.operators.render import DECLARATION
-from doculith.operators.validate import converter_issues, quality_issues
-from doculith.operators.xmlnodes import parse
+from doculith.operators.validate import converter_issues, quality_columns
+from doculith.operators.xmlnodes import PARSED, parse, parsed, parsed_array
 
 # Kinds of errors that rules can repair.
 SIMPLE = ["InvalidIDFormat", "MissingDeclaration", "EmptyElement", "DuplicateID"]
@@ -24,83 +24,121 @@ def classified(errors: Column) -> tuple[Column, Column]:
     return F.filter(errors, lambda e: e["type"].isin(*SIMPLE)), F.filter(errors, lambda e: ~e["type"].isin(*SIMPLE))
 
 
-def replace_ids(xml: Column, ids: Column, change) -> Column:
-    """The text with each id="..." of the listed identifiers changed, one after another."""
-    return F.aggregate(ids, xml, lambda x, i: F.replace(x, F.concat(F.lit('id="'), i, F.lit('"')), F.concat(F.lit('id="'), change(i), F.lit('"'))))
-
-
-def converter_fix(docs: DataFrame, xml: str = "xml", passes: int = 3) -> DataFrame:
-    """The converter's loop: at most `passes` checks, between which ill-formed identifiers are fixed while that changes the text.
-
-    Adds fixed_xml and passes_used, and the l3_ columns of the last check.
-    """
-    out = docs.withColumn("fixed_xml", F.col(xml)).withColumn("passes_used", F.lit(0)).withColumn("_open", F.lit(True))
-    for i in range(passes):
-        out = out.drop("nodes", "parse_error", "l3_errors", "l3_warnings", "l3_valid")
-        out = converter_issues(parse(out, "fixed_xml"), "fixed_xml")
-        out = out.withColumn("passes_used", F.when(F.col("_open"), F.lit(i + 1)).otherwise(F.col("passes_used")))
-        if i + 1 < passes:
-            ids = F.transform(F.filter("l3_errors", lambda e: e["type"] == "InvalidIDFormat"), lambda e: e["id"])
-            fixed = replace_ids(F.col("fixed_xml"), ids, fixed_id)
-            again = F.col("_open") & ~F.col("l3_valid") & (fixed != F.col("fixed_xml"))
-            out = out.withColumn("_open", again).withColumn("fixed_xml", F.when(again, fixed).otherwise(F.col("fixed_xml")))
-    return out.drop("_open")
+def ids_replaced(xml: str, new: dict[str, str]) -> str:
+    """The text with each id="..." of a listed identifier changed, in one pass."""
+    return re.sub(r'id="([^"]*)"', lambda m: f'id="{new[m[1]]}"' if m[1] in new else m[0], xml) if new else xml
+
+
+def without_empty(root: ElementTree.Element, names: set[str]) -> None:
+    """Removes the named elements that have neither text nor children; what stood behind them stays."""
+    for parent in root.iter():
+        gone = {id(c) for c in parent if c.tag in names and not c.text and len(c) == 0}
+        if not gone:
+            continue
+        kept: list[ElementTree.Element] = []
+        for c in list(parent):
+            if id(c) not in gone:
+                kept.append(c)
+            elif c.tail and kept:
+                kept[-1].tail = (kept[-1].tail or "") + c.tail
+            elif c.tail:
+                parent.text = (parent.text or "") + c.tail
+        parent[:] = kept
+
+
+def numbered_ids(root: ElementTree.Element, repeated: list[str]) -> None:
+    """Puts suffixes _2, _3, ... at repeated identifiers, one identifier after another; each looks at what it holds by then."""
+    places: dict[str, list[tuple[int, ElementTree.Element]]] = {}
+    for i, node in enumerate(root.iter()):
+        if (ident := node.get("id")) is not None:
+            places.setdefault(ident, []).append((i, node))
+    for ident in repeated:
+        own = sorted(places.get(ident, []), key=lambda x: x[0])
+        for i, (at, node) in enumerate(own[1:], 2):
+            node.set("id", f"{ident}_{i}")
+            places.setdefault(f"{ident}_{i}", []).append((at, node))
+        if own:
+            places[ident] = own[:1]
 
 
 def tree_repairs(xml: str, empty: list[str], repeated: list[str]) -> tuple[str, int]:
-    """The text without the named elements that have neither text nor children, and with suffixes _2, _3, ... at repeated identifiers; how many kinds were applied."""
-    applied = 0
+    """The text without the named elements that have neither text nor children, and with suffixes at repeated identifiers; how many errors that settles."""
+    if not empty and not repeated:
+        return xml, 0
     try:
         root = ElementTree.fromstring(xml[xml.index("?>") + 2 :] if xml.lstrip().startswith("<?xml") else xml)
     except (ElementTree.ParseError, ValueError):
         return xml, 0
-    for name in empty:
-        gone = [(parent, child) for parent in root.iter() for child in parent if child.tag == name and not child.text and len(child) == 0]
-        for parent, child in gone:
-            at = list(parent).index(child)
-            if child.tail:  # what stood behind it stays
-                if at:
-                    parent[at - 1].tail = (parent[at - 1].tail or "") + child.tail
-                else:
-                    parent.text = (parent.text or "") + child.tail
-            parent.remove(child)
-        applied += 1
-    for ident in repeated:
-        for i, node in enumerate([n for n in root.iter() if n.get("id") == ident][1:], 2):
-            node.set("id", f"{ident}_{i}")
-        applied += 1
-    return (DECLARATION + ElementTree.tostring(root, encoding="unicode"), applied) if applied else (xml, 0)
+    if empty:
+        without_empty(root, set(empty))
+    numbered_ids(root, repeated)
+    return DECLARATION + ElementTree.tostring(root, encoding="unicode"), len(empty) + len(repeated)
+
+
+def _edits(xml: Column, errors: Column) -> Column:
+    """What rules change in a topic with such errors."""
+    simple, _ = classified(errors)
+    named = lambda kind: F.transform(F.filter(simple, lambda e: (e["type"] == kind) & e["id"].isNotNull() & (e["id"] != "")), lambda e: e["id"])
+    empty = F.transform(F.filter(simple, lambda e: (e["type"] == "EmptyElement") & e["element"].isNotNull()), lambda e: e["element"])
+    undeclared = F.exists(simple, lambda e: e["type"] == "MissingDeclaration") & ~xml.rlike(r"^\s*<\?xml")
+    bad = named("InvalidIDFormat")
+    return F.struct(empty.alias("empty"), named("DuplicateID").alias("repeated"), bad.alias("bad"), F.transform(bad, repaired_id).alias("good"), F.coalesce(undeclared, F.lit(False)).alias("undeclared"))
+
 
+def _edited(xml: str, edits: dict) -> tuple[str, int]:
+    text, fixes = tree_repairs(xml, edits["empty"], edits["repeated"])
+    text = ids_replaced(text, dict(zip(edits["bad"], edits["good"], strict=True)))
+    declared = edits["undeclared"] and not re.match(r"\s*<\?xml", text)
+    return (DECLARATION + text if declared else text), fixes + len(edits["bad"]) + edits["undeclared"]
 
-def _trees(docs: DataFrame, xml: str) -> DataFrame:
-    """Applies `tree_repairs` to rows with _empty and _repeated; others pass as they are."""
-    names = docs.columns
-    at, empty, repeated = (names.index(c) for c in (xml, "_empty", "_repeated"))
-    shape = StructType([*docs.schema.fields, StructField("_tree_xml", StringType()), StructField("_tree_fixes", IntegerType())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            made = [tree_repairs(x, e or [], r or []) if x is not None and (e or r) else (x, 0) for x, e, r in zip(*(b.column(i).to_pylist() for i in (at, empty, repeated)), strict=True)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([x for x, _ in made], pa.string()), pa.array([n for _, n in made], pa.int32())], names=[*names, "_tree_xml", "_tree_fixes"])
+def repaired(xml: Column, errors: Column, reparse: bool = False) -> Column:
+    """(xml, fixes, parsed): the text after the repairs, how many errors they settle and, if asked for, its nodes when anything was settled.
+
+    A null text stays null and costs nothing; only the text and the edits go through Python.
+    """
 
-    return docs.mapInArrow(run, shape)
+    @F.arrow_udf(f"struct<xml:string,fixes:int,parsed:{PARSED}>")
+    def run(texts: pa.Array, edits: pa.Array) -> pa.Array:
+        made = [(None, None) if x is None else _edited(x, e) for x, e in zip(texts.to_pylist(), edits.to_pylist(), strict=True)]
+        new = parsed_array([x if reparse and n else None for x, n in made])
+        return pa.StructArray.from_arrays([pa.array([x for x, _ in made], pa.string()), pa.array([n for _, n in made], pa.int32()), new], names=["xml", "fixes", "parsed"])
+
+    return run.asNondeterministic()(xml, F.when(xml.isNotNull(), _edits(xml, errors)))
 
 
 def repair(checked: DataFrame, xml: str = "xml", errors: str = "l4_errors") -> DataFrame:
     """Adds repaired_xml, fixes_applied and errors_remaining. Once anything was applied, every simple error counts as repaired."""
-    simple, hard = classified(F.col(errors))
-    named = lambda kind: F.transform(F.filter(simple, lambda e: e["type"] == kind), lambda e: e["id"])
-    bad = F.filter(named("InvalidIDFormat"), lambda i: i.isNotNull() & (i != ""))
-    undeclared = F.exists(simple, lambda e: e["type"] == "MissingDeclaration") & ~F.col(xml).rlike(r"^\s*<\?xml")
-    empty = F.transform(F.filter(simple, lambda e: (e["type"] == "EmptyElement") & e["element"].isNotNull()), lambda e: e["element"])
-    repeated = F.filter(named("DuplicateID"), lambda i: i.isNotNull() & (i != ""))
-    out = _trees(checked.withColumns({"_empty": empty, "_repeated": repeated, "_bad": bad, "_undeclared": undeclared, "_hard": F.size(hard)}), xml)
-    text = replace_ids(F.col("_tree_xml"), F.col("_bad"), repaired_id)
-    out = out.withColumn("_tree_xml", F.when(F.col("_undeclared") & ~text.rlike(r"^\s*<\?xml"), F.concat(F.lit(DECLARATION), text)).otherwise(text))
-    out = out.withColumn("_ids", F.size("_bad") + F.col("_undeclared").cast("int"))
-    fixes = F.col("_ids") + F.col("_tree_fixes")
-    out = out.withColumns({"repaired_xml": F.col("_tree_xml"), "fixes_applied": fixes, "errors_remaining": F.when(fixes > 0, F.col("_hard")).otherwise(F.size(errors))})
-    return out.drop("_empty", "_repeated", "_bad", "_undeclared", "_ids", "_hard", "_tree_xml", "_tree_fixes")
+    out = checked.withColumn("_made", repaired(F.col(xml), F.col(errors)))
+    fixes, hard = F.coalesce("_made.fixes", F.lit(0)), F.size(classified(F.col(errors))[1])
+    out = out.withColumns({"repaired_xml": F.col("_made.xml"), "fixes_applied": fixes, "errors_remaining": F.when(fixes > 0, hard).otherwise(F.size(errors))})
+    return out.drop("_made")
+
+
+def converter_fix(docs: DataFrame, xml: str = "xml", passes: int = 3) -> DataFrame:
+    """The converter's loop: at most `passes` checks, between which ill-formed identifiers are fixed while that changes the text.
+
+    Adds fixed_xml and passes_used, and nodes and the l3_ columns of the last check. A text is parsed again only if it was changed.
+    """
+
+    @F.arrow_udf(f"struct<xml:string,parsed:{PARSED}>")
+    def fixed(texts: pa.Array, bad: pa.Array, good: pa.Array) -> pa.Array:
+        rows = zip(texts.to_pylist(), bad.to_pylist(), good.to_pylist(), strict=True)
+        made = [None if x is None else ids_replaced(x, dict(zip(b, g, strict=True))) for x, b, g in rows]
+        made = [y if y != x else None for x, y in zip(texts.to_pylist(), made, strict=True)]
+        return pa.StructArray.from_arrays([pa.array(made, pa.string()), parsed_array(made)], names=["xml", "parsed"])
+
+    out = converter_issues(parse(docs.withColumn("fixed_xml", F.col(xml)), "fixed_xml"), "fixed_xml")
+    out = out.withColumns({"passes_used": F.lit(1), "_again": F.lit(True)})
+    for i in range(1, passes):
+        wrong = F.transform(F.filter("l3_errors", lambda e: e["type"] == "InvalidIDFormat"), lambda e: e["id"])
+        go = F.col("_again") & ~F.col("l3_valid") & (F.size(wrong) > 0)
+        out = out.withColumns({"_wrong": F.when(go, wrong), "_open": F.when(go, F.col("fixed_xml"))})
+        out = out.withColumn("_made", fixed.asNondeterministic()(F.col("_open"), F.col("_wrong"), F.transform("_wrong", fixed_id)))
+        again = F.col("_made.xml").isNotNull()
+        out = out.withColumns({"_again": again, "passes_used": F.when(again, i + 1).otherwise(F.col("passes_used")), "fixed_xml": F.coalesce("_made.xml", "fixed_xml"), "nodes": F.when(again, F.col("_made.parsed.nodes")).otherwise(F.col("nodes")), "parse_error": F.when(again, F.col("_made.parsed.error")).otherwise(F.col("parse_error"))})
+        out = converter_issues(out, "fixed_xml", F.col("_again"))
+    return out.drop("_again", "_wrong", "_open", "_made")
 
 
 def answer_xml(text: Column) -> Column:
@@ -129,17 +167,27 @@ def summary(looped: DataFrame, most: int = 3) -> DataFrame:
 def loop(docs: DataFrame, xml: str = "xml", kind: str | None = "content_type", most: int = 3) -> DataFrame:
     """At most `most` checks with a repair between two of them; stops at a valid document or when nothing could be repaired.
 
-    Adds final_xml, iterations, loop_success, repairs_applied, and nodes and l4_ columns of the last check.
+    Adds final_xml, iterations, loop_success, repairs_applied, and nodes and l4_ columns of the last check. A topic is
+    parsed once and again after each repair that changed it; one that has left the loop sends nothing to Python.
     """
-    out = docs.withColumns({"final_xml": F.col(xml), "iterations": F.lit(0), "repairs_applied": F.lit(0), "_open": F.lit(True), "loop_success": F.lit(False)})
-    checks = ["nodes", "parse_error", "l4_errors", "l4_warnings", "l4_valid"]
-    for i in range(most):
-        out = quality_issues(parse(out.drop(*checks), "final_xml"), kind)
-        out = out.withColumn("iterations", F.when(F.col("_open"), F.lit(i + 1)).otherwise(F.col("iterations")))
-        out = out.withColumn("loop_success", F.col("loop_success") | (F.col("_open") & F.col("l4_valid")))
-        if i + 1 < most:
-            out = repair(out, "final_xml")
-            goes_on = F.col("_open") & ~F.col("l4_valid") & (F.col("fixes_applied") > 0)
-            out = out.withColumns({"_open": goes_on, "final_xml": F.when(goes_on, F.col("repaired_xml")).otherwise(F.col("final_xml")), "repairs_applied": F.col("repairs_applied") + F.when(goes_on, F.col("fixes_applied")).otherwise(F.lit(0))})
-            out = out.drop("repaired_xml", "fixes_applied", "errors_remaining")
-    return out.drop("_open")
+    out = parse(docs.withColumn("final_xml", F.col(xml)), "final_xml")
+    errors, warnings = quality_columns(out, kind)
+    out = out.withColumns({"l4_errors": errors, "l4_warnings": warnings, "iterations": F.lit(1), "repairs_applied": F.lit(0), "_open": F.lit(True)})
+    for i in range(1, most):
+        out = out.withColumn("_text", F.when(F.col("_open") & (F.size("l4_errors") > 0), F.col("final_xml")))
+        out = out.withColumn("_made", repaired(F.col("_text"), F.col("l4_errors"), True))
+        out = out.withColumn("_open", F.coalesce(F.col("_made.fixes") > 0, F.lit(False)))
+        goes_on = F.col("_open")
+        out = out.withColumns(
+            {
+                "final_xml": F.when(goes_on, F.col("_made.xml")).otherwise(F.col("final_xml")),
+                "nodes": F.when(goes_on, F.col("_made.parsed.nodes")).otherwise(F.col("nodes")),
+                "parse_error": F.when(goes_on, F.col("_made.parsed.error")).otherwise(F.col("parse_error")),
+                "iterations": F.when(goes_on, i + 1).otherwise(F.col("iterations")),
+                "repairs_applied": F.col("repairs_applied") + F.when(goes_on, F.col("_made.fixes")).otherwise(F.lit(0)),
+            }
+        )
+        errors, warnings = quality_columns(out, kind)
+        out = out.withColumns({"l4_errors": F.when(goes_on, errors).otherwise(F.col("l4_errors")), "l4_warnings": F.when(goes_on, warnings).otherwise(F.col("l4_warnings"))})
+    valid = F.size("l4_errors") == 0
+    return out.withColumns({"l4_valid": valid, "loop_success": valid}).drop("_open", "_text", "_made")

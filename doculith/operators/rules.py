@@ -81,7 +81,7 @@ def shortdesc_length(s: Style) -> Rule:
 def step_count(s: Style) -> Rule:
     def check(n: Column) -> Column:
         steps = F.get(F.filter(tagged(n, "steps"), lambda x: x["node_id"] > 0), F.lit(0))
-        count = F.when((root(n)["tag"] == "task") & steps.isNotNull(), F.size(children(n, steps["node_id"], "step")))
+        count = F.when((root(n)["tag"] == "task") & steps.isNotNull(), F.size(children(n, steps, "step")))
         return F.concat(when(count > s.max_steps, found("step_count", "warning", "steps", count)), when(count < s.min_steps, found("step_count", "error", "steps", count)))
 
     return Rule("step_count", "warning", check)

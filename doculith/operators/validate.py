@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from doculith.functions.text import blank
-from doculith.operators.xmlnodes import child_of_root, children, root
+from doculith.functions.text import blank, let
+from doculith.operators.xmlnodes import below, child, child_of_root, children, root
 
 ISSUE = "array<struct<type:string,element:string,id:string>>"
 ID = r"^[a-zA-Z][a-zA-Z0-9_\-.]*$"
@@ -28,51 +28,62 @@ def _if(cond: Column, one: Column) -> Column:
     return F.when(cond, F.array(one)).otherwise(F.array().cast(ISSUE))
 
 
-def _ids(nodes: Column) -> Column:
-    return F.transform(F.filter(nodes, lambda n: n["id_attr"].isNotNull()), lambda n: n["id_attr"])
-
-
 def repeated_ids(nodes: Column) -> Column:
-    """One issue for each identifier that occurs more than once."""
-    ids = _ids(nodes)
-    return F.transform(F.filter(F.array_distinct(ids), lambda i: F.size(F.filter(ids, lambda j: j == i)) > 1), lambda i: issue("DuplicateID", ident=i))
+    """One issue for each identifier that occurs more than once, at its first place."""
+    return F.transform(F.filter(nodes, lambda n: (n["id_nth"] == 1) & (n["id_count"] > 1)), lambda n: issue("DuplicateID", ident=n["id_attr"]))
 
 
 def each_repeated_id(nodes: Column) -> Column:
     """One issue for each further occurrence of an identifier, in document order."""
-    ids = _ids(nodes)
-    again = F.filter(F.transform(ids, lambda i, k: F.struct(i.alias("i"), k.alias("k"))), lambda x: F.array_position(ids, x["i"]) <= x["k"])
-    return F.transform(again, lambda x: issue("DuplicateID", ident=x["i"]))
+    return F.transform(F.filter(nodes, lambda n: n["id_nth"] > 1), lambda n: issue("DuplicateID", ident=n["id_attr"]))
 
 
 def bad_ids(nodes: Column) -> Column:
-    return F.transform(F.filter(_ids(nodes), lambda i: ~i.rlike(ID)), lambda i: issue("InvalidIDFormat", ident=i))
+    return F.transform(F.filter(nodes, lambda n: ~n["id_attr"].rlike(ID)), lambda n: issue("InvalidIDFormat", ident=n["id_attr"]))
+
+
+def _bare_steps(nodes: Column, steps: Column) -> Column:
+    """The numbers of the steps without a command, in order: those that no command names as its parent."""
+    inside = lambda x: F.filter(x["in"], lambda n: (n["tag"] == "cmd") & (n["depth"] == x["d"] + 2))
+    told = lambda x: F.transform(inside(x), lambda n: n["parent_id"])
+    listed = lambda x: F.transform(F.filter(x["in"], lambda n: (n["tag"] == "step") & (n["depth"] == x["d"] + 1)), lambda n: n["node_id"])
+    return let(
+        F.struct(nodes.alias("n"), below(nodes, steps).alias("in"), steps["depth"].alias("d")),
+        lambda x: F.transform(F.array_except(listed(x), told(x)), lambda i: F.get(x["n"], i)["nth"]),
+    )
 
 
 def _steps_issues(nodes: Column, no_step: str) -> Column:
     """Of a task: what its body, its steps and each step lack."""
-    body = child_of_root(nodes, "taskbody")
-    steps = F.get(children(nodes, body["node_id"], "steps"), F.lit(0))
-    listed = children(nodes, steps["node_id"], "step")
-    bare = F.filter(F.transform(listed, lambda s, i: F.struct((i + 1).alias("i"), F.size(children(nodes, s["node_id"], "cmd")).alias("n"))), lambda s: s["n"] == 0)
-    inside = F.concat(
-        _if(steps.isNull(), issue("MissingRequiredElement", "steps")),
-        _if(steps.isNotNull() & (F.size(listed) == 0), issue(no_step, "steps")),
-        F.coalesce(F.transform(bare, lambda s: issue("MissingRequiredElement", F.concat(F.lit("step["), s["i"].cast("string"), F.lit("]/cmd")))), F.array().cast(ISSUE)),
-    )
-    return F.when(body.isNull(), F.array(issue("MissingRequiredElement", "taskbody"))).otherwise(inside)
+
+    def of_steps(steps: Column) -> Column:
+        bare = _bare_steps(nodes, steps)
+        return F.concat(
+            _if(steps.isNull(), issue("MissingRequiredElement", "steps")),
+            _if(steps.isNotNull() & (F.size(children(nodes, steps, "step")) == 0), issue(no_step, "steps")),
+            F.transform(bare, lambda i: issue("MissingRequiredElement", F.concat(F.lit("step["), i.cast("string"), F.lit("]/cmd")))),
+        )
+
+    def of_body(body: Column) -> Column:
+        missing = F.array(issue("MissingRequiredElement", "taskbody"))
+        return F.when(body.isNull(), missing).otherwise(let(child(nodes, body, "steps"), of_steps))
+
+    return let(child_of_root(nodes, "taskbody"), of_body)
 
 
 def order_issues(nodes: Column, parent: Column, expected: list[str]) -> Column:
-    """An issue for each expected child whose first place is before that of the expected child found last."""
-    kids = F.filter(nodes, lambda n: n["parent_id"] == parent)
-    out, last = F.array().cast(ISSUE), F.lit(-1)
-    named = lambda tag: F.filter(kids, lambda n: n["tag"] == tag)
-    for tag in expected:
-        first = F.get(named(tag), F.lit(0))["pos"]
-        out = F.concat(out, _if(F.coalesce(first < last, F.lit(False)), issue("ElementOrderError", tag)))
-        last = F.coalesce(first, last)
-    return out
+    """An issue for each expected child of a node whose first place is before that of the expected child found last."""
+    heads = let(
+        F.struct(below(nodes, parent).alias("n"), parent["node_id"].alias("p")),
+        lambda x: F.filter(x["n"], lambda n: (n["parent_id"] == x["p"]) & (n["nth"] == 1) & n["tag"].isin(*expected)),
+    )
+    place = lambda h, tag: F.get(F.filter(h, lambda n: n["tag"] == tag), F.lit(0))["pos"]
+
+    def judged(h: Column) -> Column:
+        found = F.transform(F.array(*map(F.lit, expected)), lambda tag: F.struct(tag.alias("tag"), place(h, tag).alias("pos")))
+        return let(F.filter(found, lambda f: f["pos"].isNotNull()), lambda f: F.filter(F.transform(f, lambda x, i: F.struct(x["tag"].alias("tag"), (x["pos"] < F.get(f, i - 1)["pos"]).alias("early"))), lambda x: x["early"]))
+
+    return F.transform(let(heads, judged), lambda x: issue("ElementOrderError", x["tag"]))
 
 
 def before_parsing(xml: Column) -> Column:
@@ -85,8 +96,11 @@ def before_parsing(xml: Column) -> Column:
     )
 
 
-def converter_issues(parsed: DataFrame, xml: str = "xml") -> DataFrame:
-    """Adds l3_errors, l3_warnings and l3_valid: well-formedness, identifiers, required elements; empty elements only warn."""
+def converter_issues(parsed: DataFrame, xml: str = "xml", where: Column | None = None) -> DataFrame:
+    """Adds l3_errors, l3_warnings and l3_valid: well-formedness, identifiers, required elements; empty elements only warn.
+
+    With `where`, rows that it does not hold for keep the columns they have.
+    """
     n, tag = F.col("nodes"), root(F.col("nodes"))["tag"]
     empty = F.filter(n, lambda m: ~m["tag"].isin("shortdesc", "note", "info", "br", "hr", "img") & blank(F.coalesce(m["text"], F.lit(""))) & (m["n_children"] == 0) & blank(F.coalesce(m["tail"], F.lit(""))))
     missing = lambda t: _if(child_of_root(n, t).isNull(), issue("MissingRequiredElement", t))
@@ -95,29 +109,34 @@ def converter_issues(parsed: DataFrame, xml: str = "xml") -> DataFrame:
         by_root = by_root.when(tag == name, F.concat(missing("title"), missing(BODY[name])))
     errors = F.concat(repeated_ids(n), bad_ids(n), by_root.otherwise(F.array().cast(ISSUE)))
     whole = n.isNotNull()
-    out = parsed.withColumn("l3_errors", F.when(whole, errors).otherwise(F.array(issue("XMLSyntaxError"))))
-    out = out.withColumn("l3_warnings", F.concat(before_parsing(F.col(xml)), F.when(whole, F.transform(empty, lambda m: issue("EmptyElement", m["tag"]))).otherwise(F.array().cast(ISSUE))))
-    return out.withColumn("l3_valid", F.size("l3_errors") == 0)
+    errors = F.when(whole, errors).otherwise(F.array(issue("XMLSyntaxError")))
+    warnings = F.concat(before_parsing(F.col(xml)), F.when(whole, F.transform(empty, lambda m: issue("EmptyElement", m["tag"]))).otherwise(F.array().cast(ISSUE)))
+    if where is not None:
+        errors, warnings = F.when(where, errors).otherwise(F.col("l3_errors")), F.when(where, warnings).otherwise(F.col("l3_warnings"))
+    return parsed.withColumns({"l3_errors": errors, "l3_warnings": warnings}).withColumn("l3_valid", F.size("l3_errors") == 0)
 
 
-def quality_issues(parsed: DataFrame, kind: str | None = "content_type", prefix: str = "l4") -> DataFrame:
-    """Adds {prefix}_errors, _warnings and _valid. The checks follow the given type or the root, the task first; without a type any other root is an error."""
+def quality_columns(parsed: DataFrame, kind: str | None = "content_type") -> tuple[Column, Column]:
+    """(errors, warnings) of quality assurance. The checks follow the given type or the root, the task first; without a type any other root is an error."""
     n, tag = F.col("nodes"), root(F.col("nodes"))["tag"]
     given = F.col(kind) if kind is not None else F.lit(None).cast("string")
     typed = F.coalesce(given, F.when(tag.isin("task", "concept", "reference"), F.concat(F.upper(F.substring(tag, 1, 1)), F.substring(tag, 2, 100))).otherwise(F.lit("Unknown")))
     missing = lambda t: _if(child_of_root(n, t).isNull(), issue("MissingRequiredElement", t))
-    body = child_of_root(n, "taskbody")
-    ordered = F.when(body.isNotNull(), order_issues(n, body["node_id"], TASKBODY_ORDER)).otherwise(F.array().cast(ISSUE))
-    by_type = F.when((typed == "Task") | (tag == "task"), F.concat(missing("title"), ordered, _steps_issues(n, "EmptyElement"), order_issues(n, F.lit(0), root_order("taskbody"))))
+    ordered = let(child_of_root(n, "taskbody"), lambda body: F.when(body.isNotNull(), order_issues(n, body, TASKBODY_ORDER)).otherwise(F.array().cast(ISSUE)))
+    by_type = F.when((typed == "Task") | (tag == "task"), F.concat(missing("title"), ordered, _steps_issues(n, "EmptyElement"), order_issues(n, root(n), root_order("taskbody"))))
     for name, title in (("concept", "Concept"), ("reference", "Reference")):
-        by_type = by_type.when((typed == title) | (tag == name), F.concat(missing("title"), missing(BODY[name]), order_issues(n, F.lit(0), root_order(BODY[name]))))
+        by_type = by_type.when((typed == title) | (tag == name), F.concat(missing("title"), missing(BODY[name]), order_issues(n, root(n), root_order(BODY[name]))))
     bad_root = _if(given.isNull() & ~tag.isin("task", "concept", "reference"), issue("InvalidRootElement", tag))
     errors = F.concat(bad_root, by_type.otherwise(F.array().cast(ISSUE)), each_repeated_id(n), bad_ids(n))
     empty = F.filter(n, lambda m: ~m["tag"].isin("shortdesc", "note", "info", "stepresult") & (F.coalesce(m["text"], F.lit("")) == "") & (m["n_children"] == 0))
     whole = n.isNotNull()
-    out = parsed.withColumn(f"{prefix}_errors", F.when(whole, errors).otherwise(F.array(issue("XMLSyntaxError"))))
-    out = out.withColumn(f"{prefix}_warnings", F.when(whole, F.transform(empty, lambda m: issue("EmptyElement", m["tag"]))).otherwise(F.array().cast(ISSUE)))
-    return out.withColumn(f"{prefix}_valid", F.size(f"{prefix}_errors") == 0)
+    return F.when(whole, errors).otherwise(F.array(issue("XMLSyntaxError"))), F.when(whole, F.transform(empty, lambda m: issue("EmptyElement", m["tag"]))).otherwise(F.array().cast(ISSUE))
+
+
+def quality_issues(parsed: DataFrame, kind: str | None = "content_type", prefix: str = "l4") -> DataFrame:
+    """Adds {prefix}_errors, _warnings and _valid of quality assurance."""
+    errors, warnings = quality_columns(parsed, kind)
+    return parsed.withColumns({f"{prefix}_errors": errors, f"{prefix}_warnings": warnings}).withColumn(f"{prefix}_valid", F.size(f"{prefix}_errors") == 0)
 
 
 def issue_rows(checked: DataFrame, column: str, *keys: str) -> DataFrame:

@@ -1,61 +1,166 @@
-"""XML documents parsed once into an array of nodes per row, on which all checks work without another parse."""
+"""XML documents parsed once into an array of nodes per row, on which all checks work without another parse.
+
+A node knows its place: its parent, the last node of its subtree, which of its parent's children of one tag it is, and
+how often its identifier occurs, before it and in all. So no check has to search the array for each of its elements.
+"""
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
-from xml.etree import ElementTree
+from xml.parsers import expat
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
 
-NODE = "struct<node_id:int,parent_id:int,pos:int,depth:int,tag:string,id_attr:string,href:string,text:string,tail:string,n_children:int,last:int>"
-_NODE = pa.struct([("node_id", pa.int32()), ("parent_id", pa.int32()), ("pos", pa.int32()), ("depth", pa.int32()), ("tag", pa.string()), ("id_attr", pa.string()), ("href", pa.string()), ("text", pa.string()), ("tail", pa.string()), ("n_children", pa.int32()), ("last", pa.int32())])
-#: Documents that one Arrow batch of the parser holds.
+from doculith.functions.text import let
+
+#: node_id is the place in the array; nth is the place among the parent's children of the same tag, from 1; id_nth and
+#: id_count are the occurrence of the identifier, from 1, and the number of its occurrences, null without one.
+NODE = (
+    "struct<node_id:int,parent_id:int,pos:int,depth:int,tag:string,id_attr:string,href:string,text:string,tail:string,"
+    "n_children:int,last:int,nth:int,id_nth:int,id_count:int,line:int,col:int>"
+)
+_KINDS = {"int": pa.int32(), "string": pa.string()}
+_FIELDS = [tuple(f.split(":")) for f in NODE[len("struct<") : -1].split(",")]
+_NODE = pa.struct([(name, _KINDS[kind]) for name, kind in _FIELDS])
+PARSED = f"struct<nodes:array<{NODE}>,error:string>"
+#: Documents whose nodes are Python objects at a time.
 BATCH = 512
 
 
-def nodes_of(xml: str | None) -> tuple[list[dict] | None, str | None]:
-    """The nodes in document order, or null and the parser's message. Comments are left out; entities cannot be declared."""
+def _read(xml: str) -> dict[str, list]:
+    """The nodes of a document by column, in document order, from expat's events."""
+    c: dict[str, list] = {name: [] for name, _ in _FIELDS}
+    parents, place, depths, tags, idents, hrefs = (c[k] for k in ("parent_id", "pos", "depth", "tag", "id_attr", "href"))
+    texts, tails, counts, last, nths, id_nths, lines, cols = (c[k] for k in ("text", "tail", "n_children", "last", "nth", "id_nth", "line", "col"))
+    stack: list[int] = []
+    nth: dict[tuple[int, str], int] = {}
+    seen: dict[str, int] = {}
+    into: list[str | None] = []  # the column that takes the text at hand, and its row
+    at = -1
+    parser = expat.ParserCreate(None, "}")
+
+    def start(name: str, attributes: dict[str, str]) -> None:
+        nonlocal into, at
+        own = len(tags)
+        if "}" in name:
+            name = "{" + name
+        ident = attributes.get("id")
+        if stack:
+            parent = stack[-1]
+            parents.append(parent)
+            place.append(counts[parent])
+            counts[parent] += 1
+            nth[parent, name] = number = nth.get((parent, name), 0) + 1
+        else:
+            parents.append(None)
+            place.append(0)
+            number = 1
+        if ident is not None:
+            seen[ident] = seen.get(ident, 0) + 1
+        nths.append(number)
+        depths.append(len(stack))
+        tags.append(name)
+        idents.append(ident)
+        id_nths.append(seen[ident] if ident is not None else None)
+        hrefs.append(attributes.get("href"))
+        texts.append(None)
+        tails.append(None)
+        counts.append(0)
+        last.append(own)
+        lines.append(parser.CurrentLineNumber)
+        cols.append(parser.CurrentColumnNumber + 1)
+        stack.append(own)
+        into, at = texts, own
+
+    def end(_: str) -> None:
+        nonlocal into, at
+        own = stack.pop()
+        last[own] = len(tags) - 1
+        into, at = tails, own
+
+    def data(text: str) -> None:
+        if stack:
+            into[at] = text if into[at] is None else into[at] + text
+
+    def refuse(*_: object) -> None:
+        raise ValueError("entity declarations are refused")
+
+    def unknown(name: str, is_parameter: bool) -> None:
+        if not is_parameter:
+            raise ValueError(f"undefined entity &{name};: line {parser.CurrentLineNumber}, column {parser.CurrentColumnNumber}")
+
+    parser.buffer_text = True
+    parser.StartElementHandler, parser.EndElementHandler, parser.CharacterDataHandler = start, end, data
+    parser.EntityDeclHandler, parser.SkippedEntityHandler = refuse, unknown
+    try:
+        parser.Parse(xml, True)
+    finally:  # the parser and its handlers refer to each other
+        parser.StartElementHandler = parser.EndElementHandler = parser.CharacterDataHandler = parser.EntityDeclHandler = parser.SkippedEntityHandler = None
+    c["node_id"] = list(range(len(tags)))
+    c["id_count"] = [None if i is None else seen[i] for i in idents]
+    return c
+
+
+def columns_of(xml: str | None) -> tuple[dict[str, list] | None, str | None]:
+    """The nodes in document order, by column, or null and the parser's message. Comments are left out; entities cannot be declared.
+
+    Lines and columns count from 1, behind the declaration and the white space around it.
+    """
     if xml is None:
         return None, "no document"
-    if "<!ENTITY" in xml:
-        return None, "entity declarations are refused"
     try:
-        root = ElementTree.fromstring(re.sub(r"^\s*<\?xml[^>]*\?>", "", xml))
-    except ElementTree.ParseError as e:
+        return _read(re.sub(r"^\s*<\?xml[^>]*\?>", "", xml)), None
+    except (expat.ExpatError, ValueError) as e:
         return None, str(e)
-    out: list[dict] = []
-    stack = [(root, None, 0, 0)]
-    while stack:
-        node, parent, pos, depth = stack.pop()
-        own = len(out)
-        out.append({"node_id": own, "parent_id": parent, "pos": pos, "depth": depth, "tag": node.tag, "id_attr": node.get("id"), "href": node.get("href"), "text": node.text, "tail": node.tail if parent is not None else None, "n_children": len(node), "last": own})
-        stack += [(child, own, i, depth + 1) for i, child in reversed(list(enumerate(node)))]
-    for n in reversed(out[1:]):  # the last node of each subtree, from the leaves up
-        parent = out[n["parent_id"]]
-        parent["last"] = max(parent["last"], n["last"])
-    return out, None
 
 
-def parse(docs: DataFrame, xml: str = "xml") -> DataFrame:
-    """Adds nodes (null if the text is no well-formed document) and parse_error."""
-    at = docs.columns.index(xml)
-    names = docs.columns
+def nodes_of(xml: str | None) -> tuple[list[dict] | None, str | None]:
+    """The same as one dictionary a node."""
+    columns, error = columns_of(xml)
+    if columns is None:
+        return None, error
+    return [dict(zip(columns, row, strict=True)) for row in zip(*columns.values(), strict=True)], None
+
+
+def _arrays(found: list[tuple[dict[str, list] | None, str | None]]) -> pa.Array:
+    """The nodes and errors of some documents as PARSED."""
+    flat: dict[str, list] = {name: [] for name, _ in _FIELDS}
+    ends: list[int | None] = []
+    total = 0
+    for columns, _ in found:
+        ends.append(None if columns is None else total)
+        if columns is not None:
+            for name, values in columns.items():
+                flat[name] += values
+            total += len(columns["tag"])
+    nodes = pa.StructArray.from_arrays([pa.array(flat[name], _KINDS[kind]) for name, kind in _FIELDS], fields=list(_NODE))
+    lists = pa.ListArray.from_arrays(pa.array([*ends, total], pa.int32()), nodes)
+    return pa.StructArray.from_arrays([lists, pa.array([e for _, e in found], pa.string())], names=["nodes", "error"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i in range(0, len(b), BATCH):
-                part = b.slice(i, BATCH)
-                found = [nodes_of(x) for x in part.column(at).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([n for n, _ in found], pa.list_(_NODE)), pa.array([e for _, e in found], pa.string())], names=[*names, "nodes", "parse_error"])
 
-    from pyspark.sql.types import _parse_datatype_string
+def parsed_array(texts: list[str | None]) -> pa.Array:
+    """The nodes and errors of texts, a batch of them at a time."""
+    parts = [_arrays([columns_of(x) for x in texts[i : i + BATCH]]) for i in range(0, len(texts), BATCH)]
+    return pa.concat_arrays(parts) if parts else _arrays([])
 
-    shape = StructType([*docs.schema.fields, StructField("nodes", _parse_datatype_string(f"array<{NODE}>")), StructField("parse_error", StringType())])
-    return docs.mapInArrow(run, shape)
+
+def parsed(xml: Column) -> Column:
+    """(nodes, error) of a text; only the text goes through Python. A null text has the error "no document"."""
+
+    @F.arrow_udf(PARSED)
+    def run(texts: pa.Array) -> pa.Array:
+        return parsed_array(texts.to_pylist())
+
+    # It counts as not deterministic, so that no filter or projection makes it run twice.
+    return run.asNondeterministic()(xml)
+
+
+def parse(docs: DataFrame, xml: str = "xml") -> DataFrame:
+    """Adds nodes (null if the text is no well-formed document) and parse_error."""
+    out = docs.withColumn("_parsed", parsed(F.col(xml)))
+    return out.withColumns({"nodes": F.col("_parsed.nodes"), "parse_error": F.col("_parsed.error")}).drop("_parsed")
 
 
 def exploded(parsed: DataFrame, *keys: str) -> DataFrame:
@@ -67,9 +172,20 @@ def tagged(nodes: Column, *tags: str) -> Column:
     return F.filter(nodes, lambda n: n["tag"].isin(*tags))
 
 
+def below(nodes: Column, node: Column) -> Column:
+    """The nodes of the subtree of a node, without itself; none for a null."""
+    return F.coalesce(F.slice(nodes, node["node_id"] + 2, node["last"] - node["node_id"]), F.slice(nodes, 1, 0))
+
+
 def children(nodes: Column, parent: Column, tag: str) -> Column:
-    """The direct children of a node id with a tag, in order."""
-    return F.filter(nodes, lambda n: (n["parent_id"] == parent) & (n["tag"] == tag))
+    """The direct children of a node with a tag, in order."""
+    deep = parent["depth"] + 1
+    return let(F.struct(below(nodes, parent).alias("n"), deep.alias("d")), lambda x: F.filter(x["n"], lambda n: (n["depth"] == x["d"]) & (n["tag"] == tag)))
+
+
+def child(nodes: Column, parent: Column, tag: str) -> Column:
+    """The first child of a node with a tag; null without one."""
+    return F.get(children(nodes, parent, tag), F.lit(0))
 
 
 def root(nodes: Column) -> Column:
@@ -78,7 +194,7 @@ def root(nodes: Column) -> Column:
 
 def child_of_root(nodes: Column, tag: str) -> Column:
     """The first child of the root with a tag; null without one."""
-    return F.get(children(nodes, F.lit(0), tag), F.lit(0))
+    return F.get(F.filter(nodes, lambda n: (n["parent_id"] == 0) & (n["nth"] == 1) & (n["tag"] == tag)), F.lit(0))
 
 
 def texts(nodes: Column) -> Column:

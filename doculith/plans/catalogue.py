@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from doculith.functions import messages, text
 from doculith.operators import chunking, classify, features, modelrecords, quality, render, repair, rules, stats, structure, validate, xmlnodes
-from doculith.plans import analysis, corpus, oracle
+from doculith.plans import analysis, corpus, linetopics, oracle
 from doculith.plans.oracle import escape, fused, slug, upto
 from doculith.sources import files
 
@@ -550,7 +550,7 @@ def warnings_l4(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT s_suppkey AS doc_id, 'conbody' AS element FROM supplier WHERE s_suppkey % 10 = 6")
 def element_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parsed = xmlnodes.parse(_topics(spark, sf_dir)).withColumn("issues", validate.order_issues(F.col("nodes"), F.lit(0), validate.root_order("conbody")))
+    parsed = xmlnodes.parse(_topics(spark, sf_dir)).withColumn("issues", validate.order_issues(F.col("nodes"), xmlnodes.root(F.col("nodes")), validate.root_order("conbody")))
     return validate.issue_rows(parsed, "issues", "doc_id").select("doc_id", "element")
 
 
@@ -599,6 +599,28 @@ def validation_loop(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "iterations", F.col("loop_success").alias("success"), F.col("repairs_applied").alias("repairs"), F.size("l4_errors").alias("errors"))
 
 
+@query(linetopics.L3)
+def line_topics_l3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return validate.issue_rows(validate.converter_issues(xmlnodes.parse(linetopics.topics(spark, sf_dir))), "l3_errors", "topic")
+
+
+@query(linetopics.L4)
+def line_topics_l4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return validate.issue_rows(validate.quality_issues(xmlnodes.parse(linetopics.topics(spark, sf_dir))), "l4_errors", "topic")
+
+
+@query(linetopics.L4_WARNINGS)
+def line_topics_l4_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = validate.issue_rows(validate.quality_issues(xmlnodes.parse(linetopics.topics(spark, sf_dir))), "l4_warnings", "topic")
+    return rows.groupBy("topic", "element").agg(F.count("*").alias("n"))
+
+
+@query(linetopics.LOOP)
+def line_topics_loop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = repair.loop(linetopics.topics(spark, sf_dir))
+    return out.select("topic", "iterations", F.col("loop_success").alias("success"), F.col("repairs_applied").alias("repairs"), F.size("l4_errors").alias("errors"))
+
+
 @query("SELECT s_suppkey, i::INTEGER AS issue_no, '/tmp/t' || s_suppkey || '.dita' AS file, (15 + i)::INTEGER AS line, 8::INTEGER AS col, 'bad ' || s_name AS message FROM supplier CROSS JOIN range(0, 2) AS r(i)")
 def toolkit_log_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("s_suppkey").cast("string")
