@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import gc
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -183,12 +185,34 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark's cleaner delete the shuffle files of steps that no DataFrame refers to any more; it learns of them from the garbage collectors of both sides."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def remove_folder(spark: SparkSession, folder: str) -> None:
     """Deletes a folder of intermediates through Spark's own file system."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+class Scratch:
+    """Intermediate tables as compressed Parquet in the shared folder, until `drop`."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.folder = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+    def keep(self, rows: DataFrame) -> DataFrame:
+        """The rows, written and read again: what made them is not needed any more."""
+        path = f"{self.folder}/{uuid.uuid4().hex}"
+        rows.write.parquet(path)
+        return self.spark.read.parquet(path)
+
+    def drop(self) -> None:
+        remove_folder(self.spark, self.folder)
+
+
 def fresh(name: str, *taken: list[str]) -> str:
     """`name`, with as many underscores behind it as no column of `taken` has; names are compared as Spark does."""
     used = {c.lower() for columns in taken for c in columns}

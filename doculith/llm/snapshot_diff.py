@@ -19,7 +19,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from doculith.llm.common import cut, fold, fresh, remove_folder, shared_folder
+from doculith.llm.common import Scratch, cut, fold, fresh
 
 #: Rows of the smaller snapshot in one bucket, about: the dictionary that a task holds.
 BUCKET_ROWS = 100_000
@@ -57,16 +57,12 @@ def queued(rows: DataFrame, queue: str, *order: Column) -> DataFrame:
     return ranged.join(starts, [queue, "piece"]).withColumn("place", F.col("at") + F.col("shift")).drop("piece", "at", "shift")
 
 
-class Spill:
-    """Bucketed Parquet tables in the shared folder, and their removal."""
+class Spill(Scratch):
+    """Tables in the shared folder, of which some are hash-partitioned Parquet, and their removal."""
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.folder, self.names = spark, f"{shared_folder(spark)}/snapshots-{uuid.uuid4().hex}", []
-
-    def plain(self, rows: DataFrame) -> DataFrame:
-        path = f"{self.folder}/plain-{uuid.uuid4().hex}"
-        rows.write.parquet(path)
-        return self.spark.read.parquet(path)
+        super().__init__(spark, "snapshots")
+        self.names: list[str] = []
 
     def bucketed(self, rows: DataFrame, on: Sequence[str], buckets: int) -> DataFrame:
         name = f"doculith_{uuid.uuid4().hex}"
@@ -78,7 +74,7 @@ class Spill:
     def drop(self) -> None:
         for name in self.names:
             self.spark.sql(f"DROP TABLE IF EXISTS {name}")
-        remove_folder(self.spark, self.folder)
+        super().drop()
 
 
 def grace_join(spill: Spill, earlier: DataFrame, later: DataFrame, on: list[str], sizes: tuple[int, int]) -> DataFrame:
@@ -114,11 +110,11 @@ def difference(earlier: DataFrame, later: DataFrame, key: str, columns: Sequence
     def named(rows: DataFrame, side: str, on: Sequence[str]) -> DataFrame:
         return rows.select(*on, *(F.col(c).alias(f"{side}_{c}") for c in rows.columns if c not in on))
 
-    first = [spill.plain(_digests(s, key, columns, c)) for s, c in ((earlier, {}), (later, carry or {}))]
+    first = [spill.keep(_digests(s, key, columns, c)) for s, c in ((earlier, {}), (later, carry or {}))]
     sizes = tuple(s.count() for s in first)
     sides = [queued(s, "name", F.col("content")) for s in first]
     by_key = ["name", "place"]
-    met = spill.plain(grace_join(spill, named(sides[0], "a", by_key), named(sides[1], "b", by_key), by_key, sizes))
+    met = spill.keep(grace_join(spill, named(sides[0], "a", by_key), named(sides[1], "b", by_key), by_key, sizes))
     paired = F.col("a_content").isNotNull() & F.col("b_content").isNotNull()
     differ = F.array_compact(F.array(*(F.when(~F.col(f"a_{d}").eqNullSafe(F.col(f"b_{d}")), F.lit(c)) for d, c in zip(own, columns, strict=True))))
     none = F.array().cast("array<string>")
@@ -134,7 +130,7 @@ def difference(earlier: DataFrame, later: DataFrame, key: str, columns: Sequence
     orders = [F.col("a_key").asc_nulls_first(), F.col("b_key").desc_nulls_last()]
     by_content = ["content", "place"]
     queues = [queued(s, "content", o).withColumn(f"{x}_content", F.col("content")) for s, o, x in zip(left, orders, "ab", strict=True)]
-    moved = spill.plain(grace_join(spill, *queues, by_content, sizes))
+    moved = spill.keep(grace_join(spill, *queues, by_content, sizes))
     op = F.when(F.col("a_content").isNull(), "insert").when(F.col("b_content").isNull(), "delete").otherwise("rekey")
     out = cut(kept.unionByName(result(moved, op, none)))
     spill.drop()

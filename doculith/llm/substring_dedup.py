@@ -6,7 +6,7 @@ another document holds too can lose words. Their first occurrences, one of each
 into shards of bounded size by core, and each shard becomes a suffix automaton over whole words whose states know the
 least document that holds their strings. The passages that can meet a shard stream through its automaton; where at
 least a window's length matches and the state's least document is smaller, the window is removed, and so are the
-maximal spans that these windows cover.
+maximal spans that these windows cover. A core that only one content surrounds has nothing to be compared with.
 
 An automaton is sent only to the task that owns its shard, and the passages come there: sent to all tasks, each shard
 would cost a pass over all documents. Equal passages of many documents come once. A core with very many different
@@ -22,8 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from doculith.llm.common import cut, fresh, lean, runs, slices, small_batches, utf8
-from doculith.llm.suffix_dedup import Hashes, lowest, merged, with_texts
+from doculith.llm.common import Scratch, cut, fresh, lean, release, runs, slices, small_batches, utf8
+from doculith.llm.suffix_dedup import Hashes, lowest, merged
 
 #: Words of a core.
 CORE = 4
@@ -94,7 +94,7 @@ def passages(docs: DataFrame, words: int) -> DataFrame:
 def _with_words(docs: DataFrame, found: DataFrame, words: int) -> DataFrame:
     """(shard, core, segment, doc, words): the words of passages (doc, tag, first, more, ...), joined by spaces, as binary."""
     entry = F.struct("shard", "core", "segment", "first", "more")
-    entries = cut(found.groupBy(*KEY).agg(F.collect_list(entry).alias("entries")))
+    entries = found.groupBy(*KEY).agg(F.collect_list(entry).alias("entries"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -106,7 +106,7 @@ def _with_words(docs: DataFrame, found: DataFrame, words: int) -> DataFrame:
                 texts = [b" ".join(own[f : f + m + words]) for f, m in zip(first, more, strict=True)]
                 yield pa.RecordBatch.from_arrays([*list_[:3], pa.array([doc] * len(texts), pa.int64()), pa.array(texts, pa.binary())], names=["shard", "core", "segment", "doc", "words"])
 
-    rows = with_texts(docs, entries, "inner").select("doc", "text", "entries")
+    rows = docs.join(entries, KEY).select("doc", "text", "entries")
     return rows.mapInArrow(lean(run), "shard int, core bigint, segment bigint, doc bigint, words binary")
 
 
@@ -226,25 +226,53 @@ def _judged_by_window(passages_: DataFrame, words: int) -> DataFrame:
     return found.agg(F.bit_or(F.when(F.col("least") < F.col("doc"), F.col("bit")).otherwise(F.lit(0).cast("long"))).alias("hit"))
 
 
+def candidates(docs: DataFrame, words: int, scratch: Scratch) -> DataFrame:
+    """The passages whose core another document holds too; a core of very many documents is split in the join."""
+    found = passages(docs, words)
+    cores = found.groupBy("core").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").select("core")
+    shared = scratch.keep(cores)
+    release(docs.sparkSession)
+    return scratch.keep(found.join(shared, "core"))
+
+
+def first_passages(found: DataFrame, words: int, scratch: Scratch) -> DataFrame:
+    """(core, segment, doc, tag, first, more, shard): the first passage of each content.
+
+    A core that only one content surrounds has no shard: there is nothing that its passage could meet but itself. The
+    passages of a core with very many contents have shard -1.
+    """
+    first = F.min(F.struct("doc", "tag", "first", "more")).alias("f")
+    rows = scratch.keep(found.groupBy("core", "segment").agg(first).select("core", "segment", "f.*"))
+    contents = scratch.keep(rows.groupBy("core").agg(F.count("*").alias("contents"), F.sum(F.col("more") + words).alias("size")).where("contents > 1"))
+    size = contents.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    shard = F.pmod(F.xxhash64("core"), F.lit(max(1, -(-size // SHARD_WORDS)))).cast("int")
+    shards = contents.select("core", F.when(F.col("contents") > HOT_CORE, F.lit(-1)).otherwise(shard).alias("shard"))
+    return rows.join(shards, "core", "left")
+
+
 def removed_spans(docs: DataFrame, words: int) -> DataFrame:
     """(doc, tag, entries): for rows (doc, tag, text), the maximal spans of words, as structs (start, end), that windows
     of a row with a smaller `doc` cover; rows that lose nothing are left out."""
-    found = passages(docs, words)
-    shared = found.groupBy("core").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").select("core")
-    candidates = cut(found.join(shared, "core"))
-    first = F.min(F.struct("doc", "tag", "first", "more")).alias("f")
-    reference = cut(candidates.groupBy("core", "segment").agg(first).select("core", "segment", "f.*"))
-    size = reference.agg(F.coalesce(F.sum(F.col("more") + words), F.lit(0))).first()[0]
-    shards = max(1, -(-size // SHARD_WORDS))
-    busy = reference.groupBy("core").agg(F.count("*").alias("passages"))
-    sharded = reference.join(busy, "core").withColumn("shard", F.when(F.col("passages") > HOT_CORE, F.lit(-1)).otherwise(F.pmod(F.xxhash64("core"), F.lit(shards)).cast("int")))
-    texts = cut(_with_words(docs, sharded, words))
-    hits = _judged(texts.where("shard >= 0"), words).union(_judged_by_window(texts.where("shard < 0"), words))
-    known = cut(reference.select("core", "segment", F.col("doc").alias("holder")).join(hits, ["core", "segment"]))
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "passages")
+    found = candidates(docs, words, scratch)
+    release(spark)
+    reference = first_passages(found, words, scratch)
+    texts = scratch.keep(_with_words(docs, reference.where("shard is not null"), words))
+    release(spark)
+    hits = scratch.keep(_judged(texts.where("shard >= 0"), words).union(_judged_by_window(texts.where("shard < 0"), words)))
+    out = cut(_spans(found, reference, hits, words))
+    scratch.drop()
+    release(spark)
+    return out
+
+
+def _spans(found: DataFrame, reference: DataFrame, hits: DataFrame, words: int) -> DataFrame:
+    known = reference.select("core", "segment", F.col("doc").alias("holder")).join(hits, ["core", "segment"], "left")
     # Of equal passages only the first document's can keep words.
     every = F.expr("shiftleft(2L, more) - 1")
-    hit = F.when(F.col("doc") > F.col("holder"), every).otherwise(F.col("hit"))
-    lost = candidates.join(known, ["core", "segment"]).select(*KEY, "first", hit.alias("hit")).where("hit <> 0")
+    hit = F.when(F.col("doc") > F.col("holder"), every).otherwise(F.coalesce("hit", F.lit(0)))
+    lost = found.join(known, ["core", "segment"]).select(*KEY, "first", hit.alias("hit")).where("hit <> 0")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
@@ -261,7 +289,6 @@ def removed_spans(docs: DataFrame, words: int) -> DataFrame:
 
 def _apply(rows: DataFrame, spans: DataFrame, id_col: str) -> DataFrame:
     kind = rows.schema["id"].dataType.simpleString()
-    entries = cut(spans)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -281,7 +308,7 @@ def _apply(rows: DataFrame, spans: DataFrame, id_col: str) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([b.column(0).slice(i + 1 - len(out), len(out)), pa.array(number, pa.int64()), pa.array(removed, pa.int64()), lists, pa.array(left, pa.string())], names=["id", "n_words", "n_removed", "spans", "kept"])
                     out = []
 
-    joined = with_texts(rows, entries, "left").select("id", "text", "entries")
+    joined = rows.join(spans, KEY, "left").select("id", "text", "entries")
     schema = f"id {kind}, n_words bigint, n_removed bigint, spans array<struct<start:int,end:int>>, kept string"
     return joined.mapInArrow(lean(run), schema).withColumnRenamed("id", id_col)
 
