@@ -10,14 +10,17 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from doculith.functions.text import let
+from doculith.operators import glossary
 from doculith.operators.xmlnodes import child_of_root, children, depth, root, tagged, texts
 
-FOUND = "array<struct<rule:string,severity:string,element:string,detail:string>>"
+FOUND = "array<struct<rule:string,severity:string,element:string,detail:string,suggestion:string>>"
 
 
-def found(rule: str, severity: str | Column, element: str | None = None, detail: Column | None = None) -> Column:
+def found(rule: str, severity: str | Column, element: str | None = None, detail: Column | None = None, suggestion: Column | None = None) -> Column:
     severity = F.lit(severity) if isinstance(severity, str) else severity
-    return F.struct(F.lit(rule).alias("rule"), severity.alias("severity"), F.lit(element).cast("string").alias("element"), (F.lit(None) if detail is None else detail).cast("string").alias("detail"))
+    text = lambda c: (F.lit(None) if c is None else c).cast("string")
+    return F.struct(F.lit(rule).alias("rule"), severity.alias("severity"), text(F.lit(element)).alias("element"), text(detail).alias("detail"), text(suggestion).alias("suggestion"))
 
 
 def when(cond: Column, one: Column) -> Column:
@@ -88,15 +91,26 @@ def step_count(s: Style) -> Rule:
 
 
 def terminology(s: Style) -> Rule:
-    """One issue for each term to replace that the text holds, in any case."""
+    """One issue for each term to replace that the text holds, in any case, with the term to use instead.
+
+    For a style guide's few terms; `glossary_issues` takes tables of terms.
+    """
 
     def check(n: Column) -> Column:
-        text = F.lower(texts(n))
-        return F.concat(*[when(text.contains(term.lower()), found("terminology_consistency", "info", None, F.lit(term))) for term in s.replacements]) if s.replacements else F.array().cast(FOUND)
+        one = lambda held, term, use: when(held.contains(term.lower()), found("terminology_consistency", "info", None, F.lit(term), F.lit(use)))
+        return let(F.lower(texts(n)), lambda held: F.concat(*[one(held, term, use) for term, use in s.replacements.items()]) if s.replacements else F.array().cast(FOUND))
 
     return Rule("terminology_consistency", "info", check)
 
 
+def glossary_issues(parsed: DataFrame, terms: DataFrame) -> DataFrame:
+    """Adds glossary_issues, like the issues of a rule: one for each term of a table (term, use) that a document's text holds, by term."""
+    held = glossary.uses(texts(F.col("nodes")), parsed, terms)
+    out = parsed.withColumn("_uses", F.coalesce(held, F.array().cast(f"array<{glossary.HIT}>")))
+    issue = lambda u: found("terminology_consistency", "info", None, u["term"], u["use"])
+    return out.withColumn("glossary_issues", F.transform("_uses", issue)).drop("_uses")
+
+
 # Beginnings that look like code.
 CODE = [r"^\s*(def|class|import|from)\s+", r"^\s*(function|const|let|var)\s+", r"^\s*(public|private|class)\s+", r"^\s*\$\s+"]
 

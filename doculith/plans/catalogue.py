@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from doculith.functions import messages, text
-from doculith.operators import chunking, classify, features, modelrecords, quality, render, repair, rules, stats, structure, validate, xmlnodes
+from doculith.operators import chunking, classify, features, glossary, modelrecords, quality, render, repair, rules, stats, structure, validate, xmlnodes
 from doculith.plans import analysis, corpus, linetopics, oracle
 from doculith.plans.oracle import escape, fused, slug, upto
 from doculith.sources import files
@@ -222,6 +222,27 @@ def image_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _images(spark, sf_dir).select("l_orderkey", "l_partkey", "image_name", "image_file", "image_path")
 
 
+@query(f"WITH {_IMAGES} SELECT l_orderkey, string_split(image_name, '_image_')[1] AS page, count(*) AS images FROM images GROUP BY ALL")
+def images_by_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return features.images_by_page(_images(spark, sf_dir), "l_orderkey")
+
+
+@query(
+    """WITH linked AS (SELECT l_suppkey, string_agg(CASE WHEN l_linenumber % 3 = 0 THEN '<img src="p' || l_partkey || '.png">' ELSE '![' || l_linenumber || '](' || CASE WHEN l_partkey % 2 = 0 THEN '../images/p' || l_partkey || '.png' ELSE 'p' || l_partkey || '.png' END || ')' END, chr(10)
+  ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice) AS markdown FROM lineitem GROUP BY l_suppkey)
+SELECT l_suppkey, regexp_replace(markdown, '<img src="(p[0-9]*[02468])\\.png">', '<img src="../images/\\1.png">', 'g') AS markdown FROM linked"""
+)
+def supplier_image_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hundreds of links of a supplier's text, looked up among the images of its even parts."""
+    part = F.concat(F.lit("p"), F.col("l_partkey").cast("string"))
+    link = F.when(F.col("l_linenumber") % 3 == 0, F.concat(F.lit('<img  src="'), part, F.lit('.png" width="9">'))).otherwise(F.concat(F.lit("!["), F.col("l_linenumber").cast("string"), F.lit("]("), part, F.when(F.col("l_orderkey") % 2 == 0, "").otherwise(".png"), F.lit(")")))
+    link = F.when((F.col("l_linenumber") % 3 == 0) & (F.col("l_partkey") % 2 == 1), F.concat(F.lit('<img src="'), part, F.lit('.png">'))).when((F.col("l_linenumber") % 3 != 0) & (F.col("l_partkey") % 2 == 1), F.concat(F.lit("!["), F.col("l_linenumber").cast("string"), F.lit("]("), part, F.lit(".png)"))).otherwise(link)
+    line = F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", link.alias("link"))
+    rows = _table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.array_sort(F.collect_list(line)).alias("lines"), F.array_sort(F.collect_set(F.when(F.col("l_partkey") % 2 == 0, part))).alias("known"))
+    mapping = F.map_from_arrays(F.col("known"), F.transform("known", lambda n: F.concat(F.lit("../images/"), n, F.lit(".png"))))
+    return rows.select("l_suppkey", features.rewrite_image_links(F.array_join(F.transform("lines", lambda x: x["link"]), "\n"), mapping).alias("markdown"))
+
+
 @query(f"WITH {_IMAGES} SELECT l_orderkey, count(*) AS total_images, count(DISTINCT string_split(image_name, '_image_')[1]) AS pages_with_images FROM images GROUP BY l_orderkey")
 def image_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.image_stats(_images(spark, sf_dir), "l_orderkey")
@@ -657,6 +678,22 @@ for _name in ("title_length", "nesting_depth", "step_count", "terminology_consis
     query(f"SELECT s_suppkey AS doc_id, rule, severity, detail FROM supplier JOIN (VALUES {_FOUND}) AS e(v, rule, severity, detail) ON s_suppkey % 10 = e.v WHERE rule = '{_name}'")(_rule(_name))
 
 
+def _terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of the conversations and the benchmark as a glossary, each to be written in capitals."""
+    words = lambda name: _table(spark, sf_dir, name).select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]{7,}"), 0)).alias("term"))
+    rows = words("conversations").union(words("benchmark")).distinct()
+    return rows.select("term", F.upper("term").alias("use"))
+
+
+@query(
+    """WITH words AS (SELECT DISTINCT lower(unnest(regexp_extract_all(text, '[A-Za-z]{7,}'))) AS term FROM (SELECT text FROM conversations UNION ALL SELECT text FROM benchmark))
+SELECT doc_id, term, upper(term) AS use, ((length(low) - length(replace(low, term, ''))) // length(term))::INTEGER AS times FROM (SELECT doc_id, lower(text) AS low FROM documents) JOIN words ON contains(low, term)"""
+)
+def glossary_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every term of the glossary that a document holds, and how often."""
+    return glossary.occurrences(_table(spark, sf_dir, "documents"), _terms(spark, sf_dir), "doc_id")
+
+
 @query("SELECT page_id, CASE WHEN length(html) > 150 THEN 'warning' END AS severity, CASE WHEN length(html) > 150 THEN length(html)::VARCHAR END AS detail FROM pages")
 def rule_shortdesc_length(spark: SparkSession, sf_dir: str) -> DataFrame:
     topic = F.concat(F.lit("<concept><title>A title</title><shortdesc>"), text.escape_xml(F.col("html")), F.lit("</shortdesc><conbody/></concept>"))

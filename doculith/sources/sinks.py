@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import os
+import shutil
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from doculith.operators import quality
@@ -56,6 +59,67 @@ def export_files(rows: DataFrame, name: str, content: str, store, log: str | Non
     return done.agg(F.count(F.when(F.col("error").isNull(), 1))).first()[0]
 
 
+def commit_files(rows: DataFrame, name: str, content: str, folder: str, log: str | None = None) -> DataFrame:
+    """(name, bytes, error): writes each row's content (text or binary) as a file of a folder that all executors and the driver mount.
+
+    Files are written under other names first, and Spark commits the list of those names with the attempts of tasks
+    that succeeded. Only files of that list get their own names, each by one rename; a rename that was done before is
+    no error. So a task that fails, runs again or runs twice leaves each file once and whole, and a job that fails
+    before the renames leaves no file. Names may hold folders, but not lead out of `folder`; such a name, one that
+    occurs twice and a null content give an error and no file. What was done is a Parquet table in `log`, by default
+    beside the files; leftovers are removed at the end.
+    """
+    spark = rows.sparkSession
+    stage, log = f"{folder}/_staged-{uuid.uuid4().hex}", log or f"{folder}/_log-{uuid.uuid4().hex}"
+    kind = pa.schema([("name", pa.string()), ("staged", pa.string()), ("bytes", pa.int64()), ("error", pa.string())])
+    shape = "name string, staged string, bytes bigint, error string"
+
+    def refused(own: str | None, data: bytes | None) -> str | None:
+        if not own or own.endswith("/"):
+            return "no name"
+        if own.startswith("/") or ".." in own.split("/"):
+            return "the name leads out of the folder"
+        return "no content" if data is None else None
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(len(b)):
+                own, data = (b.column(k)[i].as_py() for k in (0, 1))
+                row = {"name": own, "error": refused(own, data)}
+                if row["error"] is None:
+                    os.makedirs(stage, exist_ok=True)
+                    row |= {"staged": f"{stage}/{uuid.uuid4().hex}", "bytes": len(data)}
+                    with open(row["staged"], "wb") as f:
+                        f.write(data)
+                yield pa.RecordBatch.from_pylist([row], kind)
+
+    def rename(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own, staged, size, errors = (b.column(k).to_pylist() for k in range(4))
+            for i, (name_, path, several) in enumerate(zip(own, staged, b.column(4).to_pylist(), strict=True)):
+                if path is None:
+                    continue
+                target = f"{folder}/{name_}"
+                try:
+                    if several:
+                        raise ValueError("the name occurs twice")
+                    os.makedirs(os.path.dirname(target), exist_ok=True)
+                    os.replace(path, target)
+                except (OSError, ValueError) as e:
+                    if not (isinstance(e, FileNotFoundError) and os.path.exists(target)):  # an earlier attempt renamed it
+                        errors[i], size[i] = str(e), None
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int64()), pa.array(errors, pa.string())], names=["name", "bytes", "error"])
+
+    try:
+        asked = rows.select(F.col(name).cast("string").alias("name"), F.col(content).cast("binary").alias("content"))
+        asked.mapInArrow(write, shape).write.parquet(f"{stage}/list")
+        listed = spark.read.parquet(f"{stage}/list").withColumn("several", F.count("*").over(Window.partitionBy("name")) > 1)
+        listed.mapInArrow(rename, "name string, bytes bigint, error string").write.parquet(log)
+    finally:
+        shutil.rmtree(stage, ignore_errors=True)
+    return spark.read.parquet(log)
+
+
 def write_results(scored: DataFrame, key: str, store, formats: tuple[str, ...] = quality.FORMATS, embed: bool = True, log: str | None = None) -> int:
     """The files of checked topics in the formats asked for, by `store`; returns how many were stored."""
     return export_files(quality.outputs(scored, key, formats, embed), "name", "content", store, log)
