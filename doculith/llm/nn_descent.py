@@ -2,10 +2,11 @@
 
 Equal vectors form one node. Random hyperplanes deal the nodes of a label into blocks, which give the first
 neighbour lists; each round compares what meets in a node's neighbourhood, forward and backward. A list full of
-links is saturated and cannot hold all: it is enlarged to the whole component that links reach, inside of which
-every pair is compared, block by block. A label has as many tables of hyperplanes as a pair right at the threshold
-needs to share a side with the wanted probability. Recall is audited against brute force on a sample after every
-batch of rounds; while it is low, new tables follow, twice as many each time.
+links is saturated and is enlarged, up to ENLARGED links. What links reach is a component, inside of which every pair
+is compared, block by block, so that counts are complete also where a list cannot hold all. A label has as many
+tables of hyperplanes as a pair right at the threshold needs to share a side with the wanted probability. Recall is
+audited against brute force on a sample after every batch of rounds; while it is low, new tables follow, twice as
+many each time, and after MOST_TABLES every pair of a label is compared, in pairs of blocks.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from doculith.llm.common import components, cut, lean, runs
 
 #: Neighbours kept for a node, least tables of hyperplanes of a label of several blocks, rows of a first block, and of a block of a component.
 NEIGHBOURS, TABLES, START_BLOCK, BLOCK = 8, 4, 512, 1024
+#: Neighbours kept where all of them are links.
+ENLARGED = 32
 #: Improvements that one neighbourhood proposes to each of its members.
 PROPOSED = 4
 #: Rounds after the first tables, and after each further batch of tables.
@@ -33,7 +36,7 @@ AUDIT, WANTED = 400, 0.97
 AUDIT_GROWTH, LINKED, AUDIT_MOST = 8, 100, 25_600
 #: Rows of a block that the audit's sample is compared with; at least as many as the sample has.
 AUDIT_BLOCK = 4096
-#: Tables of a label in all, after which a recall that is still low is an error.
+#: Tables of a label in all; if the recall is still low then, every pair is compared.
 MOST_TABLES = 256
 CODE_BITS = 30
 #: Sizes of labels are broadcast up to this many labels; beyond, they are joined by a shuffle.
@@ -194,11 +197,11 @@ def _started(nodes: DataFrame, labels: DataFrame, threshold: float, width: str,
     return _compared(rows.repartition("g", "key").sortWithinPartitions("g", "key", "id"), 2, threshold, width, NEIGHBOURS, False)
 
 
-def _best(edges: DataFrame) -> DataFrame:
-    """The NEIGHBOURS nearest of each node; a node has a bounded number of proposals."""
+def _best(edges: DataFrame, threshold: float) -> DataFrame:
+    """The NEIGHBOURS nearest of each node, and up to ENLARGED while they are links; a node has a bounded number of proposals."""
     own = edges.groupBy("a", "b").agg(F.max("sim").alias("sim"))
     rank = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("sim"), "b"))
-    return own.withColumn("rank", rank).where(F.col("rank") <= NEIGHBOURS).drop("rank")
+    return own.withColumn("rank", rank).where((F.col("rank") <= NEIGHBOURS) | (F.col("rank") <= ENLARGED) & (F.col("sim") >= threshold)).drop("rank")
 
 
 def _round(nodes: DataFrame, graph: DataFrame, threshold: float, width: str) -> DataFrame:
@@ -207,20 +210,28 @@ def _round(nodes: DataFrame, graph: DataFrame, threshold: float, width: str) ->
     # Many lists may name one node: its neighbourhood is dealt into blocks then.
     many = sides.groupBy("c").agg(F.count("*").alias("members"))
     sides = sides.join(many, "c").withColumn("sub", F.pmod(F.xxhash64("m", "c"), F.ceil(F.col("members") / START_BLOCK)).cast("int"))
-    bar = graph.groupBy(F.col("a").alias("id")).agg(F.when(F.count("*") >= NEIGHBOURS, F.min("sim")).otherwise(F.lit(-2.0)).alias("bar"))
+    # What a list takes: anything while it has room, then what beats its last, and as long as it can be enlarged every link.
+    link = F.lit(float(np.nextafter(threshold, -2.0)))
+    room = F.when(F.count("*") >= ENLARGED, F.min("sim")).when(F.count("*") >= NEIGHBOURS, F.least(F.min("sim"), link)).otherwise(F.lit(-2.0))
+    bar = graph.groupBy(F.col("a").alias("id")).agg(room.alias("bar"))
     known = nodes.select("id", "vec").join(bar, "id", "left").select(F.col("id").alias("m"), "vec", F.coalesce("bar", F.lit(-2.0)).alias("bar"))
     rows = sides.join(known, "m").select("c", "sub", F.col("m").alias("id"), "vec", "bar")
     return _compared(rows.repartition("c", "sub").sortWithinPartitions("c", "sub", "id"), 2, threshold, width, PROPOSED, True)
 
 
-def _counted(nodes: DataFrame, reached: DataFrame, threshold: float, width: str) -> DataFrame:
-    """(id, links, near): for the nodes of each component the rows and the nodes linked, every pair compared once, in pairs of blocks."""
+def _paired(nodes: DataFrame, reached: DataFrame) -> DataFrame:
+    """(component, bi, bj, id, own, w, vec): the nodes of each component in pairs of blocks, each pair once, in one task."""
     sizes = reached.groupBy("component").agg(F.count("*").alias("members"))
     rows = reached.join(sizes, "component").withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
     rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: F.struct(F.least(i, F.col("own")).alias("bi"), F.greatest(i, F.col("own")).alias("bj")))
     rows = rows.withColumn("pair", F.explode(pair)).select("component", "pair.bi", "pair.bj", F.col("node").alias("id"), "own")
     rows = rows.join(nodes.select("id", "w", "vec"), "id").select("component", "bi", "bj", "id", "own", "w", "vec")
+    return rows.repartition("component", "bi", "bj").sortWithinPartitions("component", "bi", "bj", "id")
+
+
+def _counted(nodes: DataFrame, reached: DataFrame, threshold: float, width: str) -> DataFrame:
+    """(id, links, near): for the nodes of each component the rows and the nodes linked, every pair compared once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in runs(batches, 3):
@@ -239,8 +250,23 @@ def _counted(nodes: DataFrame, reached: DataFrame, threshold: float, width: str)
                 near[one], near[two] = link.sum(1), link.sum(0)
             yield pa.RecordBatch.from_arrays([pa.array(ident), pa.array(total.astype(np.int64)), pa.array(near.astype(np.int64))], names=["id", "links", "near"])
 
-    dealt = rows.repartition("component", "bi", "bj").sortWithinPartitions("component", "bi", "bj", "id")
-    return dealt.mapInArrow(lean(run), "id bigint, links bigint, near bigint").groupBy("id").agg(F.sum("links").alias("links"), F.sum("near").alias("near"))
+    found = _paired(nodes, reached).mapInArrow(lean(run), "id bigint, links bigint, near bigint")
+    return found.groupBy("id").agg(F.sum("links").alias("links"), F.sum("near").alias("near"))
+
+
+def _every_link(nodes: DataFrame, labels: DataFrame, threshold: float, width: str) -> DataFrame:
+    """(a, b): links that connect what all pairs of the labels of several blocks connect."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in runs(batches, 3):
+            ident = t.column(3).to_numpy()
+            x = unit(t.column(6).combine_chunks(), width)
+            root = first_linked(x @ x.T >= threshold)
+            linked = np.flatnonzero(root != np.arange(len(ident)))
+            yield pa.RecordBatch.from_arrays([pa.array(ident[linked]), pa.array(ident[root[linked]])], names=["a", "b"])
+
+    large = nodes.join(_small(labels.where("bits > 0").select("g")), "g")
+    return cut(_paired(nodes, large.select(F.col("id").alias("node"), F.col("g").alias("component"))).mapInArrow(lean(run), "a bigint, b bigint"))
 
 
 def _asked(nodes: DataFrame, labels: DataFrame, threshold: float, width: str) -> DataFrame:
@@ -305,46 +331,57 @@ def audit(asked: DataFrame, counted: DataFrame) -> float:
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
-    """(id, n_links, component_id, kept) for each row whose id is not null.
+    """(id, n_links, component_id, kept) for each row.
 
     Rows link when labels and lengths are equal and the cosine in double precision is at least `threshold`; no
     pair below it counts. Null, zero or partly null or non-finite vectors and rows without a label have no links.
-    Copies of a vector are links of each other. Other columns are not read.
+    Copies of a vector are links of each other. component_id is the smallest id that links reach. Other columns are
+    not read, and an empty table gives no row.
+
+    Rows are told apart by themselves, not by their ids: rows that share an id, or have none, are vectors of their
+    own, which count each other like any others. A row without an id has the smallest id of its component, null if
+    there is none; it is kept only then, since nothing else of its component would be.
     """
     width = "float32" if "float" in vectors.schema[vector_col].dataType.simpleString() else "float64"
-    base = vectors.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("x"), F.col(label_col).alias("label"))
+    base = vectors.select(F.col(id_col).cast("long").alias("row_id"), F.col(vector_col).alias("x"), F.col(label_col).alias("label"))
     ok = usable("x", "label")
     keyed = base.where(ok).withColumn("g", F.xxhash64("label", F.size("x"))).withColumn("h1", F.xxhash64("x")).withColumn("h2", F.xxhash64("x", F.lit(7)))
-    classes = cut(keyed.groupBy("g", "h1", "h2").agg(F.min("id").alias("id"), F.count("*").alias("w"), F.first("x").alias("x")))
+    grouped = keyed.groupBy("g", "h1", "h2").agg(F.min("row_id").alias("least"), F.count("*").alias("w"), F.first("x").alias("x"))
+    classes = cut(grouped.withColumn("id", F.monotonically_increasing_id()))
     nodes = cut(_nodes(classes, width))
     labels = _labels(nodes, threshold)
     least = labels.where("bits > 0").agg(F.min("tables")).first()[0] or MOST_TABLES
     found = cut(_started(nodes, labels, threshold, width))
     links = found.where("kind = 1").select("a", "b")
-    graph = cut(_best(found.where("kind = 0").select("a", "b", "sim")))
+    graph = cut(_best(found.where("kind = 0").select("a", "b", "sim"), threshold))
     asked = sampled(nodes, labels, threshold, width)
     rounds, batch = ROUNDS, 0
     while True:
         for _ in range(rounds):
             found = cut(_round(nodes, graph, threshold, width))
             links = links.union(found.where("kind = 1").select("a", "b"))
-            graph = cut(_best(graph.select("a", "b", "sim").union(found.where("kind = 0").select("a", "b", "sim"))))
+            graph = cut(_best(graph.select("a", "b", "sim").union(found.where("kind = 0").select("a", "b", "sim")), threshold))
         reached = components(links, "a", "b")
         counted = cut(_counted(nodes, reached, threshold, width))
-        recall = audit(asked, counted)
-        if recall >= WANTED:
+        if audit(asked, counted) >= WANTED:
             break
         # A label that has had all of its tables gets no more; while others have not, they go on.
         if least << batch >= MOST_TABLES:
-            raise RuntimeError(f"near_duplicates: recall {recall:.3f} after {MOST_TABLES} tables of hyperplanes, {WANTED} wanted")
+            reached = components(links.union(_every_link(nodes, labels, threshold, width)), "a", "b")
+            counted = cut(_counted(nodes, reached, threshold, width))
+            break
         rounds, batch = MORE_ROUNDS, batch + 1
         found = cut(_started(nodes, labels, threshold, width, batch))
         links = links.union(found.where("kind = 1").select("a", "b"))
-        graph = cut(_best(graph.select("a", "b", "sim").union(found.where("kind = 0").select("a", "b", "sim"))))
-    per = classes.select("g", "h1", "h2", F.col("id").alias("rep"), "w")
-    per = per.join(counted.select(F.col("id").alias("rep"), "links"), "rep", "left").join(reached.withColumnRenamed("node", "rep"), "rep", "left")
-    per = per.select("g", "h1", "h2", (F.coalesce("links", F.lit(0)) + F.col("w") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    linked = keyed.select("id", "g", "h1", "h2").join(per, ["g", "h1", "h2"]).select("id", "n_links", "component_id")
-    alone = base.where(~ok).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
+        graph = cut(_best(graph.select("a", "b", "sim").union(found.where("kind = 0").select("a", "b", "sim")), threshold))
+    # The smallest id of each component, then of each class of equal vectors.
+    members = reached.withColumnRenamed("node", "id").join(classes.select("id", "least"), "id")
+    smallest = members.groupBy("component").agg(F.min("least").alias("component_id"))
+    of_node = reached.withColumnRenamed("node", "id").join(smallest, "component").select("id", "component_id", F.lit(True).alias("linked"))
+    per = classes.select("g", "h1", "h2", "id", "w", "least").join(counted.select("id", "links"), "id", "left").join(of_node, "id", "left")
+    component = F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("least"))
+    per = per.select("g", "h1", "h2", (F.coalesce("links", F.lit(0)) + F.col("w") - 1).alias("n_links"), component.alias("component_id"))
+    linked = keyed.select("row_id", "g", "h1", "h2").join(per, ["g", "h1", "h2"]).select("row_id", "n_links", "component_id")
+    alone = base.where(~ok).select("row_id", F.lit(0).cast("long").alias("n_links"), F.col("row_id").alias("component_id"))
     out = linked.unionByName(alone)
-    return out.select(F.col("id").alias(id_col), "n_links", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
+    return out.select(F.col("row_id").alias(id_col), "n_links", "component_id", F.col("row_id").eqNullSafe(F.col("component_id")).alias("kept"))
