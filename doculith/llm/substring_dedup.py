@@ -260,15 +260,17 @@ def removed_spans(docs: DataFrame, words: int) -> DataFrame:
     reference = first_passages(found, words, scratch)
     texts = scratch.keep(_with_words(docs, reference.where("shard is not null"), words))
     release(spark)
-    hits = scratch.keep(_judged(texts.where("shard >= 0"), words).union(_judged_by_window(texts.where("shard < 0"), words)))
-    out = cut(_spans(found, reference, hits, words))
+    hits = _judged(texts.where("shard >= 0"), words).union(_judged_by_window(texts.where("shard < 0"), words))
+    known = scratch.keep(reference.select("core", "segment", F.col("doc").alias("holder")).join(hits, ["core", "segment"], "left"))
+    release(spark)
+    out = cut(_spans(found, known, words))
     scratch.drop()
     release(spark)
     return out
 
 
-def _spans(found: DataFrame, reference: DataFrame, hits: DataFrame, words: int) -> DataFrame:
-    known = reference.select("core", "segment", F.col("doc").alias("holder")).join(hits, ["core", "segment"], "left")
+def _spans(found: DataFrame, known: DataFrame, words: int) -> DataFrame:
+    """The spans of each text; a content of very many documents is split in the join. `known` has the first document of each content, and its hits."""
     # Of equal passages only the first document's can keep words.
     every = F.expr("shiftleft(2L, more) - 1")
     hit = F.when(F.col("doc") > F.col("holder"), every).otherwise(F.coalesce("hit", F.lit(0)))
