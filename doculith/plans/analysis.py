@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from doculith.operators import chunking, classify, features, quality, render, repair, structure
 from doculith.operators.rules import Registry, load_style
+from doculith.plans.progress import Progress
 
 
 @dataclass(frozen=True)
@@ -48,8 +49,15 @@ def assure(topics: DataFrame, xml: str = "xml", kind: str | None = "content_type
     return quality.recommendations(quality.status(quality.scores(rules.summary(rules.run(looped)))))
 
 
-def end_to_end(docs: DataFrame, text: str = "markdown", options: Options | None = None) -> DataFrame:
-    """From documents to scored topics in one lazy plan; no file lies between the stages."""
+def end_to_end(docs: DataFrame, text: str = "markdown", options: Options | None = None, progress: Progress | None = None) -> DataFrame:
+    """From documents to scored topics in one lazy plan; no file lies between the stages.
+
+    With `progress`, the rows of each stage are counted while the plan runs: documents (failed: no text), chunks,
+    topics (failed: no topic could be made), scored topics (failed: those that quality assurance does not pass).
+    """
     o = options or Options()
-    topics = convert(analyse(docs, text, size=o.chunk_size)).withColumn("content_type", F.col("type"))
-    return assure(topics.where(F.col("xml").isNotNull()), registry=Registry(load_style(docs.sparkSession, o.rules)))
+    watch = progress.watch if progress is not None else lambda _, df, failed=None: df
+    chunks = watch("chunks", analyse(watch("documents", docs, F.col(text).isNull()), text, size=o.chunk_size))
+    topics = watch("topics", convert(chunks), F.col("xml").isNull()).withColumn("content_type", F.col("type"))
+    scored = assure(topics.where(F.col("xml").isNotNull()), registry=Registry(load_style(docs.sparkSession, o.rules)))
+    return watch("scored", scored, ~F.col("qa_success"))

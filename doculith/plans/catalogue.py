@@ -8,10 +8,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from doculith.functions import messages, text
-from doculith.operators import chunking, classify, features, glossary, modelrecords, quality, render, repair, rules, stats, structure, validate, xmlnodes
+from doculith.operators import chunking, classify, features, glossary, linguistics, modelrecords, quality, render, repair, reviewlog, rules, stats, structure, validate, xmlnodes
 from doculith.plans import analysis, corpus, linetopics, oracle
 from doculith.plans.oracle import escape, fused, slug, upto
-from doculith.sources import files
+from doculith.sources import files, recognition
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -184,6 +184,33 @@ def chunk_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.preview(docs).select("doc_id", "chunk_no", "has_more")
 
 
+_PAGE_IMAGES = "SELECT page_id // 12 AS doc, (page_id % 12 + 1)::INTEGER AS page, coalesce(html, '') AS html FROM pages"
+
+
+def _stub(images: list[bytes]) -> list[str]:
+    """Stands in for a recogniser: reads the text of a page, and fails on pages of some lengths."""
+    if any(len(i) % 7 == 0 for i in images):
+        raise ValueError("unreadable")
+    return [i.decode() for i in images]
+
+
+def _recognised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages").selectExpr("page_id div 12 AS doc", "cast(page_id % 12 + 1 AS int) AS page", "cast(coalesce(html, '') AS binary) AS image")
+    return recognition.recognise(pages, _stub, "doc")
+
+
+@query(f"SELECT doc, page, CASE WHEN strlen(html) % 7 = 0 THEN '' ELSE html END AS text, 'ocr' AS method, CASE WHEN strlen(html) % 7 = 0 THEN 'ValueError: unreadable' END AS error FROM ({_PAGE_IMAGES})")
+def recognised_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _recognised(spark, sf_dir)
+
+
+@query(
+    f"SELECT doc, string_agg(CASE WHEN strlen(html) % 7 = 0 THEN '' ELSE html END, chr(10) || '---' || chr(10) ORDER BY page) AS text, count(*)::INTEGER AS pages, count(*) FILTER (strlen(html) % 7 = 0)::INTEGER AS failed_pages FROM ({_PAGE_IMAGES}) GROUP BY doc"
+)
+def recognised_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recognition.documents(_recognised(spark, sf_dir), "doc")
+
+
 # Features ------------------------------------------------------------------------------------------------------------
 
 
@@ -197,6 +224,12 @@ def lexical_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.extract(_chunks(spark, sf_dir), only="lexical").select("doc_id", "chunk_no", *oracle.LEXICAL)
 
 
+@query()
+def linguistic_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = linguistics.extract(_chunks(spark, sf_dir)).select("doc_id", "chunk_no", "verb_count_tagged", "noun_count_tagged", "adj_count", F.array_join("entity_types", ",").alias("entity_types"), "dependency_patterns.*")
+    return rows
+
+
 @query(
     r"""SELECT n_nationkey, 'See ![a](../images/0_image_' || n_nationkey || '.png), ![b](../images/0_image_' || n_nationkey || '.png), <img src="../images/0_image_' || n_nationkey || '.png"> and ![c](other_' || n_nationkey || '.png)' AS markdown FROM nation"""
 )
@@ -642,6 +675,17 @@ def line_topics_loop(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("topic", "iterations", F.col("loop_success").alias("success"), F.col("repairs_applied").alias("repairs"), F.size("l4_errors").alias("errors"))
 
 
+@query(
+    """SELECT client_id::VARCHAR AS chunk_id, CASE WHEN last.label IS NULL THEN 'queued' ELSE 'labelled' END AS status, last.label AS label, last.reviewer AS reviewer, last.at AS at, last.event_id AS event_id FROM (
+  SELECT client_id, arg_max({'at': valid_at, 'label': segment, 'reviewer': source, 'event_id': printf('%020d', change_id)}, {'a': valid_at, 'b': segment IS NOT NULL, 'c': printf('%020d', change_id), 'd': coalesce(segment, ''), 'e': coalesce(source, '')}) AS last
+  FROM client_changes WHERE client_id IS NOT NULL AND change_id IS NOT NULL AND valid_at IS NOT NULL GROUP BY client_id)"""
+)
+def review_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Changes of clients as events that label them, many of them late or repeated."""
+    events = _table(spark, sf_dir, "client_changes").select(F.lpad(F.col("change_id").cast("string"), 20, "0").alias("event_id"), F.col("client_id").cast("string").alias("chunk_id"), F.col("valid_at").cast("timestamp").alias("at"), F.col("segment").alias("label"), F.col("source").alias("reviewer"))
+    return reviewlog.state(events).withColumn("at", F.col("at").cast("timestamp_ntz"))
+
+
 @query("SELECT s_suppkey, i::INTEGER AS issue_no, '/tmp/t' || s_suppkey || '.dita' AS file, (15 + i)::INTEGER AS line, 8::INTEGER AS col, 'bad ' || s_name AS message FROM supplier CROSS JOIN range(0, 2) AS r(i)")
 def toolkit_log_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("s_suppkey").cast("string")
