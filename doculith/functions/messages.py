@@ -33,3 +33,36 @@ TITLE_SHORT = "提供更具描述性的标题"
 
 # The title of a merged document.
 MERGED_TITLE = "合并后的完整文档"
+
+# Messages and suggestions of issues, by check and kind. {root}, {element}, {id}, {step} and {count} are filled in.
+ISSUE_MESSAGES = {
+    "l3": {
+        "MissingDeclaration": "缺少XML声明",
+        "MissingEncoding": "XML声明缺少encoding属性",
+        "MissingDoctype": "缺少DOCTYPE声明",
+        "EmptyElement": "元素 <{element}> 为空",
+        "DuplicateID": 'ID "{id}" 重复出现 {count} 次',
+        "InvalidIDFormat": 'ID "{id}" 格式不符合规范',
+        "MissingRequiredElement": "<{root}> 缺少必需的 <{element}> 元素",
+        "MissingSteps": "<taskbody> 缺少必需的 <steps> 元素",
+        "MissingCommand": "第 {step} 个 <step> 缺少必需的 <cmd> 元素",
+        "EmptySteps": "<steps> 必须至少包含一个 <step>",
+    },
+    "l4": {
+        "EmptyElement": "元素 <{element}> 为空",
+        "DuplicateID": 'ID "{id}" 重复使用',
+        "InvalidIDFormat": 'ID "{id}" 格式无效（必须以字母开头，只能包含字母、数字、-_. ）',
+        "MissingRequiredElement": "<{root}> 必须包含 <{element}> 元素",
+        "MissingSteps": "<taskbody> 必须包含 <steps> 元素",
+        "MissingCommand": "第 {step} 个 <step> 缺少必需的 <cmd> 元素",
+        "EmptySteps": "<steps> 必须至少包含一个 <step>",
+        "InvalidRootElement": "根元素必须是task/concept/reference之一，实际为: {element}",
+        "ElementOrderError": "元素 <{element}> 的顺序不正确",
+    },
+}
+ISSUE_SUGGESTIONS = {
+    "MissingDeclaration": '添加: <?xml version="1.0" encoding="UTF-8"?>',
+    "MissingEncoding": '添加: encoding="UTF-8"',
+    "MissingDoctype": "DITA文档应包含DOCTYPE声明",
+    "InvalidIDFormat": "ID必须以字母开头，只能包含字母、数字、下划线、连字符、点号",
+}

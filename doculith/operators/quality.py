@@ -61,8 +61,15 @@ def recommendations(scored: DataFrame) -> DataFrame:
     return scored.withColumn("recommendations", F.when(F.size(advice) > 0, advice).otherwise(F.array(F.lit(messages.ADVICE_NONE))))
 
 
-def report(scored: DataFrame, *keys: str) -> DataFrame:
-    """One nested row per document: status, scores, summaries of both checks with the first five errors, advice."""
+def report(scored: DataFrame, *keys: str, xml: str = "final_xml", metadata: Column | None = None) -> DataFrame:
+    """One nested row per document: status, scores, summaries of both checks with the first five errors, advice, statistics.
+
+    `metadata` is what the caller knows of the processing, a struct or a map; null without it. A document that does
+    not parse has the size and lines of its text alone.
+    """
+    n = F.col("nodes")
+    measured = [c.alias(name) for name, c in xmlnodes.sizes(n, F.col(xml)).items()]
+    statistics = F.struct(*measured, F.when(n.isNotNull(), F.struct(*[c.alias(name) for name, c in xmlnodes.counts(n).items()])).alias("elements"))
     return scored.select(
         *keys,
         "overall_status",
@@ -74,10 +81,12 @@ def report(scored: DataFrame, *keys: str) -> DataFrame:
             F.size("l4_warnings").alias("warnings"),
             F.col("iterations").alias("iterations_required"),
             "repairs_applied",
-            F.slice("l4_errors", 1, 5).alias("error_details"),
+            F.transform(F.slice("l4_errors", 1, 5), lambda e: e.dropFields("node")).alias("error_details"),
         ).alias("validation_summary"),
         F.struct((F.col("passed_rules") + F.col("failed_rules")).alias("total_rules"), "passed_rules", "failed_rules", "total_issues", "rule_errors", "rule_warnings", "rule_infos").alias("custom_checks_summary"),
+        (F.lit(None).cast("map<string,string>") if metadata is None else metadata).alias("processing_metadata"),
         "recommendations",
+        statistics.alias("statistics"),
     )
 
 
@@ -159,7 +168,7 @@ def outputs(scored: DataFrame, key: str, formats: tuple[str, ...] = FORMATS, emb
     doc = F.col(key).cast("string")
     files = []
     if "json" in formats:
-        body = report(scored, F.col(key).alias("document_id"), *([F.col(xml).alias("final_dita_xml")] if embed else []))
+        body = report(scored, F.col(key).alias("document_id"), *([F.col(xml).alias("final_dita_xml")] if embed else []), xml=xml)
         whole = F.to_json(F.struct(*[F.col(f"`{c}`") for c in body.columns]))
         files.append(body.select(F.concat(F.col("document_id").cast("string"), F.lit("_report.json")).alias("name"), whole.alias("content")))
     if "html" in formats:

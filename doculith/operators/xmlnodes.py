@@ -29,6 +29,9 @@ PARSED = f"struct<nodes:array<{NODE}>,error:string>"
 BATCH = 512
 
 
+_HEAD = re.compile(r"\s*<\?xml[^>]*\?>")
+
+
 def _read(xml: str) -> dict[str, list]:
     """The nodes of a document by column, in document order, from expat's events."""
     c: dict[str, list] = {name: [] for name, _ in _FIELDS}
@@ -106,12 +109,16 @@ def _read(xml: str) -> dict[str, list]:
 def columns_of(xml: str | None) -> tuple[dict[str, list] | None, str | None]:
     """The nodes in document order, by column, or null and the parser's message. Comments are left out; entities cannot be declared.
 
-    Lines and columns count from 1, behind the declaration and the white space around it.
+    Lines and columns count from 1; those in a message count from behind the declaration.
     """
     if xml is None:
         return None, "no document"
+    head = _HEAD.match(xml)
     try:
-        return _read(re.sub(r"^\s*<\?xml[^>]*\?>", "", xml)), None
+        columns = _read(xml[head.end() :] if head else xml)
+        if head and (above := head[0].count("\n")):
+            columns["line"] = [n + above for n in columns["line"]]
+        return columns, None
     except (expat.ExpatError, ValueError) as e:
         return None, str(e)
 
@@ -223,22 +230,20 @@ def sizes(n: Column, x: Column) -> dict[str, Column]:
     }
 
 
+# What is counted below the root, by tags.
+COUNTED = {"steps": ["step"], "sections": ["section"], "paragraphs": ["p"], "lists": ["ul", "ol"], "tables": ["table"], "images": ["image"], "notes": ["note"], "codeblocks": ["codeblock"]}
+
+
+def counts(n: Column) -> dict[str, Column]:
+    """The elements below the root by what they are; null without nodes."""
+    below_root = lambda tags: F.when(n.isNotNull(), F.size(F.filter(n, lambda m: m["tag"].isin(*tags) & (m["node_id"] > 0))))
+    return {name: below_root(tags) for name, tags in COUNTED.items()}
+
+
 def statistics(parsed: DataFrame, *keys: str, xml: str = "xml") -> DataFrame:
     """Sizes and counts of each document; a document that does not parse has only its size and lines."""
     n = F.col("nodes")
-    below = lambda *t: F.when(n.isNotNull(), F.size(F.filter(n, lambda m: m["tag"].isin(*t) & (m["node_id"] > 0))))
-    return parsed.select(
-        *keys,
-        *[c.alias(name) for name, c in sizes(n, F.col(xml)).items()],
-        below("step").alias("steps"),
-        below("section").alias("sections"),
-        below("p").alias("paragraphs"),
-        below("ul", "ol").alias("lists"),
-        below("table").alias("tables"),
-        below("image").alias("images"),
-        below("note").alias("notes"),
-        below("codeblock").alias("codeblocks"),
-    )
+    return parsed.select(*keys, *[c.alias(name) for name, c in {**sizes(n, F.col(xml)), **counts(n)}.items()])
 
 
 def depth(nodes: Column) -> Column:

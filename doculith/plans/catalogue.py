@@ -540,9 +540,10 @@ _TOPICS = f"WITH topics AS ({oracle.topics_sql()})"
     )
 )
 def xml_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = xmlnodes.exploded(xmlnodes.parse(_rendered(spark, sf_dir).select("doc_id", "chunk_no", "xml")), "doc_id", "chunk_no")
-    of = lambda t: F.count(F.when(F.col("tag") == t, 1)).cast("int")
-    return nodes.groupBy("doc_id", "chunk_no").agg(F.count("*").cast("int").alias("elements"), of("step").alias("steps"), of("entry").alias("entries"), F.max("depth").alias("depth"))
+    n = F.col("nodes")
+    of = lambda t: F.size(xmlnodes.tagged(n, t))
+    rows = xmlnodes.parse(_rendered(spark, sf_dir).select("doc_id", "chunk_no", "xml")).where(n.isNotNull())
+    return rows.select("doc_id", "chunk_no", F.size(n).alias("elements"), of("step").alias("steps"), of("entry").alias("entries"), xmlnodes.depth(n).alias("depth"))
 
 
 @query("SELECT doc_id, v <> 8 AS well_formed FROM (" + oracle.topics_sql() + ")")
@@ -663,6 +664,21 @@ def line_topics_l4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validate.issue_rows(validate.quality_issues(xmlnodes.parse(linetopics.topics(spark, sf_dir))), "l4_errors", "topic")
 
 
+@query(linetopics.L4_MESSAGES)
+def line_topics_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    checked = validate.described(validate.quality_issues(xmlnodes.parse(linetopics.topics(spark, sf_dir))), "l4_errors", kind="content_type")
+    return checked.select("topic", F.posexplode("l4_errors").alias("issue_no", "i")).where("i.type <> 'XMLSyntaxError'").select("topic", "issue_no", "i.line", "i.message", "i.suggestion")
+
+
+@query(
+    """WITH line AS (SELECT doc_id, length(xml) AS size, v FROM (""" + oracle.topics_sql() + """))
+SELECT doc_id, size::INTEGER AS xml_size, CASE v WHEN 0 THEN 3 WHEN 1 THEN 1 WHEN 2 THEN 2 WHEN 3 THEN 1 WHEN 4 THEN 3 WHEN 8 THEN NULL ELSE 0 END::INTEGER AS steps FROM line"""
+)
+def report_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    checked = _assured(spark, sf_dir).withColumn("first_xml", F.col("xml"))
+    return quality.report(checked, "doc_id", xml="first_xml").select("doc_id", "statistics.xml_size", "statistics.elements.steps")
+
+
 @query(linetopics.L4_WARNINGS)
 def line_topics_l4_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = validate.issue_rows(validate.quality_issues(xmlnodes.parse(linetopics.topics(spark, sf_dir))), "l4_warnings", "topic")

@@ -107,3 +107,8 @@ L4_WARNINGS = f"""WITH {FACTS}
 SELECT topic, 'context' AS element, count(*) AS n FROM kids WHERE part = 2 AND list_contains(have, 'context') GROUP BY topic
 UNION ALL SELECT topic, 'steps', 1 FROM whole WHERE no_step UNION ALL SELECT topic, 'taskbody', 1 FROM kids WHERE part = 2 AND len(have) = 0
 UNION ALL SELECT topic, 'task', 1 FROM kids WHERE part = 4 AND len(have) = 0"""
+#: The same errors with their messages, but for syntax errors; all of a topic stands in its second line.
+L4_MESSAGES = f"""SELECT topic, issue_no, CASE WHEN type = 'MissingRequiredElement' AND element NOT LIKE 'step[%' THEN NULL ELSE 2 END AS line, CASE WHEN type = 'MissingRequiredElement' AND element LIKE 'step[%' THEN '第 ' || regexp_extract(element, '[0-9]+') || ' 个 <step> 缺少必需的 <cmd> 元素'
+  WHEN type = 'MissingRequiredElement' AND element = 'steps' THEN '<taskbody> 必须包含 <steps> 元素' WHEN type = 'MissingRequiredElement' THEN '<task> 必须包含 <' || element || '> 元素' WHEN type = 'EmptyElement' THEN '<steps> 必须至少包含一个 <step>'
+  WHEN type = 'DuplicateID' THEN 'ID "' || id || '" 重复使用' WHEN type = 'InvalidIDFormat' THEN 'ID "' || id || '" 格式无效（必须以字母开头，只能包含字母、数字、-_. ）' ELSE '元素 <' || element || '> 的顺序不正确' END AS message,
+  CASE WHEN type = 'InvalidIDFormat' THEN 'ID必须以字母开头，只能包含字母、数字、下划线、连字符、点号' END AS suggestion FROM ({L4}) WHERE type <> 'XMLSyntaxError'"""
