@@ -112,6 +112,30 @@ ruled AS (SELECT *, CASE
   WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/') THEN 'com/' END AS rule FROM parts)
 SELECT page_id, coalesce(host, '') AS host, coalesce(path, '') AS path, rule,
   CASE WHEN rule IN ('example.com/en/', 'net/es/', 'net/fr/') THEN 'block' ELSE 'allow' END AS verdict FROM ruled""",
+    "op4_jaccard_join": r"""
+WITH RECURSIVE split AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words FROM documents),
+sets AS (SELECT doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 3 THEN [array_to_string(words, ' ')]
+  ELSE list_distinct(list_transform(range(1, len(words) - 1), lambda i: array_to_string(words[i:i + 2], ' '))) END AS shingles FROM split),
+entries AS (SELECT doc_id, len(shingles) AS n, unnest(shingles) AS shingle FROM sets),
+shared AS (SELECT a.doc_id AS x, b.doc_id AS y, a.n AS n, b.n AS m, count(*) AS k FROM entries a JOIN entries b ON a.shingle = b.shingle AND a.doc_id < b.doc_id
+  AND 10 * least(a.n, b.n) >= 9 * greatest(a.n, b.n) GROUP BY ALL),
+half AS (SELECT x, y FROM shared WHERE 100 * k >= 90 * (n + m - k)),
+links AS (SELECT x, y FROM half UNION ALL SELECT y, x FROM half),
+reach AS (SELECT x, y FROM links UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x),
+least AS (SELECT x, min(y) AS y FROM reach GROUP BY x)
+SELECT doc_id, len(shingles)::BIGINT AS n_shingles, least(doc_id, coalesce(y, doc_id)) AS component_id FROM sets LEFT JOIN least ON doc_id = x""",
+    "op5_warc": r"""
+WITH page AS (SELECT page_id, url AS uri, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS last FROM pages)
+SELECT page_id, strlen(html)::BIGINT AS payload_bytes, array_to_string(list_transform(range(0, 32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+  (((('0x' || substr(hex, (k // 4 * 5 + 1)::INTEGER, 5))::BIGINT >> (15 - 5 * (k % 4))) & 31) + 1)::INTEGER, 1)), '') AS payload_digest,
+  CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> last THEN last END AS refers_to, uri FROM page""",
+    "op10_near_vectors": r"""
+WITH RECURSIVE usable AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+  AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id AS x, b.vec_id AS y FROM usable a JOIN usable b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+reach AS (SELECT x, y FROM links UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x),
+found AS (SELECT v.vec_id, (SELECT count(*) FROM links WHERE x = v.vec_id) AS n_links, least(v.vec_id, coalesce((SELECT min(y) FROM reach WHERE x = v.vec_id), v.vec_id)) AS component_id FROM embeddings v)
+SELECT vec_id, n_links, component_id, vec_id = component_id AS kept FROM found""",
     "op9_mix_sources": r"""
 WITH size AS (SELECT source, sum(coalesce(length(text), 0))::BIGINT AS chars FROM documents GROUP BY source),
 weighed AS (SELECT *, CASE WHEN chars = 0 THEN 0.0::DOUBLE WHEN source = 'src0' THEN 2.0::DOUBLE WHEN source = 'src1' THEN 0.5::DOUBLE
