@@ -1,8 +1,8 @@
 """Exact self-join of documents by the Jaccard similarity of their word shingles, with set-relation skipping.
 
 1. Equal sets become one class. 2. Each class lists its rarest shingles under a global order; two sets that
-link share one of them. Index lists are grouped by size and cut off by position: blocks behind the last
-position that can still reach the needed overlap are skipped. 3. Parity sketches refute most candidate
+link share one of them. Index lists are cut into blocks by size, ordered by position: what lies in a block
+behind the last position that can still reach the needed overlap is skipped. 3. Parity sketches refute most candidate
 pairs without a false refusal. 4. What is left falls into clusters, inside of which a set's links are
 derived from the answers of a similar set: the size of the symmetric difference is a metric, so a set far
 from the leader of a group cannot link to its members.
@@ -250,22 +250,33 @@ def needed(n, m, percent: int):
 def list_pairs(token: np.ndarray, doc: np.ndarray, n: np.ndarray, pos: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """The pairs of index lists sorted by (token, n, pos) that size and position leave.
 
-    Step j compares each entry with the j-th after it. An entry drops out of all later steps when the sizes
-    no longer fit or the token changes, and when its own position is behind the last that reaches the overlap.
+    The entries of a token and size are a block, ordered by position. Step j takes each entry to the j-th block from
+    its own on and finds, by one search, the last position there that still reaches the overlap: what lies behind is
+    skipped unread. An entry drops out of all later steps when the sizes no longer fit, the token changes or its own
+    position is behind the last that reaches the overlap, which only grows with the size.
     """
     out: list[tuple[np.ndarray, np.ndarray]] = []
+    head = np.flatnonzero(np.append(True, (token[1:] != token[:-1]) | (n[1:] != n[:-1]))) if len(token) else np.zeros(0, np.int64)
+    block = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(token))))
+    key = (block.astype(np.int64) << 32) | pos
     # The position of the smaller set lies in its index prefix, or the pair is met at an earlier token.
     at = np.flatnonzero(pos < index_length(n, percent))
     step = 0
     while len(at):
+        at = at[block[at] + step < len(head)]
+        other = block[at] + step
+        size = n[head[other]]
+        need = needed(n[at], size, percent)
+        alive = (token[at] == token[head[other]]) & (100 * n[at] >= percent * size) & (n[at] - pos[at] >= need)
+        at, other, last = at[alive], other[alive], (size - need)[alive]
+        begin = head[other] if step else at + 1
+        count = np.maximum(0, np.searchsorted(key, (other.astype(np.int64) << 32) | np.maximum(last, 0), "right") - begin)
+        count[last < 0] = 0
+        left = np.repeat(at, count)
+        right = np.repeat(begin - (np.cumsum(count) - count), count) + np.arange(count.sum())
+        hit = doc[left] != doc[right]
+        out.append((doc[left[hit]], doc[right[hit]]))
         step += 1
-        at = at[at + step < len(token)]
-        other = at + step
-        alive = (token[at] == token[other]) & (100 * n[at] >= percent * n[other])
-        at, other = at[alive], other[alive]
-        reach = np.minimum(n[at] - pos[at], n[other] - pos[other])
-        hit = (reach >= needed(n[at], n[other], percent)) & (doc[at] != doc[other])
-        out.append((doc[at[hit]], doc[other[hit]]))
     if not out:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     a, b = (np.concatenate([o[i] for o in out]) for i in (0, 1))
