@@ -8,15 +8,13 @@ import pytest
 
 from doculith.plans import catalogue
 
-TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-
 
 @pytest.fixture(scope="module")
 def duck(sf):
     con = duckdb.connect()
-    for t in TABLES:
-        path = f"{sf}/{t}.parquet"
-        con.sql(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{path + '/*.parquet' if os.path.isdir(path) else path}')")
+    for name in os.listdir(sf):
+        path = f"{sf}/{name}"
+        con.sql(f"CREATE VIEW {name.removesuffix('.parquet')} AS SELECT * FROM read_parquet('{path + '/*.parquet' if os.path.isdir(path) else path}')")
     return con
 
 
