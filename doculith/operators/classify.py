@@ -149,7 +149,7 @@ def fuse(both: DataFrame, weight: float = 0.3, model_weight: float = 0.7, thresh
     return settled(out.withColumn("needs_review", F.col("confidence") < threshold).withColumn("reasoning", reasoning(F.col("type"), F.col("confidence"))))
 
 
-def hybrid(features: DataFrame, backend: Backend | None = None, sure: float = 0.9) -> DataFrame:
+def hybrid(features: DataFrame, backend: Backend | None = None, sure: float = 0.9, weight: float = 0.3, review_below: float = 0.6) -> DataFrame:
     """Rules first; rows that they are sure of skip the model, the others are fused with its answer.
 
     With a backend the rows are split before it, so that it sees only those that need it; without one all is a
@@ -159,7 +159,7 @@ def hybrid(features: DataFrame, backend: Backend | None = None, sure: float = 0.
     decided = {"type": F.col("t1_type"), "confidence": F.col("t1_confidence"), **{t.lower(): F.col(f"t1_{t.lower()}") for t in TYPES}, "needs_review": F.lit(False)}
     is_sure = F.col("t1_confidence") >= sure
     if backend is not None:
-        return fuse(backend(ruled.where(~is_sure))).unionByName(ruled.where(is_sure).withColumns(decided), allowMissingColumns=True)
-    fused = fuse(without_model(ruled))
+        return fuse(backend(ruled.where(~is_sure)), weight, 1 - weight, review_below).unionByName(ruled.where(is_sure).withColumns(decided), allowMissingColumns=True)
+    fused = fuse(without_model(ruled), weight, 1 - weight, review_below)
     unsaid = {c: F.lit(None) for c in ("t2_type", "t2_confidence", "t2_task", "t2_concept", "t2_reference", "t2_reasoning", "reasoning")}
     return settled(fused.withColumns({c: F.when(is_sure, v.cast(fused.schema[c].dataType)).otherwise(F.col(c)) for c, v in (decided | unsaid).items()}))

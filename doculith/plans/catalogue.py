@@ -486,6 +486,42 @@ def model_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("l_orderkey", _joined(F.col("model_errors")).alias("errors"), F.size("model_steps").alias("steps"), filled)
 
 
+def _lacks(body: str) -> str:
+    return f"{messages.MISSING_ELEMENT}{body}"
+
+
+@query(
+    f"""WITH n AS (SELECT l_orderkey, 's' || l_partkey % 4 AS id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS i FROM lineitem),
+again AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, id ORDER BY i) AS nth FROM n)
+SELECT l_orderkey, concat_ws('|', '{_lacks('conbody')}', CASE WHEN l_orderkey % 5 = 0 AND l_orderkey % 3 = 0 THEN '{messages.EMPTY_CONCEPT}' END,
+  string_agg('{messages.SECTION_ID}' || id, '|' ORDER BY i) FILTER (nth > 1 AND l_orderkey % 5 <> 0)) AS errors,
+  CASE WHEN l_orderkey % 3 <> 0 THEN 'About it' WHEN l_orderkey % 5 = 0 THEN 'This is a concept description.' ELSE '' END AS introduction, CASE WHEN l_orderkey % 5 = 0 THEN 0 ELSE count(*) END::INTEGER AS sections FROM again GROUP BY l_orderkey"""
+)
+def model_concepts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A concept for each order, a section for each line; some without an introduction, some without sections."""
+    k = F.col("l_orderkey")
+    line = F.struct("l_linenumber", "l_partkey")
+    rows = _table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(line)).alias("lines"))
+    sections = F.transform("lines", lambda x: F.struct(F.concat(F.lit("s"), (x["l_partkey"] % 4).cast("string")).alias("id"), F.lit("Part").alias("title")))
+    record = F.struct(F.lit("x").alias("title"), F.when(k % 3 != 0, "About it").otherwise("").alias("introduction"), F.when(k % 5 != 0, sections).alias("sections"))
+    out = modelrecords.fix(modelrecords.parse(rows.select("l_orderkey", F.lit("Concept").alias("type"), F.to_json(record).alias("answer"))))
+    return out.select("l_orderkey", _joined(F.col("model_errors")).alias("errors"), F.col("model_introduction").alias("introduction"), F.size("model_sections").alias("sections"))
+
+
+@query(
+    f"""SELECT o_orderkey, concat_ws('|', '{_lacks('refbody')}', CASE o_orderkey % 6 WHEN 0 THEN '{messages.EMPTY_REFERENCE}' WHEN 2 THEN '{messages.TABLE_FORMAT}' WHEN 3 THEN '{messages.TABLE_FIELDS}' WHEN 5 THEN '{messages.EMPTY_REFERENCE}' END) AS errors,
+  CASE WHEN o_orderkey % 6 IN (0, 1, 5) THEN 'Reference information' END AS filled FROM orders"""
+)
+def model_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A reference for each order, with one of six contents: nothing but names, another key, two broken tables, properties, nothing at all."""
+    k = F.col("o_orderkey")
+    bodies = ['"reference_id":"r","title":"t","shortdesc":"s"', '"title":"t","note":"n"', '"title":"t","table":"text"', '"title":"t","table":{"columns":["a"]}', '"properties":[{"name":"p","value":"v"}]', '"reference_id":"r"']
+    body = F.get(F.array(*map(F.lit, bodies)), (k % 6).cast("int"))
+    rows = _table(spark, sf_dir, "orders").select("o_orderkey", F.lit("Reference").alias("type"), F.concat(F.lit("{"), body, F.lit("}")).alias("answer"))
+    out = modelrecords.fix(modelrecords.parse(rows))
+    return out.select("o_orderkey", _joined(F.col("model_errors")).alias("errors"), F.get("model_sections", F.lit(0))["content"].alias("filled"))
+
+
 # Topics ----------------------------------------------------------------------------------------------------------------
 
 

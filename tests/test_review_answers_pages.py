@@ -148,3 +148,26 @@ def test_retries_end(spark, wrong):
         raise TimeoutError(asked[0])
 
     assert answers.called(df, never, retries=1, wait=0.01).first()["error"] == f"TimeoutError: {wrong}"
+
+
+def test_settings_reach_the_classifiers_and_the_loop(spark):
+    names = {"doculith.ruleWeight": "1.0", "doculith.sure": "1.0", "doculith.reviewBelow": "0.0", "doculith.passes": "1"}
+    docs = spark.createDataFrame([("a", "## How to install\n\n1. Open it.\n2. Run it.")], "doc_id string, markdown string")
+    before = analysis.analyse(docs).first()
+    try:
+        for k, v in names.items():
+            spark.conf.set(k, v)
+        options = analysis.Options.of(spark)
+        assert (options.rule_weight, options.sure, options.review_below, options.passes) == (1.0, 1.0, 0.0, 1)
+        chunk = analysis.analyse(docs, options=options).first()
+        assert chunk["confidence"] == chunk["t1_confidence"] and not chunk["needs_review"]
+        assert analysis.end_to_end(docs, options=options).first()["iterations"] == 1
+        for k, v in (("doculith.sure", "2"), ("doculith.passes", "0")):
+            spark.conf.set(k, v)
+            with pytest.raises(ValueError):
+                analysis.Options.of(spark)
+            spark.conf.set(k, names[k])
+    finally:
+        for k in names:
+            spark.conf.unset(k)
+    assert analysis.Options.of(spark) == analysis.Options() and analysis.analyse(docs).first() == before
