@@ -7,11 +7,15 @@ from pyspark.sql import functions as F
 
 from doculith.functions import messages
 from doculith.operators import xmlnodes
+from doculith.operators.ranking import placed
 from doculith.operators.render import DECLARATION
 
 # Weights of the scores and of severities.
 WEIGHTS = {"dita_compliance": 0.4, "structure_quality": 0.3, "content_completeness": 0.3}
 SEVERITY = {"rule_errors": 0.2, "rule_warnings": 0.1, "rule_infos": 0.05}
+#: What stands around the sections of a merged document.
+MERGED_HEAD = f'{DECLARATION}<!DOCTYPE concept PUBLIC "-//OASIS//DTD DITA Concept//EN" "concept.dtd">\n<concept id="merged_complete_document">\n  <title>{messages.MERGED_TITLE}</title>\n  <conbody>\n    '
+MERGED_END = "\n  </conbody>\n</concept>"
 #: The files that a checked topic can be written as.
 FORMATS = ("json", "html", "dita")
 
@@ -118,13 +122,27 @@ def body_of(xml: Column) -> Column:
 def merge(docs: DataFrame, key: str, order: str, xml: str = "final_xml", ok: str = "qa_success") -> DataFrame:
     """(key, merged_xml, merged_docs): the bodies of a key's successful documents as sections of one concept, in order.
 
-    A merged document is one value, so a key's documents meet in one task by its nature; choose keys accordingly.
+    A merged document is one value, so a key's documents meet in one task; `merged_rows` has no such bound.
     """
     parts = docs.where(ok).groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("k"), body_of(F.col(xml)).alias("body")))).alias("parts"))
     name = lambda i: F.concat(F.lit("Section_"), (i + 1).cast("string"))
     section = lambda p, i: F.concat(F.lit('<section id="'), name(i), F.lit('"><title>'), name(i), F.lit("</title>"), p["body"], F.lit("</section>"))
-    head = f'{DECLARATION}<!DOCTYPE concept PUBLIC "-//OASIS//DTD DITA Concept//EN" "concept.dtd">\n<concept id="merged_complete_document">\n  <title>{messages.MERGED_TITLE}</title>\n  <conbody>\n    '
-    return parts.select(key, F.concat(F.lit(head), F.array_join(F.transform("parts", section), "\n    "), F.lit("\n  </conbody>\n</concept>")).alias("merged_xml"), F.size("parts").alias("merged_docs"))
+    return parts.select(key, F.concat(F.lit(MERGED_HEAD), F.array_join(F.transform("parts", section), "\n    "), F.lit(MERGED_END)).alias("merged_xml"), F.size("parts").alias("merged_docs"))
+
+
+def merged_rows(docs: DataFrame, key: str, order: str, xml: str = "final_xml", ok: str = "qa_success") -> DataFrame:
+    """(key, line_no, line): the merged document of each key, of any size, in lines: a head, a section for each successful document, an end.
+
+    Joined by line feeds in their order, the lines of a key are what `merge` makes of it. The sections are numbered
+    without bringing a key's documents together.
+    """
+    sections = placed(docs.where(ok).select(key, F.col(order).alias("_k"), body_of(F.col(xml)).alias("_body")), key, F.col("_k"))
+    name = F.concat(F.lit("Section_"), F.col("place").cast("string"))
+    line = F.concat(F.lit('    <section id="'), name, F.lit('"><title>'), name, F.lit("</title>"), F.col("_body"), F.lit("</section>"))
+    lines = sections.select(key, (F.col("place") + 1).alias("line_no"), line.alias("line"))
+    count = lines.groupBy(key).agg(F.max("line_no").alias("last"))
+    around = F.array(F.struct(F.lit(1).cast("long").alias("line_no"), F.lit(MERGED_HEAD.rstrip()).alias("line")), F.struct((F.col("last") + 1).alias("line_no"), F.lit(MERGED_END.lstrip("\n")).alias("line")))
+    return lines.unionByName(count.select(key, F.explode(around).alias("a")).select(key, "a.*"))
 
 
 def failed_rules(issues: Column) -> Column:

@@ -894,6 +894,19 @@ def loop_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return looped.groupBy(F.col("v").cast("long").alias("v"), "loop_summary").agg(F.count("*").alias("n"))
 
 
+@query(
+    f"""WITH numbered AS (SELECT o_orderstatus, o_orderkey, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) AS i FROM orders)
+SELECT o_orderstatus, 1::BIGINT AS line_no, '<?xml version="1.0" encoding="UTF-8"?>' || chr(10) || '<!DOCTYPE concept PUBLIC "-//OASIS//DTD DITA Concept//EN" "concept.dtd">' || chr(10) || '<concept id="merged_complete_document">' || chr(10) || '  <title>{messages.MERGED_TITLE}</title>' || chr(10) || '  <conbody>' AS line FROM numbered GROUP BY o_orderstatus
+UNION ALL SELECT o_orderstatus, i + 1, '    <section id="Section_' || i || '"><title>Section_' || i || '</title><p>' || o_orderkey || '</p></section>' FROM numbered
+UNION ALL SELECT o_orderstatus, max(i) + 2, '  </conbody>' || chr(10) || '</concept>' FROM numbered GROUP BY o_orderstatus"""
+)
+def merged_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three documents of thousands of sections each."""
+    xml = F.concat(F.lit("<concept><conbody><p>"), F.col("o_orderkey").cast("string"), F.lit("</p></conbody></concept>"))
+    docs = _table(spark, sf_dir, "orders").select("o_orderstatus", "o_orderkey", xml.alias("xml"), F.lit(True).alias("good"))
+    return quality.merged_rows(docs, "o_orderstatus", "o_orderkey", "xml", "good")
+
+
 #: Merged topics are valid. Those of v = 4 bring the same identifiers, which a second pass repairs; long titles, depth and wording of 5 and 7 stay warnings.
 @query(
     f"SELECT content_type, count(*)::INTEGER AS merged_docs, true AS valid, (CASE WHEN count(*) FILTER (v = 4) > 1 THEN 2 ELSE 1 END)::INTEGER AS iterations,"

@@ -50,9 +50,14 @@ def best_extraction(extracted: DataFrame, key: str, text: str = "text", rank: st
     return picked.select(key, "r.*")
 
 
-def needs_ocr(pages_: DataFrame, key: str, text: str = "text", least: int = 100) -> DataFrame:
-    """(key, pages, avg_chars, needs_ocr): whether the pages have under `least` characters on average."""
-    return pages_.groupBy(key).agg(F.count("*").alias("pages"), F.avg(F.length(text)).alias("avg_chars")).withColumn("needs_ocr", F.col("avg_chars") < least)
+def needs_ocr(pages_: DataFrame, key: str, text: str = "text", least: int = 100, method: str | None = None) -> DataFrame:
+    """(key, pages, avg_chars, needs_ocr): whether the pages have under `least` characters on average.
+
+    With a column `method`, a document that the layout model `marker` has read needs none, whatever it has found.
+    """
+    marked = F.lit(False) if method is None else F.coalesce(F.max(F.col(method) == "marker"), F.lit(False))
+    rows = pages_.groupBy(key).agg(F.count("*").alias("pages"), F.avg(F.length(text)).alias("avg_chars"), marked.alias("_marked"))
+    return rows.withColumn("needs_ocr", (F.col("avg_chars") < least) & ~F.col("_marked")).drop("_marked")
 
 
 def inline(runs: Column) -> Column:

@@ -30,6 +30,26 @@ def write_json(rows: DataFrame, path: str, mode: str = "overwrite") -> None:
     rows.write.mode(mode).json(path)
 
 
+def write_json_array(rows: DataFrame, path: str, files: int | None = None) -> None:
+    """Rows as JSON arrays, one whole array in each file; `files` is how many, else one a partition. Without rows there is one empty array."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for b in batches:
+            lines = b.column(0).to_pylist()
+            if lines:
+                out = ["[" if held is None else held + ",", *(x + "," for x in lines[:-1])]
+                held = lines[-1]
+                yield pa.RecordBatch.from_arrays([pa.array(out)], names=["value"])
+        yield pa.RecordBatch.from_arrays([pa.array(["[", "]"] if held is None else [held, "]"])], names=["value"])  # a partition without rows is an empty array
+
+    if rows.isEmpty():
+        rows.sparkSession.range(1).select(F.lit("[]").alias("value")).coalesce(1).write.mode("overwrite").text(path)
+        return
+    text = rows.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in rows.columns]), {"ignoreNullFields": "false"}).alias("value"))
+    (text.coalesce(files) if files else text).mapInArrow(run, "value string").write.mode("overwrite").text(path)
+
+
 def write_conversion_report(converted: DataFrame, path: str) -> None:
     write_json(conversion_report(converted), path)
 

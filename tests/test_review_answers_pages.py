@@ -171,3 +171,33 @@ def test_settings_reach_the_classifiers_and_the_loop(spark):
         for k in names:
             spark.conf.unset(k)
     assert analysis.Options.of(spark) == analysis.Options() and analysis.analyse(docs).first() == before
+
+
+def test_merged_rows_are_the_merged_document(spark):
+    from doculith.operators import quality
+
+    rows = [(k, i, f"<task><taskbody><p>{i}</p></taskbody></task>", i % 4 > 0) for k in ("a", None, "b") for i in range(40)]
+    docs = spark.createDataFrame(rows, "k string, i int, final_xml string, qa_success boolean").repartition(5)
+    lines = quality.merged_rows(docs, "k", "i").collect()
+    whole = {r["k"]: r["merged_xml"] for r in quality.merge(docs, "k", "i").collect()}
+    for k in ("a", None, "b"):
+        assert "\n".join(r["line"] for r in sorted(lines, key=lambda r: r["line_no"]) if r["k"] == k) == whole[k]
+    assert quality.merged_rows(docs.where("false"), "k", "i").count() == 0
+
+
+def test_json_arrays_and_the_marker_rule(spark, tmp_path):
+    import json
+
+    from doculith.sources import files, sinks
+
+    rows = spark.range(10).selectExpr("id", "nullif(concat('x', id), 'x3') AS t").repartition(3)
+    sinks.write_json_array(rows, str(tmp_path / "many"))
+    sinks.write_json_array(rows, str(tmp_path / "one"), 1)
+    sinks.write_json_array(rows.where("false").coalesce(1), str(tmp_path / "none"))
+    read = lambda name: [json.load(open(tmp_path / name / f)) for f in os.listdir(tmp_path / name) if f.startswith("part-")]
+    want = [{"id": i, "t": None if i == 3 else f"x{i}"} for i in range(10)]
+    assert sorted((x for part in read("many") for x in part), key=lambda x: x["id"]) == want
+    assert [sorted(p, key=lambda x: x["id"]) for p in read("one")] == [want] and read("none") == [[]]
+    pages = spark.createDataFrame([("a", "x", "marker"), ("a", "", "text"), ("b", "x", "text"), ("c", "x" * 200, None)], "d string, text string, m string")
+    assert {r["d"]: r["needs_ocr"] for r in files.needs_ocr(pages, "d", method="m").collect()} == {"a": False, "b": True, "c": False}
+    assert {r["d"]: r["needs_ocr"] for r in files.needs_ocr(pages, "d").collect()} == {"a": True, "b": True, "c": False}
