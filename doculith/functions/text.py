@@ -121,30 +121,53 @@ def structural(c: Column) -> dict[str, Column]:
     }
 
 
-def lexical(c: Column) -> dict[str, Column]:
-    """Counts of words and sentences, of which kind of verb they use and of names: an approximation without a tagger.
+#: The names of `lexical`'s counts.
+LEXICAL = "word_count sentence_count avg_sentence_length action_verbs imperative_verbs is_statements has_definition named_entities verb_count noun_count".split()
+
+
+def lexical(c: Column) -> Column:
+    """A struct of counts of words and sentences, of which kind of verb they use and of names: an approximation without a tagger.
 
     A sentence is a piece between . ! ? and line ends that has a letter. A verb is a form of an action verb or of
-    `be`; every other word that is no stop word counts as a noun.
+    `be`; every other word that is no stop word counts as a noun. Words and sentences are cut once for all counts.
     """
-    words = F.regexp_extract_all(F.lower(c), F.lit(TOKEN), 0)
-    sentences = F.filter(F.regexp_extract_all(c, F.lit(SENTENCE), 0), lambda s: s.rlike(r"\p{L}"))
     isin = lambda w, names: w.isin(*names)
-    of = lambda names: F.size(F.filter(words, lambda w: isin(w, names)))
-    first = lambda s: F.regexp_extract(F.lower(s), r"^[^\p{L}\p{N}_]*([\p{L}\p{N}_']+)", 1)
-    actions, being, n_words, n_sentences = of(ACTION_FORMS), of(BE_FORMS), F.size(words), F.size(sentences)
-    defined = F.lit(False)
-    for p in DEFINITIONS:
-        defined = defined | F.lower(c).rlike(p)
-    return {
-        "word_count": n_words,
-        "sentence_count": n_sentences,
-        "avg_sentence_length": F.when(n_sentences > 0, n_words / n_sentences).otherwise(F.lit(0.0)),
-        "action_verbs": actions,
-        "imperative_verbs": F.size(F.filter(sentences, lambda s: isin(first(s), ACTION_VERBS) & ~s.contains("?"))),
-        "is_statements": F.size(F.filter(sentences, lambda s: F.exists(F.regexp_extract_all(F.lower(s), F.lit(TOKEN), 0), lambda w: isin(w, BE_FORMS)))),
-        "has_definition": defined,
-        "named_entities": F.aggregate(F.transform(sentences, lambda s: F.regexp_count(s, F.lit(ENTITY))), F.lit(0), lambda a, x: a + x),
-        "verb_count": actions + being,
-        "noun_count": F.greatest(F.lit(0), n_words - actions - being - of(STOP_WORDS)),
-    }
+    first = lambda low: F.regexp_extract(low, r"^[^\p{L}\p{N}_]*([\p{L}\p{N}_']+)", 1)
+
+    def sentence(s: Column) -> Column:
+        """Whether it orders, whether it says what is, and its names."""
+        return let(
+            F.lower(s),
+            lambda low: F.struct(
+                (isin(first(low), ACTION_VERBS) & ~s.contains("?")).alias("orders"),
+                F.exists(F.regexp_extract_all(low, F.lit(TOKEN), 0), lambda w: isin(w, BE_FORMS)).alias("states"),
+                F.regexp_count(s, F.lit(ENTITY)).alias("names"),
+            ),
+        )
+
+    def counted(x: Column) -> Column:
+        words, sentences = x["words"], x["sentences"]
+        kind = lambda w: F.when(isin(w, ACTION_FORMS), 1).when(isin(w, BE_FORMS), 2).when(isin(w, STOP_WORDS), 3).otherwise(0)
+        return let(F.transform(words, kind), lambda kinds: summed(F.size(words), F.size(sentences), kinds, sentences, x["low"]))
+
+    def summed(n_words: Column, n_sentences: Column, kinds: Column, sentences: Column, low: Column) -> Column:
+        of = lambda k: F.size(F.filter(kinds, lambda x: x == k))
+        defined = F.lit(False)
+        for p in DEFINITIONS:
+            defined = defined | low.rlike(p)
+        return F.struct(
+            n_words.alias("word_count"),
+            n_sentences.alias("sentence_count"),
+            F.when(n_sentences > 0, n_words / n_sentences).otherwise(F.lit(0.0)).alias("avg_sentence_length"),
+            of(1).alias("action_verbs"),
+            F.size(F.filter(sentences, lambda s: s["orders"])).alias("imperative_verbs"),
+            F.size(F.filter(sentences, lambda s: s["states"])).alias("is_statements"),
+            defined.alias("has_definition"),
+            F.aggregate(sentences, F.lit(0), lambda n, s: n + s["names"]).alias("named_entities"),
+            (of(1) + of(2)).alias("verb_count"),
+            F.greatest(F.lit(0), n_words - of(1) - of(2) - of(3)).alias("noun_count"),
+        )
+
+    low = F.lower(c)
+    sentences = F.filter(F.regexp_extract_all(c, F.lit(SENTENCE), 0), lambda s: s.rlike(r"\p{L}"))
+    return let(F.struct(F.regexp_extract_all(low, F.lit(TOKEN), 0).alias("words"), F.transform(sentences, sentence).alias("sentences"), low.alias("low")), counted)

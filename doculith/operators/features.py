@@ -8,17 +8,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from doculith.functions.text import lexical, structural
+from doculith.functions.text import LEXICAL, lexical, structural
 
 
 def extract(chunks: DataFrame, content: str = "content", only: str | None = None) -> DataFrame:
     """The chunks with their lexical and structural features; `only` names one of the two families."""
-    out = {}
+    out = chunks
     if only != "structural":
-        out |= lexical(F.col(content))
-    if only != "lexical":
-        out |= structural(F.col(content))
-    return chunks.withColumns(out)
+        out = out.withColumn("_lexical", lexical(F.col(content)))
+        out = out.withColumns({name: F.col("_lexical")[name] for name in LEXICAL}).drop("_lexical")
+    return out.withColumns(structural(F.col(content))) if only != "lexical" else out
 
 
 _LINK = re.compile(r'!\[([^\]]*)\]\(|<img\s+src="')
