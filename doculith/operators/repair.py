@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 
 import pyarrow as pa
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from doculith.functions.text import fixed_id, repaired_id
 from doculith.operators.render import DECLARATION
 from doculith.operators.validate import converter_issues, quality_columns
-from doculith.operators.xmlnodes import PARSED, parse, parsed, parsed_array
+from doculith.operators.xmlnodes import PARSED, parse, parsed_array, pieces
 
 # Kinds of errors that rules can repair.
 SIMPLE = ["InvalidIDFormat", "MissingDeclaration", "EmptyElement", "DuplicateID"]
@@ -92,18 +92,23 @@ def _edited(xml: str, edits: dict) -> tuple[str, int]:
     return (DECLARATION + text if declared else text), fixes + len(edits["bad"]) + edits["undeclared"]
 
 
-def repaired(xml: Column, errors: Column, reparse: bool = False) -> Column:
+def repaired(xml: Column, errors: Column, reparse: bool = False, whole: bool = True) -> Column:
     """(xml, fixes, parsed): the text after the repairs, how many errors they settle and, if asked for, its nodes when anything was settled.
 
-    A null text stays null and costs nothing; only the text and the edits go through Python.
+    A null text stays null and costs nothing; only the text and the edits go through Python, some texts at a time.
     """
 
-    @F.arrow_udf(f"struct<xml:string,fixes:int,parsed:{PARSED}>")
-    def run(texts: pa.Array, edits: pa.Array) -> pa.Array:
+    def made_of(texts: pa.Array, edits: pa.Array) -> pa.Array:
         made = [(None, None) if x is None else _edited(x, e) for x, e in zip(texts.to_pylist(), edits.to_pylist(), strict=True)]
-        new = parsed_array([x if reparse and n else None for x, n in made])
+        new = parsed_array([x if reparse and n else None for x, n in made], whole)
         return pa.StructArray.from_arrays([pa.array([x for x, _ in made], pa.string()), pa.array([n for _, n in made], pa.int32()), new], names=["xml", "fixes", "parsed"])
 
+    @F.arrow_udf(f"struct<xml:string,fixes:int,parsed:{PARSED}>")
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for texts, edits in batches:
+            for start, n in pieces(texts):
+                yield made_of(texts.slice(start, n), edits.slice(start, n))
+
     return run.asNondeterministic()(xml, F.when(xml.isNotNull(), _edits(xml, errors)))
 
 
@@ -121,13 +126,18 @@ def converter_fix(docs: DataFrame, xml: str = "xml", passes: int = 3) -> DataFra
     Adds fixed_xml and passes_used, and nodes and the l3_ columns of the last check. A text is parsed again only if it was changed.
     """
 
-    @F.arrow_udf(f"struct<xml:string,parsed:{PARSED}>")
-    def fixed(texts: pa.Array, bad: pa.Array, good: pa.Array) -> pa.Array:
-        rows = zip(texts.to_pylist(), bad.to_pylist(), good.to_pylist(), strict=True)
-        made = [None if x is None else ids_replaced(x, dict(zip(b, g, strict=True))) for x, b, g in rows]
-        made = [y if y != x else None for x, y in zip(texts.to_pylist(), made, strict=True)]
+    def made_of(*columns: pa.Array) -> pa.Array:
+        texts, bad, good = (c.to_pylist() for c in columns)
+        made = [None if x is None else ids_replaced(x, dict(zip(b, g, strict=True))) for x, b, g in zip(texts, bad, good, strict=True)]
+        made = [y if y != x else None for x, y in zip(texts, made, strict=True)]
         return pa.StructArray.from_arrays([pa.array(made, pa.string()), parsed_array(made)], names=["xml", "parsed"])
 
+    @F.arrow_udf(f"struct<xml:string,parsed:{PARSED}>")
+    def fixed(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for columns in batches:
+            for start, n in pieces(columns[0]):
+                yield made_of(*(c.slice(start, n) for c in columns))
+
     out = converter_issues(parse(docs.withColumn("fixed_xml", F.col(xml)), "fixed_xml"), "fixed_xml")
     out = out.withColumns({"passes_used": F.lit(1), "_again": F.lit(True)})
     for i in range(1, passes):
@@ -164,18 +174,19 @@ def summary(looped: DataFrame, most: int = 3) -> DataFrame:
     return looped.withColumn("loop_summary", F.concat(end, F.lit(" after "), F.col("iterations").cast("string"), F.lit(f" of {most} passes, "), F.col("repairs_applied").cast("string"), F.lit(" repairs")))
 
 
-def loop(docs: DataFrame, xml: str = "xml", kind: str | None = "content_type", most: int = 3) -> DataFrame:
+def loop(docs: DataFrame, xml: str = "xml", kind: str | None = "content_type", most: int = 3, whole: bool = True) -> DataFrame:
     """At most `most` checks with a repair between two of them; stops at a valid document or when nothing could be repaired.
 
     Adds final_xml, iterations, loop_success, repairs_applied, and nodes and l4_ columns of the last check. A topic is
     parsed once and again after each repair that changed it; one that has left the loop sends nothing to Python.
+    Without `whole` the nodes are only those that the checks look at.
     """
-    out = parse(docs.withColumn("final_xml", F.col(xml)), "final_xml")
+    out = parse(docs.withColumn("final_xml", F.col(xml)), "final_xml", whole)
     errors, warnings = quality_columns(out, kind)
     out = out.withColumns({"l4_errors": errors, "l4_warnings": warnings, "iterations": F.lit(1), "repairs_applied": F.lit(0), "_open": F.lit(True)})
     for i in range(1, most):
         out = out.withColumn("_text", F.when(F.col("_open") & (F.size("l4_errors") > 0), F.col("final_xml")))
-        out = out.withColumn("_made", repaired(F.col("_text"), F.col("l4_errors"), True))
+        out = out.withColumn("_made", repaired(F.col("_text"), F.col("l4_errors"), True, whole))
         out = out.withColumn("_open", F.coalesce(F.col("_made.fixes") > 0, F.lit(False)))
         goes_on = F.col("_open")
         out = out.withColumns(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from doculith.functions import messages
 from doculith.functions.text import blank, let
-from doculith.operators.xmlnodes import below, child, child_of_root, children, root
+from doculith.operators.xmlnodes import at_place, below, child, child_of_root, children, root
 
 #: node is the place of the node that an issue is about; null where the issue is that something is missing at all.
 ISSUE = "array<struct<type:string,element:string,id:string,node:int>>"
@@ -46,14 +46,11 @@ def bad_ids(nodes: Column) -> Column:
 
 
 def _bare_steps(nodes: Column, steps: Column) -> Column:
-    """The steps without a command, in order: those that no command names as its parent."""
-    inside = lambda x: F.filter(x["in"], lambda n: (n["tag"] == "cmd") & (n["depth"] == x["d"] + 2))
-    told = lambda x: F.transform(inside(x), lambda n: n["parent_id"])
-    listed = lambda x: F.transform(F.filter(x["in"], lambda n: (n["tag"] == "step") & (n["depth"] == x["d"] + 1)), lambda n: n["node_id"])
-    return let(
-        F.struct(nodes.alias("n"), below(nodes, steps).alias("in"), steps["depth"].alias("d")),
-        lambda x: F.transform(F.array_except(listed(x), told(x)), lambda i: F.get(x["n"], i)),
-    )
+    """The steps without a command, in order: those that their first command does not follow among the steps and commands."""
+    of = lambda x: F.filter(x["in"], lambda n: ((n["tag"] == "step") & (n["depth"] == x["d"] + 1)) | ((n["tag"] == "cmd") & (n["depth"] == x["d"] + 2)))
+    served = lambda f, n, i: F.coalesce(F.get(f, i + 1)["parent_id"] == n["node_id"], F.lit(False))
+    bare = lambda f: F.filter(f, lambda n, i: (n["tag"] == "step") & ~served(f, n, i))
+    return let(F.struct(below(nodes, steps).alias("in"), steps["depth"].alias("d")), lambda x: let(of(x), bare))
 
 
 def _steps_issues(nodes: Column, no_step: str) -> Column:
@@ -154,7 +151,7 @@ def described(checked: DataFrame, column: str, level: str = "l4", kind: str | No
     tag = root(n)["tag"] if kind is None else F.coalesce(F.lower(F.col(kind)), root(n)["tag"])
 
     def one(e: Column, x: Column) -> Column:
-        node = F.get(x["n"], e["node"])
+        node = at_place(x["n"], e["node"])
         step = F.regexp_extract(e["element"], r"^step\[(\d+)\]", 1)
         sort = F.when((e["type"] == "MissingRequiredElement") & (step != ""), "MissingCommand").when((e["type"] == "MissingRequiredElement") & (e["element"] == "steps"), "MissingSteps")
         sort = sort.when((e["type"] == "EmptyElement") & F.lit(column.endswith("errors")), "EmptySteps").otherwise(e["type"])

@@ -7,9 +7,11 @@ how often its identifier occurs, before it and in all. So no check has to search
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from xml.parsers import expat
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,63 +27,50 @@ _KINDS = {"int": pa.int32(), "string": pa.string()}
 _FIELDS = [tuple(f.split(":")) for f in NODE[len("struct<") : -1].split(",")]
 _NODE = pa.struct([(name, _KINDS[kind]) for name, kind in _FIELDS])
 PARSED = f"struct<nodes:array<{NODE}>,error:string>"
-#: Documents whose nodes are Python objects at a time.
-BATCH = 512
+#: Documents, and characters of them, whose nodes are Python objects at a time; what they give leaves the task before the next ones.
+BATCH, BATCH_CHARS = 512, 1_000_000
+#: The fields that a document's end settles, or that its own end or text does, by place in a node.
+_TEXT, _TAIL, _CHILDREN, _LAST, _COUNT = (([name for name, _ in _FIELDS]).index(k) for k in ("text", "tail", "n_children", "last", "id_count"))
+#: Identifiers that no check remarks on.
+ID = re.compile(r"[a-zA-Z][a-zA-Z0-9_\-.]*\Z")
 
 
 _HEAD = re.compile(r"\s*<\?xml[^>]*\?>")
 
 
-def _read(xml: str) -> dict[str, list]:
-    """The nodes of a document by column, in document order, from expat's events."""
-    c: dict[str, list] = {name: [] for name, _ in _FIELDS}
-    parents, place, depths, tags, idents, hrefs = (c[k] for k in ("parent_id", "pos", "depth", "tag", "id_attr", "href"))
-    texts, tails, counts, last, nths, id_nths, lines, cols = (c[k] for k in ("text", "tail", "n_children", "last", "nth", "id_nth", "line", "col"))
-    stack: list[int] = []
-    nth: dict[tuple[int, str], int] = {}
+def _read(xml: str) -> list[list]:
+    """The nodes of a document as lists of their fields, in document order, from expat's events."""
+    nodes: list[list] = []
+    stack: list[tuple[list, dict[str, int]]] = []  # the open nodes, each with the number of its children by tag
     seen: dict[str, int] = {}
-    into: list[str | None] = []  # the column that takes the text at hand, and its row
-    at = -1
+    into, at = None, 0  # the node that takes the text at hand, and the field
     parser = expat.ParserCreate(None, "}")
 
     def start(name: str, attributes: dict[str, str]) -> None:
         nonlocal into, at
-        own = len(tags)
         if "}" in name:
             name = "{" + name
-        ident = attributes.get("id")
+        own = len(nodes)
+        parent, pos, number = None, 0, 1
         if stack:
-            parent = stack[-1]
-            parents.append(parent)
-            place.append(counts[parent])
-            counts[parent] += 1
-            nth[parent, name] = number = nth.get((parent, name), 0) + 1
-        else:
-            parents.append(None)
-            place.append(0)
-            number = 1
-        if ident is not None:
-            seen[ident] = seen.get(ident, 0) + 1
-        nths.append(number)
-        depths.append(len(stack))
-        tags.append(name)
-        idents.append(ident)
-        id_nths.append(seen[ident] if ident is not None else None)
-        hrefs.append(attributes.get("href"))
-        texts.append(None)
-        tails.append(None)
-        counts.append(0)
-        last.append(own)
-        lines.append(parser.CurrentLineNumber)
-        cols.append(parser.CurrentColumnNumber + 1)
-        stack.append(own)
-        into, at = texts, own
+            above, tags = stack[-1]
+            parent, pos = above[0], above[_CHILDREN]
+            above[_CHILDREN] = pos + 1
+            tags[name] = number = tags.get(name, 0) + 1
+        ident = href = nth = None
+        if attributes:
+            ident, href = attributes.get("id"), attributes.get("href")
+            if ident is not None:
+                seen[ident] = nth = seen.get(ident, 0) + 1
+        into = [own, parent, pos, len(stack), name, ident, href, None, None, 0, own, number, nth, None, parser.CurrentLineNumber, parser.CurrentColumnNumber + 1]
+        at = _TEXT
+        nodes.append(into)
+        stack.append((into, {}))
 
     def end(_: str) -> None:
         nonlocal into, at
-        own = stack.pop()
-        last[own] = len(tags) - 1
-        into, at = tails, own
+        into, at = stack.pop()[0], _TAIL
+        into[_LAST] = len(nodes) - 1
 
     def data(text: str) -> None:
         if stack:
@@ -101,13 +90,38 @@ def _read(xml: str) -> dict[str, list]:
         parser.Parse(xml, True)
     finally:  # the parser and its handlers refer to each other
         parser.StartElementHandler = parser.EndElementHandler = parser.CharacterDataHandler = parser.EntityDeclHandler = parser.SkippedEntityHandler = None
-    c["node_id"] = list(range(len(tags)))
-    c["id_count"] = [None if i is None else seen[i] for i in idents]
-    return c
+    for node in nodes:
+        if node[5] is not None:
+            node[_COUNT] = seen[node[5]]
+    return nodes
 
 
-def columns_of(xml: str | None) -> tuple[dict[str, list] | None, str | None]:
-    """The nodes in document order, by column, or null and the parser's message. Comments are left out; entities cannot be declared.
+def _remarkable(nodes: list[list]) -> list[list]:
+    """The nodes that a check of `validate` may remark on or has to look at, each as it is; the others change no issue.
+
+    These are the first of each tag down to the children of a body, nodes without children or text, identifiers that are
+    ill-formed or repeated, and steps without a command. A first step, and each step kept, keeps its first command.
+    """
+    served = {n[1] for n in nodes if n[4] == "cmd"}
+    kept: list[list] = []
+    steps: set[int] = set()
+    for n in nodes:
+        own, parent, _, depth, tag, ident, _, text, _, n_children, _, nth, _, count, _, _ = n
+        first = nth == 1
+        if (
+            (first and (depth <= 2 or tag == "step" or (tag == "cmd" and parent in steps)))
+            or (n_children == 0 and (text is None or not text.strip()))
+            or (ident is not None and (count > 1 or ID.match(ident) is None))
+            or (tag == "step" and own not in served)
+        ):
+            kept.append(n)
+            if tag == "step":
+                steps.add(own)
+    return kept
+
+
+def rows_of(xml: str | None) -> tuple[list[list] | None, str | None]:
+    """The nodes in document order, each a list of its fields, or null and the parser's message. Comments are left out; entities cannot be declared.
 
     Lines and columns count from 1; those in a message count from behind the declaration.
     """
@@ -115,58 +129,73 @@ def columns_of(xml: str | None) -> tuple[dict[str, list] | None, str | None]:
         return None, "no document"
     head = _HEAD.match(xml)
     try:
-        columns = _read(xml[head.end() :] if head else xml)
+        nodes = _read(xml[head.end() :] if head else xml)
         if head and (above := head[0].count("\n")):
-            columns["line"] = [n + above for n in columns["line"]]
-        return columns, None
+            for n in nodes:
+                n[-2] += above
+        return nodes, None
     except (expat.ExpatError, ValueError) as e:
         return None, str(e)
 
 
 def nodes_of(xml: str | None) -> tuple[list[dict] | None, str | None]:
     """The same as one dictionary a node."""
-    columns, error = columns_of(xml)
-    if columns is None:
+    nodes, error = rows_of(xml)
+    if nodes is None:
         return None, error
-    return [dict(zip(columns, row, strict=True)) for row in zip(*columns.values(), strict=True)], None
+    return [dict(zip((name for name, _ in _FIELDS), n, strict=True)) for n in nodes], None
 
 
-def _arrays(found: list[tuple[dict[str, list] | None, str | None]]) -> pa.Array:
-    """The nodes and errors of some documents as PARSED."""
-    flat: dict[str, list] = {name: [] for name, _ in _FIELDS}
+def parsed_array(texts: list[str | None], whole: bool = True) -> pa.Array:
+    """The nodes and errors of some texts as PARSED; without `whole` only the nodes that checks look at."""
+    flat: list[list] = []
     ends: list[int | None] = []
-    total = 0
-    for columns, _ in found:
-        ends.append(None if columns is None else total)
-        if columns is not None:
-            for name, values in columns.items():
-                flat[name] += values
-            total += len(columns["tag"])
-    nodes = pa.StructArray.from_arrays([pa.array(flat[name], _KINDS[kind]) for name, kind in _FIELDS], fields=list(_NODE))
-    lists = pa.ListArray.from_arrays(pa.array([*ends, total], pa.int32()), nodes)
-    return pa.StructArray.from_arrays([lists, pa.array([e for _, e in found], pa.string())], names=["nodes", "error"])
-
-
-def parsed_array(texts: list[str | None]) -> pa.Array:
-    """The nodes and errors of texts, a batch of them at a time."""
-    parts = [_arrays([columns_of(x) for x in texts[i : i + BATCH]]) for i in range(0, len(texts), BATCH)]
-    return pa.concat_arrays(parts) if parts else _arrays([])
-
-
-def parsed(xml: Column) -> Column:
+    errors: list[str | None] = []
+    for xml in texts:
+        nodes, error = rows_of(xml)
+        ends.append(None if nodes is None else len(flat))
+        errors.append(error)
+        if nodes is not None:
+            flat += nodes if whole else _remarkable(nodes)
+    columns = list(zip(*flat, strict=True)) or [()] * len(_FIELDS)
+    nodes = pa.StructArray.from_arrays([pa.array(c, _KINDS[kind]) for c, (_, kind) in zip(columns, _FIELDS, strict=True)], fields=list(_NODE))
+    lists = pa.ListArray.from_arrays(pa.array([*ends, len(flat)], pa.int32()), nodes)
+    return pa.StructArray.from_arrays([lists, pa.array(errors, pa.string())], names=["nodes", "error"])
+
+
+def pieces(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """(from, length) of consecutive texts of BATCH rows and BATCH_CHARS characters at most, but for a longer text alone."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
+    start, total = 0, 0
+    for i, n in enumerate(sizes):
+        if i > start and (i - start >= BATCH or total + n > BATCH_CHARS):
+            yield start, i - start
+            start, total = i, 0
+        total += n
+    if start < len(sizes):
+        yield start, len(sizes) - start
+
+
+def parsed(xml: Column, whole: bool = True) -> Column:
     """(nodes, error) of a text; only the text goes through Python. A null text has the error "no document"."""
 
     @F.arrow_udf(PARSED)
-    def run(texts: pa.Array) -> pa.Array:
-        return parsed_array(texts.to_pylist())
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            for start, n in pieces(texts):
+                yield parsed_array(texts.slice(start, n).to_pylist(), whole)
 
     # It counts as not deterministic, so that no filter or projection makes it run twice.
     return run.asNondeterministic()(xml)
 
 
-def parse(docs: DataFrame, xml: str = "xml") -> DataFrame:
-    """Adds nodes (null if the text is no well-formed document) and parse_error."""
-    out = docs.withColumn("_parsed", parsed(F.col(xml)))
+def parse(docs: DataFrame, xml: str = "xml", whole: bool = True) -> DataFrame:
+    """Adds nodes (null if the text is no well-formed document) and parse_error.
+
+    Without `whole` the nodes are only those that the checks of `validate` look at, with the places they have in the
+    document: the issues are the same, and a topic of many steps sends few of its nodes from Python to Spark.
+    """
+    out = docs.withColumn("_parsed", parsed(F.col(xml), whole))
     return out.withColumns({"nodes": F.col("_parsed.nodes"), "parse_error": F.col("_parsed.error")}).drop("_parsed")
 
 
@@ -181,7 +210,18 @@ def tagged(nodes: Column, *tags: str) -> Column:
 
 def below(nodes: Column, node: Column) -> Column:
     """The nodes of the subtree of a node, without itself; none for a null."""
-    return F.coalesce(F.slice(nodes, node["node_id"] + 2, node["last"] - node["node_id"]), F.slice(nodes, 1, 0))
+    # An array that lacks nodes is searched by their places; a whole one is cut.
+    inside = lambda x: F.filter(x["n"], lambda n: (n["node_id"] > x["from"]) & (n["node_id"] <= x["to"]))
+    whole = F.size(nodes) == F.get(nodes, F.lit(0))["last"] + 1
+    cut = F.slice(nodes, node["node_id"] + 2, node["last"] - node["node_id"])
+    found = F.when(whole, cut).otherwise(let(F.struct(nodes.alias("n"), node["node_id"].alias("from"), node["last"].alias("to")), inside))
+    return F.coalesce(found, F.slice(nodes, 1, 0))
+
+
+def at_place(nodes: Column, place: Column) -> Column:
+    """The node of a place in the document; null for a null or where the array lacks it."""
+    there = F.get(nodes, place)
+    return F.when(there["node_id"] == place, there).otherwise(let(place, lambda p: F.get(F.filter(nodes, lambda n: n["node_id"] == p), F.lit(0))))
 
 
 def children(nodes: Column, parent: Column, tag: str) -> Column:

@@ -692,12 +692,12 @@ def validation_loop(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(linetopics.L3)
 def line_topics_l3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return validate.issue_rows(validate.converter_issues(xmlnodes.parse(linetopics.topics(spark, sf_dir))), "l3_errors", "topic")
+    return validate.issue_rows(validate.converter_issues(xmlnodes.parse(linetopics.topics(spark, sf_dir), whole=False)), "l3_errors", "topic")
 
 
 @query(linetopics.L4)
 def line_topics_l4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return validate.issue_rows(validate.quality_issues(xmlnodes.parse(linetopics.topics(spark, sf_dir))), "l4_errors", "topic")
+    return validate.issue_rows(validate.quality_issues(xmlnodes.parse(linetopics.topics(spark, sf_dir), whole=False)), "l4_errors", "topic")
 
 
 @query(linetopics.L4_MESSAGES)
@@ -717,13 +717,13 @@ def report_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(linetopics.L4_WARNINGS)
 def line_topics_l4_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = validate.issue_rows(validate.quality_issues(xmlnodes.parse(linetopics.topics(spark, sf_dir))), "l4_warnings", "topic")
+    rows = validate.issue_rows(validate.quality_issues(xmlnodes.parse(linetopics.topics(spark, sf_dir), whole=False)), "l4_warnings", "topic")
     return rows.groupBy("topic", "element").agg(F.count("*").alias("n"))
 
 
 @query(linetopics.LOOP)
 def line_topics_loop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = repair.loop(linetopics.topics(spark, sf_dir))
+    out = repair.loop(linetopics.topics(spark, sf_dir), whole=False)
     return out.select("topic", "iterations", F.col("loop_success").alias("success"), F.col("repairs_applied").alias("repairs"), F.size("l4_errors").alias("errors"))
 
 

@@ -102,3 +102,46 @@ def test_the_loop_parses_a_valid_topic_once(spark, monkeypatch):
     texts = out.select(F.when(F.col("iterations") > 1, F.col("final_xml")).alias("xml"), "nodes").where("xml is not null")
     for r in texts.collect():
         assert [n["id_attr"] for n in r["nodes"]] == [n["id_attr"] for n in xmlnodes.nodes_of(r["xml"])[0]]
+
+
+def test_the_nodes_that_checks_look_at_give_the_issues_of_all(spark):
+    import random
+
+    rng = random.Random(7)
+
+    def step(i):
+        ident = rng.choice(["", f' id="p{rng.randrange(40)}"', f' id="{i} x"', ' id="ok"'])
+        return f"<step{ident}>" + rng.choice(["<cmd>Do</cmd>", "<cmd/>", "<info>x</info>", "", "<foo><cmd>a</cmd></foo>", "<cmd>a</cmd><cmd>b</cmd>", "<note>n</note><cmd>c</cmd>", "  "]) + "</step>" + rng.choice(["", " ", "t"])
+
+    def body(i):
+        parts = ["<context/>", "<steps>" + "".join(map(step, range(rng.randrange(60)))) + "</steps>", "<steps/>", "<result>r</result>", "<prereq> </prereq>"]
+        return "".join(rng.sample(parts, rng.randrange(len(parts) + 1)))
+
+    def topic(i):
+        kind = rng.choice([("task", "taskbody"), ("concept", "conbody"), ("reference", "refbody"), ("other", "x")])
+        parts = rng.sample(["<title>T</title>", "<shortdesc/>", f"<{kind[1]}>{body(i)}</{kind[1]}>", "<prolog>p</prolog>"], rng.randrange(5))
+        return f'<{kind[0]} id="t">\n{"".join(parts)}' + ("" if i % 17 == 3 else f"</{kind[0]}>")
+
+    rows = [(i, topic(i), rng.choice(["Task", "Concept", None])) for i in range(300)]
+    df = spark.createDataFrame(rows, "k int, xml string, content_type string").coalesce(2)
+
+    def found(whole):
+        parsed = xmlnodes.parse(df, whole=whole)
+        checked = validate.converter_issues(validate.quality_issues(parsed))
+        for c, level in (("l4_errors", "l4"), ("l4_warnings", "l4"), ("l3_errors", "l3"), ("l3_warnings", "l3")):
+            checked = validate.described(checked, c, level)
+        looped = repair.loop(df, whole=whole).select("k", "final_xml", "iterations", "repairs_applied", F.col("l4_errors").alias("left"))
+        return checked.drop("nodes").join(looped, "k").orderBy("k").collect(), checked.agg(F.sum(F.size("nodes"))).first()[0]
+
+    (all_issues, all_nodes), (issues, nodes) = found(True), found(False)
+    assert issues == all_issues and nodes < 0.8 * all_nodes
+
+
+def test_texts_leave_python_in_bounded_pieces(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(xmlnodes, "BATCH", 4)
+    monkeypatch.setattr(xmlnodes, "BATCH_CHARS", 10)
+    cut = lambda *texts: list(xmlnodes.pieces(pa.array(texts, pa.string())))
+    assert cut() == [] and cut(None) == [(0, 1)] and cut("x" * 99, "y") == [(0, 1), (1, 1)]
+    assert cut("aaaa", "bbbbbb", "c", None, "d", "e", "f") == [(0, 2), (2, 4), (6, 1)]
