@@ -121,6 +121,16 @@ def structural(c: Column) -> dict[str, Column]:
     }
 
 
+# What `lexical` counts in a whole text, one match a sentence or name. They match what SENTENCE, TOKEN, ENTITY and
+# DEFINITIONS tell of each sentence by itself: none of them goes on behind . ! ? or a line end.
+_WORD_END, _REST = r"(?![\p{L}\p{N}_'])", r"[^.!?\n]*+"
+#: A sentence whose first word is an action verb and that does not ask.
+ORDERS = r"(?:\A|(?<=[.!?\n]))[^\p{L}\p{N}_.!?\n]*+(?:" + "|".join(ACTION_VERBS) + ")" + _WORD_END + _REST + r"(?![.!?]*\?)"
+#: A form of `be`, and what its sentence has behind it.
+STATES = r"(?<![\p{L}\p{N}_'])(?:" + "|".join(BE_FORMS) + ")" + _WORD_END + _REST
+NAMES = ENTITY.replace(r"\s+", r"[ \t\x0B\f\r]+")
+DEFINED = r"\b\w++ (?:" + "|".join(p.removeprefix(r"\b\w+ ").removesuffix("+") for p in DEFINITIONS) + ")"
+
 #: The names of `lexical`'s counts.
 LEXICAL = "word_count sentence_count avg_sentence_length action_verbs imperative_verbs is_statements has_definition named_entities verb_count noun_count".split()
 
@@ -131,43 +141,31 @@ def lexical(c: Column) -> Column:
     A sentence is a piece between . ! ? and line ends that has a letter. A verb is a form of an action verb or of
     `be`; every other word that is no stop word counts as a noun. Words and sentences are cut once for all counts.
     """
-    isin = lambda w, names: w.isin(*names)
-    first = lambda low: F.regexp_extract(low, r"^[^\p{L}\p{N}_]*([\p{L}\p{N}_']+)", 1)
-
-    def sentence(s: Column) -> Column:
-        """Whether it orders, whether it says what is, and its names."""
-        return let(
-            F.lower(s),
-            lambda low: F.struct(
-                (isin(first(low), ACTION_VERBS) & ~s.contains("?")).alias("orders"),
-                F.exists(F.regexp_extract_all(low, F.lit(TOKEN), 0), lambda w: isin(w, BE_FORMS)).alias("states"),
-                F.regexp_count(s, F.lit(ENTITY)).alias("names"),
-            ),
-        )
+    # The pieces are counted in place, by patterns that take up a sentence from where it tells something to its end.
+    count = lambda t, p: F.regexp_count(t, F.lit(p))
 
     def counted(x: Column) -> Column:
-        words, sentences = x["words"], x["sentences"]
-        kind = lambda w: F.when(isin(w, ACTION_FORMS), 1).when(isin(w, BE_FORMS), 2).when(isin(w, STOP_WORDS), 3).otherwise(0)
-        return let(F.transform(words, kind), lambda kinds: summed(F.size(words), F.size(sentences), kinds, sentences, x["low"]))
-
-    def summed(n_words: Column, n_sentences: Column, kinds: Column, sentences: Column, low: Column) -> Column:
-        of = lambda k: F.size(F.filter(kinds, lambda x: x == k))
-        defined = F.lit(False)
-        for p in DEFINITIONS:
-            defined = defined | low.rlike(p)
+        words, low = x["words"], x["low"]
+        of = lambda names: F.size(F.filter(words, lambda w: w.isin(*names)))
+        numbers = F.struct(
+            F.size(words).alias("words"), count(c, r"\p{L}[^.!?\n]*+").alias("sentences"),
+            of(ACTION_FORMS).alias("actions"), of(BE_FORMS).alias("be"), of(STOP_WORDS).alias("stops"), low.alias("low"),
+        )
+        return let(numbers, summed)
+
+    def summed(n: Column) -> Column:
         return F.struct(
-            n_words.alias("word_count"),
-            n_sentences.alias("sentence_count"),
-            F.when(n_sentences > 0, n_words / n_sentences).otherwise(F.lit(0.0)).alias("avg_sentence_length"),
-            of(1).alias("action_verbs"),
-            F.size(F.filter(sentences, lambda s: s["orders"])).alias("imperative_verbs"),
-            F.size(F.filter(sentences, lambda s: s["states"])).alias("is_statements"),
-            defined.alias("has_definition"),
-            F.aggregate(sentences, F.lit(0), lambda n, s: n + s["names"]).alias("named_entities"),
-            (of(1) + of(2)).alias("verb_count"),
-            F.greatest(F.lit(0), n_words - of(1) - of(2) - of(3)).alias("noun_count"),
+            n["words"].alias("word_count"),
+            n["sentences"].alias("sentence_count"),
+            F.when(n["sentences"] > 0, n["words"] / n["sentences"]).otherwise(F.lit(0.0)).alias("avg_sentence_length"),
+            n["actions"].alias("action_verbs"),
+            count(n["low"], ORDERS).alias("imperative_verbs"),
+            count(n["low"], STATES).alias("is_statements"),
+            n["low"].rlike(DEFINED).alias("has_definition"),
+            count(c, NAMES).alias("named_entities"),
+            (n["actions"] + n["be"]).alias("verb_count"),
+            F.greatest(F.lit(0), n["words"] - n["actions"] - n["be"] - n["stops"]).alias("noun_count"),
         )
 
     low = F.lower(c)
-    sentences = F.filter(F.regexp_extract_all(c, F.lit(SENTENCE), 0), lambda s: s.rlike(r"\p{L}"))
-    return let(F.struct(F.regexp_extract_all(low, F.lit(TOKEN), 0).alias("words"), F.transform(sentences, sentence).alias("sentences"), low.alias("low")), counted)
+    return let(F.struct(F.regexp_extract_all(low, F.lit(TOKEN), 0).alias("words"), low.alias("low")), counted)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from doculith.functions.text import blank, let, strip
+from doculith.operators.classify import settled
 
 HEADING = r"^#{2,3}\s+.+$"
 CHUNK = "array<struct<title:string,level:int,content:string>>"
@@ -64,7 +65,8 @@ def _chunked(docs: DataFrame, text: str, size: int, how: str) -> DataFrame:
     found = docs.withColumn("_chunks", by_headings(md) if how != "size" else F.array().cast(CHUNK))
     if how != "headings":
         found = found.withColumn("_chunks", F.when((F.size("_chunks") > 0) | blank(md), F.col("_chunks")).otherwise(by_size(md, size)))
-    return found
+    # Spark filters for rows with chunks before it explodes them; above this node it looks at the array and does not make it again.
+    return settled(found)
 
 
 def chunk(docs: DataFrame, text: str = "markdown", size: int = SIZE, how: str = "auto") -> DataFrame:

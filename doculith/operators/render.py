@@ -16,7 +16,7 @@ DECLARATION = '<?xml version="1.0" encoding="UTF-8"?>\n'
 
 def tidy(xml: Column) -> Column:
     """Runs of blank lines as one, and no white space at line ends."""
-    return F.regexp_replace(F.regexp_replace(xml, r"\n\s*\n\s*\n", "\n\n"), r"[^\S\n]+(\n|\z)", "$1")
+    return F.regexp_replace(F.regexp_replace(xml, r"\n\s*\n\s*\n", "\n\n"), r"(?<![^\S\n])[^\S\n]++(\n|\z)", "$1")
 
 
 def _each(items: Column, one) -> Column:

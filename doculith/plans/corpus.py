@@ -24,11 +24,14 @@ def markdown_sql(engine: str) -> str:
     nl = "chr(10)"
     rows = _join(engine, f"'| ' || p_name || ' | ' || cast(p_size AS varchar(20)) || ' | ' || cast(p_partkey AS varchar(20)) || ' |' || {nl}", "p_partkey")
     sections = _join(engine, "section", "p_type")
+    name = f"split_part('{_VERBS}', ',', cast(l_linenumber * 5 % 34 AS int) + 1)"
+    verb = f"upper(substr({name}, 1, 1)) || substr({name}, 2)"
+    if engine == "spark":  # the same from a constant array, so that no line splits the list
+        verb = "coalesce(get(array(" + ", ".join(f"'{v.capitalize()}'" for v in ACTION_VERBS) + "), cast(l_linenumber * 5 % 34 AS int)), '')"
     steps = _join(
         engine,
         f"CASE CAST(l_orderkey % 4 AS int) WHEN 0 THEN cast(l_linenumber AS varchar(20)) || '. ' WHEN 1 THEN '- ' WHEN 2 THEN '* ' ELSE '+ ' END"
-        f" || upper(substr(split_part('{_VERBS}', ',', cast(l_linenumber * 5 % 34 AS int) + 1), 1, 1)) || substr(split_part('{_VERBS}', ',', cast(l_linenumber * 5 % 34 AS int) + 1), 2)"
-        f" || ' part ' || cast(l_partkey AS varchar(20)) || ' & check it < twice.' || {nl}",
+        f" || {verb} || ' part ' || cast(l_partkey AS varchar(20)) || ' & check it < twice.' || {nl}",
         "l_linenumber * 100000000 + l_partkey",
     )
     return f"""

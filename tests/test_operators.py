@@ -485,3 +485,17 @@ def test_topics_of_a_model(spark):
     assert got["Memo", "m"]["model_xml"] is None and "<cmd>Complete the task</cmd>" in got["Task", None]["model_xml"]
     topics = spark.createDataFrame([(x["model_xml"],) for x in rows if x["model_xml"]], "xml string")
     assert xmlnodes.parse(topics).where("nodes is null").count() == 0
+
+
+def test_chunks_are_made_once_and_not_again_by_a_filter(spark):
+    df = spark.createDataFrame([("a", "## T\nx"), ("b", "no heading"), ("c", "")], "doc_id string, markdown string")
+    out = chunking.chunk(df)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Filter" in line and "split(" in line]
+    assert sorted(r["doc_id"] for r in out.collect()) == ["a", "b"]
+
+
+def test_lexical_counts_a_text_as_it_counts_its_sentences(spark):
+    wanted = {"It is\nNew. Install it?! Install it.. 'open is_ x": (2, 1, 0), "?. - Install New York.\nSo New\nYork is": (1, 1, 2), "...": (0, 0, 0), "open": (1, 0, 0), "open's it's been, are": (0, 1, 0)}
+    rows = spark.createDataFrame([(t,) for t in wanted], "t string").select("t", text.lexical(F.col("t")).alias("x")).collect()
+    assert {r["t"]: (r["x"]["imperative_verbs"], r["x"]["is_statements"], r["x"]["named_entities"]) for r in rows} == wanted
