@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from doculith.functions.text import LEXICAL, lexical, structural
+from doculith.operators.xmlnodes import pieces
 
 
 def extract(chunks: DataFrame, content: str = "content", only: str | None = None) -> DataFrame:
@@ -84,8 +86,7 @@ def rewrite_image_links(md: Column, mapping: Column) -> Column:
     that hold ) or a quote do not go on.
     """
 
-    @F.arrow_udf("string")
-    def run(texts: pa.Array, entries: pa.Array) -> pa.Array:
+    def rewritten(texts: pa.Array, entries: pa.Array) -> pa.Array:
         out, last, paths = [], None, None
         for text, own in zip(texts.to_pylist(), entries.to_pylist(), strict=True):
             if text is None or own is None:
@@ -96,6 +97,12 @@ def rewrite_image_links(md: Column, mapping: Column) -> Column:
             out.append(_rewritten(text, paths))
         return pa.array(out, pa.string())
 
+    @F.arrow_udf("string")
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for texts, entries in batches:
+            for start, n in pieces(texts):
+                yield rewritten(texts.slice(start, n), entries.slice(start, n))
+
     return run(md, F.map_entries(mapping))
 
 

@@ -186,3 +186,14 @@ def test_failing_first_attempts_leave_each_file_once(tmp_path):
     ran = subprocess.run([sys.executable, "-c", _RETRIED, str(folder), str(marks)], env=os.environ | {"PYTHONPATH": root}, capture_output=True, text=True, timeout=300)
     assert ran.returncode == 0, ran.stderr[-2000:]
     assert _tree(folder) == {f"f{i}": str(i).encode() for i in range(40)}
+
+
+def test_links_are_rewritten_some_texts_at_a_time(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from doculith.operators import features, xmlnodes
+
+    monkeypatch.setattr(features, "pieces", lambda texts: ((i, 1) for i in range(len(texts))))
+    rows = spark.createDataFrame([(i, f"![a](p{i}.png)" if i % 7 else None, {f"p{i}": f"q{i}"}) for i in range(40)], "k int, md string, m map<string,string>").coalesce(1)
+    assert {r["k"]: r["x"] for r in rows.select("k", features.rewrite_image_links(F.col("md"), F.col("m")).alias("x")).collect()} == {i: f"![a](q{i})" if i % 7 else None for i in range(40)}
+    assert xmlnodes.BATCH <= 512 and xmlnodes.BATCH_CHARS <= 1_000_000
