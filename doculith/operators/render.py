@@ -16,7 +16,9 @@ DECLARATION = '<?xml version="1.0" encoding="UTF-8"?>\n'
 
 def tidy(xml: Column) -> Column:
     """Runs of blank lines as one, and no white space at line ends."""
-    return F.regexp_replace(F.regexp_replace(xml, r"\n\s*\n\s*\n", "\n\n"), r"(?<![^\S\n])[^\S\n]++(\n|\z)", "$1")
+    # Each pattern begins with a character that few places have.
+    few = F.regexp_replace(xml, r"\n[ \t\x0B\f\r]*+\n[ \t\x0B\f\r]*+\n(?:\s*\n)?", "\n\n")
+    return F.regexp_replace(few, r"[ \t\x0B\f\r](?<![ \t\x0B\f\r]{2})[ \t\x0B\f\r]*+(\n|\z)", "$1")
 
 
 def _each(items: Column, one) -> Column:

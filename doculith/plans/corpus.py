@@ -16,7 +16,7 @@ _VERBS = ",".join(ACTION_VERBS)
 def _join(engine: str, text: str, order: str) -> str:
     if engine == "duckdb":
         return f"string_agg({text}, '' ORDER BY {order})"
-    return f"array_join(transform(array_sort(collect_list(struct({order} AS k, {text} AS t))), x -> x.t), '')"
+    return f"array_join(sort_array(collect_list(struct({order} AS k, {text} AS t))).t, '')"
 
 
 def markdown_sql(engine: str) -> str:
@@ -26,14 +26,15 @@ def markdown_sql(engine: str) -> str:
     sections = _join(engine, "section", "p_type")
     name = f"split_part('{_VERBS}', ',', cast(l_linenumber * 5 % 34 AS int) + 1)"
     verb = f"upper(substr({name}, 1, 1)) || substr({name}, 2)"
-    if engine == "spark":  # the same from a constant array, so that no line splits the list
-        verb = "coalesce(get(array(" + ", ".join(f"'{v.capitalize()}'" for v in ACTION_VERBS) + "), cast(l_linenumber * 5 % 34 AS int)), '')"
-    steps = _join(
-        engine,
-        f"CASE CAST(l_orderkey % 4 AS int) WHEN 0 THEN cast(l_linenumber AS varchar(20)) || '. ' WHEN 1 THEN '- ' WHEN 2 THEN '* ' ELSE '+ ' END"
-        f" || {verb} || ' part ' || cast(l_partkey AS varchar(20)) || ' & check it < twice.' || {nl}",
-        "l_linenumber * 100000000 + l_partkey",
-    )
+    line = "CASE CAST(l_orderkey % 4 AS int) WHEN 0 THEN cast({n} AS varchar(20)) || '. ' WHEN 1 THEN '- ' WHEN 2 THEN '* ' ELSE '+ ' END || {verb} || ' part ' || cast({part} AS varchar(20)) || ' & check it < twice.' || chr(10)"
+    order = "l_linenumber * 100000000 + l_partkey"
+    if engine == "duckdb":
+        steps = _join(engine, line.format(n="l_linenumber", verb=verb, part="l_partkey"), order)
+    else:
+        # Numbers are shuffled and sorted, and become lines afterwards; verbs come from a constant array, so that no line splits the list.
+        listed = "array(" + ", ".join(f"'{v.capitalize()}'" for v in ACTION_VERBS) + ")"
+        made = line.format(n="x.n", verb=f"coalesce(get({listed}, cast(x.n * 5 % 34 AS int)), '')", part="x.p")
+        steps = f"array_join(transform(sort_array(collect_list(struct({order} AS k, l_linenumber AS n, l_partkey AS p))), x -> {made}), '')"
     return f"""
 SELECT 'part-' || p_brand AS doc_id, '# ' || p_brand || {nl} || 'Parts of ' || p_brand || '.' || {nl} || {nl} || {sections} AS markdown FROM (
   SELECT p_brand, p_type, '## ' || p_type || ' reference' || {nl} || CASE WHEN min(p_partkey) % 5 = 0 THEN '' ELSE
