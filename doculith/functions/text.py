@@ -76,8 +76,8 @@ def escape_xml(c: Column) -> Column:
 def slug(c: Column) -> Column:
     """An identifier of lower-case ASCII letters, digits, _ and -, that starts with a letter; `unnamed` if nothing is left."""
     kept = F.regexp_replace(F.lower(c), r"[^a-z0-9\s_-]", "")
-    joined = F.regexp_replace(F.regexp_replace(kept, r"\s+", "_"), r"^_+|_+$", "")
-    return F.when(joined == "", F.lit("unnamed")).when(joined.rlike("^[a-z]"), joined).otherwise(F.concat(F.lit("id_"), joined))
+    joined = F.trim(F.regexp_replace(kept, r"\s+", "_"), F.lit("_"))
+    return F.when(joined == "", F.lit("unnamed")).when(F.substring(joined, 1, 1).between("a", "z"), joined).otherwise(F.concat(F.lit("id_"), joined))
 
 
 def repaired_id(c: Column) -> Column:
@@ -124,48 +124,60 @@ def structural(c: Column) -> dict[str, Column]:
 # What `lexical` counts in a whole text, one match a sentence or name. They match what SENTENCE, TOKEN, ENTITY and
 # DEFINITIONS tell of each sentence by itself: none of them goes on behind . ! ? or a line end.
 _WORD_END, _REST = r"(?![\p{L}\p{N}_'])", r"[^.!?\n]*+"
-#: A sentence whose first word is an action verb and that does not ask.
-ORDERS = r"(?:\A|(?<=[.!?\n]))[^\p{L}\p{N}_.!?\n]*+(?:" + "|".join(ACTION_VERBS) + ")" + _WORD_END + _REST + r"(?![.!?]*\?)"
+#: A sentence whose first word is an action verb and that does not ask, from the character before it; a text gets a line end in front.
+ORDERS = r"[.!?\n][^\p{L}\p{N}_.!?\n]*+(?=[" + "".join(sorted({v[0] for v in ACTION_VERBS})) + "])(?:" + "|".join(ACTION_VERBS) + ")" + _WORD_END + _REST + r"(?![.!?]*\?)"
 #: A form of `be`, and what its sentence has behind it.
 STATES = r"(?<![\p{L}\p{N}_'])(?:" + "|".join(BE_FORMS) + ")" + _WORD_END + _REST
-NAMES = ENTITY.replace(r"\s+", r"[ \t\x0B\f\r]+")
+#: A capitalised run, from the blanks before it.
+NAMES = r"[ \t\x0B\f\r](?<=[\p{L}\p{N}_',;:)][ \t\x0B\f\r])[ \t\x0B\f\r]*+\p{Lu}[\p{L}\p{N}_']*+(?:[ \t\x0B\f\r]++\p{Lu}[\p{L}\p{N}_']*+)*+"
 DEFINED = r"\b\w++ (?:" + "|".join(p.removeprefix(r"\b\w+ ").removesuffix("+") for p in DEFINITIONS) + ")"
 
 #: The names of `lexical`'s counts.
 LEXICAL = "word_count sentence_count avg_sentence_length action_verbs imperative_verbs is_statements has_definition named_entities verb_count noun_count".split()
 
 
-def lexical(c: Column) -> Column:
-    """A struct of counts of words and sentences, of which kind of verb they use and of names: an approximation without a tagger.
+#: Words of which a text must have one, or a form of `be`, to have a definition.
+DEFINING = ["means", "refers", "represents"]
+
+
+def words(c: Column) -> Column:
+    """A struct of counts of a text's words: all, forms of action verbs and of `be`, stop words and words that define."""
+    low = F.regexp_extract_all(F.lower(c), F.lit(TOKEN), 0)
+    # Most words are of no kind; what is left is looked at again.
+    known = lambda found: F.filter(found, lambda w: w.isin(*ACTION_FORMS, *BE_FORMS, *STOP_WORDS, *DEFINING))
+
+    def counted(x: Column) -> Column:
+        of = lambda names: F.size(F.filter(x["known"], lambda w: w.isin(*names)))
+        return F.struct(x["all"].alias("all"), of(ACTION_FORMS).alias("actions"), of(BE_FORMS).alias("be"), of(STOP_WORDS).alias("stops"), of(DEFINING).alias("defining"))
+
+    return let(low, lambda found: let(F.struct(F.size(found).alias("all"), known(found).alias("known")), counted))
+
+
+def counts(c: Column, n: Column) -> dict[str, Column]:
+    """The counts of words and sentences in a text by name, where `n` has what `words` tells of it.
 
     A sentence is a piece between . ! ? and line ends that has a letter. A verb is a form of an action verb or of
-    `be`; every other word that is no stop word counts as a noun. Words and sentences are cut once for all counts.
+    `be`; every other word that is no stop word counts as a noun. Each is a column of its own, made only where it is
+    used; a text without the words that a pattern asks for is not searched for it.
     """
     # The pieces are counted in place, by patterns that take up a sentence from where it tells something to its end.
     count = lambda t, p: F.regexp_count(t, F.lit(p))
+    low, sentences = F.lower(c), count(c, r"\p{L}[^.!?\n]*+")
+    return {
+        "word_count": n["all"],
+        "sentence_count": sentences,
+        "avg_sentence_length": F.when(sentences > 0, n["all"] / sentences).otherwise(F.lit(0.0)),
+        "action_verbs": n["actions"],
+        # A quote before a verb belongs to the word, but not to what an order starts with.
+        "imperative_verbs": F.when((n["actions"] == 0) & ~c.contains("'"), F.lit(0)).otherwise(count(F.concat(F.lit("\n"), low), ORDERS)),
+        "is_statements": F.when(n["be"] == 0, F.lit(0)).otherwise(count(low, STATES)),
+        "has_definition": F.when(n["be"] + n["defining"] == 0, F.lit(False)).otherwise(low.rlike(DEFINED)),
+        "named_entities": count(c, NAMES),
+        "verb_count": n["actions"] + n["be"],
+        "noun_count": F.greatest(F.lit(0), n["all"] - n["actions"] - n["be"] - n["stops"]),
+    }
 
-    def counted(x: Column) -> Column:
-        words, low = x["words"], x["low"]
-        of = lambda names: F.size(F.filter(words, lambda w: w.isin(*names)))
-        numbers = F.struct(
-            F.size(words).alias("words"), count(c, r"\p{L}[^.!?\n]*+").alias("sentences"),
-            of(ACTION_FORMS).alias("actions"), of(BE_FORMS).alias("be"), of(STOP_WORDS).alias("stops"), low.alias("low"),
-        )
-        return let(numbers, summed)
-
-    def summed(n: Column) -> Column:
-        return F.struct(
-            n["words"].alias("word_count"),
-            n["sentences"].alias("sentence_count"),
-            F.when(n["sentences"] > 0, n["words"] / n["sentences"]).otherwise(F.lit(0.0)).alias("avg_sentence_length"),
-            n["actions"].alias("action_verbs"),
-            count(n["low"], ORDERS).alias("imperative_verbs"),
-            count(n["low"], STATES).alias("is_statements"),
-            n["low"].rlike(DEFINED).alias("has_definition"),
-            count(c, NAMES).alias("named_entities"),
-            (n["actions"] + n["be"]).alias("verb_count"),
-            F.greatest(F.lit(0), n["words"] - n["actions"] - n["be"] - n["stops"]).alias("noun_count"),
-        )
-
-    low = F.lower(c)
-    return let(F.struct(F.regexp_extract_all(low, F.lit(TOKEN), 0).alias("words"), low.alias("low")), counted)
+
+def lexical(c: Column) -> Column:
+    """A struct of the counts of `counts`: an approximation without a tagger."""
+    return let(words(c), lambda n: F.struct(*[v.alias(name) for name, v in counts(c, n).items()]))

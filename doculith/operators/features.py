@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from doculith.functions.text import LEXICAL, lexical, structural
+from doculith.functions.text import counts, structural, words
 from doculith.operators.xmlnodes import pieces
 
 
@@ -17,8 +17,8 @@ def extract(chunks: DataFrame, content: str = "content", only: str | None = None
     """The chunks with their lexical and structural features; `only` names one of the two families."""
     out = chunks
     if only != "structural":
-        out = out.withColumn("_lexical", lexical(F.col(content)))
-        out = out.withColumns({name: F.col("_lexical")[name] for name in LEXICAL}).drop("_lexical")
+        out = out.withColumn("_words", words(F.col(content)))
+        out = out.withColumns(counts(F.col(content), F.col("_words"))).drop("_words")
     return out.withColumns(structural(F.col(content))) if only != "lexical" else out
 
 

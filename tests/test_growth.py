@@ -22,3 +22,13 @@ def test_white_space_of_a_topic(spark):
     wanted = {"a \t\n b": "a\n b", "\n \n\t\n  \n x": "\n\n x", "a\n\nb  ": "a\n\nb", "a \r\nb": "a\nb", "a  b\u00a0\n": "a  b\u00a0\n"}
     rows = spark.createDataFrame([(t,) for t in wanted], "t string").select("t", render.tidy(F.col("t")).alias("x")).collect()
     assert {r["t"]: r["x"] for r in rows} == wanted
+
+
+def test_a_type_asks_for_no_sentences(spark):
+    df = spark.createDataFrame([("a", "## T\nx")], "doc_id string, markdown string")
+    chunks = features.extract(chunking.chunk(df))
+    sentences = r"\p{L}[^.!?"
+    assert sentences in _plan(chunks) and sentences not in _plan(classify.hybrid(chunks).select("doc_id", "type"))
+    odd = {"'open it": (1, 0, False), "it means much": (0, 0, True), "check. it's, is": (1, 1, False), None: (None, None, None)}
+    rows = features.extract(spark.createDataFrame([(t,) for t in odd], "content string"), only="lexical").collect()
+    assert {r["content"]: (r["imperative_verbs"], r["is_statements"], r["has_definition"]) for r in rows} == odd
