@@ -33,7 +33,7 @@ def by_headings(md: Column) -> Column:
         return F.filter(F.transform(heads, section), lambda c: ~blank(c["content"]))
 
     # Lines are split once and headings found once: the work grows with the length of a document.
-    heads = lambda lines: F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: F.get(lines, i).rlike(HEADING))
+    heads = lambda lines: F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: F.get(lines, i).startswith("##") & F.get(lines, i).rlike(HEADING))
     return let(F.split(md, "\n"), lambda lines: let(heads(lines), lambda found: sections(lines, found)))
 
 

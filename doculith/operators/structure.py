@@ -16,7 +16,9 @@ SEPARATOR = r"^\s*\|[\s\-:]+\|"
 
 def steps(content: Column) -> Column:
     """The commands of numbered lines; only if there are none, those of lines with - or *. All other text is left out."""
-    taken = lambda lines, p: F.transform(F.filter(lines, lambda x: x.rlike(p)), lambda x: strip(F.regexp_extract(x, p, 1)))
+    # A line that matches has a text of at least one character, blank or not; each is matched once.
+    found = lambda lines, p: F.filter(F.transform(lines, lambda x: F.regexp_extract(x, p, 1)), lambda x: x != "")
+    taken = lambda lines, p: F.transform(found(lines, p), strip)
     either = lambda lines: let(taken(lines, NUMBERED), lambda n: F.when(F.size(n) > 0, n).otherwise(taken(lines, BULLET)))
     return let(F.split(content, "\n"), either)
 

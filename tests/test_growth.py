@@ -32,3 +32,8 @@ def test_a_type_asks_for_no_sentences(spark):
     odd = {"'open it": (1, 0, False), "it means much": (0, 0, True), "check. it's, is": (1, 1, False), None: (None, None, None)}
     rows = features.extract(spark.createDataFrame([(t,) for t in odd], "content string"), only="lexical").collect()
     assert {r["content"]: (r["imperative_verbs"], r["is_statements"], r["has_definition"]) for r in rows} == odd
+
+
+def test_lines_of_steps_are_matched_once(spark):
+    df = spark.createDataFrame([("1.   \n2. b \n- c",), ("* a\n-\n -b",), ("x\n1.",)], "t string").select(structure.steps(F.col("t")).alias("s"))
+    assert "RLIKE" not in _plan(df) and [r["s"] for r in df.collect()] == [["", "b"], ["a", "b"], []]
