@@ -58,14 +58,13 @@ def root_id(title: Column) -> Column:
 
 def section_ids(title: Column, texts: Column) -> Column:
     """Sections named section_2, section_3, ...; a name that the title's three forms took gets the next free suffix."""
-    base = slug(title)
 
-    def named(text: Column, i: Column) -> Column:
+    def named(base: Column, text: Column, i: Column) -> Column:
         name = F.concat(F.lit("section_"), (i + 2).cast("string"))
         free = F.when(base == name, F.concat(name, F.lit("_3"))).when(F.concat(base, F.lit("_2")) == name, F.concat(name, F.lit("_1"))).when(F.concat(base, F.lit("_1")) == name, F.concat(name, F.lit("_1"))).otherwise(name)
         return F.struct(free.alias("id"), text.alias("content"))
 
-    return F.transform(texts, named)
+    return let(slug(title), lambda base: F.transform(texts, lambda text, i: named(base, text, i)))
 
 
 def records(chunks: DataFrame, kind: str = "type") -> DataFrame:

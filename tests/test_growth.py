@@ -37,3 +37,10 @@ def test_a_type_asks_for_no_sentences(spark):
 def test_lines_of_steps_are_matched_once(spark):
     df = spark.createDataFrame([("1.   \n2. b \n- c",), ("* a\n-\n -b",), ("x\n1.",)], "t string").select(structure.steps(F.col("t")).alias("s"))
     assert "RLIKE" not in _plan(df) and [r["s"] for r in df.collect()] == [["", "b"], ["a", "b"], []]
+
+
+def test_sections_share_the_form_of_their_title(spark):
+    df = spark.createDataFrame([("Section 2", ["a", "b"]), ("x", ["a"])], "t string, p array<string>").select(structure.section_ids(F.col("t"), F.col("p")).alias("s"))
+    inside = _plan(df)
+    assert inside.count("[^a-z0-9") <= text.slug(F.lit("x"))._jc.toString().count("[^a-z0-9")
+    assert [[s["id"] for s in r["s"]] for r in df.collect()] == [["section_2_3", "section_3"], ["section_2"]]
